@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from docgrid.llm.chat import OP5_SQL, op5_chat_format
+from docgrid.llm.langid import op8_language_id
+from docgrid.llm.mixing import op6_cube_mix
+from docgrid.llm.quality import OP4_SQL, op4_quality_rules
 from docgrid.llm.secrets import op9_secret_scan
+from docgrid.llm.sharding import op1_feistel_shards
 
 QUERIES = {
+    "op1_feistel_shards": op1_feistel_shards,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_chat_format": op5_chat_format,
+    "op6_cube_mix": op6_cube_mix,
+    "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_quality_rules": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
+}
