@@ -32,7 +32,7 @@ BLOCK = 4096
 MOST_BROADCAST = 100_000
 EDGE = 1e-9
 #: Decisions that a landing may turn.
-REPAIRS = 8
+REPAIRS = 64
 
 
 def fly(ids: list, sizes: list[float], probs: list[float], seed: int, land: bool) -> list[float]:
