@@ -184,6 +184,22 @@ def n_words(text: str = "text"):
     return F.coalesce(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, columns as before. Sizes are words.
+
+    Rows that repeat id and text are interchangeable: one of them is laid out for all. ``mix`` goes to ``cube_mix``.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
+    rows = keyed.select(F.col(id_col).alias("_id"), "_key", F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    per = cube_mix(rows, ["_id", "_key"], **mix).groupBy("_id", "_key").agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_times"))
+    per = cut(per.filter("_n > 0").withColumnRenamed("_key", "_k"))
+    on = keyed[id_col].eqNullSafe(per["_id"]) & (keyed["_key"] == per["_k"])
+    joined = keyed.hint("shuffle_merge").join(per.hint("shuffle_merge"), on).drop("_k", "_id")
+    if not per.filter("_times > 1").isEmpty():
+        joined = joined.filter("_times = 1").unionByName(joined.filter("_times > 1").dropDuplicates([id_col, "_key"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+
+
 def op6_cube_mix(spark, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of sources that weigh 5, 2, 1, repeating."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
