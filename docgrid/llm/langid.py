@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import mix64
+from docgrid.llm.text import mix64, rebased
 from docgrid.shared import hashed_fold
 
 #: At most so many rows of each language are learned from (lowest hashes first); one in five of them only calibrates.
@@ -44,7 +44,7 @@ def letter_classes(alphabet: list[str]) -> np.ndarray:
 
 def classed(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the characters of all texts, runs of no letter as one, and offsets. Every text ends with one 0."""
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    low = pc.utf8_lower(pc.fill_null(rebased(texts).cast(pa.large_string()), ""))
     low = pc.binary_join_element_wise(low, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
     n = np.asarray(pc.utf8_length(low), dtype=np.int64)
     cps = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le"), np.uint32)

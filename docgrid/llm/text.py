@@ -10,11 +10,16 @@ import pyarrow.compute as pc
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
-    """All words of all texts in order, and offsets (n + 1) of each text's words. A null text has none."""
+def rebased(texts: pa.Array) -> pa.Array:
+    """The array itself, or a copy if it is a slice: Arrow's case functions misread the offsets of slices."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts in order, and offsets (n + 1) of each text's words. A null text has none."""
+    texts = pc.fill_null(rebased(texts).cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
     split = pc.ascii_split_whitespace(texts)
