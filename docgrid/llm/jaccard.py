@@ -102,9 +102,6 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str, n: int, percent:
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(order))
     held: list[np.ndarray] = []
     seen: set[int] = set()
-    kind = pa.struct(
-        [("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("prefix", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())])))]
-    )
 
     @F.arrow_udf("struct<n:long,sig:long,sig2:long,prefix:array<struct<h:long,pos:int>>>")
     def sign(texts: pa.Array) -> pa.Array:
@@ -112,19 +109,26 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str, n: int, percent:
 
         if not held:
             held.append(cloudpickle.loads(shared.value))
-        rows = []
+        sizes, sig, sig2, parts = [], [], [], []
         for part in pieces(texts):
             for s in shingle_sets(part, n):
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
-                prefix = []
+                prefix = s[:0]
                 if len(s) and key not in seen:
                     seen.add(key)
                     size = len(s) - -(-percent * len(s) // 100) + 1
-                    load = held[0][cell_of(s)]
-                    first = np.lexsort((s, load))[:size]
-                    prefix = [{"h": h, "pos": k} for k, h in enumerate(_signed(s[first]).tolist())]
-                rows.append({"n": len(s), "sig": (key & (2**64 - 1)) - (1 << 63), "sig2": (key >> 64) - (1 << 63), "prefix": prefix})
-        return pa.array(rows, kind)
+                    prefix = s[np.lexsort((s, held[0][cell_of(s)]))[:size]].copy()
+                parts.append(prefix)
+                sizes.append(len(s))
+                sig.append((key & (2**64 - 1)) - (1 << 63))
+                sig2.append((key >> 64) - (1 << 63))
+        length = np.array([len(x) for x in parts], np.int64)
+        ends = np.cumsum(length)
+        pos = np.arange(int(length.sum())) - np.repeat(ends - length, length)
+        flat = np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.uint64)
+        entries = pa.StructArray.from_arrays([pa.array(_signed(flat)), pa.array(pos.astype(np.int32))], names=["h", "pos"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), entries)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), lists], names=["n", "sig", "sig2", "prefix"])
 
     out = docs.select(*[F.col(c) for c in keep], sign(F.col(text_col).cast("string")).alias("_s"))
     return written(out.select(*keep, F.col("_s.n").alias("n_shingles"), "_s.sig", "_s.sig2", "_s.prefix"))
@@ -242,7 +246,8 @@ def jaccard_components(
 
     @F.arrow_udf("boolean")
     def verify(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        return pa.array([linked(view(x), view(y), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
 
     links, tested, k = None, 0, pivots
     group = Window.partitionBy("h").orderBy("id")
