@@ -6,11 +6,15 @@ anchors, so only the K bytes at the anchors, a hundredth of all places, need to
 across the corpus: an anchor whose block occurs once stands for strings that occur once.
 
 Strings whose whole surroundings of the anchor occur twice are repeated without another look.
-What is left lies at the edges of repeated passages. The suffixes that start there are dealt
-by sampled splitters to ranges of their leading bytes, every range is sorted by multikey
-quicksort, eight bytes a step, and neighbours that agree in ``least`` bytes are repeated. Ranges
-are cut between different suffixes, so equal ones meet in one range; copies of a suffix within a
-task travel as one.
+What is left lies at the edges of repeated passages. The suffixes that start at these anchors
+are dealt by sampled splitters to ranges of their leading K bytes; ranges are cut between
+different leading bytes, so no comparison has to cross a boundary. Every range is sorted by
+multikey quicksort, eight bytes a step: once by what follows the anchors and once by what comes
+before them. Neighbours bound how far any match of a suffix can reach, and settle nearly all
+strings; the few that two different neighbours bound are compared themselves.
+
+A block with very many different surroundings does not go to one range: its strings are hashed
+and counted one by one instead, with partial sums.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ LEAST = 200
 K = 64
 #: Up to so many texts are named to every task (8 bytes each); beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Suffixes that one range should hold.
-RANGE_ROWS = 100_000
+#: Suffixes that one range should hold, and different surroundings of a block beyond which its strings are counted one by one.
+RANGE_ROWS, HOT_KINDS = 40_000, 100_000
 
 KEY = "struct<hi:long,lo:long>"
 _KEY = pa.struct([("hi", pa.int64()), ("lo", pa.int64())])
@@ -89,6 +93,77 @@ def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def padded(rows: list[bytes], width: int) -> np.ndarray:
+    """Rows of bytes as a matrix, zeros behind."""
+    return np.frombuffer(b"".join(r[:width].ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
+
+
+def common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the common start of rows i and j."""
+    out = np.empty(len(i), np.int64)
+    for s in range(0, len(i), 20_000):
+        differ = x[i[s : s + 20_000]] != x[j[s : s + 20_000]]
+        out[s : s + 20_000] = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+    return out
+
+
+def matches(suffix: list[bytes], left: list[bytes], before: np.ndarray, after: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high): the strings that start low..high bytes before the anchor of the row occur at another row as well.
+
+    Rows are all surroundings of some blocks: ``suffix`` from the anchor on, ``left`` backwards from
+    it; a row stands for the strings that start ``after``..``before`` bytes before its anchor.
+    """
+    right, back = padded(suffix, -(-least // 8) * 8), padded(left, -(-max(least - K, 1) // 8) * 8)
+    length = np.array([len(x) for x in suffix], np.int64)
+    block_order, block_place = multikey_order(right[:, :K].copy().view(">u8"))
+    block = np.empty(len(suffix), np.int64)
+    block[block_order] = block_place
+    order, _ = multikey_order(right.view(">u8"))
+    back_order, _ = multikey_order(np.column_stack([block.astype(">u8"), back.view(">u8")]))
+    reach = {"r": np.zeros(len(suffix), np.int64), "l": np.full(len(suffix), -1, np.int64)}
+    firsts, seconds = [], []
+    for name, o, x in (("r", order, right), ("l", back_order, back)):
+        i, j = o[:-1], o[1:]
+        same = block[i] == block[j]
+        i, j = i[same], j[same]
+        n = common(x, i, j)
+        np.maximum.at(reach[name], i, n)
+        np.maximum.at(reach[name], j, n)
+        firsts += [i, j]
+        seconds += [j, i]
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    r = np.minimum(common(right, i, j), np.minimum(length[i], length[j]))
+    l = np.minimum(common(back, i, j), np.minimum(before[i], before[j]))
+    low, high = np.maximum(least - r, np.maximum(after[i], after[j])), l
+    good = low <= high
+    who, low, high = i[good], low[good], high[good]
+    # what no match can exceed, less what is settled
+    least_low = np.maximum(least - np.minimum(reach["r"], length), after)
+    most_high = np.minimum(reach["l"], before)
+    settled = np.zeros((len(suffix), least + 2), np.int8)
+    np.add.at(settled, (who, low), 1)
+    np.add.at(settled, (who, high + 1), -1)
+    settled = np.cumsum(settled, axis=1, dtype=np.int8)[:, :-1] > 0
+    span = np.arange(least + 1)
+    possible = (span >= least_low[:, None]) & (span <= most_high[:, None])
+    unsure = possible & ~settled
+    extra: list[tuple[int, int]] = []
+    groups: dict[int, list[int]] = {}
+    wanted = set(block[unsure.any(axis=1)].tolist())
+    for k, g in enumerate(block.tolist()):
+        if g in wanted:
+            groups.setdefault(g, []).append(k)
+    for rows in groups.values():
+        for d in np.flatnonzero(unsure[rows].any(axis=0)).tolist():
+            seen: dict[bytes, list[int]] = {}
+            for k in rows:
+                if possible[k, d]:
+                    seen.setdefault(left[k][:d][::-1] + suffix[k][: least - d], []).append(k)
+            extra += [(k, d) for ks in seen.values() if len(ks) > 1 for k in ks]
+    more = np.array(extra, np.int64).reshape(-1, 2)
+    return np.concatenate([who, more[:, 0]]), np.concatenate([low, more[:, 1]]), np.concatenate([high, more[:, 1]])
+
+
 def _texts(col: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in col.to_pylist()]
 
@@ -128,7 +203,7 @@ def _chosen(docs: DataFrame, text_col: str, keys: DataFrame, most_broadcast: int
     return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(choose, "hi long, lo long, raw binary")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST, most_broadcast: int = MOST_BROADCAST, range_rows: int = RANGE_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST, most_broadcast: int = MOST_BROADCAST, range_rows: int = RANGE_ROWS, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """(hi, lo, spans) of each distinct text, named by a 128-bit hash of its bytes, that has repeated strings.
 
     ``spans`` are the maximal runs of bytes (start, end exclusive, ordered) that are covered by a
@@ -169,60 +244,75 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     twice = found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     same = written(found.hint("shuffle_merge").join(twice.hint("shuffle_merge"), "k"))
 
-    per = same.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hi", "lo", "a")).alias("first"))
+    per = same.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hi", "lo", "a", "before", "after")).alias("first"))
     kinds = per.groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest"))
     full = per.filter("n > 1").select("k", "c")
     whole = same.hint("shuffle_merge").join(full.hint("shuffle_merge"), ["k", "c"])
     covered = whole.select("hi", "lo", (F.col("a") - F.col("before")).alias("s"), (F.col("a") - F.col("after") + least).alias("e"))
 
     # one place of each surrounding of a block whose surroundings differ and of which some occur once
-    edge = per.hint("shuffle_merge").join(kinds.filter("kinds > 1 and fewest = 1").hint("shuffle_merge"), "k").select("first.*").distinct()
-    edge = cut(edge)
-    marks = edge.groupBy("hi", "lo").agg(F.collect_set("a").alias("edges"))  # of one text
+    edge = per.hint("shuffle_merge").join(kinds.filter("kinds > 1 and fewest = 1").hint("shuffle_merge"), "k").select("k", "first.*")
+    hot = kinds.filter(F.col("kinds") > hot_kinds).select("k", F.lit(True).alias("hot"))
+    edge = cut(edge.hint("shuffle_merge").join(hot.hint("shuffle_merge"), "k", "left").select("hi", "lo", "a", "before", "after", F.coalesce("hot", F.lit(False)).alias("hot")))
+    marks = edge.groupBy("hi", "lo").agg(F.collect_list(F.struct("a", "before", "after", "hot")).alias("edges"))  # of one text
     texts = _chosen(docs, text_col, edge, most_broadcast)
     joined = texts.hint("shuffle_merge").join(marks.hint("shuffle_merge"), ["hi", "lo"]).select("hi", "lo", "raw", "edges")
-    owner = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("s", pa.int32())])
-
-    def suffixes(batches):
-        done: set[tuple[int, int]] = set()
-        for b in batches:
-            own: dict[bytes, list] = {}
-            for i in range(b.num_rows):
-                hi, lo, raw, edges = (b.column(j)[i].as_py() for j in range(4))
-                if (hi, lo) in done:  # texts that several tasks have sent are here more than once
-                    continue
-                done.add((hi, lo))
-                at, first, last = anchors(raw, least)
-                for j in np.flatnonzero(np.isin(at, np.array(edges))).tolist():
-                    for x in range(first[j], last[j] + 1):
-                        own.setdefault(raw[x : x + least], []).append({"hi": hi, "lo": lo, "s": x})
-                if len(own) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.list_(owner))], names=["suffix", "owners"])
-                    own = {}
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.list_(owner))], names=["suffix", "owners"])
-
-    tails = written(joined.mapInArrow(suffixes, "suffix binary, owners array<struct<hi:long,lo:long,s:int>>"))
-    ranges = max(1, -(-tails.count() // range_rows))
-    words = -(-least // 8)
+    kinds_ = [("hi", pa.int64()), ("lo", pa.int64()), ("a", pa.int32()), ("before", pa.int32()), ("after", pa.int32()), ("suffix", pa.binary()), ("left", pa.binary())]
+
+    def surroundings(hot_ones: bool):
+        def emit_(batches):
+            done: set[tuple[int, int]] = set()
+            for b in batches:
+                rows: list[tuple] = []
+                for i in range(b.num_rows):
+                    hi, lo, raw, edges = (b.column(j)[i].as_py() for j in range(4))
+                    if (hi, lo) in done:  # texts that several tasks have sent are here more than once
+                        continue
+                    done.add((hi, lo))
+                    for x in edges:
+                        if x["hot"] == hot_ones:
+                            a, before, after = x["a"], x["before"], x["after"]
+                            rows.append((hi, lo, a, before, after, raw[a : a + least - after], raw[a - before : a][::-1]))
+                    if len(rows) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds_)], names=[n for n, _ in kinds_])
+                        rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds_)], names=[n for n, _ in kinds_])
+
+        return joined.mapInArrow(emit_, "hi long, lo long, a int, before int, after int, suffix binary, left binary")
 
     def compare(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)  # one range
-        col = t.column("suffix").combine_chunks()
-        raw = np.frombuffer(b"".join(x.ljust(words * 8, b"\0") for x in col.to_pylist()), ">u8").reshape(t.num_rows, words)
-        order, group = multikey_order(raw)
-        owners = t.column("owners").combine_chunks()
-        many = np.asarray(owners.value_lengths())[order]
-        total = np.bincount(group, weights=many, minlength=len(group))
-        flat = owners.take(pa.array(order[total[group] > 1])).flatten()
-        for s in range(0, len(flat), 100_000):
-            part = flat.slice(s, 100_000)
-            yield pa.RecordBatch.from_arrays(part.flatten(), names=["hi", "lo", "s"])
-
-    again = tails.repartitionByRange(ranges, "suffix").mapInArrow(compare, "hi long, lo long, s int")
-    again = again.select("hi", "lo", "s", (F.col("s") + least).alias("e"))
+        t = pa.Table.from_batches(held).combine_chunks()  # one range
+        suffix, left = (t.column(c).to_pylist() for c in ("suffix", "left"))
+        a, before, after = (t.column(c).to_numpy().astype(np.int64) for c in ("a", "before", "after"))
+        who, low, high = matches(suffix, left, before, after, least)
+        yield pa.RecordBatch.from_arrays(
+            [*[t.column(c).combine_chunks().take(pa.array(who)) for c in ("hi", "lo")], pa.array((a[who] - high).astype(np.int32)), pa.array((a[who] - low + least).astype(np.int32))],
+            names=["hi", "lo", "s", "e"],
+        )
+
+    counts = {r.hot: r.n for r in edge.groupBy("hot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranges = max(1, -(-counts.get(False, 0) // range_rows))
+    again = surroundings(False).repartitionByRange(ranges, F.substring("suffix", 1, K)).mapInArrow(compare, "hi long, lo long, s int, e int")
+
+    def strings(batches):
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for x in b.to_pylist():
+                for d in range(x["after"], x["before"] + 1):
+                    h = xxhash.xxh3_128_intdigest(x["left"][:d][::-1] + x["suffix"][: least - d])
+                    rows.append(((h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), x["hi"], x["lo"], x["a"] - d))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.int32()) for k in range(5)], names=["h", "g", "hi", "lo", "s"])
+
+    if counts.get(True):
+        each = surroundings(True).mapInArrow(strings, "h long, g long, hi long, lo long, s int")
+        many = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
+        each = each.hint("shuffle_merge").join(many.hint("shuffle_merge"), ["h", "g"])
+        again = again.unionByName(each.select("hi", "lo", "s", (F.col("s") + least).alias("e")))
     all_ = copies.unionByName(covered).unionByName(again)
     # copies in several tasks: their anchors repeat each other, so they are covered already
 

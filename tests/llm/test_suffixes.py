@@ -43,8 +43,8 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(x[1] for x in got.values()) > 10_000
 
 
-@pytest.mark.parametrize("most_broadcast", [10**6, 0])
-def test_hard_cases(spark, most_broadcast):
+@pytest.mark.parametrize("most_broadcast,hot_kinds", [(10**6, 10**5), (0, 2)])
+def test_hard_cases(spark, most_broadcast, hot_kinds):
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abé\n ") for _ in range(n))
     passage, other = word(300), word(260)
@@ -53,7 +53,7 @@ def test_hard_cases(spark, most_broadcast):
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "hi long, text string, spans string").repartition(3)
     keys = {S.key_of((t or "").encode()): i for i, t in enumerate(texts)}
-    found = S.repeated_spans(docs, most_broadcast=most_broadcast, range_rows=50).collect()
+    found = S.repeated_spans(docs, most_broadcast=most_broadcast, range_rows=50, hot_kinds=hot_kinds).collect()
     got = {keys[x.hi, x.lo]: [(s.start, s.end) for s in x.spans] for x in found}
     want = {keys[S.key_of((t or "").encode())]: s for t, s in zip(texts, brute(texts, 200), strict=True) if s}
     assert got == want
