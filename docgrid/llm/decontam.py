@@ -4,8 +4,8 @@ Texts are sequences of words. The CGK random walk maps a sequence to a longer on
 edits become a few differing places; sampling places of the embedding gives hash keys under
 which near sequences collide, and enough repetitions reach the wanted recall. Every window of a
 document that is as long as the benchmark items of a length class is a candidate, once it holds
-enough words of these items to be near one at all (a necessary condition, so nothing is lost);
-windows that collide with an item are verified by exact edit distance.
+enough words and word pairs of these items to be near one at all: k edits leave all but k words and
+all but 2k pairs, so nothing is lost. Windows that collide with an item are verified by exact edit distance.
 
 Documents are mapped in one pass without a shuffle. Benchmark items go to the tasks in blocks of
 bounded size, one pass over the documents for each block.
@@ -29,6 +29,8 @@ MOST_EDITS = 0.2
 PLACES, REPETITIONS = 3, 40
 #: Ratio of the longest to the shortest item of a length class.
 CLASS_RATIO = 1.15
+#: Steps of the walk for a word of the longest item of a class: a walk takes two on average, and what lies behind its end tells nothing.
+STEPS = 1.8
 PIECE_WORDS = 2_000_000
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,6 +70,10 @@ def best_fit(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return row[end][0], row[end][1], end
 
 
+def pair_hashes(tokens: np.ndarray) -> np.ndarray:
+    return mix64(tokens[:-1]) * np.uint64(3) + tokens[1:]
+
+
 class Index:
     """Benchmark items by length class: their words, and their keys in sorted arrays."""
 
@@ -86,11 +92,16 @@ class Index:
             order = order[len(own) :]
             size = max(len(self.items[i]) for i in own)
             starts, ends = at[:-1][own], at[1:][own]
-            keys = walk_keys(hashes, starts, ends, 3 * size, seed)
+            keys = walk_keys(hashes, starts, ends, int(STEPS * size) + 1, seed)
             flat, who = keys.ravel(), np.repeat(own, REPETITIONS)
             o = np.argsort(flat, kind="stable")
             vocabulary = np.unique(np.concatenate([hashes[s:e] for s, e in zip(starts, ends, strict=True)]))
-            self.classes.append((low, size, vocabulary, flat[o], who[o]))
+            pairs = np.unique(np.concatenate([pair_hashes(hashes[s:e]) for s, e in zip(starts, ends, strict=True)]))
+            lengths = {int(e - s) for s, e in zip(starts, ends, strict=True)}
+            words_left = min(n - most_edits(n, rate) for n in lengths)
+            pairs_left = min(n - 1 - 2 * most_edits(n, rate) for n in lengths)
+            self.classes.append((size, vocabulary, words_left, pairs, pairs_left, flat[o], who[o]))
+        self.pairs = np.unique(np.concatenate([c[3] for c in self.classes] or [np.empty(0, np.uint64)]))
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """For each text its matches: item_id, start and end word (end exclusive), edits; at most one for each item."""
@@ -100,17 +111,26 @@ class Index:
         tokens = hd[codes] if len(hd) else np.empty(0, np.uint64)
         stop = np.repeat(at[1:], np.diff(at))
         found: list[dict[int, list[int]]] = [{} for _ in range(len(at) - 1)]
-        for low, size, vocabulary, keys, who in self.classes:
+        begin = np.arange(len(tokens))
+        pair = np.zeros(len(tokens), np.int64)  # of a word and the next one; 0 is no pair of the benchmark
+        if len(self.pairs) and len(tokens) > 1:
+            h = pair_hashes(tokens)
+            spot = np.minimum(np.searchsorted(self.pairs, h), len(self.pairs) - 1)
+            pair[:-1] = np.where(self.pairs[spot] == h, spot + 1, 0)
+        for size, vocabulary, words_left, pairs, pairs_left, keys, who in self.classes:
             known = np.isin(hd, vocabulary)
             if not known.any():
                 continue
-            seen = np.concatenate([[0], np.cumsum(known[codes], dtype=np.int32)])
-            begin = np.arange(len(tokens))
             end = np.minimum(begin + size, stop)
-            starts = begin[seen[end] - seen[:-1] >= low - most_edits(low, self.rate)]
+            wide = np.minimum(begin + size + most_edits(size, self.rate), stop)
+            own = np.concatenate([[False], np.isin(self.pairs, pairs)])
+            seen = np.concatenate([[0], np.cumsum(own[pair], dtype=np.int32)])
+            starts = begin[seen[np.maximum(wide - 1, begin)] - seen[begin] >= pairs_left]
+            seen = np.concatenate([[0], np.cumsum(known[codes], dtype=np.int32)])
+            starts = starts[seen[wide[starts]] - seen[starts] >= words_left]
             for s in range(0, len(starts), 100_000):
                 w = starts[s : s + 100_000]
-                mine = walk_keys(tokens, w, end[w], 3 * size, self.seed)
+                mine = walk_keys(tokens, w, end[w], int(STEPS * size) + 1, self.seed)
                 lo, hi = np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")
                 rows, cols = np.nonzero(hi > lo)
                 for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
@@ -131,6 +151,7 @@ class Index:
         own = self.items[item]
         most = most_edits(len(own), self.rate)
         slack, best, s = most + 1, None, 0
+        words, pairs = set(own), set(zip(own, own[1:], strict=False))
         reach = int(len(own) * CLASS_RATIO) + 2 * slack
         while s < len(spots):
             a = max(first, spots[s] - slack)
@@ -138,10 +159,13 @@ class Index:
             while e + 1 < len(spots) and spots[e + 1] - spots[e] <= slack and spots[e + 1] - spots[s] < 4 * len(own):
                 e += 1
             b = min(stop, spots[e] + reach)
-            edits, x, y = best_fit(own, tokens[a:b].tolist())
+            part = tokens[a:b].tolist()
+            s = e + 1
+            if sum(w in words for w in part) < len(own) - most or sum(w in pairs for w in zip(part, part[1:], strict=False)) < len(own) - 1 - 2 * most:
+                continue
+            edits, x, y = best_fit(own, part)
             if edits <= most and (best is None or edits < best["edits"]):
                 best = {"item_id": self.ids[item], "start": a + x - first, "end": a + y - first, "edits": edits}
-            s = e + 1
         return best
 
 
