@@ -1,6 +1,644 @@
-"""Registered queries of the document question-answering operators."""
+"""Registered queries of the document question-answering operators, with equivalent SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from docgrid.config import DEFAULT
+from docgrid.functions import columns as C
+from docgrid.operators import catalog as K
+from docgrid.operators import chat, chunking, evaluation, models, retrieval, structure
+from docgrid.plans import views as V
+from docgrid.shared import table
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+WITH = "WITH "
+STOP = ", ".join(f"'{w}'" for w in DEFAULT.stop_words)
+TOKENS = "list_transform(regexp_extract_all({0}, '[0-9A-Za-zÀ-ỹ]+'), lambda t: lower(t))"
+
+TERMS_SQL = f"""
+qt AS (SELECT question_id, document_id, list_filter({TOKENS.format("question")}, lambda t: length(t) >= 2 AND NOT list_contains([{STOP}], t)) AS all_terms FROM questions),
+qd AS (SELECT question_id, document_id, t AS q_term FROM (SELECT DISTINCT question_id, document_id, unnest(all_terms) AS t FROM qt)),
+qm AS (SELECT question_id, count(*) AS m FROM qd GROUP BY question_id),
+ct AS (SELECT document_id, chunk_id, term, count(*) AS n FROM (SELECT document_id, chunk_id, unnest({TOKENS.format("text")}) AS term FROM chunks WHERE length(trim(text)) >= 30) WHERE length(term) >= 2 GROUP BY ALL)"""
+
+DENSE_SQL = """
+dense AS (SELECT question_id, chunk_id, (r - 1)::INTEGER AS rank, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM (
+    SELECT question_id, chunk_id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score
+    FROM questions q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30)) WHERE r <= {pool})"""
+
+LEXICAL_SQL = """
+lexical AS (SELECT question_id, chunk_id, (r - 1)::INTEGER AS rank, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM (
+    SELECT question_id, chunk_id, round(sum(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j)::DOUBLE)) * 0.1::DOUBLE / 1.64493406685::DOUBLE) / max(m), 9) AS score
+    FROM qd JOIN qm USING (question_id) JOIN ct USING (document_id) WHERE starts_with(term, q_term) GROUP BY question_id, chunk_id)) WHERE r <= {pool})"""
+
+FUSED_SQL = """
+both_arms AS (SELECT question_id, chunk_id, rank, rank AS v, NULL::INTEGER AS w FROM dense UNION ALL SELECT question_id, chunk_id, rank, NULL, rank FROM lexical),
+fused AS (SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS s, max(v) AS v, max(w) AS w FROM both_arms GROUP BY question_id, chunk_id),
+top AS (SELECT question_id, chunk_id, (r - 1)::INTEGER AS ord, round(s, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, v ASC NULLS LAST, w ASC NULLS LAST) AS r FROM fused) WHERE r <= {k})"""
+
+NEIGHBOR_SQL = """
+hits AS (SELECT t.*, c.document_id, c.position FROM top t JOIN chunks c USING (chunk_id)),
+near AS (SELECT DISTINCT question_id, document_id, unnest([position - 1, position, position + 1]) AS position FROM hits WHERE ord < 5),
+extra AS (SELECT n.question_id, n.document_id, n.position, c.chunk_id, 0.0::DOUBLE AS score FROM near n JOIN chunks c USING (document_id, position)
+          WHERE n.position >= 0 AND length(trim(c.text)) >= 30 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = n.question_id AND h.position = n.position)),
+found AS (SELECT question_id, document_id, position, chunk_id, score, (row_number() OVER (PARTITION BY question_id ORDER BY a, o) - 1)::INTEGER AS ord FROM (
+  SELECT question_id, document_id, position, chunk_id, score, 0 AS a, ord AS o FROM hits
+  UNION ALL SELECT question_id, document_id, position, chunk_id, score, 1, position FROM extra))"""
+
+
+def base(*parts: str) -> str:
+    return WITH + ",".join([V.CHUNKS_SQL, V.QUESTIONS_SQL, *parts])
+
+
+def hybrid_sql(k: int) -> str:
+    pool = k * DEFAULT.over_fetch
+    return base(TERMS_SQL, DENSE_SQL.format(pool=pool), LEXICAL_SQL.format(pool=pool), FUSED_SQL.format(k=k), NEIGHBOR_SQL)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+# retrieval
+
+
+@query("hybrid_retrieval", hybrid_sql(10) + " SELECT question_id, document_id, position, chunk_id, score, ord FROM found")
+def _(spark, sf):
+    return retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf))
+
+
+@query("dense_topk", base(DENSE_SQL.format(pool=60)) + " SELECT * FROM dense")
+def _(spark, sf):
+    return retrieval.dense_topk(V.questions(spark, sf), V.chunks(spark, sf), 60)
+
+
+@query("lexical_topk", base(TERMS_SQL, LEXICAL_SQL.format(pool=60)) + " SELECT * FROM lexical")
+def _(spark, sf):
+    return retrieval.lexical_topk(V.questions(spark, sf), V.chunks(spark, sf), 60)
+
+
+@query("rrf_fusion", base(TERMS_SQL, DENSE_SQL.format(pool=60), LEXICAL_SQL.format(pool=60)) + " SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM lexical) GROUP BY question_id, chunk_id")
+def _(spark, sf):
+    q, c = V.questions(spark, sf), V.chunks(spark, sf)
+    both = retrieval.dense_topk(q, c, 60).unionByName(retrieval.lexical_topk(q, c, 60))
+    return retrieval.rrf(both, ["question_id", "chunk_id"]).withColumn("score", F.round("score", 9))
+
+
+@query("neighbor_expansion", hybrid_sql(10) + " SELECT question_id, document_id, position, chunk_id, ord FROM found WHERE score = 0")
+def _(spark, sf):
+    found = retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf))
+    return found.filter("score = 0").drop("score")
+
+
+@query("query_terms", WITH + f"t AS (SELECT item_id, list_filter({TOKENS.format('text')}, lambda t: length(t) >= 2 AND NOT list_contains([{STOP}], t)) AS l FROM benchmark) SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM t WHERE len(l) > 0")
+def _(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", C.query_terms(F.col("text")).alias("t"))
+    return rows.filter("t is not null").select("item_id", F.array_join("t", " ").alias("terms"))
+
+
+def _subqueries(spark, sf):
+    """Each question three times: as it is, and moved on by one and two items within the same document."""
+    q = V.questions(spark, sf)
+    shift = lambda k: q.select(((F.col("question_id") + 20 * k).alias("_of")), "question", "embedding")
+    parts = [q.select("question_id", "document_id", F.lit(0).alias("sq_index"), "question", "embedding")]
+    for k in (1, 2):
+        other = shift(k)
+        parts.append(q.select("question_id", "document_id").join(other, q["question_id"] == other["_of"]).select("question_id", "document_id", F.lit(k).alias("sq_index"), "question", "embedding"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+FANOUT_SQL = (
+    base("""
+subs AS (SELECT a.question_id AS top_id, a.document_id, k AS sq_index, a.question_id * 10 + k AS question_id, b.embedding
+         FROM questions a, (SELECT unnest([0, 1, 2]) AS k) JOIN questions b ON a.question_id = b.question_id + 20 * k),
+dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM (
+    SELECT top_id, sq_index, question_id, chunk_id, position, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score
+    FROM subs q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30)),
+m AS (SELECT top_id AS question_id, position, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min_by(chunk_id, sq_index * 1000 + rank) AS chunk_id, min(sq_index * 1000 + rank) AS seen
+      FROM dense WHERE rank < 6 GROUP BY top_id, position)""")
+    + " SELECT question_id, position, chunk_id, score, (r - 1)::INTEGER AS ord FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS r FROM m) WHERE r <= 12"
+)
+
+
+@query("fanout_merge", FANOUT_SQL)
+def _(spark, sf):
+    s = _subqueries(spark, sf).withColumn("_sub", F.col("question_id") * 10 + F.col("sq_index"))
+    c = V.chunks(spark, sf)
+    found = retrieval.dense_topk(s.select(F.col("_sub").alias("question_id"), "document_id", "embedding"), c, DEFAULT.ask_top_k)
+    rows = found.select(F.floor(F.col("question_id") / 10).alias("question_id"), (F.col("question_id") % 10).cast("int").alias("sq_index"), "rank", "chunk_id")
+    return retrieval.merge_subqueries(rows.join(c.select("chunk_id", "position"), "chunk_id"), DEFAULT.ask_max_chunks)
+
+
+OVERLAP_SQL = f"""
+texts AS (SELECT f.*, c.text, q.question FROM found f JOIN chunks c USING (chunk_id) JOIN questions q ON q.question_id = f.question_id),
+sc AS (SELECT question_id, document_id, position, chunk_id, score, ord,
+              coalesce(round(len(list_intersect(list_distinct(qw), {TOKENS.format("text")})) / nullif(len(list_distinct(qw)), 0), 9), 0) AS rerank_score
+       FROM (SELECT *, list_filter({TOKENS.format("question")}, lambda t: length(t) >= 2 AND NOT list_contains([{STOP}], t)) AS qw FROM texts)),
+best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, ord) AS r FROM sc)"""
+
+
+@query("rerank_topk", hybrid_sql(30) + "," + OVERLAP_SQL + " SELECT question_id, document_id, position, chunk_id, round(score, 4) AS score, rerank_score, (r - 1)::INTEGER AS ord FROM best WHERE r <= 10")
+def _(spark, sf):
+    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf), retrieval.term_overlap)
+
+
+CITE = "concat_ws(', ', 'trang ' || page, nullif(section, ''))"
+
+
+@query("citation_labels", WITH + V.CHUNKS_SQL + f" SELECT chunk_id, coalesce(nullif({CITE}, ''), 'nguồn') AS label FROM chunks")
+def _(spark, sf):
+    return V.chunks(spark, sf).select("chunk_id", C.citation_label(F.col("page"), F.col("section")).alias("label"))
+
+
+@query("dedupe_sources", hybrid_sql(10) + f" SELECT question_id, coalesce(nullif({CITE}, ''), 'nguồn') AS label, min_by(chunk_id, ord) AS chunk_id, min(ord) AS ord FROM found JOIN chunks USING (chunk_id) GROUP BY 1, 2")
+def _(spark, sf):
+    c = V.chunks(spark, sf)
+    return chat.distinct_sources(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
+
+
+@query("context_text", hybrid_sql(10) + f" SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id")
+def _(spark, sf):
+    c = V.chunks(spark, sf)
+    return chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
+
+
+@query("citations_only", hybrid_sql(10) + " SELECT question_id, string_agg(page || ':' || section, ',' ORDER BY ord) AS citations FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id")
+def _(spark, sf):
+    c = V.chunks(spark, sf)
+    found = retrieval.citations_only(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
+    return found.select("question_id", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["page"].cast("string"), x["section"])), ",").alias("citations"))
+
+
+# structure
+
+SECTIONS_SQL = (
+    WITH
+    + V.LINES_SQL
+    + """,
+s AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*(The|De|Der|La)[ .,]') THEN regexp_extract(line, '^\\s*(The|De|Der|La)[ .,]', 1) END AS h FROM lines),
+l AS (SELECT document_id, page, ln, line, last_value(h IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, ln ROWS UNBOUNDED PRECEDING) AS section FROM s)"""
+)
+BLOCKS_SQL = (
+    SECTIONS_SQL
+    + """,
+k AS (SELECT * FROM l WHERE trim(line, ' \t\r') <> ''),
+b AS (SELECT *, CASE WHEN lag(ln) OVER w IS NULL OR lag(page) OVER w <> page OR lag(ln) OVER w <> ln - 1 OR lag(section) OVER w IS DISTINCT FROM section THEN 1 ELSE 0 END AS n FROM k WINDOW w AS (PARTITION BY document_id ORDER BY page, ln)),
+c AS (SELECT *, (sum(n) OVER (PARTITION BY document_id ORDER BY page, ln ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS block FROM b),
+blocks AS (SELECT document_id, block, page, section, trim(string_agg(line, chr(10) ORDER BY ln), ' \t\r\n') AS text FROM c GROUP BY ALL)"""
+)
+
+
+@query("line_sections", SECTIONS_SQL + " SELECT document_id, page, ln, section FROM l")
+def _(spark, sf):
+    return structure.line_sections(V.lines(spark, sf), V.HEADER).drop("line")
+
+
+@query("blocks", BLOCKS_SQL + " SELECT * FROM blocks")
+def _(spark, sf):
+    return structure.blocks(V.lines(spark, sf), V.HEADER)
+
+
+@query("section_runs", BLOCKS_SQL + ", r AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(section) OVER w IS DISTINCT FROM section THEN 1 ELSE 0 END AS n FROM blocks WINDOW w AS (PARTITION BY document_id ORDER BY block)) SELECT document_id, block, section, (sum(n) OVER (PARTITION BY document_id ORDER BY block ROWS UNBOUNDED PRECEDING))::INTEGER AS run FROM r")
+def _(spark, sf):
+    return structure.section_runs(structure.blocks(V.lines(spark, sf), V.HEADER)).select("document_id", "block", "section", "run")
+
+
+@query("page_counts", WITH + V.LINES_SQL + " SELECT document_id, max(page)::INTEGER AS page_count FROM lines GROUP BY document_id")
+def _(spark, sf):
+    return structure.page_counts(V.lines(spark, sf))
+
+
+ATOM = "regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(10), 'g')"
+
+
+@query("atoms", WITH + f"a AS (SELECT doc_id, unnest(list_filter(list_transform(string_split({ATOM}, chr(10)), lambda s: trim(s, ' \t\r\n')), lambda s: s <> '')) AS atom FROM documents) SELECT doc_id, count(*) AS n_atoms, sum(length(atom))::BIGINT AS n_chars, md5(string_agg(atom, '|' ORDER BY atom)) AS digest FROM a GROUP BY doc_id")
+def _(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(chunking.atoms(F.col("text"), 1_000_000)).alias("atom"))
+    listed = F.array_join(F.array_sort(F.collect_list("atom")), "|")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.sum(F.length("atom")).alias("n_chars"), F.md5(listed.cast("binary")).alias("digest"))
+
+
+@query("chunks")
+def _(spark, sf):
+    return chunking.chunks(structure.blocks(V.lines(spark, sf), V.HEADER), 40, 6, 20)
+
+
+# documents as a whole
+
+GROUPS_SQL = (
+    "WITH RECURSIVE "
+    + V.CHUNKS_SQL
+    + """,
+g AS (SELECT document_id, position, length(text)::BIGINT AS size, 0 AS grp FROM chunks WHERE position = 0
+      UNION ALL
+      SELECT c.document_id, c.position, CASE WHEN g.size + length(c.text) > 30000 THEN length(c.text) ELSE g.size + length(c.text) END,
+             CASE WHEN g.size > 0 AND g.size + length(c.text) > 30000 THEN g.grp + 1 ELSE g.grp END
+      FROM g JOIN chunks c ON c.document_id = g.document_id AND c.position = g.position + 1)"""
+)
+
+
+@query("chunk_groups", GROUPS_SQL + " SELECT document_id, position, grp FROM g")
+def _(spark, sf):
+    return models.chunk_groups(V.chunks(spark, sf)).select("document_id", "position", "grp")
+
+
+@query("group_texts", GROUPS_SQL + " SELECT document_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM g JOIN chunks USING (document_id, position) GROUP BY document_id, grp")
+def _(spark, sf):
+    return models.group_texts(models.chunk_groups(V.chunks(spark, sf)))
+
+
+
+def terms_sql(texts: str, key: str) -> str:
+    return f"""
+t AS (SELECT document_id, term, count(*) AS tf FROM (SELECT {key} AS document_id, unnest({TOKENS.format("text")}) AS term FROM {texts}) WHERE length(term) >= 4 GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (SELECT document_id, term, tf, df, round(tf * ln(((SELECT count(DISTINCT {key}) FROM {texts}) + 1.0) / (df + 1.0)), 6) AS score FROM t JOIN d USING (term)),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, term)::INTEGER AS rank FROM s)"""
+
+
+@query("key_terms", WITH + terms_sql("documents", "doc_id") + " SELECT * FROM k WHERE rank <= 10")
+def _(spark, sf):
+    return models.key_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("summary_extract")
+def _(spark, sf):
+    v = models.summarize(V.chunks(spark, sf))
+    return v.select("document_id", "value.context", "value.main_content", F.array_join("value.decision_points", " | ").alias("decision_points"), "value.impact")
+
+
+@query("term_explanations")
+def _(spark, sf):
+    return models.explained_terms(V.chunks(spark, sf)).select("document_id", F.explode("value").alias("x")).select("document_id", "x.term", "x.explanation")
+
+
+@query("question_templates", WITH + V.CHUNKS_SQL + ", " + terms_sql("(SELECT document_id, text FROM chunks)", "document_id") + " SELECT document_id, string_agg('What does the document say about ' || term || '?', '|' ORDER BY rank) AS questions FROM k WHERE rank <= 5 GROUP BY document_id")
+def _(spark, sf):
+    return models.template_questions(V.chunks(spark, sf)).select("document_id", F.array_join("value", "|").alias("questions"))
+
+
+# catalog
+
+
+@query("ingest_report", WITH + V.CHUNKS_SQL + " SELECT document_id, count(*) AS n_chunks, count(page) AS n_pages, count(section) AS n_sections FROM chunks GROUP BY document_id")
+def _(spark, sf):
+    return K.ingest_report(V.chunks(spark, sf))
+
+
+@query("full_documents", WITH + V.CHUNKS_SQL + " SELECT document_id, chunk_id, position, page, section, text FROM chunks")
+def _(spark, sf):
+    return K.full_documents(V.chunks(spark, sf))
+
+
+SUFFIX = "lower(regexp_extract(filename, '\\.([^./]+)$', 1))"
+
+
+@query("admission", WITH + V.UPLOADS_SQL + f" SELECT document_id, CASE WHEN {SUFFIX} IN ('pdf', 'docx') THEN {SUFFIX} END AS doc_type, CASE WHEN {SUFFIX} NOT IN ('pdf', 'docx') THEN 'unsupported type' WHEN size_bytes > 26214400 THEN 'too large' END AS reject_reason FROM uploads")
+def _(spark, sf):
+    return K.admission(V.uploads(spark, sf)).select("document_id", "doc_type", "reject_reason")
+
+
+@query(
+    "content_dedup",
+    WITH
+    + V.UPLOADS_SQL
+    + """, f AS (SELECT user_id, content_hash, min_by(document_id, uploaded_at) AS x FROM uploads WHERE status <> 'failed' GROUP BY ALL)
+SELECT u.document_id, CASE WHEN status = 'failed' THEN u.document_id ELSE x END AS kept_id, (CASE WHEN status = 'failed' THEN u.document_id ELSE x END) <> u.document_id AS reused
+FROM uploads u LEFT JOIN f ON u.user_id IS NOT DISTINCT FROM f.user_id AND u.content_hash = f.content_hash""",
+)
+def _(spark, sf):
+    return K.dedup(V.uploads(spark, sf)).select("document_id", "kept_id", "reused")
+
+
+BLOBS_SQL = f", blobs AS (SELECT content_hash || '.' || {SUFFIX} AS blob_key, min_by(content_hash, document_id) AS content_hash, min_by(size_bytes, document_id) AS size_bytes, min(document_id) AS document_id FROM uploads GROUP BY 1)"
+
+
+@query("blob_table", WITH + V.UPLOADS_SQL + BLOBS_SQL + " SELECT * FROM blobs")
+def _(spark, sf):
+    return K.blob_table(V.uploads(spark, sf))
+
+
+def _documents(spark, sf):
+    return K.admission(V.uploads(spark, sf)).filter("reject_reason is null")
+
+
+def _upload_chunks(spark, sf):
+    """One chunk for each line of a document."""
+    return V.lines(spark, sf).select("document_id", (F.col("page") * 100 + F.col("ln")).alias("position"), F.col("line").alias("text"))
+
+
+DOCS_SQL = V.UPLOADS_SQL + f", docs AS (SELECT *, {SUFFIX} AS doc_type FROM uploads WHERE {SUFFIX} IN ('pdf', 'docx') AND size_bytes <= 26214400), n AS (SELECT doc_id AS document_id, len(string_split(text, chr(10))) AS n_chunks FROM documents)"
+
+
+@query(
+    "document_listing",
+    WITH
+    + DOCS_SQL
+    + """ SELECT document_id, filename, doc_type, status, n_chunks::BIGINT AS n_chunks, strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') || '+00' AS uploaded_at,
+CASE status WHEN 'ready' THEN 'Sẵn sàng' WHEN 'failed' THEN 'Lỗi xử lý' ELSE 'Đang xử lý' END AS status_label, CASE status WHEN 'ready' THEN 'ok' WHEN 'failed' THEN 'err' ELSE 'warn' END AS status_kind,
+status = 'ready' AS ready, CASE doc_type WHEN 'docx' THEN 'Word' ELSE 'PDF' END AS type_label
+FROM docs JOIN n USING (document_id) WHERE user_id = 1 AND doc_type = 'pdf' AND uploaded_at >= DATE '2024-01-01' AND uploaded_at < DATE '2024-06-30' + 1 AND filename ILIKE '%FILE%'""",
+)
+def _(spark, sf):
+    return K.list_documents(_documents(spark, sf), K.chunk_counts(_upload_chunks(spark, sf)), 1, "pdf", "2024-01-01", "2024-06-30", "FILE")
+
+
+@query("document_status", WITH + DOCS_SQL + " SELECT document_id, filename, doc_type, status, coalesce(n_chunks, 0)::BIGINT AS n_chunks FROM docs LEFT JOIN n USING (document_id)")
+def _(spark, sf):
+    return K.document_status(_documents(spark, sf), K.chunk_counts(_upload_chunks(spark, sf)))
+
+
+@query("uploaded_labels", WITH + V.UPLOADS_SQL + " SELECT document_id, (CASE WHEN uploaded_at::DATE = DATE '2024-01-02' THEN 'Hôm nay' WHEN uploaded_at::DATE = DATE '2024-01-01' THEN 'Hôm qua' ELSE strftime(uploaded_at, '%d/%m/%Y') END) || ', ' || strftime(uploaded_at, '%H:%M') AS label FROM uploads")
+def _(spark, sf):
+    now = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    return V.uploads(spark, sf).select("document_id", C.uploaded_label(C.iso_time(F.col("uploaded_at")), now).alias("label"))
+
+
+@query(
+    "owner_access",
+    WITH
+    + DOCS_SQL
+    + """, r AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 END AS session_user, event_id % 700 AS document_id FROM events)
+SELECT event_id, session_user, r.document_id, CASE WHEN session_user IS NULL THEN 401 WHEN docs.document_id IS NULL OR docs.user_id IS NULL OR docs.user_id <> session_user THEN 404 ELSE 200 END AS code
+FROM r LEFT JOIN docs USING (document_id)""",
+)
+def _(spark, sf):
+    e = F.col("event_id")
+    requests = table(spark, sf, "events").select("event_id", F.when(e % 7 != 0, e % 3).alias("session_user"), (e % 700).alias("document_id"))
+    return K.access(requests, _documents(spark, sf))
+
+
+@query(
+    "file_lookup",
+    WITH
+    + DOCS_SQL
+    + BLOBS_SQL
+    + """, kept AS (SELECT * FROM blobs WHERE document_id % 5 <> 0), r AS (SELECT DISTINCT event_id % 1500 AS document_id FROM events)
+SELECT r.document_id, d.filename, CASE WHEN d.document_id IS NULL THEN NULL WHEN doc_type = 'pdf' THEN 'application/pdf' ELSE 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS media_type,
+CASE WHEN d.document_id IS NULL THEN 'no such document' WHEN k.blob_key IS NULL THEN 'file not stored' ELSE 'stored' END AS state
+FROM r LEFT JOIN docs d USING (document_id) LEFT JOIN kept k ON k.blob_key = d.content_hash || '.' || d.doc_type""",
+)
+def _(spark, sf):
+    docs = _documents(spark, sf).withColumn("blob_key", F.concat_ws(".", "content_hash", "doc_type"))
+    requests = table(spark, sf, "events").select((F.col("event_id") % 1500).alias("document_id")).distinct()
+    return K.file_lookup(requests, docs, K.blob_table(V.uploads(spark, sf)).filter("document_id % 5 <> 0"))
+
+
+@query(
+    "constraint_report",
+    WITH
+    + V.UPLOADS_SQL
+    + ","
+    + V.LINES_SQL
+    + f""", u AS (SELECT *, nullif({SUFFIX}, '') AS doc_type FROM uploads)
+SELECT 'doc_type' AS rule, count(*) AS violations FROM u WHERE doc_type NOT IN ('pdf', 'docx')
+UNION ALL SELECT 'status', count(*) FROM u WHERE status NOT IN ('pending', 'parsing', 'embedding', 'ready', 'failed')
+UNION ALL SELECT 'owner_content_unique', count(*) FROM (SELECT user_id, content_hash FROM u WHERE status <> 'failed' AND user_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'position_unique', count(*) FROM (SELECT document_id, page * 100 + ln AS p FROM lines GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'chunk_text', count(*) FROM lines WHERE line IS NULL
+UNION ALL SELECT 'chunk_document', count(*) FROM lines WHERE document_id NOT IN (SELECT document_id FROM u WHERE document_id % 9 <> 0)""",
+)
+def _(spark, sf):
+    docs = V.uploads(spark, sf).withColumn("doc_type", C.suffix_of(F.col("filename")))
+    report = K.constraint_report(docs, _upload_chunks(spark, sf)).filter("rule <> 'chunk_document'")
+    return report.unionByName(K.constraint_report(docs.filter("document_id % 9 <> 0"), _upload_chunks(spark, sf)).filter("rule = 'chunk_document'"))
+
+
+@query("cascade_delete", WITH + V.UPLOADS_SQL + "," + V.LINES_SQL + " SELECT 'documents' AS tbl, count(*) AS n FROM uploads WHERE document_id % 6 <> 0 UNION ALL SELECT 'chunks', count(*) FROM lines WHERE document_id % 6 <> 0 UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id % 6 <> 0")
+def _(spark, sf):
+    m = V.messages(spark, sf)
+    sessions = m.select("session_id", F.col("session_id").alias("document_id")).distinct()
+    tables = {"documents": V.uploads(spark, sf), "chunks": _upload_chunks(spark, sf), "sessions": sessions, "messages": m}
+    left = K.cascade_delete(tables, V.uploads(spark, sf).filter("document_id % 6 = 0"))
+    count = lambda name: left[name].agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"))
+    return count("documents").unionByName(count("chunks")).unionByName(count("messages"))
+
+
+@query(
+    "user_upsert",
+    WITH
+    + """u AS (SELECT user_id AS github_id, 'user' || user_id AS username, 'Name ' || user_id AS name, NULL::VARCHAR AS avatar_url, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS last_login_at FROM events WHERE user_id % 5 <> 0 GROUP BY user_id),
+n AS (SELECT user_id AS github_id, 'renamed' || user_id AS username, NULL::VARCHAR AS name, 'pic' || user_id AS avatar_url, TIMESTAMP '2024-02-01 00:00:00' AS at FROM events WHERE user_id % 3 = 0 GROUP BY user_id)
+SELECT coalesce(u.github_id, n.github_id) AS github_id, coalesce(n.username, u.username) AS username, CASE WHEN n.github_id IS NULL THEN u.name ELSE n.name END AS name, CASE WHEN n.github_id IS NULL THEN u.avatar_url ELSE n.avatar_url END AS avatar_url,
+strftime(coalesce(u.created_at, n.at), '%Y-%m-%d') AS created_at, strftime(coalesce(n.at, u.last_login_at), '%Y-%m-%d') AS last_login_at FROM u FULL JOIN n ON u.github_id = n.github_id""",
+)
+def _(spark, sf):
+    ids = table(spark, sf, "events").select(F.col("user_id").alias("github_id")).distinct()
+    at = lambda d: F.lit(d).cast("timestamp")
+    text = lambda p: F.concat(F.lit(p), F.col("github_id").cast("string"))
+    none = F.lit(None).cast("string")
+    current = ids.filter("github_id % 5 <> 0").select("github_id", text("user").alias("username"), text("Name ").alias("name"), none.alias("avatar_url"), at("2024-01-01").alias("created_at"), at("2024-01-01").alias("last_login_at"))
+    new = ids.filter("github_id % 3 = 0").select("github_id", text("renamed").alias("username"), none.alias("name"), text("pic").alias("avatar_url"), at("2024-02-01").alias("at"))
+    old = ids.filter("github_id % 3 = 0").select("github_id", text("older").alias("username"), none.alias("name"), none.alias("avatar_url"), at("2024-01-15").alias("at"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    out = K.upsert_users(current, new.unionByName(old))
+    return out.select("github_id", "username", "name", "avatar_url", day("created_at"), day("last_login_at"))
+
+
+# chat
+
+TEXT = "coalesce(text, '')"
+
+
+@query("chat_history", "SELECT 'doc' || conv_id AS document_id, conv_id || '-' || turn AS id, role, text, turn::INTEGER AS sort_order FROM conversations")
+def _(spark, sf):
+    m = V.messages(spark, sf)
+    sessions = m.select("session_id").distinct().withColumn("document_id", F.concat(F.lit("doc"), F.col("session_id").cast("string")))
+    return chat.chat_history(m, sessions).select("document_id", "id", "role", C.message_text(F.col("parts")).alias("text"), "sort_order")
+
+
+LAST_SQL = "q AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+
+
+@query("latest_question", WITH + LAST_SQL + " SELECT c.conv_id AS session_id, c.turn::INTEGER AS sort_order, c.text AS question FROM conversations c JOIN q ON q.conv_id = c.conv_id AND q.t = c.turn")
+def _(spark, sf):
+    return chat.latest_questions(V.messages(spark, sf))
+
+
+@query("last_turns", WITH + LAST_SQL + " SELECT session_id, sort_order, role, content FROM (SELECT c.conv_id AS session_id, c.turn::INTEGER AS sort_order, role, text AS content, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS r FROM conversations c JOIN q USING (conv_id) WHERE turn <> t AND role IN ('user', 'assistant') AND text <> '') WHERE r <= 6")
+def _(spark, sf):
+    return chat.history(V.messages(spark, sf))
+
+
+@query("recent_messages", "SELECT id, sort_order FROM (SELECT conv_id || '-' || turn AS id, turn::INTEGER AS sort_order, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 20")
+def _(spark, sf):
+    return chat.recent_messages(V.messages(spark, sf)).select("id", "sort_order")
+
+
+@query(
+    "chat_append",
+    WITH
+    + """old AS (SELECT *, turn::INTEGER AS sort_order FROM conversations WHERE turn % 3 <> 2),
+last AS (SELECT conv_id, max(sort_order) AS m FROM old GROUP BY conv_id),
+new AS (SELECT c.conv_id, c.turn, (coalesce(m, -1) + row_number() OVER (PARTITION BY c.conv_id ORDER BY turn))::INTEGER AS sort_order FROM conversations c LEFT JOIN last USING (conv_id) WHERE turn % 3 = 2)
+SELECT conv_id || '-' || turn AS id, conv_id AS session_id, sort_order FROM old UNION ALL SELECT conv_id || '-' || turn, conv_id, sort_order FROM new""",
+)
+def _(spark, sf):
+    m = V.messages(spark, sf)
+    batch = m.withColumn("seq", F.col("sort_order").cast("long")).drop("sort_order")
+    return chat.append_messages(m.filter("sort_order % 3 <> 2"), batch.unionByName(batch)).select("id", "session_id", "sort_order")
+
+
+@query("session_upsert", "SELECT conv_id AS document_id, min(CASE WHEN conv_id % 2 = 0 THEN '2024-01-01' ELSE '2024-02-01' END) AS created_at, min(CASE WHEN conv_id % 4 = 0 THEN '2024-01-01' ELSE '2024-02-01' END) AS updated_at FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    ids = table(spark, sf, "conversations").select(F.col("conv_id").alias("document_id")).distinct()
+    at = F.lit("2024-01-01").cast("timestamp")
+    old = ids.filter("document_id % 2 = 0").select(F.concat(F.lit("s"), F.col("document_id").cast("string")).alias("session_id"), "document_id", at.alias("created_at"), at.alias("updated_at"))
+    out = chat.get_or_create_sessions(old, ids.filter("document_id % 4 <> 0"), F.lit("2024-02-01").cast("timestamp"))
+    return out.select("document_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
+
+
+@query(
+    "turn_save",
+    WITH
+    + """p AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.conv_id % 5 <> 0)
+SELECT conv_id || '-' || turn || '-user' AS id, 'user' AS role, question AS text, (turn * 2)::BIGINT AS seq FROM p UNION ALL SELECT conv_id || '-' || turn || '-assistant', 'assistant', answer, (turn * 2 + 1)::BIGINT FROM p""",
+)
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    answers = u.join(a, ["conv_id", "turn"]).select(F.col("conv_id").alias("session_id"), "turn", "question", "answer", (F.col("conv_id") % 5 != 0).alias("finished"), F.lit(None).cast("string").alias("metadata"))
+    return chat.turn_rows(answers).select("id", "role", C.message_text(F.col("parts")).alias("text"), "seq")
+
+
+@query("rewrite_accept", "SELECT conv_id, turn, CASE WHEN length(trim(text)) BETWEEN 1 AND 160 AND NOT contains(trim(text), chr(10)) THEN trim(text) ELSE 'question ' || turn END AS query FROM conversations")
+def _(spark, sf):
+    fallback = F.concat(F.lit("question "), F.col("turn").cast("string"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", models.accept_rewrite(fallback, F.col("text")).alias("query"))
+
+
+@query("plan_fallback", WITH + V.QUESTIONS_SQL + " SELECT question_id, document_id, 0 AS sq_index, question AS query, '' AS focus FROM questions")
+def _(spark, sf):
+    return models.plan(V.questions(spark, sf))
+
+
+# prep packs
+
+PREP_SQL = "prep AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 's' END AS summary, CASE WHEN doc_id % 3 = 0 THEN '[]' END AS terms, CASE WHEN doc_id % 5 = 0 THEN 'q' END AS questions FROM documents WHERE doc_id % 7 <> 0)"
+
+
+def _prep(spark, sf):
+    i = F.col("doc_id")
+    return table(spark, sf, "documents").filter("doc_id % 7 <> 0").select(i.alias("document_id"), F.when(i % 2 == 0, "s").alias("summary"), F.when(i % 3 == 0, "[]").alias("terms"), F.when(i % 5 == 0, "q").alias("questions"))
+
+
+@query("prep_pending", WITH + V.UPLOADS_SQL + "," + PREP_SQL + ", j AS (SELECT u.document_id, p.summary, p.terms, p.questions FROM uploads u LEFT JOIN prep p USING (document_id)) SELECT document_id, 'summary' AS kind FROM j WHERE summary IS NULL UNION ALL SELECT document_id, 'terms' FROM j WHERE terms IS NULL UNION ALL SELECT document_id, 'questions' FROM j WHERE questions IS NULL")
+def _(spark, sf):
+    return models.prep_pending(V.uploads(spark, sf), _prep(spark, sf))
+
+
+@query("prep_upsert", WITH + PREP_SQL + ", n AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN 'new' END AS terms FROM documents WHERE doc_id % 4 = 0) SELECT document_id, summary, coalesce(n.terms, prep.terms) AS terms, questions FROM prep FULL JOIN n USING (document_id)")
+def _(spark, sf):
+    new = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("document_id"), F.lit("terms").alias("kind"), F.lit("new").alias("value"))
+    return models.upsert_prep(_prep(spark, sf), new)
+
+
+@query("prep_outcomes", "SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'rejected' ELSE 'fulfilled' END AS summary, CASE WHEN doc_id % 3 = 0 THEN 'rejected' ELSE 'fulfilled' END AS terms, 'fulfilled' AS questions FROM documents")
+def _(spark, sf):
+    i = F.col("doc_id")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("error")) for k, e in (("summary", F.when(i % 2 == 0, "x")), ("terms", F.when(i % 3 == 0, "x")), ("questions", F.lit(None).cast("string")))]))
+    rows = table(spark, sf, "documents").select(i.alias("document_id"), kinds.alias("k"))
+    return models.prep_outcomes(rows.select("document_id", "k.kind", "k.error"))
+
+
+@query("strip_enumeration", "SELECT item_id, text AS question FROM benchmark")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark")
+    numbered = F.concat(F.lit("  "), F.col("item_id").cast("string"), F.when(F.col("item_id") % 2 == 0, ". ").otherwise(") "), F.col("text"))
+    return b.select("item_id", C.strip_enumeration(numbered).alias("question"))
+
+
+# traces and evaluation
+
+TRACES_SQL = "tr AS (SELECT user_id AS trace_id, event_type AS name, round(value)::BIGINT AS latency_ms, (props::JSON ->> '$.k')::BIGINT AS tok_in, (props::JSON ->> '$.k')::BIGINT * 2 AS tok_out, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS error, epoch_ms(ts) AS s, epoch_ms(ts) + round(value)::BIGINT AS e FROM events)"
+
+
+@query("trace_stats", WITH + TRACES_SQL + " SELECT name, grouping(name) = 1 AS is_total, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS max_ms, sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out FROM tr GROUP BY GROUPING SETS ((name), ())")
+def _(spark, sf):
+    return evaluation.trace_stats(V.traces(spark, sf))
+
+
+@query("trace_rollup", WITH + TRACES_SQL + " SELECT trace_id, count(*) AS calls, count(error) AS errors, (max(e) - min(s))::BIGINT AS wall_ms, sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out FROM tr GROUP BY trace_id")
+def _(spark, sf):
+    return evaluation.trace_rollup(V.traces(spark, sf))
+
+
+@query("usage_dialects", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS tok_in, event_id % 50 AS tok_out FROM events")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    k, n = F.get_json_object("props", "$.k"), (F.col("event_id") % 50).cast("string")
+    a = F.concat(F.lit('{"usage": {"prompt_tokens": '), k, F.lit(', "completion_tokens": '), n, F.lit("}}"))
+    b = F.concat(F.lit('{"usage": {"input_tokens": '), k, F.lit(', "output_tokens": '), n, F.lit("}}"))
+    u = evaluation.usage_of(F.when(F.col("event_id") % 2 == 0, a).otherwise(b))
+    return e.select("event_id", u["input"].alias("tok_in"), u["output"].alias("tok_out"))
+
+
+@query("judge_parse", "SELECT doc_id AS query_id, quality::DOUBLE AS groundedness, quality = 1 AS citation_ok, toxic = 0 AS answered, 'r' AS reason FROM labels WHERE doc_id % 3 <> 2")
+def _(spark, sf):
+    return evaluation.verdicts(V.raw_verdicts(spark, sf))
+
+
+@query("eval_summary", "SELECT count(*) AS n, round(avg(quality), 9) AS groundedness, round(avg((quality = 1)::INTEGER), 9) AS citation_accuracy, round(avg((toxic = 0)::INTEGER), 9) AS answered_rate, avg(quality) >= 0.75 AS passed FROM labels WHERE doc_id % 3 <> 2")
+def _(spark, sf):
+    return evaluation.eval_summary(evaluation.verdicts(V.raw_verdicts(spark, sf)))
+
+
+@query(
+    "eval_context",
+    base("""
+rows_ AS (SELECT question_id AS query_id, document_id, question_id % 20 AS p FROM questions),
+ids AS (SELECT query_id, document_id, unnest([p, p + 1, 9999]) AS position, unnest([0, 1, 2]) AS i FROM rows_),
+f AS (SELECT query_id, i, '[trang ' || page || ' | ' || section || ']' || chr(10) || text AS t FROM ids JOIN chunks USING (document_id, position))""")
+    + " SELECT query_id, coalesce(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i), '') AS context FROM rows_ LEFT JOIN f USING (query_id) GROUP BY query_id",
+)
+def _(spark, sf):
+    from docgrid.sources.files import chunk_key
+
+    c = V.chunks(spark, sf).withColumn("key", chunk_key(F.col("document_id"), F.col("position")))
+    p = F.col("question_id") % 20
+    name = lambda x: chunk_key(F.col("document_id"), x)
+    rows = V.questions(spark, sf).select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), name(p).alias("positive_id"), F.array(name(p + 1), name(p), name(F.lit(9999)), name(p + 2)).alias("candidate_ids"))
+    return evaluation.eval_contexts(rows, c).select("query_id", "context")
+
+
+@query("status_latest", "SELECT user_id AS document_id, s AS status, s IN ('ready', 'failed') AS terminal FROM (SELECT user_id, max_by(['pending', 'parsing', 'embedding', 'ready', 'failed'][ascii(event_type) % 5 + 1], event_id) AS s FROM events GROUP BY user_id)")
+def _(spark, sf):
+    return K.latest_status(V.statuses(spark, sf))
+
+
+@query(
+    "illegal_transitions",
+    WITH
+    + """s AS (SELECT user_id AS document_id, event_id AS seq, ascii(event_type) % 5 AS k FROM events),
+b AS (SELECT *, lag(k) OVER (PARTITION BY document_id ORDER BY seq) AS p FROM s), n AS (SELECT ['pending', 'parsing', 'embedding', 'ready', 'failed'] AS l)
+SELECT document_id, seq, l[p + 1] AS before, l[k + 1] AS status FROM b, n WHERE p IS NOT NULL AND NOT (CASE WHEN k = 4 THEN p NOT IN (3, 4) ELSE k = p + 1 END)""",
+)
+def _(spark, sf):
+    return K.illegal_transitions(V.statuses(spark, sf))
+
+
+@query("highlight_spans")
+def _(spark, sf):
+    c = V.chunks(spark, sf).select(F.col("chunk_id").alias("document_id"), "chunk_id", "text")
+    lines = V.lines(spark, sf).select("document_id", "page", (F.col("page") * 100 + F.col("ln")).alias("span_id"), F.col("line").alias("span_text"))
+    cited = c.join(lines.select("document_id", "page").distinct(), "document_id")
+    return evaluation.highlight_spans(cited, lines)
+
+
+@query("embedding_units", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS length2 FROM embeddings")
+def _(spark, sf):
+    v = C.unit(F.transform("embedding", lambda x: x * 3))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length2"))
