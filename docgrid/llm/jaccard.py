@@ -174,8 +174,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, text_col: str, n: int, wanted: DataFrame, n_wanted: int, most_broadcast: int) -> DataFrame:
     """(id, set) of the wanted texts (sig, sig2, id): their whole sets as bytes, each once; written."""
-    import xxhash  # noqa: F401
-
     sc = docs.sparkSession.sparkContext
     few = n_wanted <= most_broadcast
     shared = sc.broadcast(np.sort(np.array([r.sig for r in wanted.select("sig").distinct().collect()], np.int64))) if few else None
@@ -240,8 +238,6 @@ def jaccard_components(
     names = names.hint("shuffle_merge").join(rows.select("sig").distinct().hint("shuffle_merge"), "sig", "left_semi")
     names = running_start(names.withColumn("_one", F.lit(1)), ["sig", "sig2"], "_one", "id").select("sig", "sig2", "id")
     names = cut(names)
-    n_names = names.count()
-    sets = _sets_of(docs, text_col, n, names, n_names, most_broadcast)
     rows = rows.hint("shuffle_merge").join(names.select("sig", "id").hint("shuffle_merge"), "sig").select("h", "id", "n", "pos", F.col("id").alias("comp"))
 
     @F.arrow_udf("boolean")
@@ -249,19 +245,22 @@ def jaccard_components(
         view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         return pa.array([linked(view(x), view(y), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
 
-    links, tested, k = None, 0, pivots
+    links, k = None, pivots
     group = Window.partitionBy("h").orderBy("id")
     while True:
         spread = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
         rows = cut(rows.hint("shuffle_merge").join(spread.hint("shuffle_merge"), "h"))
-        if rows.isEmpty():
+        if rows.isEmpty():  # no pair of different components is left
             break
         front = rows.withColumn("r", F.row_number().over(group)).filter(F.col("r") <= k).drop("r")
         a = front.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         b = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
         pairs = b.hint("shuffle_merge").join(a.hint("shuffle_merge"), "h").filter("a < b and ca <> cb")
         room = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        pairs = pairs.filter((F.least("na", "nb") >= need) & (room >= need)).select("a", "b").distinct()
+        pairs = cut(pairs.filter((F.least("na", "nb") >= need) & (room >= need)).select("a", "b").distinct())
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = cut(names.hint("shuffle_merge").join(ends.hint("shuffle_merge"), "id", "left_semi").select("sig", "sig2", "id"))
+        sets = _sets_of(docs, text_col, n, wanted, wanted.count(), most_broadcast)
         with_a = pairs.hint("shuffle_merge").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("shuffle_merge"), "a")
         with_b = with_a.hint("shuffle_merge").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("shuffle_merge"), "b")
         found = cut(with_b.filter(verify("sa", "sb")).select("a", "b"))
