@@ -563,7 +563,7 @@ def _(spark, sf):
 
 # traces and evaluation
 
-TRACES_SQL = "tr AS (SELECT user_id AS trace_id, event_type AS name, round(value)::BIGINT AS latency_ms, (props::JSON ->> '$.k')::BIGINT AS tok_in, (props::JSON ->> '$.k')::BIGINT * 2 AS tok_out, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS error, epoch_ms(ts) AS s, epoch_ms(ts) + round(value)::BIGINT AS e FROM events)"
+TRACES_SQL = "tr AS (SELECT user_id AS trace_id, event_type AS name, round(value)::BIGINT AS latency_ms, (props::JSON ->> '$.k')::BIGINT AS tok_in, (props::JSON ->> '$.k')::BIGINT * 2 AS tok_out, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS error, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + round(value)::BIGINT AS e FROM events)"
 
 
 @query("trace_stats", WITH + TRACES_SQL + " SELECT name, grouping(name) = 1 AS is_total, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS max_ms, sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out FROM tr GROUP BY GROUPING SETS ((name), ())")

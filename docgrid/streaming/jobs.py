@@ -45,7 +45,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str |
                 except Exception as e:  # a failed kind is reported and may be computed later
                     print(f"prep pack {kind} of batch {number} failed: {str(e)[:200]}")
 
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(source)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(source)
     return described(stream).writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/_checkpoint")
 
 
