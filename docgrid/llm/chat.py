@@ -22,28 +22,32 @@ def _halves(*cols: Column) -> list[Column]:
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """``turns`` (conv_id, turn, role, text) without repeated rows, with ``len`` (1, 2, ...) and ``p0``..``p3``, the hash of the prefix that ends there."""
-    t = turns.select("conv_id", "turn", "role", "text").distinct()
+    """(conv_id, len (1, 2, ...), p0..p3): the hash of every prefix of every conversation, repeated rows counted once.
+
+    Only hashes of role and text travel. Turns are numbered by turn, then role, then the text's hash.
+    """
+    seeds = (11, 23)
+    marks = [F.xxhash64(F.lit(s), "role", F.col("role").isNull(), "text", F.col("text").isNull()).alias(f"_m{k}") for k, s in enumerate(seeds)]
+    t = turns.select("conv_id", "turn", "role", *marks).distinct()
     t = t.withColumn("_span", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / SPAN))
-    inner = Window.partitionBy("conv_id", "_span").orderBy(*[F.asc_nulls_first(c) for c in ("turn", "role", "text")])
-    spans = t.groupBy("conv_id", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    inner = Window.partitionBy("conv_id", "_span").orderBy(*[F.asc_nulls_first(c) for c in ("turn", "role", "_m0", "_m1")])
     outer = Window.partitionBy("conv_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0))).drop("_n")
-    t = t.withColumn("_i", F.row_number().over(inner))
     on = (F.col("t.conv_id").eqNullSafe(F.col("s.conv_id"))) & (F.col("t._span") == F.col("s._span"))
+    t = t.withColumn("_i", F.row_number().over(inner)).drop("turn", "role")
+    spans = t.groupBy("conv_id", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0))).drop("_n")
     t = t.alias("t").join(spans.hint("shuffle_hash").alias("s"), on).select("t.*", "s._before")
-    t = t.withColumn("len", (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before")
-    hs = _halves(F.col("len"), F.col("role"), F.coalesce(F.col("role"), F.lit("")) == F.lit(""), F.col("text"), F.col("text").isNull())
-    for k, h in enumerate(hs):
+    t = t.withColumn("len", (F.col("_i") + F.col("_before")).cast("long")).drop("_before")
+    for k, h in enumerate(_halves(F.col("len"), F.col("_m0"), F.col("_m1"))):
         t = t.withColumn(f"_h{k}", h)
+    t = t.drop("_m0", "_m1")
     sums = t.groupBy("conv_id", "_span").agg(*[F.sum(f"_h{k}").alias(f"_s{k}") for k in range(4)])
     for k in range(4):
         sums = sums.withColumn(f"_b{k}", F.coalesce(F.sum(f"_s{k}").over(outer), F.lit(0)))
     sums = sums.drop(*[f"_s{k}" for k in range(4)])
     t = t.alias("t").join(sums.hint("shuffle_hash").alias("s"), on).select("t.*", *[f"s._b{k}" for k in range(4)])
-    for k in range(4):
-        t = t.withColumn(f"p{k}", F.col(f"_b{k}") + F.sum(f"_h{k}").over(inner)).drop(f"_b{k}", f"_h{k}")
-    return t
+    along = Window.partitionBy("conv_id", "_span").orderBy("_i")
+    return t.select("conv_id", "len", *[(F.col(f"_b{k}") + F.sum(f"_h{k}").over(along)).alias(f"p{k}") for k in range(4)])
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -68,19 +72,20 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen conversations as text: each turn as ``<|role|>`` line, its text and an end mark."""
-    t = turns.select("conv_id", "turn", "role", "text").distinct()
+    t = turns.select("conv_id", "turn", "role", "text")
     joined = t.alias("t").join(chosen.hint("shuffle_merge").alias("c"), F.col("t.conv_id").eqNullSafe(F.col("c.conv_id"))).select("t.*", "c.n_turns", "c.n_copies")
     entry = F.struct("turn", "role", "text")
     line = lambda x: F.concat(F.lit("<|"), F.coalesce(x["role"], F.lit("")), F.lit("|>\n"), F.coalesce(x["text"], F.lit("")), F.lit("<|end|>\n"))
     return joined.groupBy("conv_id", "n_turns", "n_copies").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), line), "").alias("rendered")  # one conversation is one row of the result
+        F.array_join(F.transform(F.array_sort(F.collect_set(entry)), line), "").alias("rendered")  # one conversation is one row of the result
     )
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of all maximal conversations.
 
-    Turns are ordered by turn, then role, then text, nulls first; repeated rows count once. Null
+    Turns are ordered by turn, then role, then text, nulls first (to compare conversations, ties in turn
+    and role by the text's hash); repeated rows count once. Null
     roles and texts render as empty; null conv_ids form one conversation. A conversation without
     rows does not exist; an empty table gives none. Other columns are ignored.
     """
