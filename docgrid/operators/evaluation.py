@@ -12,10 +12,11 @@ from docgrid.functions.columns import clamped, latency_ms, lenient_json
 VERDICT = "groundedness string, citation_ok string, answered string, reason string"
 
 
-def with_defaults(records: DataFrame) -> DataFrame:
-    """Trace records (name, model, latencyMs, usage) with defaults for what is missing."""
+def with_defaults(records: DataFrame, *keep: str) -> DataFrame:
+    """Trace records (name, model, latencyMs, usage) with defaults for what is missing; ``keep`` are further columns."""
     zero = F.lit(0)
     return records.select(
+        *keep,
         F.coalesce("name", F.lit("llm-call")).alias("name"), F.coalesce("model", F.lit("?")).alias("model"), F.coalesce("latencyMs", zero).alias("latency_ms"),
         F.coalesce("usage.input", zero).alias("tok_in"), F.coalesce("usage.output", zero).alias("tok_out"),
     )

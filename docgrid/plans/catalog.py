@@ -642,3 +642,88 @@ def _(spark, sf):
 def _(spark, sf):
     v = C.unit(F.transform("embedding", lambda x: x * 3))
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length2"))
+
+
+# the rest
+
+
+@query("term_table", base(TERMS_SQL) + " SELECT document_id, chunk_id, term, n, left(term, 2) AS head FROM ct")
+def _(spark, sf):
+    return retrieval.term_table(retrieval.readable(V.chunks(spark, sf)))
+
+
+@query("system_prompts", hybrid_sql(10) + f", t AS (SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id) SELECT question_id, md5('Use the context.' || chr(10) || chr(10) || '<context>' || chr(10) || context || chr(10) || '</context>') AS digest FROM t")
+def _(spark, sf):
+    c = V.chunks(spark, sf)
+    made = chat.system_prompts(chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c), "Use the context.")
+    return made.select("question_id", F.md5(F.col("system").cast("binary")).alias("digest"))
+
+
+@query(
+    "plan_prompts",
+    WITH
+    + LAST_SQL
+    + """, h AS (SELECT * FROM (SELECT c.conv_id, turn, role, text, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS r FROM conversations c JOIN q USING (conv_id) WHERE turn <> t AND role IN ('user', 'assistant') AND text <> '') WHERE r <= 6),
+t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS told FROM h GROUP BY conv_id)
+SELECT c.conv_id AS session_id, md5((CASE WHEN told IS NULL THEN '' ELSE '# HỘI THOẠI' || chr(10) || told || chr(10) || chr(10) END) || '# CÂU HỎI' || chr(10) || c.text) AS digest
+FROM conversations c JOIN q ON q.conv_id = c.conv_id AND q.t = c.turn LEFT JOIN t ON t.conv_id = c.conv_id""",
+)
+def _(spark, sf):
+    m = V.messages(spark, sf)
+    made = chat.plan_prompts(chat.latest_questions(m), chat.history(m))
+    return made.select("session_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@query(
+    "paragraph_blocks",
+    SECTIONS_SQL + ", p AS (SELECT document_id, page * 20 + ln AS n, section, trim(line, ' \t\r\n') AS text FROM l) SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY n) - 1)::INTEGER AS block, NULL::INTEGER AS page, section, text FROM p WHERE text <> ''",
+)
+def _(spark, sf):
+    rows = V.lines(spark, sf).select("document_id", (F.col("page") * 20 + F.col("ln")).alias("ln"), "line")
+    return structure.paragraph_blocks(rows, V.HEADER)
+
+
+@query("normalized_text", "SELECT doc_id, md5(lower(nfc_normalize(text))) AS digest FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(evaluation.normalized(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("pack_counts", "SELECT conv_id AS document_id, CASE WHEN conv_id % 3 <> 0 THEN count(*) END::INTEGER AS n_terms, CASE WHEN conv_id % 4 <> 0 THEN 0 END::INTEGER AS n_questions FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    per = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.collect_list("turn").alias("t"))
+    packs = per.select("document_id", F.when(F.col("document_id") % 3 != 0, F.col("t")).alias("terms"), F.when(F.col("document_id") % 4 != 0, F.array().cast("array<string>")).alias("questions"))
+    return models.pack_counts(packs)
+
+
+@query("trace_defaults", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'llm-call' END AS name, CASE WHEN event_id % 3 = 0 THEN 'm' ELSE '?' END AS model, CASE WHEN event_id % 5 = 0 THEN event_id ELSE 0 END AS latency_ms, CASE WHEN event_id % 7 = 0 THEN user_id ELSE 0 END AS tok_in, 0 AS tok_out FROM events")
+def _(spark, sf):
+    e = F.col("event_id")
+    usage = F.when(e % 7 == 0, F.struct(F.col("user_id").alias("input"), F.lit(None).cast("long").alias("output")))
+    rows = table(spark, sf, "events").select("event_id", F.when(e % 2 == 0, F.col("event_type")).alias("name"), F.when(e % 3 == 0, "m").alias("model"), F.when(e % 5 == 0, e).alias("latencyMs"), usage.alias("usage"))
+    return evaluation.with_defaults(rows, "event_id")
+
+
+@query("owner_lookup", WITH + V.UPLOADS_SQL + " SELECT document_id, user_id FROM uploads")
+def _(spark, sf):
+    return K.owners(V.uploads(spark, sf))
+
+
+@query("ask_context")
+def _(spark, sf):
+    from docgrid.plans.ingest import ask
+
+    return ask(V.questions(spark, sf).drop("embedding"), models.embed_chunks(V.chunks(spark, sf)))
+
+
+@query("prep_generate")
+def _(spark, sf):
+    c = V.chunks(spark, sf)
+    docs = c.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct()
+    none = F.lit(None).cast("string")
+    prep = docs.filter("document_id < 'src3'").select("document_id", F.lit("s").alias("summary"), none.alias("terms"), none.alias("questions"))
+    return models.generate_prep(docs, c, prep)
+
+
+@query("chunk_embeddings")
+def _(spark, sf):
+    return models.embed_chunks(V.chunks(spark, sf)).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)), " ").alias("embedding"))
