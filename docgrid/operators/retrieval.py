@@ -61,7 +61,10 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config
     """
     q = questions.select("question_id", "document_id", query_terms(F.col("question"), config).alias("_t")).filter("_t is not null")
     q = q.select("question_id", "document_id", F.size("_t").alias("_m"), F.explode("_t").alias("q_term")).withColumn("head", F.substring("q_term", 1, 2))
-    t = terms if terms is not None else term_table(readable(chunks, config))
+    if terms is None:
+        asked = few(q.select("document_id").distinct())
+        terms = term_table(readable(chunks, config).join(asked, "document_id", "left_semi"))  # only documents that are asked about
+    t = terms
     hits = t.join(few(q), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
     scored = hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(term_weight(F.col("n"))) / F.first("_m"), 9).alias("score"))
     return _ranked(scored, k)
