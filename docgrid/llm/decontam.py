@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, hash_words, mix64, words_of
+from docgrid.llm.text import coded, hash_words, mix64, spans, words_of
 
 #: Bytes of benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 4_000_000
@@ -31,7 +30,6 @@ PLACES, REPETITIONS = 3, 40
 CLASS_RATIO = 1.15
 #: Steps of the walk for a word of the longest item of a class: a walk takes two on average, and what lies behind its end tells nothing.
 STEPS = 1.8
-PIECE_WORDS = 2_000_000
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,11 +199,9 @@ def _searcher(shared):
     def search(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(cloudpickle.loads(shared.value))
-        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
-        group, out = np.cumsum(size) // (PIECE_WORDS * 6), []
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            out += held[0].search(texts.slice(int(at[0]), len(at)))
+        out = []
+        for s, n in spans(texts):
+            out += held[0].search(texts.slice(s, n))
         return pa.array(out, _MATCH)
 
     return search

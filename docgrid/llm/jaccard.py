@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, hash_words, mix64, words_of
+from docgrid.llm.text import PIECE_BYTES, coded, hash_words, mix64, spans, words_of
 from docgrid.shared import cut, running_start, written
 
 #: Cells of the frequency sketch; a constant, whatever the input.
@@ -54,15 +54,9 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def pieces(texts: pa.Array, most: int = 8_000_000):
-    """Slices of about ``most`` bytes, so that memory does not follow the batch."""
-    import pyarrow.compute as pc
-
-    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
-    group = np.cumsum(size) // most
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        yield texts.slice(int(at[0]), len(at))
+def pieces(texts: pa.Array, most: int = PIECE_BYTES):
+    """Slices of about ``most`` bytes."""
+    return (texts.slice(s, n) for s, n in spans(texts, most))
 
 
 def cell_of(sets: np.ndarray) -> np.ndarray:
@@ -229,7 +223,8 @@ def jaccard_components(
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
 
     prefix = base.select("sig", F.col("n_shingles").alias("n"), F.explode("prefix").alias("p")).select("sig", "n", "p.h", "p.pos")
-    shared = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # small sides are checkpointed, so that both sides of the joins are plain shuffles, whose hot keys adaptive execution splits
+    shared = cut(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"))
     rows = prefix.hint("shuffle_merge").join(shared.hint("shuffle_merge"), "h")
     rows = rows.groupBy("h", "sig", "n").agg(F.min("pos").alias("pos"))  # equal sets of several tasks become one
     rows = written(rows)
@@ -284,7 +279,7 @@ def jaccard_components(
         nodes = nodes.hint("shuffle_merge").join(tops.hint("shuffle_merge"), "comp", "left").select("sig", "sig2", F.coalesce("top", "least").alias("least"), F.when(F.col("comp").isNull(), alone).otherwise(F.concat_ws(":", F.lit("c"), "comp")).alias("class_key"))
     else:
         nodes = nodes.withColumn("class_key", alone)
-    out = flat.hint("shuffle_merge").join(nodes.hint("shuffle_merge"), ["sig", "sig2"], "left")
+    out = flat.hint("shuffle_merge").join(cut(nodes).hint("shuffle_merge"), ["sig", "sig2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(id_col))
     return out.select(id_col, "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_key")).alias("class_key"), "text_key")
 

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, words_of
-from docgrid.shared import written
+from docgrid.llm.text import coded, rebased, spans, words_of
+from docgrid.shared import cut, written
 
 #: Normalisation of a line: ASCII lower case, digits to 0; words are then joined by one space.
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
@@ -30,6 +30,8 @@ FACTS = (
     "n_repeat_words:long,lines:array<struct<h:long,w:int>>>"
 )
 _LINES = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
+_LONGS = ("text_hi", "text_lo", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_FACTS = pa.struct([*((c, pa.int64()) for c in _LONGS), ("lines", _LINES)])
 
 
 def repeat_words(ids: np.ndarray, base: int) -> int:
@@ -61,9 +63,14 @@ def line_hashes(host: bytes, lines: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _facts(texts: pa.Array, hosts: pa.Array) -> pa.Array:
+    parts = [_facts_of(texts.slice(s, n), hosts.slice(s, n)) for s, n in spans(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _FACTS)
+
+
+def _facts_of(texts: pa.Array, hosts: pa.Array) -> pa.Array:
     import xxhash
 
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(rebased(texts).cast(pa.large_string()), "")
     words, at = words_of(texts)
     ids, distinct = coded(words)
     chars = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(words), dtype=np.int64))])
@@ -91,8 +98,7 @@ def _facts(texts: pa.Array, hosts: pa.Array) -> pa.Array:
                 "lines": [{"h": h, "w": w} for h, w in per.items()],
             }
         )
-    longs = ("text_hi", "text_lo", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return pa.array(rows, pa.struct([*((c, pa.int64()) for c in longs), ("lines", _LINES)]))
+    return pa.array(rows, _FACTS)
 
 
 def _host(col: Column) -> Column:
@@ -148,7 +154,8 @@ def quality_report(
     copies get equal verdicts and count once as documents of their host. An empty table gives none.
     """
     facts = facts if facts is not None else facts_of(df, keep, host_col, text_col)
-    frequent = frequent if frequent is not None else frequent_lines(facts, min_docs, host_share)
+    # small sides are checkpointed, so that both sides of the joins are plain shuffles, whose hot keys adaptive execution splits
+    frequent = frequent if frequent is not None else cut(frequent_lines(facts, min_docs, host_share))
     lines = facts.select("_host", "_q.text_hi", "_q.text_lo", F.explode("_q.lines").alias("_line"))
     lines = lines.select("_host", "text_hi", "text_lo", F.col("_line.h").alias("h"), F.col("_line.w").alias("w"))
     lost = (
@@ -159,6 +166,7 @@ def quality_report(
         .groupBy("_host", "text_hi", "text_lo")
         .agg(F.sum("w").alias("_lost"))
     )
+    lost = cut(lost)
     flat = facts.select(*keep, "_host", "_q.*").drop("lines")
     out = flat.hint("shuffle_merge").join(lost.hint("shuffle_merge"), ["_host", "text_hi", "text_lo"], "left")
     n, r, gone = F.col("n_words"), F.col("n_repeat_words"), F.coalesce(F.col("_lost"), F.lit(0)).cast("long")
@@ -234,9 +242,17 @@ def quality_filter(
     return done.select(*[F.col("_clean.text").alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
+_CLEAN = pa.struct([("kept", pa.bool_()), ("text", pa.string())])
+
+
 def _cleaned(texts: pa.Array, hosts: pa.Array, gone: list[np.ndarray], limits: tuple) -> pa.Array:
+    parts = [_cleaned_of(texts.slice(s, n), hosts.slice(s, n), gone[s : s + n], limits) for s, n in spans(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _CLEAN)
+
+
+def _cleaned_of(texts: pa.Array, hosts: pa.Array, gone: list[np.ndarray], limits: tuple) -> pa.Array:
     least_left, least_words, most_repeated = limits
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(rebased(texts).cast(pa.large_string()), "")
     words, at = words_of(texts)
     ids, distinct = coded(words)
     out = []
@@ -254,7 +270,7 @@ def _cleaned(texts: pa.Array, hosts: pa.Array, gone: list[np.ndarray], limits: t
                 kept = left >= least_left * n
                 text = b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode()
         out.append({"kept": bool(kept), "text": text if kept else None})
-    return pa.array(out, pa.struct([("kept", pa.bool_()), ("text", pa.string())]))
+    return pa.array(out, _CLEAN)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

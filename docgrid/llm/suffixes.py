@@ -241,12 +241,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     found = written(found)
     copies = found.filter("k is null").select("hi", "lo", F.lit(0).alias("s"), F.col("a").alias("e"))
     found = found.filter("k is not null")
-    twice = found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    # a small side that is checkpointed first leaves both sides as plain shuffles, whose hot keys adaptive execution splits
+    twice = cut(found.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
     same = written(found.hint("shuffle_merge").join(twice.hint("shuffle_merge"), "k"))
 
     per = same.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hi", "lo", "a", "before", "after")).alias("first"))
     kinds = per.groupBy("k").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest"))
-    full = per.filter("n > 1").select("k", "c")
+    full = cut(per.filter("n > 1").select("k", "c"))
     whole = same.hint("shuffle_merge").join(full.hint("shuffle_merge"), ["k", "c"])
     covered = whole.select("hi", "lo", (F.col("a") - F.col("before")).alias("s"), (F.col("a") - F.col("after") + least).alias("e"))
 
@@ -360,7 +361,7 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     spans = written(repeated_spans(docs))
     runs = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     per = remaining(docs, spans).select("hi", "lo", runs.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    per = per.groupBy("hi", "lo").agg(*[F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")])  # several tasks may have sent a text
+    per = cut(per.groupBy("hi", "lo").agg(*[F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")]))  # several tasks may have sent a text
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_whole"), text_key(F.col("text")).alias("_k"))
     rows = rows.select("doc_id", "n_bytes", "_whole", "_k.hi", "_k.lo")

@@ -29,6 +29,18 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray
     return flat.filter(pa.array(keep)), before[offsets - offsets[0]]
 
 
+#: Bytes of text that are taken apart at once.
+PIECE_BYTES = 2_000_000
+
+
+def spans(texts: pa.Array, most: int = PIECE_BYTES) -> list[tuple[int, int]]:
+    """(start, length) of slices of about ``most`` bytes, so that memory does not follow the batch."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    group = np.cumsum(size) // most
+    first = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.empty(0, np.int64)
+    return list(zip(first.tolist(), np.diff(np.append(first, len(group))).tolist(), strict=True))
+
+
 def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Dense ids of the words, and the distinct words."""
     d = words.dictionary_encode()
