@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, hash_words, mix64, spans, words_of
+from docgrid.llm.text import coded, hash_words, mix64, small_batches, spans, words_of
 
 #: Bytes of benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 4_000_000
@@ -182,7 +182,7 @@ def contamination(df: DataFrame, items: DataFrame, text_col: str = "text", out:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    sc = df.sparkSession.sparkContext
+    sc = small_batches(df).sparkSession.sparkContext
     lists = []
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_bytes

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import PIECE_BYTES, coded, hash_words, mix64, spans, words_of
+from docgrid.llm.text import PIECE_BYTES, coded, hash_words, mix64, small_batches, spans, words_of
 from docgrid.shared import cut, running_start, written
 
 #: Cells of the frequency sketch; a constant, whatever the input.
@@ -217,7 +217,7 @@ def jaccard_components(
     whatever its ids (null: a row without words, which links with nothing); ``text_key`` is xxhash64 of the text. A null id never becomes a component's id unless no other id is there. Repeated rows link.
     An empty table gives none. ``id_col`` is an integer column; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
     base = signatures(docs, [id_col, "text_key"], "_text", n, percent)
     text_col = "_text"
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import mix64, rebased
+from docgrid.llm.text import mix64, rebased, small_batches
 from docgrid.shared import hashed_fold
 
 #: At most so many rows of each language are learned from (lowest hashes first); one in five of them only calibrates.
@@ -200,7 +200,7 @@ def learned(docs: DataFrame, train: "F.Column", text_col: str, lang_col: str, pe
 
 def fit(docs: DataFrame, train: "F.Column", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit and calibrate a model; what is gathered is bounded by ``per_language`` rows of each language."""
-    sample = learned(docs, train, text_col, lang_col, per_language)
+    sample = learned(small_batches(docs), train, text_col, lang_col, per_language)
 
     def letters(batches):
         for b in batches:
@@ -266,7 +266,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", out: str = "la
     nearly all calibration rows. Rows are independent; a column named ``out`` is replaced; an empty table stays empty.
     """
     # the model's size is bounded by the sample that it is fitted on
-    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     held: list[Model] = []
 
     @F.arrow_udf("struct<lang:string,score:double,entropy:double,rejected:boolean>")

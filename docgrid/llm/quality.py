@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, rebased, spans, words_of
+from docgrid.llm.text import coded, rebased, small_batches, spans, words_of
 from docgrid.shared import cut, written
 
 #: Normalisation of a line: ASCII lower case, digits to 0; words are then joined by one space.
@@ -108,6 +108,7 @@ def _host(col: Column) -> Column:
 
 def facts_of(df: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
     """``keep`` and, as struct ``_q``, the facts of every row; written to the shared folder, as three steps read them."""
+    small_batches(df)
     facts = F.arrow_udf(_facts, FACTS)
     return written(
         df.select(

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, hash_words, mix64, words_of
+from docgrid.llm.text import coded, hash_words, mix64, small_batches, words_of
 from docgrid.shared import hashed_fold, written
 
 #: Bytes of text of a block, and how many hashes a range should hold for each block.
@@ -166,7 +166,7 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
     and scores are those of the empty model (base: one class of weight 1, score 0). Repeated rows count and score as often as they
     occur; a null id is kept. An empty table gives none. Other columns are ignored. ``id_col`` is an integer.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, min(4096, -(-size // (2 * block_bytes))))

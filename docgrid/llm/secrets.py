@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from docgrid.llm.text import small_batches
 
 
 @dataclass(frozen=True)
@@ -209,7 +210,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secret_spans
         found = scan_batch(texts, rules, queries)
         return pa.array([[{"kind": kinds[k], "start": s, "end": e} for s, k, e in x] for x in found], _SPAN_TYPE)
 
-    return df.withColumn(out, spans(F.col(text_col).cast("string")))
+    return small_batches(df).withColumn(out, spans(F.col(text_col).cast("string")))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

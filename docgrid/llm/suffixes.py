@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import mix64
+from docgrid.llm.text import mix64, small_batches
 from docgrid.shared import cut, written
 
 LEAST = 200
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", least: int = LEAST,
     and empty texts, and texts shorter than ``least``, have none. Rows with equal texts repeat each other, also
     when all their columns agree. An empty table gives none. Long texts are read whole.
     """
-    import xxhash  # noqa: F401
+    small_batches(docs)
 
     def emit(batches):
         import xxhash

@@ -10,6 +10,18 @@ import pyarrow.compute as pc
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows would make batches of many megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(df):
+    """``df``, after its session has been told to hand Python ``BATCH_ROWS`` rows at once, unless a size is set there already."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def rebased(texts: pa.Array) -> pa.Array:
     """The array itself, or a copy if it is a slice: Arrow's case functions misread the offsets of slices."""
     if isinstance(texts, pa.ChunkedArray):
