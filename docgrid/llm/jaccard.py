@@ -27,6 +27,8 @@ from docgrid.shared import cut, running_start, written
 CELLS = 1 << 17
 #: Pivots of a group in the first round, and how many times more in each next one.
 PIVOTS, GROWTH = 1, 8
+#: The last round tests all that is left once it is so many pairs for a row at most.
+CHEAP = 8
 #: Up to so many candidate texts are named to every task (8 bytes each); beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -245,8 +247,12 @@ def jaccard_components(
     while True:
         spread = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
         rows = cut(rows.hint("shuffle_merge").join(spread.hint("shuffle_merge"), "h"))
-        if rows.isEmpty():  # no pair of different components is left
+        c = F.col("count")
+        left, n_rows, largest = rows.groupBy("h").count().agg(F.sum(c * (c - 1) / 2), F.sum(c), F.max(c)).first()
+        if not n_rows:  # no pair of different components is left
             break
+        if left <= CHEAP * n_rows:  # what is left grows with the rows only, so it needs no further rounds
+            k = max(k, largest)
         front = rows.withColumn("r", F.row_number().over(group)).filter(F.col("r") <= k).drop("r")
         a = front.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         b = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
