@@ -4,7 +4,7 @@ A text is the set of its distinct word n-grams. In a fixed order of all n-grams,
 are similar enough share an n-gram within their first few ("prefix"). N-grams are ordered by
 how often a sketch of the whole corpus has seen their cell, rarest first, so prefixes hold
 n-grams that few texts share. Texts that share one become candidate pairs, length, positional
-and suffix filters drop most, and what is left is verified once on the whole sets.
+and suffix filters and the bound that counts of hash ranges give, drop most, and what is left is verified once on the whole sets.
 
 Large groups never emit all their pairs. A group is compared through a few pivots, links are
 contracted to components, and only members of different components are compared again, through
@@ -99,13 +99,13 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str, n: int, percent:
     held: list[np.ndarray] = []
     seen: set[int] = set()
 
-    @F.arrow_udf("struct<n:long,sig:long,sig2:long,prefix:array<struct<h:long,pos:int>>>")
+    @F.arrow_udf("struct<n:long,sig:long,sig2:long,counts:binary,prefix:array<struct<h:long,pos:int>>>")
     def sign(texts: pa.Array) -> pa.Array:
         import xxhash
 
         if not held:
             held.append(cloudpickle.loads(shared.value))
-        sizes, sig, sig2, parts = [], [], [], []
+        sizes, sig, sig2, counts, parts = [], [], [], [], []
         for part in pieces(texts):
             for s in shingle_sets(part, n):
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str, n: int, percent:
                     prefix = s[np.lexsort((s, held[0][cell_of(s)]))[:size]].copy()
                 parts.append(prefix)
                 sizes.append(len(s))
+                counts.append(bucket_counts(s))
                 sig.append((key & (2**64 - 1)) - (1 << 63))
                 sig2.append((key >> 64) - (1 << 63))
         length = np.array([len(x) for x in parts], np.int64)
@@ -124,10 +125,23 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str, n: int, percent:
         flat = np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.uint64)
         entries = pa.StructArray.from_arrays([pa.array(_signed(flat)), pa.array(pos.astype(np.int32))], names=["h", "pos"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), entries)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), lists], names=["n", "sig", "sig2", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.array(counts, pa.binary()), lists], names=["n", "sig", "sig2", "counts", "prefix"])
 
     out = docs.select(*[F.col(c) for c in keep], sign(F.col(text_col).cast("string")).alias("_s"))
-    return written(out.select(*keep, F.col("_s.n").alias("n_shingles"), "_s.sig", "_s.sig2", "_s.prefix"))
+    return written(out.select(*keep, F.col("_s.n").alias("n_shingles"), "_s.sig", "_s.sig2", "_s.counts", "_s.prefix"))
+
+
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of 128 ranges, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array, percent: int) -> np.ndarray:
+    """Whether the counts of two sets leave room for enough common hashes: in each range no more than the smaller count."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 128) for c in (a, b))
+    total = np.asarray(na) + np.asarray(nb)
+    room = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= -(-percent * total // (100 + percent))
+    return room | ((x == 255) & (y == 255)).any(axis=1)  # a full count says nothing
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -231,9 +245,9 @@ def jaccard_components(
     rows = rows.groupBy("h", "sig", "n").agg(F.min("pos").alias("pos"))  # equal sets of several tasks become one
     rows = written(rows)
 
-    names = base.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.count(F.lit(1)).alias("_one"))
+    names = base.filter("n_shingles > 0").groupBy("sig", "sig2").agg(F.first("counts").alias("counts"))
     names = names.hint("shuffle_merge").join(rows.select("sig").distinct().hint("shuffle_merge"), "sig", "left_semi")
-    names = running_start(names.withColumn("_one", F.lit(1)), ["sig", "sig2"], "_one", "id").select("sig", "sig2", "id")
+    names = running_start(names.withColumn("_one", F.lit(1)), ["sig", "sig2"], "_one", "id").select("sig", "sig2", "id", "counts")
     names = cut(names)
     rows = rows.hint("shuffle_merge").join(names.select("sig", "id").hint("shuffle_merge"), "sig").select("h", "id", "n", "pos", F.col("id").alias("comp"))
 
@@ -242,6 +256,10 @@ def jaccard_components(
         view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         return pa.array([linked(view(x), view(y), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
 
+    @F.arrow_udf("boolean")
+    def possible(x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array) -> pa.Array:
+        return pa.array(may_link(x, y, nx, ny, percent))
+
     links, k = None, pivots
     group = Window.partitionBy("h").orderBy("id")
     while True:
@@ -258,7 +276,10 @@ def jaccard_components(
         b = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
         pairs = b.hint("shuffle_merge").join(a.hint("shuffle_merge"), "h").filter("a < b and ca <> cb")
         room = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-        pairs = cut(pairs.filter((F.least("na", "nb") >= need) & (room >= need)).select("a", "b").distinct())
+        pairs = pairs.filter((F.least("na", "nb") >= need) & (room >= need)).select("a", "b", "na", "nb").distinct()
+        for end in ("a", "b"):
+            pairs = pairs.hint("shuffle_merge").join(names.select(F.col("id").alias(end), F.col("counts").alias(f"counts_{end}")).hint("shuffle_merge"), end)
+        pairs = cut(pairs.filter(possible("counts_a", "counts_b", "na", "nb")).select("a", "b"))
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         wanted = cut(names.hint("shuffle_merge").join(ends.hint("shuffle_merge"), "id", "left_semi").select("sig", "sig2", "id"))
         sets = _sets_of(docs, text_col, n, wanted, wanted.count(), most_broadcast)
