@@ -22,6 +22,8 @@ from docgrid.shared import cut, written
 
 #: Normalisation of a line: ASCII lower case, digits to 0; words are then joined by one space.
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+#: A line of a host is boilerplate in more than so many distinct texts of it, and more than this share of them.
+MIN_DOCS, HOST_SHARE = 10, 0.02
 #: Up to so many removed lines are sent to every task as a sorted array of 8-byte hashes.
 MOST_BROADCAST = 200_000
 
@@ -139,8 +141,8 @@ def quality_report(
     keep: list[str],
     host_col: str = "source",
     text_col: str = "text",
-    min_docs: int = 100,
-    host_share: float = 0.02,
+    min_docs: int = MIN_DOCS,
+    host_share: float = HOST_SHARE,
     least_left: float = 0.3,
     least_words: int = 50,
     most_repeated: float = 0.5,
@@ -189,8 +191,8 @@ def quality_filter(
     df: DataFrame,
     host_col: str = "source",
     text_col: str = "text",
-    min_docs: int = 100,
-    host_share: float = 0.02,
+    min_docs: int = MIN_DOCS,
+    host_share: float = HOST_SHARE,
     least_left: float = 0.3,
     least_words: int = 50,
     most_repeated: float = 0.5,
@@ -275,9 +277,9 @@ def _cleaned_of(texts: pa.Array, hosts: pa.Array, gone: list[np.ndarray], limits
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Verdict of the quality rules on every document."""
+    """Verdict of the quality rules on every document, with the line limits of its SQL: 100 texts and 2 % of a host."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return quality_report(docs, ["doc_id"])
+    return quality_report(docs, ["doc_id"], min_docs=100, host_share=0.02)
 
 
 OP4_SQL = r"""
