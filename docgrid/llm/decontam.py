@@ -7,6 +7,9 @@ document that is as long as the benchmark items of a length class is a candidate
 enough words and word pairs of these items to be near one at all: k edits leave all but k words and
 all but 2k pairs, so nothing is lost. Windows that collide with an item are verified by exact edit distance.
 
+The distance of embeddings grows faster than the edit rate on long sequences. A long item is therefore
+cut into pieces that are searched each: if the whole item is within the edit rate, one piece is at least.
+
 Documents are mapped in one pass without a shuffle. Benchmark items go to the tasks in blocks of
 bounded size, one pass over the documents for each block.
 """
@@ -25,7 +28,10 @@ from docgrid.llm.text import coded, hash_words, mix64, small_batches, spans, wor
 BLOCK_BYTES = 4_000_000
 MOST_EDITS = 0.2
 #: Places sampled for a key, and repetitions: with half of the places differing, a key survives with 1/8, one of 40 with over 0.995.
+#: Half is what a fifth of edits makes of a sequence of up to about LONGEST words; longer ones differ in more.
 PLACES, REPETITIONS = 3, 40
+#: Items of more words are cut into pieces of this many words at most.
+LONGEST = 40
 #: Ratio of the longest to the shortest item of a length class.
 CLASS_RATIO = 1.15
 #: Steps of the walk for a word of the longest item of a class: a walk takes two on average, and what lies behind its end tells nothing.
@@ -56,6 +62,12 @@ def walk_keys(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: i
     return out
 
 
+def cuts(n: int) -> list[int]:
+    """Bounds of the pieces of an item of ``n`` words, of lengths that differ by one at most."""
+    k = -(-n // LONGEST)
+    return [n * j // k for j in range(k + 1)]
+
+
 def best_fit(item: list[int], text: list[int]) -> tuple[int, int, int]:
     """(edits, start, end) of the part of ``text`` nearest to ``item``; the leftmost end on ties."""
     row = [(0, j) for j in range(len(text) + 1)]
@@ -73,7 +85,7 @@ def pair_hashes(tokens: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Benchmark items by length class: their words, and their keys in sorted arrays."""
+    """Benchmark items, or their pieces, by length class: their words, and their keys in sorted arrays."""
 
     def __init__(self, ids: list[int], texts: list[str | None], rate: float = MOST_EDITS, seed: int = 3):
         self.rate, self.seed = rate, seed
@@ -83,13 +95,17 @@ class Index:
         self.ids = ids
         self.items = [hashes[at[i] : at[i + 1]].tolist() for i in range(len(ids))]
         self.classes = []
-        order = sorted((i for i in range(len(ids)) if self.items[i]), key=lambda i: len(self.items[i]))
+        #: (item, first word, end) of each piece; an item that is not cut is its only piece.
+        self.pieces = [(i, a, b) for i, x in enumerate(self.items) if x for a, b in zip(cuts(len(x)), cuts(len(x))[1:], strict=False)]
+        lens = [b - a for _, a, b in self.pieces]
+        order = sorted(range(len(self.pieces)), key=lens.__getitem__)
         while order:
-            low = len(self.items[order[0]])
-            own = [i for i in order if len(self.items[i]) <= max(low, int(low * CLASS_RATIO))]
+            low = lens[order[0]]
+            own = [k for k in order if lens[k] <= max(low, int(low * CLASS_RATIO))]
             order = order[len(own) :]
-            size = max(len(self.items[i]) for i in own)
-            starts, ends = at[:-1][own], at[1:][own]
+            size = max(lens[k] for k in own)
+            starts = np.array([at[self.pieces[k][0]] + self.pieces[k][1] for k in own], np.int64)
+            ends = starts + np.array([lens[k] for k in own], np.int64)
             keys = walk_keys(hashes, starts, ends, int(STEPS * size) + 1, seed)
             flat, who = keys.ravel(), np.repeat(own, REPETITIONS)
             o = np.argsort(flat, kind="stable")
@@ -133,8 +149,9 @@ class Index:
                 rows, cols = np.nonzero(hi > lo)
                 for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
                     doc = int(np.searchsorted(at, w[r], side="right")) - 1
-                    for item in np.unique(who[lo[r, c] : hi[r, c]]).tolist():
-                        found[doc].setdefault(item, []).append(int(w[r]))
+                    for piece in np.unique(who[lo[r, c] : hi[r, c]]).tolist():
+                        item, skipped, _ = self.pieces[piece]
+                        found[doc].setdefault(item, []).append(int(w[r]) - skipped)
         out = []
         for doc, per in enumerate(found):
             hits = []
@@ -145,14 +162,15 @@ class Index:
         return out
 
     def verify(self, item: int, spots: list[int], tokens: np.ndarray, first: int, stop: int) -> dict | None:
-        """The nearest place of an item around the given windows, if it is near enough."""
+        """The nearest place of an item around the given starts (of windows, less the words before their piece), if it is near enough."""
         own = self.items[item]
         most = most_edits(len(own), self.rate)
         slack, best, s = most + 1, None, 0
         words, pairs = set(own), set(zip(own, own[1:], strict=False))
         reach = int(len(own) * CLASS_RATIO) + 2 * slack
+        before = slack if len(own) <= LONGEST else slack + most_edits(LONGEST, self.rate)  # edits before a piece move its start, too
         while s < len(spots):
-            a = max(first, spots[s] - slack)
+            a = max(first, spots[s] - before)
             e = s
             while e + 1 < len(spots) and spots[e + 1] - spots[e] <= slack and spots[e + 1] - spots[s] < 4 * len(own):
                 e += 1

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docgrid.llm import decontam as D
@@ -83,5 +84,37 @@ def test_query_finds_passages(spark, sf):
         assert D.best_fit(items[i].lower().split(), part)[0] == r.edits
 
 
+@pytest.mark.parametrize("n", [50, 200, 400])
+@pytest.mark.parametrize("rate", [0.1, 0.15, 0.2])
+def test_recall_of_long_items(n, rate):
+    """Items with words replaced at even rates, placed in other words; alignment is left out, as it decides no less."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items, docs = [[word() for _ in range(n)] for _ in range(60)], []
+    for item in items:
+        w = list(item)
+        for p in r.sample(range(n), int(rate * n)):
+            w[p] = word()
+        docs.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+    index = D.Index(list(range(60)), [" ".join(x) for x in items])
+    index.verify = lambda item, *_: {"item_id": item}
+    got = index.search(pa.array(docs, pa.large_string()))
+    assert sum({"item_id": k} in hits for k, hits in enumerate(got)) >= 59
+
+
+def test_long_item_is_verified_whole():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(200)]
+    index = D.Index([7], [" ".join(item)])
+    # all edits before the last piece, which is the only one left whole
+    gone, added = item[38:], [word() for _ in range(38)] + item
+    far = [word() for _ in range(5)] + item[:60] + [word() for _ in range(140)]
+    texts = [" ".join([word() for _ in range(50)] + w + [word() for _ in range(50)]) for w in (item, gone, added, far)] + [" ".join(item[39:])]
+    got = index.search(pa.array(texts, pa.large_string()))
+    assert [[h["edits"] for h in hits] for hits in got] == [[0], [38], [0], [], [39]]
+    assert got[0][0] == {"item_id": 7, "start": 50, "end": 250, "edits": 0}
+
+
 def test_index_of_nothing():
     assert D.Index([], []).search(pa.array(["a b", None])) == [[], []]
