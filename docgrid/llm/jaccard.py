@@ -39,7 +39,7 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     codes, distinct = coded(words)
     h = (hash_words(distinct)[codes] if len(distinct) else np.empty(0, np.uint64)).astype(np.uint64)
     rolled = h.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(h))):
         rolled[: len(h) - k] = mix64(rolled[: len(h) - k]) * np.uint64(3) + h[k:]
     rolled = mix64(rolled)
     out = []

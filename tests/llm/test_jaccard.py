@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from docgrid.llm import jaccard as J
@@ -80,3 +81,20 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(docs).count() == 0
     assert J.keep_one(docs).count() == 0
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_pieces_of_few_words(n):
+    """A batch that holds fewer words than a shingle."""
+    for text in ("a", "a b", "a b c", "", None):
+        (got,) = J.shingle_sets(pa.array([text], pa.large_string()), n)
+        assert len(got) == (1 if text else 0)
+        among = J.shingle_sets(pa.array([text, "p q r s t u v w"], pa.large_string()), n)[0]
+        assert got.tolist() == among.tolist()
+
+
+@pytest.mark.parametrize("text", ["a", "a b", "a b c"])
+def test_table_of_one_short_text(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for n in (4, 5):
+        assert [r.text for r in J.keep_one(df, n=n, percent=80).collect()] == [text]
