@@ -68,18 +68,34 @@ def plan(questions: DataFrame, planner: Callable[[Column], Column] | None = None
 
 
 def chunk_groups(chunks: DataFrame, max_chars: int = DEFAULT.map_group_chars) -> DataFrame:
-    """``chunks`` (document_id, position, text) with ``grp``: consecutive chunks of up to ``max_chars``; an oversized one stands alone."""
-    listed = F.array_sort(F.collect_list(F.struct("position", F.length("text").alias("n"))))  # positions and lengths of one document
-    start = F.struct(F.array().cast("array<struct<position:int,grp:int>>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["n"] + x["n"] > max_chars)
-        g = F.when(full, acc["g"] + 1).otherwise(acc["g"])
-        entry = F.struct(x["position"].cast("int").alias("position"), g.cast("int").alias("grp"))
-        return F.struct(F.concat(acc["out"], F.array(entry)).alias("out"), F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"), g.alias("g"))
-
-    per = chunks.groupBy("document_id").agg(F.aggregate(listed, start, step)["out"].alias("g"))
-    return chunks.join(per.select("document_id", F.explode("g").alias("x")).select("document_id", "x.position", "x.grp"), ["document_id", "position"])
+    """``chunks`` (document_id, position, text) with ``grp``: consecutive chunks of up to ``max_chars``; an oversized one stands alone.
+
+    Lengths stream through a task in order and only the size so far and the group's number are
+    held, however long a document is. Chunks of one position stay together.
+    """
+
+    def number(batches):
+        doc, last, size, g = None, None, 0, 0
+        for b in batches:
+            docs, places, grps = [], [], []
+            for d, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if d != doc:
+                    doc, last, size, g = d, None, 0, 0
+                if p == last:
+                    size += n
+                    continue
+                if size > 0 and size + n > max_chars:
+                    size, g = 0, g + 1
+                last, size = p, size + n
+                docs.append(d)
+                places.append(p)
+                grps.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field(0).type), pa.array(places, b.schema.field(1).type), pa.array(grps, pa.int32())], names=["document_id", "position", "grp"])
+
+    lengths = chunks.filter(F.col("document_id").isNotNull() & F.col("position").isNotNull()).select("document_id", "position", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lengths.schema[:2])
+    numbered = lengths.repartition("document_id").sortWithinPartitions("document_id", "position", "n").mapInArrow(number, f"{kinds}, grp int")
+    return chunks.join(numbered, ["document_id", "position"])
 
 
 def group_texts(grouped: DataFrame) -> DataFrame:
@@ -88,10 +104,28 @@ def group_texts(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("document_id", "grp").agg(F.array_join(listed, "\n\n").alias("text"))
 
 
-def map_reduce(chunks: DataFrame, condense: Callable[[Column], Column], reduce_: Callable[[Column], Column], separator: str = "\n\n---\n\n", max_chars: int = DEFAULT.map_group_chars) -> DataFrame:
-    """(document_id, value): each group condensed, the results joined in order and reduced. A document without chunks has no row."""
-    partial = group_texts(chunk_groups(chunks, max_chars)).withColumn("p", condense(F.col("text")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("grp", "p"))), lambda x: x["p"])  # one condensed text for each group
+#: Condensed texts that one row joins, and levels of joining, where a combiner is given.
+FAN, LEVELS = 256, 2
+
+
+def map_reduce(
+    chunks: DataFrame,
+    condense: Callable[[Column], Column],
+    reduce_: Callable[[Column], Column],
+    separator: str = "\n\n---\n\n",
+    max_chars: int = DEFAULT.map_group_chars,
+    combine: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """(document_id, value): each group condensed, the results joined in order and reduced. A document without chunks has no row.
+
+    ``combine`` shortens the join of consecutive results to what ``reduce_`` needs of it; results are
+    then joined ``FAN`` at a time, level by level. Without it ``reduce_`` gets them all in one row.
+    """
+    partial = group_texts(chunk_groups(chunks, max_chars)).select("document_id", "grp", condense(F.col("text")).alias("p"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("grp", "p"))), lambda x: x["p"])  # FAN condensed texts, or all of a document
+    for _ in range(LEVELS if combine else 0):
+        joined = partial.groupBy("document_id", F.floor(F.col("grp") / FAN).cast("int").alias("_run")).agg(F.array_join(listed, separator).alias("_all"))
+        partial = joined.select("document_id", F.col("_run").alias("grp"), combine(F.col("_all")).alias("p"))
     return partial.groupBy("document_id").agg(F.array_join(listed, separator).alias("_all")).select("document_id", reduce_(F.col("_all")).alias("value"))
 
 
@@ -104,12 +138,20 @@ def first_sentences(text: Column, n: int = 2) -> Column:
 def summarize(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(document_id, value): context, main content, decision points and impact, extracted."""
 
+    def sentences(all_: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(all_, r"(\n\n---\n\n|\s)+", " "), r"(?<=[.!?])\s"), lambda x: F.length(F.trim(x)) > 0)
+
     def shape(all_: Column) -> Column:
-        s = F.filter(F.split(F.regexp_replace(all_, r"(\n\n---\n\n|\s)+", " "), r"(?<=[.!?])\s"), lambda x: F.length(F.trim(x)) > 0)
+        s = sentences(all_)
         at = lambda k: F.coalesce(F.get(s, k), F.lit(""))
         return F.struct(at(F.lit(0)).alias("context"), F.array_join(F.slice(s, 1, 5), " ").alias("main_content"), F.slice(s, 2, 3).alias("decision_points"), at(F.size(s) - 1).alias("impact"))
 
-    return map_reduce(chunks, first_sentences, shape, max_chars=config.map_group_chars)
+    def ends(all_: Column) -> Column:
+        """The first six sentences and the last one: the sixth and the last may go on in what is joined next."""
+        s = sentences(all_)
+        return F.when(F.size(s) > 7, F.array_join(F.concat(F.slice(s, 1, 6), F.slice(s, -1, 1)), " ")).otherwise(all_)
+
+    return map_reduce(chunks, first_sentences, shape, max_chars=config.map_group_chars, combine=ends)
 
 
 def key_terms(texts: DataFrame, n: int = 10) -> DataFrame:

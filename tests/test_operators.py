@@ -1,5 +1,6 @@
 """Invariants of retrieval, catalog, chat, models and evaluation on small tables."""
 
+import dataclasses
 import math
 
 import pytest
@@ -159,6 +160,39 @@ def test_map_reduce_keeps_order(spark):
     assert got == "|".join(c * 4 for c in "abcdefghijkl")
 
 
+def test_groups_of_a_long_document(spark):
+    """Streamed in batches, beside a small document; a repeated position is not multiplied and no list of a document is built."""
+    lengths = [k * 7919 % 97 for k in range(5000)]
+    want, size, g = [], 0, 0
+    for n in lengths:
+        if size > 0 and size + n > 300:
+            size, g = 0, g + 1
+        size += n
+        want.append(g)
+    rows = [("d", k, "x" * n) for k, n in enumerate(lengths)] + [("e", 0, "y"), ("e", 0, "z"), ("e", 1, None)]
+    df = spark.createDataFrame(rows, "document_id string, position int, text string").repartition(5)
+    got = models.chunk_groups(df, 300)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    found = got.collect()
+    assert [r.grp for r in sorted((r for r in found if r.document_id == "d"), key=lambda r: r.position)] == want
+    assert sorted((r.position, r.text or "", r.grp) for r in found if r.document_id == "e") == [(0, "y", 0), (0, "z", 0), (1, "", 0)]
+
+
+def test_summary_of_many_groups(spark, monkeypatch):
+    """Joined few at a time, level by level, the summary is that of all condensed texts in one row."""
+    monkeypatch.setattr(models, "FAN", 3)
+    texts = {"a": [f"First {k}. Second {k}! Third {k}." for k in range(40)], "b": [f"open {k}" if k % 3 else f"Closed {k}. and" for k in range(40)], "c": ["one"], "d": [" ", "x. y"]}
+    df = spark.createDataFrame([(d, k, t) for d, ts in texts.items() for k, t in enumerate(ts)], "document_id string, position int, text string").repartition(3)
+    config = dataclasses.replace(models.DEFAULT, map_group_chars=10)
+    got = sorted(models.summarize(df, config).collect())
+    monkeypatch.setattr(models, "LEVELS", 0)
+    want = sorted(models.summarize(df, config).collect())
+    assert got == want and len(got) == 4
+    monkeypatch.setattr(models, "LEVELS", 2)
+    seen = models.map_reduce(df, models.first_sentences, F.length, max_chars=10, combine=lambda t: F.substring(t, 1, 5)).collect()
+    assert max(r.value for r in seen) <= 5 * 5 + 4 * 7  # 40 groups: 14 runs, 5 runs
+
+
 def test_prep(spark):
     docs = spark.createDataFrame([("a", "a.pdf"), ("b", "b.pdf")], "document_id string, filename string")
     prep = spark.createDataFrame([("a", "s", "[]", None)], "document_id string, summary string, terms string, questions string")
