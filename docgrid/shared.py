@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +38,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder and read it back."""
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as Parquet in the shared folder, read back, and a function that deletes it once no plan reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def delete() -> None:
+        sc = spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), delete
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder and read it back."""
+    return stored(df)[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def hashed_fold(doc_id: Column, folds: int) -> Column:
