@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,3 +79,24 @@ def hash_words(distinct: pa.Array) -> np.ndarray:
 
     h = xxhash.xxh3_64_intdigest
     return np.fromiter((h(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+
+
+#: Bits of a filter that names a set of hashes to every task: 4 MB, however many hashes there are.
+FILTER_BITS = 25
+
+
+def maybe_in(keys: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test for long hashes: true for all in column ``name`` of ``keys``, and for some others; the more, the more keys there are."""
+    cell = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    held[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("boolean")
+    def test(x: pa.Array) -> pa.Array:
+        x = x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        return pa.array((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(np.bool_))
+
+    return test

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -51,30 +52,78 @@ def test_query_equals_brute_force(spark, sf):
     assert any(a != c for a, _, c in got)
 
 
-@pytest.mark.parametrize("percent,growth,most_broadcast", [(85, 8, 10**6), (50, 2, 0)])
-def test_families(spark, percent, growth, most_broadcast):
+def chains(r, families=4, members=14):
     """Chains of near copies: neighbours link, far ones do not, so pivots alone do not find all."""
-    r = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     rows = []
-    for _ in range(4):
+    for _ in range(families):
         base = [r.choice(words) for _ in range(60)]
-        for _ in range(14):
+        for _ in range(members):
             base = list(base)
             for _ in range(r.randint(1, 2)):
                 base[r.randrange(len(base))] = r.choice(words)
             rows.append(" ".join(base).upper() if r.random() < 0.3 else "\t".join(base))
+    return rows
+
+
+@pytest.mark.parametrize("percent,block_bytes,range_bytes", [(85, 4_000_000, 16_000_000), (50, 700, 100)])
+def test_families(spark, percent, block_bytes, range_bytes):
+    rows = chains(random.Random(3))
     rows += [None, "", " \n", "one two", "One  two", "one two", rows[0], rows[0], "x"]
     ids = [*range(len(rows) - 3), None, None, 1000]
-    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in zip(ids, rows, strict=True)], "doc_id long, text string, sig string, n long").repartition(3)
+    docs = spark.createDataFrame([(i, t, "c", 1, "k") for i, t in zip(ids, rows, strict=True)], "doc_id long, text string, sig string, kept long, key string").repartition(3)
     want, group = brute(ids, rows, 4, percent)
-    found = J.jaccard_components(docs, percent=percent, growth=growth, most_broadcast=most_broadcast).collect()
+    found = J.jaccard_components(docs, percent=percent, block_bytes=block_bytes, range_bytes=range_bytes).collect()
     assert key([(r.doc_id, r.n_shingles, r.component_id) for r in found]) == key(want)
-    left = J.keep_one(docs, n=4, percent=percent, most_broadcast=most_broadcast).collect()
+    left = J.keep_one(docs, n=4, percent=percent).collect()
     full = {g for g, s in zip(group, sets_of(rows, 4), strict=True) if s}
     assert sum(1 for r in left if (r.text or "").split()) == len(full)
     assert sum(1 for r in left if not (r.text or "").split()) == 3
-    assert left[0].asDict().keys() == {"doc_id", "text", "sig", "n"}
+    assert left[0].asDict() == {"doc_id": left[0].doc_id, "text": left[0].text, "sig": "c", "kept": 1, "key": "k"}
+
+
+@pytest.mark.parametrize("swaps", [2, 3, 5, 9])
+def test_copies_of_a_text_that_is_not_there(spark, swaps):
+    """Variants of one text without the text itself: at some rate hardly any two of them link, and no pivot stands for them all."""
+    r = random.Random(swaps)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for _ in range(60):
+        w = base[: r.choice([120, 148, 150])]
+        for p in r.sample(range(len(w)), swaps):
+            w[p] = f"new{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    want, _ = brute(list(range(60)), rows, 4, 85)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert key([(x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(docs).collect()]) == key(want)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    long = [f"v{r.randrange(5000)}" for _ in range(400_000)]
+    near = [w if k % 80 else "edited" for k, w in enumerate(long)]
+    far = [w if k % 15 else "edited" for k, w in enumerate(long)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((far, long, near, long))], "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_filters_lose_nothing():
+    """Sketches and positions against the sets themselves."""
+    r = random.Random(9)
+    docs = chains(r, 3, 8)
+    sets = J.shingle_sets(pa.array(docs, pa.large_string()), 4)
+    for x in sets:
+        for y in sets:
+            differ = len(np.setxor1d(x, y))
+            assert sum(int(v).bit_count() for v in (J.odd_sketch(x) ^ J.odd_sketch(y)).view(np.uint64)) <= differ
+            assert J.suffix_bound(x, y) >= len(np.intersect1d(x, y))
+
+
+def test_levels_keep_order():
+    c = np.array([1, 2, 127, 128, 150, 1000, 10**6, 10**9])
+    got = J.levels(c).tolist()
+    assert got == sorted(got) and got[:4] == [1, 2, 127, 128] and got[4] < got[5]
 
 
 def test_empty_table(spark):
