@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from docgrid.config import DEFAULT, Config
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null if either vector has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    n = norm(a) * norm(b)
+    return F.when(n > 0, dot(a, b) / n)
 
 
 def unit(v: Column) -> Column:

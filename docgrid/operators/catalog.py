@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
 from docgrid.functions.columns import doc_type_label, is_ready, iso_time, status_kind, status_label, suffix_of
+from docgrid.shared import few
 
 
 def admission(uploads: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -48,7 +49,7 @@ def list_documents(documents: DataFrame, chunk_counts: DataFrame, user_id=None,
 
 def with_counts(documents: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     """Documents with ``n_chunks``, 0 where there are none."""
-    return documents.join(chunk_counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("long"))
+    return documents.hint("merge").join(chunk_counts, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("long"))
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
@@ -109,6 +110,7 @@ def dedup(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     live = batch.filter("status <> 'failed' and content_hash is not null").select("user_id", "content_hash", "uploaded_at", "document_id", F.lit(1).alias("_age"))
     if existing is not None:
         old = existing.filter("status <> 'failed' and content_hash is not null")
+        old = old.join(few(live.select("content_hash").distinct()), "content_hash", "left_semi")  # what the batch may repeat
         live = live.unionByName(old.select("user_id", "content_hash", "uploaded_at", "document_id", F.lit(0).alias("_age")))
     first = live.groupBy("user_id", "content_hash").agg(F.min_by("document_id", F.struct("_age", "uploaded_at", "document_id")).alias("_first"))
     on = F.col("b.user_id").eqNullSafe(F.col("f.user_id")) & (F.col("b.content_hash") == F.col("f.content_hash"))
@@ -134,9 +136,9 @@ def upsert_users(current: DataFrame, updates: DataFrame) -> DataFrame:
 
 def cascade_delete(tables: dict[str, DataFrame], document_ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the given documents and what hangs on them (documents, chunks, prep, sessions, messages)."""
-    out = {k: v.join(document_ids.select("document_id"), "document_id", "left_anti") for k, v in tables.items() if k != "messages"}
+    out = {k: v.hint("merge").join(document_ids.select("document_id"), "document_id", "left_anti") for k, v in tables.items() if k != "messages"}
     if "messages" in tables:
-        out["messages"] = tables["messages"].join(out["sessions"].select("session_id"), "session_id", "left_semi")
+        out["messages"] = tables["messages"].hint("merge").join(out["sessions"].select("session_id"), "session_id", "left_semi")
     return out
 
 
@@ -156,7 +158,7 @@ def constraint_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
         one("owner_content_unique", live.groupBy("user_id", "content_hash").count().filter("count > 1")),
         one("position_unique", chunks.groupBy("document_id", "position").count().filter("count > 1")),
         one("chunk_text", chunks.filter("text is null")),
-        one("chunk_document", chunks.join(documents.select("document_id"), "document_id", "left_anti")),
+        one("chunk_document", chunks.hint("merge").join(documents.select("document_id"), "document_id", "left_anti")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

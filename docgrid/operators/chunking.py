@@ -1,10 +1,11 @@
-"""Blocks to token-budgeted, overlapping chunks, as column expressions."""
+"""Blocks to token-budgeted, overlapping chunks: atoms as column expressions, packed by one ordered pass over each document."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
@@ -31,55 +32,84 @@ def atoms(text: Column, max_tokens: int, count: Counter = word_count) -> Column:
     return F.flatten(F.transform(sentences, cut))
 
 
-UNIT = "struct<text:string,page:int,n:int>"
-
-
-def packed(units: Column, max_tokens: int, overlap_tokens: int) -> Column:
-    """Chunks (text, page of the first unit) of units (text, page, n).
+def pack(units, max_tokens: int, overlap_tokens: int):
+    """Chunks (page of the first unit, text) of units (text, page, n) of one section run, in order; only the open chunk is held.
 
     Units fill a chunk up to the budget; a new chunk starts with the last units of the one before
     that fit into the overlap and leave room for the unit that comes.
     """
-    start = F.struct(F.array().cast("array<struct<text:string,page:int>>").alias("out"), F.array().cast(f"array<{UNIT}>").alias("cur"), F.lit(0).alias("n"))
-    whole = lambda cur: F.struct(F.array_join(F.transform(cur, lambda u: u["text"]), " ").alias("text"), F.element_at(cur, 1)["page"].alias("page"))
-
-    def tail(cur: Column, n: Column) -> Column:
-        seed = F.struct(F.array().cast(f"array<{UNIT}>").alias("t"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-        def step(acc: Column, u: Column) -> Column:
-            stop = acc["stop"] | (acc["n"] + u["n"] > overlap_tokens) | (acc["n"] + u["n"] + n > max_tokens)
-            return F.struct(
-                F.when(stop, acc["t"]).otherwise(F.concat(F.array(u), acc["t"])).alias("t"), F.when(stop, acc["n"]).otherwise(acc["n"] + u["n"]).alias("n"), stop.alias("stop")
-            )
-
-        return F.aggregate(F.reverse(cur), seed, step)
-
-    def step(acc: Column, u: Column) -> Column:
-        full = (F.size(acc["cur"]) > 0) & (acc["n"] + u["n"] > max_tokens)
-        rest = tail(acc["cur"], u["n"])
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(whole(acc["cur"])))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.concat(rest["t"], F.array(u))).otherwise(F.concat(acc["cur"], F.array(u))).alias("cur"),
-            F.when(full, rest["n"] + u["n"]).otherwise(acc["n"] + u["n"]).alias("n"),
-        )
-
-    return F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["out"], F.array(whole(acc["cur"])))).otherwise(acc["out"]))
+    held, size = [], 0
+    for unit in units:
+        if held and size + unit[2] > max_tokens:
+            yield held[0][1], " ".join(u[0] for u in held)
+            room, size, first = min(overlap_tokens, max_tokens - unit[2]), 0, len(held)
+            while first and size + held[first - 1][2] <= room:
+                first -= 1
+                size += held[first][2]
+            held = held[first:]
+        held.append(unit)
+        size += unit[2]
+    if held:
+        yield held[0][1], " ".join(u[0] for u in held)
 
 
 def chunks(block_rows: DataFrame, max_tokens: int | None = None, overlap_tokens: int | None = None, min_chars: int | None = None, count: Counter = word_count, config: Config = DEFAULT) -> DataFrame:
     """(document_id, position, page, section, text) of blocks (document_id, block, page, section, text).
 
     A chunk never mixes sections. Chunks shorter than ``min_chars`` are dropped before they are
-    numbered, after the overlap has been taken. ``count`` is the token counter.
+    numbered, after the overlap has been taken. ``count`` is the token counter. Units stream through a
+    task in the order of their document, so time is linear in them and memory does not follow a document.
     """
     max_tokens, overlap = max_tokens or config.chunk_max_tokens, config.chunk_overlap_tokens if overlap_tokens is None else overlap_tokens
     least = config.chunk_min_chars if min_chars is None else min_chars
-    runs = section_runs(block_rows)
-    units = runs.select("document_id", "run", "section", "block", "page", F.posexplode(atoms(F.col("text"), max_tokens, count)).alias("i", "t"))
+    units = section_runs(block_rows).select("document_id", "run", "section", "block", F.col("page").cast("int").alias("page"), F.posexplode(atoms(F.col("text"), max_tokens, count)).alias("i", "t"))
     units = units.withColumn("n", count(F.col("t")).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("block", "i", F.struct(F.col("t").alias("text"), F.col("page").cast("int").alias("page"), "n").alias("u"))))
-    grouped = units.groupBy("document_id", "run", "section").agg(F.transform(listed, lambda x: x["u"]).alias("units"))  # one section run
-    out = grouped.select("document_id", "run", "section", F.posexplode(packed(F.col("units"), max_tokens, overlap)).alias("i", "c"))
-    out = out.filter(F.length(_strip(F.col("c.text"))) >= least)
-    w = Window.partitionBy("document_id").orderBy("run", "i")
-    return out.select("document_id", (F.row_number().over(w) - 1).cast("int").alias("position"), "c.page", "section", "c.text")
+    kinds = dict(units.dtypes)
+
+    def stream(batches):
+        """Rows (document_id, position, page, section, text)."""
+        state = {"doc": None, "next": 0}
+
+        def rows():
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("document_id", "run", "section", "t", "page", "n")), strict=True)
+
+        def runs(source):
+            """(document_id, section, units) of each run; units are read on, so a run must be used up before the next one."""
+            row = next(source, None)
+            while row is not None:
+                doc, run, section = row[:3]
+
+                def own():
+                    nonlocal row
+                    while row is not None and row[:2] == (doc, run):  # noqa: B023
+                        yield row[3:]
+                        row = next(source, None)
+
+                yield doc, section, own()
+
+        def made():
+            for doc, section, own in runs(rows()):
+                if doc != state["doc"]:
+                    state["doc"], state["next"] = doc, 0
+                for page, text in pack(own, max_tokens, overlap):
+                    if len(text.strip()) >= least:
+                        yield doc, state["next"], page, section, text
+                        state["next"] += 1
+
+        held: list[tuple] = []
+        for row in made():
+            held.append(row)
+            if len(held) >= 1000:
+                yield _batch(held)
+                held = []
+        if held:
+            yield _batch(held)
+
+    types = [pa.string() if kinds["document_id"] == "string" else None, pa.int32(), pa.int32(), pa.string() if kinds["section"] == "string" else None, pa.string()]
+
+    def _batch(rows_: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows_], t) for k, t in enumerate(types)], names=["document_id", "position", "page", "section", "text"])
+
+    ordered = units.repartition("document_id").sortWithinPartitions("document_id", "run", "block", "i")
+    return ordered.mapInArrow(stream, f"document_id {kinds['document_id']}, position int, page int, section {kinds['section']}, text string")

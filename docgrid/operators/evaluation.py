@@ -87,11 +87,11 @@ def eval_contexts(rows: DataFrame, chunks: DataFrame, adversarial: bool = False,
     others = F.filter("candidate_ids", lambda c: c != F.col("positive_id"))
     ids = others if adversarial else F.concat(F.array("positive_id"), others)
     named = rows.select("query_id", "query", F.posexplode(F.slice(ids, 1, config.eval_context)).alias("i", "key"))
-    found = named.join(chunks.select("key", "page", "section", "text"), "key")
+    found = named.hint("merge").join(chunks.select("key", "page", "section", "text"), "key")
     text = F.concat(F.lit("[trang "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" | "), F.coalesce("section", F.lit("không rõ mục")), F.lit("]\n"), F.col("text"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"])  # three at most
     made = found.groupBy("query_id").agg(F.array_join(listed, "\n\n---\n\n").alias("context"))
-    return rows.select("query_id", "query").join(made, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    return rows.select("query_id", "query").hint("merge").join(made, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def evaluate(rows: DataFrame, chunks: DataFrame, answer, judge, adversarial: bool = False, config: Config = DEFAULT) -> DataFrame:
@@ -145,5 +145,5 @@ def match_ratio(chunk: Column, span: Column) -> Column:
 def highlight_spans(citations: DataFrame, spans: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Spans (document_id, page, span_id, span_text) that belong to a cited chunk (document_id, page, chunk_id, text) of the same page."""
     long = spans.filter(F.length(F.trim("span_text")) > 4)
-    pairs = citations.join(long, ["document_id", "page"]).withColumn("ratio", F.round(match_ratio(F.col("text"), F.col("span_text")), 6))
+    pairs = citations.hint("merge").join(long, ["document_id", "page"]).withColumn("ratio", F.round(match_ratio(F.col("text"), F.col("span_text")), 6))
     return pairs.filter(F.col("ratio") > threshold).select("document_id", "page", "chunk_id", "span_id", "ratio")

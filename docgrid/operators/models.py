@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
+from docgrid.shared import cut, few, written
 
 KINDS = ("summary", "terms", "questions")
 
@@ -95,7 +96,7 @@ def chunk_groups(chunks: DataFrame, max_chars: int = DEFAULT.map_group_chars) ->
     lengths = chunks.filter(F.col("document_id").isNotNull() & F.col("position").isNotNull()).select("document_id", "position", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lengths.schema[:2])
     numbered = lengths.repartition("document_id").sortWithinPartitions("document_id", "position", "n").mapInArrow(number, f"{kinds}, grp int")
-    return chunks.join(numbered, ["document_id", "position"])
+    return chunks.hint("merge").join(numbered, ["document_id", "position"])
 
 
 def group_texts(grouped: DataFrame) -> DataFrame:
@@ -158,9 +159,10 @@ def key_terms(texts: DataFrame, n: int = 10) -> DataFrame:
     """(document_id, term, tf, df, score, rank): the ``n`` terms of each document with the highest tf * ln((1 + N) / (1 + df))."""
     words = F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t))
     tf = texts.select("document_id", F.explode(F.filter(words, lambda t: F.length(t) >= 4)).alias("term")).groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = written(tf)
+    df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # so that a merge has two plain shuffles, whose hot terms adaptive execution splits
     total = texts.select("document_id").distinct().count()
-    scored = tf.join(df.hint("merge"), "term").withColumn("score", F.round(F.col("tf") * F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)), 6))
+    scored = tf.join(few(df, 200_000), "term").withColumn("score", F.round(F.col("tf") * F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)), 6))
     w = Window.partitionBy("document_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= n).select("document_id", "term", "tf", "df", "score", "rank")
 
@@ -202,7 +204,7 @@ def upsert_prep(prep: DataFrame, updates: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"unknown kind: {bad[0]['kind']!r}")
     new = updates.groupBy("document_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("value"))).alias(f"_{k}") for k in KINDS])
-    rows = prep.join(new, "document_id", "full_outer")
+    rows = prep.hint("merge").join(new, "document_id", "full_outer")
     return rows.select("document_id", *[F.coalesce(f"_{k}", k).alias(k) for k in KINDS])
 
 
@@ -212,16 +214,33 @@ def prep_outcomes(results: DataFrame) -> DataFrame:
     return results.groupBy("document_id").agg(*[F.max(F.when(F.col("kind") == k, state)).alias(k) for k in KINDS])
 
 
-def generate_prep(documents: DataFrame, chunks: DataFrame, prep: DataFrame, computers: dict = COMPUTERS) -> DataFrame:
-    """The prep table after all pending kinds of all documents have been computed."""
-    out = prep
+def prep_results(documents: DataFrame, chunks: DataFrame, prep: DataFrame, computers: dict = COMPUTERS) -> DataFrame:
+    """(document_id, kind, value, error) of all pending kinds: a value as JSON, or why there is none.
+
+    Kinds are computed apart: one that fails leaves an error for its documents and the others as they are. A document
+    without text has an error, too.
+    """
+    out = None
     for kind in KINDS:
-        open_ = prep_pending(documents, prep).filter(F.col("kind") == kind).select("document_id")
-        made = computers[kind](chunks.join(open_, "document_id", "left_semi"))
-        out = upsert_prep(out, made.select("document_id", F.lit(kind).alias("kind"), F.to_json(F.struct("value")).alias("value")))
+        open_ = cut(prep_pending(documents, prep).filter(F.col("kind") == kind).select("document_id"))
+        error = "document has no text yet"
+        try:
+            made = computers[kind](chunks.hint("merge").join(open_, "document_id", "left_semi"))
+            made = written(made.select("document_id", F.to_json(F.struct("value")).alias("value")))
+        except Exception as e:  # of a computer, while it plans or runs
+            made, error = open_.select("document_id", F.lit(None).cast("string").alias("value")), (str(e) or type(e).__name__)[:300]
+        rows = open_.hint("merge").join(made, "document_id", "left")
+        rows = rows.select("document_id", F.lit(kind).alias("kind"), "value", F.when(F.col("value").isNull(), error).alias("error"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def generate_prep(documents: DataFrame, chunks: DataFrame, prep: DataFrame, computers: dict = COMPUTERS) -> DataFrame:
+    """The prep table after all pending kinds of all documents have been computed; kinds that failed stay pending."""
+    made = prep_results(documents, chunks, prep, computers).filter("error is null")
+    return upsert_prep(prep, made.select("document_id", "kind", "value"))
+
+
 def pack_counts(prep: DataFrame) -> DataFrame:
     """(document_id, n_terms, n_questions) of a prep table with arrays; null while a kind is absent."""
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("int")

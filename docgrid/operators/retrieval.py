@@ -11,15 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
-from docgrid.functions.columns import cosine, query_terms
-
-#: Rows of a side that may be broadcast.
-MOST_BROADCAST = 10_000
-
-
-def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else with a merge hint."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+from docgrid.functions.columns import dot, norm, query_terms
+from docgrid.operators.models import rewrite
+from docgrid.shared import cut, hinted, is_small
 
 
 def readable(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -27,11 +21,16 @@ def readable(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return chunks.filter(F.length(F.trim("text")) >= config.min_chunk_chars)
 
 
-def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
-    """(question_id, chunk_id, rank from 0, score) of the nearest chunks of each question's document."""
-    q = questions.select("question_id", "document_id", F.col("embedding").alias("_q"))
-    c = readable(chunks, config).select("document_id", "chunk_id", "embedding")
-    scored = c.join(few(q), "document_id").select("question_id", "chunk_id", F.round(cosine(F.col("_q"), F.col("embedding")), 9).alias("score"))
+def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, small: bool | None = None) -> DataFrame:
+    """(question_id, chunk_id, rank from 0, score) of the nearest chunks of each question's document; chunks without a vector have no place.
+
+    ``small`` says whether questions are few, where that is known already.
+    """
+    small = is_small(questions) if small is None else small
+    q = questions.select("question_id", "document_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
+    c = readable(chunks, config).filter("embedding is not null").select("document_id", "chunk_id", "embedding", norm(F.col("embedding")).alias("_cn"))
+    n = F.col("_qn") * F.col("_cn")
+    scored = c.join(hinted(q, small), "document_id").select("question_id", "chunk_id", F.round(F.when(n > 0, dot(F.col("_q"), F.col("embedding")) / n), 9).alias("score"))
     return _ranked(scored, k)
 
 
@@ -41,11 +40,15 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("question_id", "chunk_id", (F.col("_n") - 1).cast("int").alias("rank"), "score")
 
 
+def _words(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_id, term) of each word of two characters and more."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t))
+    return chunks.select("document_id", "chunk_id", F.explode(F.filter(words, lambda t: F.length(t) >= 2)).alias("term"))
+
+
 def term_table(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, term, head, n): how often each term occurs in each chunk. Worth writing once."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t))
-    terms = chunks.select("document_id", "chunk_id", F.explode(F.filter(words, lambda t: F.length(t) >= 2)).alias("term"))
-    return terms.groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
+    return _words(chunks).groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
 
 
 def term_weight(n):
@@ -54,18 +57,19 @@ def term_weight(n):
     return series * 0.1 / 1.64493406685
 
 
-def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, terms: DataFrame | None = None) -> DataFrame:
+def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """(question_id, chunk_id, rank from 0, score) by prefix matches of the question's terms.
 
-    Terms have two characters at least, so their first two are a join key that loses nothing.
+    Terms have two characters at least, so their first two are a join key that loses nothing. Words are matched
+    before they are counted, so only those that are asked about travel; a written table of ``terms`` is used as it is.
     """
+    small = is_small(questions) if small is None else small
     q = questions.select("question_id", "document_id", query_terms(F.col("question"), config).alias("_t")).filter("_t is not null")
     q = q.select("question_id", "document_id", F.size("_t").alias("_m"), F.explode("_t").alias("q_term")).withColumn("head", F.substring("q_term", 1, 2))
+    t = _words(readable(chunks, config)).withColumn("head", F.substring("term", 1, 2)) if terms is None else terms
+    hits = t.join(hinted(q, small), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
     if terms is None:
-        asked = few(q.select("document_id").distinct())
-        terms = term_table(readable(chunks, config).join(asked, "document_id", "left_semi"))  # only documents that are asked about
-    t = terms
-    hits = t.join(few(q), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
+        hits = hits.groupBy("question_id", "chunk_id", "_m", "q_term", "term").agg(F.count(F.lit(1)).alias("n"))
     scored = hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(term_weight(F.col("n"))) / F.first("_m"), 9).alias("score"))
     return _ranked(scored, k)
 
@@ -87,13 +91,14 @@ def fused_topk(dense: DataFrame, lexical: DataFrame, k: int, config: Config = DE
     return top.select("question_id", "chunk_id", (F.col("_n") - 1).cast("int").alias("ord"), F.round("score", 6).alias("score"))
 
 
-def with_neighbors(hits: DataFrame, chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def with_neighbors(hits: DataFrame, chunks: DataFrame, config: Config = DEFAULT, small: bool | None = None) -> DataFrame:
     """``hits`` (question_id, document_id, position, ord, score) and, after them in position order with score 0, the chunks beside the first ones."""
     r = config.neighbor_radius
+    small = is_small(hits) if small is None else small
     near = hits.filter(F.col("ord") < config.expand_top)
     near = near.select("question_id", "document_id", F.explode(F.sequence(F.col("position") - r, F.col("position") + r)).alias("position"))
-    near = near.filter("position >= 0").distinct().join(hits.select("question_id", "position"), ["question_id", "position"], "left_anti")
-    found = readable(chunks, config).select("document_id", "position", "chunk_id").join(near, ["document_id", "position"])
+    near = near.filter("position >= 0").distinct().join(hinted(hits.select("question_id", "position"), small), ["question_id", "position"], "left_anti")
+    found = readable(chunks, config).select("document_id", "position", "chunk_id").join(hinted(near, small), ["document_id", "position"])
     extra = found.withColumn("score", F.lit(0.0)).withColumn("_after", F.lit(1)).withColumn("_o", F.col("position"))
     rows = hits.select("question_id", "document_id", "position", "chunk_id", "score", F.lit(0).alias("_after"), F.col("ord").alias("_o"))
     rows = rows.unionByName(extra.select(*rows.columns))
@@ -101,13 +106,18 @@ def with_neighbors(hits: DataFrame, chunks: DataFrame, config: Config = DEFAULT)
     return rows.select("question_id", "document_id", "position", "chunk_id", "score", (F.row_number().over(w) - 1).cast("int").alias("ord"))
 
 
-def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None) -> DataFrame:
-    """(question_id, document_id, position, chunk_id, score, ord): k fused hits of each question and their neighbours."""
+def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+    """(question_id, document_id, position, chunk_id, score, ord): k fused hits of each question and their neighbours.
+
+    The hits, a few narrow rows for each question, are checkpointed, since neighbours are taken from them.
+    """
     k = k or config.top_k
     pool = max(k * config.over_fetch, k)
-    top = fused_topk(dense_topk(questions, chunks, pool, config), lexical_topk(questions, chunks, pool, config, terms), k, config)
-    hits = top.join(chunks.select("chunk_id", "document_id", "position"), "chunk_id")
-    return with_neighbors(hits, chunks, config)
+    small = is_small(questions) if small is None else small
+    dense = dense_topk(questions, chunks, pool, config, small)
+    top = cut(fused_topk(dense, lexical_topk(questions, chunks, pool, config, terms, small), k, config))
+    hits = chunks.select("chunk_id", "document_id", "position").join(hinted(top, small), "chunk_id")
+    return with_neighbors(hits, chunks, config, small)
 
 
 def merge_subqueries(results: DataFrame, cap: int, k: int = DEFAULT.rrf_k) -> DataFrame:
@@ -121,16 +131,19 @@ def merge_subqueries(results: DataFrame, cap: int, k: int = DEFAULT.rrf_k) -> Da
     return top.select("question_id", "position", "chunk_id", "score", (F.col("_n") - 1).cast("int").alias("ord"))
 
 
-def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT) -> DataFrame:
+def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT, rewriter=None) -> DataFrame:
     """Two stages: more candidates than wanted, with neighbours, then the ``k`` best by ``scorer(question, text)``.
 
-    Without a scorer the first stage fetches ``k`` only. Scores are rounded to 4 places.
+    ``rewriter`` (a function of the question) rewrites questions first, for both stages; vectors of questions stay as they
+    are given. Without a scorer the first stage fetches ``k`` only. Scores are rounded to 4 places.
     """
     k = k or config.top_k
+    questions = rewrite(questions, rewriter, config)
+    small = is_small(questions)
     if scorer is None:
-        return hybrid_retrieval(questions, chunks, k, config).withColumn("score", F.round("score", 4))
-    found = hybrid_retrieval(questions, chunks, config.rerank_candidates, config)
-    rows = found.join(chunks.select("chunk_id", "text"), "chunk_id").join(few(questions.select("question_id", "question")), "question_id")
+        return hybrid_retrieval(questions, chunks, k, config, small=small).withColumn("score", F.round("score", 4))
+    found = hybrid_retrieval(questions, chunks, config.rerank_candidates, config, small=small)
+    rows = chunks.select("chunk_id", "text").join(hinted(found, small), "chunk_id").join(hinted(questions.select("question_id", "question"), small), "question_id")
     top = rerank(rows, scorer, k)
     return top.select("question_id", "document_id", "position", "chunk_id", F.round("score", 4).alias("score"), "rerank_score", "ord")
 
@@ -157,6 +170,6 @@ def term_overlap(question, text):
 
 def citations_only(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each question the pages and sections of its results in order, without any text."""
-    rows = results.select("question_id", "chunk_id", "ord").join(chunks.select("chunk_id", "page", "section"), "chunk_id")
+    rows = chunks.select("chunk_id", "page", "section").hint("merge").join(results.select("question_id", "chunk_id", "ord"), "chunk_id")
     entries = F.transform(F.array_sort(F.collect_list(F.struct("ord", "page", "section"))), lambda x: F.struct(x["page"].alias("page"), x["section"].alias("section")))
     return rows.groupBy("question_id").agg(entries.alias("citations"))

@@ -28,7 +28,7 @@ DENSE_SQL = """
 dense AS (SELECT question_id, chunk_id, (r - 1)::INTEGER AS rank, score FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM (
     SELECT question_id, chunk_id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score
-    FROM questions q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30)) WHERE r <= {pool})"""
+    FROM questions q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30 AND c.embedding IS NOT NULL)) WHERE r <= {pool})"""
 
 LEXICAL_SQL = """
 lexical AS (SELECT question_id, chunk_id, (r - 1)::INTEGER AS rank, score FROM (
@@ -76,12 +76,12 @@ def query(name: str, sql: str | None = None):
 
 @query("hybrid_retrieval", hybrid_sql(10) + " SELECT question_id, document_id, position, chunk_id, score, ord FROM found")
 def _(spark, sf):
-    return retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf))
+    return retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf, vectors=True))
 
 
 @query("dense_topk", base(DENSE_SQL.format(pool=60)) + " SELECT * FROM dense")
 def _(spark, sf):
-    return retrieval.dense_topk(V.questions(spark, sf), V.chunks(spark, sf), 60)
+    return retrieval.dense_topk(V.questions(spark, sf), V.chunks(spark, sf, vectors=True), 60)
 
 
 @query("lexical_topk", base(TERMS_SQL, LEXICAL_SQL.format(pool=60)) + " SELECT * FROM lexical")
@@ -91,14 +91,14 @@ def _(spark, sf):
 
 @query("rrf_fusion", base(TERMS_SQL, DENSE_SQL.format(pool=60), LEXICAL_SQL.format(pool=60)) + " SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM lexical) GROUP BY question_id, chunk_id")
 def _(spark, sf):
-    q, c = V.questions(spark, sf), V.chunks(spark, sf)
+    q, c = V.questions(spark, sf), V.chunks(spark, sf, vectors=True)
     both = retrieval.dense_topk(q, c, 60).unionByName(retrieval.lexical_topk(q, c, 60))
     return retrieval.rrf(both, ["question_id", "chunk_id"]).withColumn("score", F.round("score", 9))
 
 
 @query("neighbor_expansion", hybrid_sql(10) + " SELECT question_id, document_id, position, chunk_id, ord FROM found WHERE score = 0")
 def _(spark, sf):
-    found = retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf))
+    found = retrieval.hybrid_retrieval(V.questions(spark, sf), V.chunks(spark, sf, vectors=True))
     return found.filter("score = 0").drop("score")
 
 
@@ -125,7 +125,7 @@ subs AS (SELECT a.question_id AS top_id, a.document_id, k AS sq_index, a.questio
          FROM questions a, (SELECT unnest([0, 1, 2]) AS k) JOIN questions b ON a.question_id = b.question_id + 20 * k),
 dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM (
     SELECT top_id, sq_index, question_id, chunk_id, position, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score
-    FROM subs q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30)),
+    FROM subs q JOIN chunks c USING (document_id) WHERE length(trim(c.text)) >= 30 AND c.embedding IS NOT NULL)),
 m AS (SELECT top_id AS question_id, position, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min_by(chunk_id, sq_index * 1000 + rank) AS chunk_id, min(sq_index * 1000 + rank) AS seen
       FROM dense WHERE rank < 6 GROUP BY top_id, position)""")
     + " SELECT question_id, position, chunk_id, score, (r - 1)::INTEGER AS ord FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS r FROM m) WHERE r <= 12"
@@ -135,7 +135,7 @@ m AS (SELECT top_id AS question_id, position, round(sum(1.0::DOUBLE / (60 + rank
 @query("fanout_merge", FANOUT_SQL)
 def _(spark, sf):
     s = _subqueries(spark, sf).withColumn("_sub", F.col("question_id") * 10 + F.col("sq_index"))
-    c = V.chunks(spark, sf)
+    c = V.chunks(spark, sf, vectors=True)
     found = retrieval.dense_topk(s.select(F.col("_sub").alias("question_id"), "document_id", "embedding"), c, DEFAULT.ask_top_k)
     rows = found.select(F.floor(F.col("question_id") / 10).alias("question_id"), (F.col("question_id") % 10).cast("int").alias("sq_index"), "rank", "chunk_id")
     return retrieval.merge_subqueries(rows.join(c.select("chunk_id", "position"), "chunk_id"), DEFAULT.ask_max_chunks)
@@ -151,7 +151,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_s
 
 @query("rerank_topk", hybrid_sql(30) + "," + OVERLAP_SQL + " SELECT question_id, document_id, position, chunk_id, round(score, 4) AS score, rerank_score, (r - 1)::INTEGER AS ord FROM best WHERE r <= 10")
 def _(spark, sf):
-    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf), retrieval.term_overlap)
+    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf, vectors=True), retrieval.term_overlap)
 
 
 CITE = "concat_ws(', ', 'trang ' || page, nullif(section, ''))"
@@ -164,19 +164,19 @@ def _(spark, sf):
 
 @query("dedupe_sources", hybrid_sql(10) + f" SELECT question_id, coalesce(nullif({CITE}, ''), 'nguồn') AS label, min_by(chunk_id, ord) AS chunk_id, min(ord) AS ord FROM found JOIN chunks USING (chunk_id) GROUP BY 1, 2")
 def _(spark, sf):
-    c = V.chunks(spark, sf)
+    c = V.chunks(spark, sf, vectors=True)
     return chat.distinct_sources(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
 
 
 @query("context_text", hybrid_sql(10) + f" SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id")
 def _(spark, sf):
-    c = V.chunks(spark, sf)
+    c = V.chunks(spark, sf, vectors=True)
     return chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
 
 
 @query("citations_only", hybrid_sql(10) + " SELECT question_id, string_agg(page || ':' || section, ',' ORDER BY ord) AS citations FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id")
 def _(spark, sf):
-    c = V.chunks(spark, sf)
+    c = V.chunks(spark, sf, vectors=True)
     found = retrieval.citations_only(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c)
     return found.select("question_id", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["page"].cast("string"), x["section"])), ",").alias("citations"))
 
@@ -223,14 +223,46 @@ def _(spark, sf):
 ATOM = "regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(10), 'g')"
 
 
-@query("atoms", WITH + f"a AS (SELECT doc_id, unnest(list_filter(list_transform(string_split({ATOM}, chr(10)), lambda s: trim(s, ' \t\r\n')), lambda s: s <> '')) AS atom FROM documents) SELECT doc_id, count(*) AS n_atoms, sum(length(atom))::BIGINT AS n_chars, md5(string_agg(atom, '|' ORDER BY atom)) AS digest FROM a GROUP BY doc_id")
+@query(
+    "atoms",
+    WITH
+    + f"""s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split({ATOM}, chr(10)), lambda s: trim(s, ' \t\r\n')), lambda s: s <> '')) AS s FROM documents),
+n AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS n FROM s),
+a AS (SELECT doc_id, unnest(CASE WHEN n <= 12 THEN [s] ELSE list_transform(range(1, length(s) + 1, greatest(1, length(s) * 12 // n)), lambda p: substr(s, p, greatest(1, length(s) * 12 // n))) END) AS atom FROM n)
+SELECT doc_id, count(*) AS n_atoms, sum(length(atom))::BIGINT AS n_chars, md5(string_agg(atom, '|' ORDER BY atom)) AS digest FROM a GROUP BY doc_id""",
+)
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(chunking.atoms(F.col("text"), 1_000_000)).alias("atom"))
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(chunking.atoms(F.col("text"), 12)).alias("atom"))
     listed = F.array_join(F.array_sort(F.collect_list("atom")), "|")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.sum(F.length("atom")).alias("n_chars"), F.md5(listed.cast("binary")).alias("digest"))
 
 
-@query("chunks")
+# chunks of 40 words with an overlap of 6, as a recursion over the units of all section runs at once
+CHUNKED_SQL = (
+    BLOCKS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+r AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(section) OVER w IS DISTINCT FROM section THEN 1 ELSE 0 END AS nr FROM blocks WINDOW w AS (PARTITION BY document_id ORDER BY block)),
+runs AS (SELECT *, sum(nr) OVER (PARTITION BY document_id ORDER BY block ROWS UNBOUNDED PRECEDING) AS run FROM r),
+sent AS (SELECT document_id, run, section, page, block, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' \t\r\n')), lambda x: x <> '') AS l FROM runs)),
+counted AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS n FROM sent),
+sliced AS (SELECT document_id, run, section, page, block, i, generate_subscripts(l, 1) AS j, unnest(l) AS t FROM (
+  SELECT *, CASE WHEN n <= 40 THEN [s] ELSE list_transform(range(1, length(s) + 1, greatest(1, length(s) * 40 // n)), lambda p: substr(s, p, greatest(1, length(s) * 40 // n))) END AS l FROM counted)),
+units AS (SELECT document_id, run, section, row_number() OVER (PARTITION BY document_id, run ORDER BY block, i, j) AS u, {'t': t, 'page': page, 'n': len(regexp_extract_all(t, '\\S+'))} AS x FROM sliced),
+packs AS (
+  SELECT document_id, run, section, u, [x] AS cur, x.n::BIGINT AS size, CASE WHEN false THEN [x] END AS done FROM units WHERE u = 1
+  UNION ALL
+  SELECT document_id, run, section, u, list_append(kept, x), (coalesce(list_sum(list_transform(kept, lambda y: y.n)), 0) + x.n)::BIGINT, done FROM (
+    SELECT p.document_id, p.run, p.section, n.u, n.x, CASE WHEN p.size + n.x.n > 40 THEN p.cur END AS done,
+           CASE WHEN p.size + n.x.n <= 40 THEN p.cur ELSE
+             p.cur[list_min(list_filter(range(1, len(p.cur) + 2), lambda k: coalesce(list_sum(list_transform(p.cur[k:], lambda y: y.n)), 0) <= least(6, 40 - n.x.n))):] END AS kept
+    FROM packs p JOIN units n ON n.document_id = p.document_id AND n.run = p.run AND n.u = p.u + 1)),
+ended AS (SELECT document_id, run, section, u, done AS c FROM packs WHERE done IS NOT NULL
+          UNION ALL SELECT document_id, run, section, u + 1, cur FROM (SELECT *, max(u) OVER (PARTITION BY document_id, run) AS m FROM packs) WHERE u = m),
+texts AS (SELECT document_id, run, section, u, c[1].page AS page, array_to_string(list_transform(c, lambda y: y.t), ' ') AS text FROM ended)"""
+)
+
+
+@query("chunks", CHUNKED_SQL + " SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY run, u) - 1)::INTEGER AS position, page, section, text FROM texts WHERE length(trim(text, ' \t\r\n')) >= 20")
 def _(spark, sf):
     return chunking.chunks(structure.blocks(V.lines(spark, sf), V.HEADER), 40, 6, 20)
 
@@ -273,13 +305,33 @@ def _(spark, sf):
     return models.key_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query("summary_extract")
+SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace({0}, '(\\n\\n---\\n\\n|\\s)+', ' ', 'g'), '([.!?])\\s', '\\1' || chr(10), 'g'), chr(10)), lambda x: length(trim(x)) > 0)"
+
+
+@query(
+    "summary_extract",
+    GROUPS_SQL
+    + f""", t AS (SELECT document_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM g JOIN chunks USING (document_id, position) GROUP BY document_id, grp),
+p AS (SELECT document_id, grp, array_to_string({SENTENCES.format("text")}[1:2], ' ') AS p FROM t),
+a AS (SELECT document_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY grp) AS whole FROM p GROUP BY document_id),
+s AS (SELECT document_id, {SENTENCES.format("whole")} AS s FROM a)
+SELECT document_id, coalesce(s[1], '') AS context, array_to_string(s[1:5], ' ') AS main_content, array_to_string(s[2:4], ' | ') AS decision_points, coalesce(s[len(s)], '') AS impact FROM s""",
+)
 def _(spark, sf):
     v = models.summarize(V.chunks(spark, sf))
     return v.select("document_id", "value.context", "value.main_content", F.array_join("value.decision_points", " | ").alias("decision_points"), "value.impact")
 
 
-@query("term_explanations")
+@query(
+    "term_explanations",
+    WITH
+    + V.CHUNKS_SQL
+    + ", "
+    + terms_sql("(SELECT document_id, text FROM chunks)", "document_id")
+    + f""", w AS (SELECT DISTINCT document_id, position, unnest({TOKENS.format("text")}) AS term FROM chunks),
+f AS (SELECT document_id, term, min(position) AS position FROM w JOIN (SELECT document_id, term FROM k WHERE rank <= 10) USING (document_id, term) GROUP BY document_id, term)
+SELECT document_id, term, coalesce({SENTENCES.format("text").replace("(\\n\\n---\\n\\n|\\s)+", "\\s+")}[1], '') AS explanation FROM f JOIN chunks USING (document_id, position)""",
+)
 def _(spark, sf):
     return models.explained_terms(V.chunks(spark, sf)).select("document_id", F.explode("value").alias("x")).select("document_id", "x.term", "x.explanation")
 
@@ -654,7 +706,7 @@ def _(spark, sf):
 
 @query("system_prompts", hybrid_sql(10) + f", t AS (SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id) SELECT question_id, md5('Use the context.' || chr(10) || chr(10) || '<context>' || chr(10) || context || chr(10) || '</context>') AS digest FROM t")
 def _(spark, sf):
-    c = V.chunks(spark, sf)
+    c = V.chunks(spark, sf, vectors=True)
     made = chat.system_prompts(chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c), "Use the context.")
     return made.select("question_id", F.md5(F.col("system").cast("binary")).alias("digest"))
 
@@ -727,3 +779,140 @@ def _(spark, sf):
 @query("chunk_embeddings")
 def _(spark, sf):
     return models.embed_chunks(V.chunks(spark, sf)).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)), " ").alias("embedding"))
+
+
+# models, sources and evaluation that have no view of their own
+
+
+@query("prefixed_inputs", WITH + V.CHUNKS_SQL + "," + V.QUESTIONS_SQL + " SELECT 'p' || chunk_id AS id, md5('passage: ' || text) AS digest FROM chunks UNION ALL SELECT 'q' || question_id, md5('query: ' || question) FROM questions")
+def _(spark, sf):
+    digest = lambda text: F.md5(text.cast("binary"))
+    row = lambda df, mark, key: df.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), F.col("embedding").alias("digest"))
+    passages = models.embed_chunks(V.chunks(spark, sf), digest)
+    return row(passages, "p", "chunk_id").unionByName(row(models.embed_questions(V.questions(spark, sf), digest), "q", "question_id"))
+
+
+REWRITTEN = "CASE WHEN question_id % 2 = 0 THEN ' ' || reverse(question) || ' ' WHEN question_id % 3 = 0 THEN repeat(question, 9) END"
+REWRITTEN_SQL = V.QUESTIONS_SQL.replace("questions AS", "asked AS") + f""",
+questions AS (SELECT question_id, document_id, CASE WHEN length(trim(r)) BETWEEN 1 AND 160 AND NOT contains(trim(r), chr(10)) THEN trim(r) ELSE question END AS question, embedding FROM (SELECT *, {REWRITTEN} AS r FROM asked))"""
+
+
+@query("rewritten_topk", (hybrid_sql(30) + "," + OVERLAP_SQL).replace(V.QUESTIONS_SQL, REWRITTEN_SQL) + " SELECT question_id, document_id, position, chunk_id, round(score, 4) AS score, rerank_score, (r - 1)::INTEGER AS ord FROM best WHERE r <= 10")
+def _(spark, sf):
+    """Two stages over rewritten questions: some reversed, some rewritten too long, some not at all."""
+    made = lambda q: F.expr("CASE WHEN question_id % 2 = 0 THEN concat(' ', reverse(question), ' ') WHEN question_id % 3 = 0 THEN repeat(question, 9) END")
+    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf, vectors=True), retrieval.term_overlap, rewriter=made)
+
+
+@query("log_ids", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS found FROM (SELECT doc_id, md5(text) AS h FROM documents)")
+def _(spark, sf):
+    h = F.md5(F.col("text").cast("binary"))
+    uid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    i = F.col("doc_id") % 3
+    line = F.when(i == 0, F.concat(F.lit("INFO document_id="), uid, F.lit(" ready"))).when(i == 1, F.concat(F.lit("document_id="), F.substring(uid, 1, 30))).otherwise("no id")
+    return table(spark, sf, "documents").select("doc_id", C.document_id_of(line).alias("found"))
+
+
+@query("trace_inputs", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS system, CASE WHEN turn % 2 = 0 THEN text END AS message FROM conversations")
+def _(spark, sf):
+    kept = evaluation.trace_input(F.when(F.col("turn") % 2 == 0, F.col("role")), F.array("text"))
+    return table(spark, sf, "conversations").withColumn("x", kept).select("conv_id", "turn", "x.system", F.get("x.messages", F.lit(0)).alias("message"))
+
+
+@query("trace_round_trip", WITH + TRACES_SQL + " SELECT name, count(*) AS n, sum(latency_ms)::BIGINT AS ms, count(error) AS errors, sum(tok_in)::BIGINT AS tok_in FROM tr GROUP BY name")
+def _(spark, sf):
+    from docgrid.shared import new_path
+    from docgrid.sources import files
+
+    t = V.traces(spark, sf)
+    usage = F.struct(F.col("tok_in").alias("input"), F.col("tok_out").alias("output"), (F.col("tok_in") + F.col("tok_out")).alias("total"))
+    path = new_path(spark)
+    files.write_traces(t.select(F.col("trace_id").cast("string").alias("traceId"), "name", "model", F.col("latency_ms").alias("latencyMs"), usage.alias("usage"), F.col("start_time").alias("startTime"), F.col("end_time").alias("endTime"), "error"), path)
+    back = files.read_traces(spark, path)
+    return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("latencyMs").alias("ms"), F.count("error").alias("errors"), F.sum("usage.input").alias("tok_in"))
+
+
+@query("chunk_sink", "SELECT 'd' || (vec_id % 50) AS document_id, count(*) AS n, min(vec_id // 50)::INTEGER AS first, max(vec_id // 50)::INTEGER AS last FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    from docgrid.shared import new_path
+    from docgrid.sources import files
+
+    path, i = new_path(spark), F.col("vec_id")
+    files.write_chunks(table(spark, sf, "embeddings").select(F.concat(F.lit("d"), (i % 50).cast("string")).alias("document_id"), F.floor(i / 50).cast("int").alias("position"), "embedding"), path)
+    back = spark.read.parquet(path).filter("embedding is not null")
+    return back.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+@query("eval_corpus", WITH + V.CHUNKS_SQL + " SELECT document_id || '::' || position AS key, md5(text) AS digest FROM chunks")
+def _(spark, sf):
+    from docgrid.shared import new_path
+    from docgrid.sources import files
+
+    path = new_path(spark)
+    V.chunks(spark, sf).select(F.col("document_id").alias("doc_id"), "position", "page", "section", "text").write.json(path)
+    return files.read_eval_chunks(spark, path).select("key", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("extracted_pages", "SELECT page_id::VARCHAR AS document_id, CASE WHEN page_id % 7 <> 0 AND t <> '' THEN 1 END AS page, CASE WHEN page_id % 7 = 0 THEN 'unreadable' WHEN t = '' THEN 'no text' END AS error, CASE WHEN page_id % 7 <> 0 AND t <> '' THEN md5(t) END AS digest FROM (SELECT page_id, regexp_replace(replace(html, chr(12), ' '), '[\\x20\\x09-\\x0D]*<[^>]*>[\\x20\\x09-\\x0D]*', '', 'g') AS t FROM pages)")
+def _(spark, sf):
+    """Texts of web pages by an extractor that drops tags and cannot read one page in seven."""
+    from docgrid.sources import files
+
+    def tagless(content: bytes, name: str) -> str:
+        import re
+
+        if name == "broken":
+            raise ValueError("unreadable")
+        return re.sub(r"[\x20\x09-\x0D]*<[^>]*>[\x20\x09-\x0D]*", "", content.decode().replace("\f", " "))
+
+    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.when(F.col("page_id") % 7 == 0, "broken").otherwise("page").alias("filename"), F.col("html").cast("binary").alias("content"))
+    found = files.extract_pages(p, tagless)
+    return found.select("document_id", "page", "error", F.md5(F.col("page_text").cast("binary")).alias("digest"))
+
+
+@query("schema_assertion", "SELECT 'vec_id' AS \"column\", 'bigint' AS expected, 'bigint' AS found, true AS ok UNION ALL SELECT 'label', 'string', 'int', false UNION ALL SELECT 'gone', 'int', NULL, false UNION ALL SELECT 'size(embedding)', '64', count(*) FILTER (len(embedding) <> 64) || ' others', count(*) FILTER (len(embedding) <> 64) = 0 FROM embeddings")
+def _(spark, sf):
+    return K.schema_report(table(spark, sf, "embeddings"), {"vec_id": "bigint", "label": "string", "gone": "int"}, "embedding")
+
+
+@query("first_questions", "SELECT item_id AS query_id, text FROM benchmark ORDER BY item_id LIMIT 25")
+def _(spark, sf):
+    return evaluation.first_rows(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 25)
+
+
+@query(
+    "judged_answers",
+    ORACLES["eval_context"].replace("WITH ", "WITH RECURSIVE ", 1).rsplit(" SELECT query_id, coalesce(", 1)[0]
+    + ", c AS (SELECT query_id, coalesce(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i), '') AS context FROM rows_ LEFT JOIN f USING (query_id) GROUP BY query_id) SELECT query_id, least(length(context) / 2000.0::DOUBLE, 1.0)::DOUBLE AS groundedness, contains(context, 'trang') AS citation_ok, context <> '' AS answered, left(context, 20) AS reason FROM c WHERE query_id % 4 <> 0",
+)
+def _(spark, sf):
+    from docgrid.sources.files import chunk_key
+
+    c = V.chunks(spark, sf).withColumn("key", chunk_key(F.col("document_id"), F.col("position")))
+    p = F.col("question_id") % 20
+    name = lambda x: chunk_key(F.col("document_id"), x)
+    rows = V.questions(spark, sf).select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), name(p).alias("positive_id"), F.array(name(p + 1), name(p), name(F.lit(9999)), name(p + 2)).alias("candidate_ids"))
+    share = F.least(F.length("context") / F.lit(2000.0), F.lit(1.0))
+    told = F.to_json(F.struct(share.cast("string").alias("groundedness"), F.col("context").contains("trang").cast("string").alias("citation_ok"), (F.col("context") != "").cast("string").alias("answered"), F.substring("answer", 1, 20).alias("reason")))
+    judge = lambda context, query, answer: F.when(F.col("query_id") % 4 != 0, told)
+    return evaluation.evaluate(rows, c, lambda context, query: context, judge)
+
+
+@query(
+    "prep_isolated",
+    WITH + V.CHUNKS_SQL + ", d AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) SELECT document_id, 'fulfilled' AS summary, 'rejected' AS terms, CASE WHEN document_id < 'src15' THEN 'fulfilled' ELSE 'rejected' END AS questions, '{\"value\":' || n || '}' AS value FROM d",
+)
+def _(spark, sf):
+    """Prep packs where one kind fails for all documents and another one for some."""
+    c = V.chunks(spark, sf)
+    docs = c.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct()
+    none = F.lit(None).cast("string")
+    sizes = lambda chunks: chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("value"))
+
+    def broken(chunks):
+        raise RuntimeError("no model")
+
+    prep = docs.limit(0).select("document_id", none.alias("summary"), none.alias("terms"), none.alias("questions"))
+    made = models.prep_results(docs, c, prep, {"summary": sizes, "terms": broken, "questions": lambda chunks: sizes(chunks).filter("document_id < 'src15'")})
+    values = made.filter("kind = 'summary'").select("document_id", "value")
+    return models.prep_outcomes(made).hint("merge").join(values, "document_id")

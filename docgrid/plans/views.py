@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.shared import table
@@ -12,10 +12,9 @@ HEADER = r"^\s*(The|De|Der|La)[ .,]"
 
 CHUNKS_SQL = """
 chunks AS (
-  SELECT chunk_id, document_id, p::INTEGER AS position, (p // 5 + 1)::INTEGER AS page, section, text, embedding
-  FROM (SELECT d.doc_id AS chunk_id, d.source AS document_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS p,
-               d.lang AS section, d.text, e.embedding::DOUBLE[] AS embedding
-        FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id))"""
+  SELECT d.doc_id AS chunk_id, 'src' || (d.doc_id % 20) AS document_id, (d.doc_id // 20)::INTEGER AS position, (d.doc_id // 100 + 1)::INTEGER AS page,
+         d.lang AS section, d.text, e.embedding::DOUBLE[] AS embedding
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 QUESTIONS_SQL = """
 questions AS (
@@ -37,14 +36,17 @@ lines AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"""
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    p = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = d.join(e, d["doc_id"] == e["vec_id"]).withColumn("_p", p)
-    return rows.select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("_p").cast("int").alias("position"),
-        (F.floor(F.col("_p") / 5) + 1).cast("int").alias("page"), F.col("lang").alias("section"), "text", "embedding",
+def chunks(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
+    """Every text as a chunk of one of 20 documents; with ``vectors`` also its embedding, null where it has none."""
+    i = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        i.alias("chunk_id"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("document_id"), F.floor(i / 20).cast("int").alias("position"),
+        (F.floor(i / 100) + 1).cast("int").alias("page"), F.col("lang").alias("section"), "text",
     )
+    if not vectors:
+        return rows
+    e = table(spark, sf, "embeddings")
+    return rows.join(e, rows["chunk_id"] == e["vec_id"], "left").select(*rows.columns, "embedding")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,10 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_dir(spark).rstrip('/')}/docgrid/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as Parquet in the shared folder, read back, and a function that deletes it once no plan reads it any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docgrid/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
 
     def delete() -> None:
@@ -57,6 +62,24 @@ def written(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
+#: Rows of a side that may be broadcast.
+MOST_BROADCAST = 10_000
+
+
+def is_small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether ``df`` has at most ``most`` rows; stops counting beyond."""
+    return df.limit(most + 1).count() <= most
+
+
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    """``df`` to be broadcast if it is small, else to be merged, whatever size Spark guesses for it."""
+    return F.broadcast(df) if small else df.hint("merge")
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    return hinted(df, is_small(df, most))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with so many underscores before it that no column of ``df`` has it in any case."""
     taken, out = {c.lower() for c in df.columns}, []

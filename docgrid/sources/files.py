@@ -37,11 +37,11 @@ def plain_text(content: bytes, filename: str) -> str:
     return content.decode("utf-8")
 
 
-def extract_pages(files: DataFrame, extractor: Callable[[bytes, str], str] = plain_text) -> DataFrame:
-    """(document_id, page, page_text, error) of files (document_id, filename, content).
+def extract_texts(files: DataFrame, extractor: Callable[[bytes, str], str] = plain_text) -> DataFrame:
+    """(document_id, filename, text, error) of files (document_id, filename, content).
 
     The extractor turns bytes into text, one file at a time; a file that it cannot read, and one
-    without any text, is a row with an error and no page.
+    without any text, is a row with an error.
     """
 
     def read(batches: Iterator[pa.RecordBatch]):
@@ -52,11 +52,15 @@ def extract_pages(files: DataFrame, extractor: Callable[[bytes, str], str] = pla
                     text, error = extractor(content, name), None
                 except Exception as e:  # a broken file must not end the job
                     text, error = None, str(e)[:300]
-                rows.append((d, text, error if error or (text or "").strip() else "no text"))
-            kinds = (pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["document_id", "text", "error"])
+                rows.append((d, name, text, error if error or (text or "").strip() else "no text"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["document_id", "filename", "text", "error"])
+
+    return files.select(F.col("document_id").cast("string"), "filename", "content").mapInArrow(read, "document_id string, filename string, text string, error string")
 
-    raw = files.select(F.col("document_id").cast("string"), "filename", "content").mapInArrow(read, "document_id string, text string, error string")
+
+def extract_pages(files: DataFrame, extractor: Callable[[bytes, str], str] = plain_text) -> DataFrame:
+    """(document_id, page, page_text, error) of files (document_id, filename, content); a file without text is a row without a page."""
+    raw = extract_texts(files, extractor)
     good = page_texts(raw.filter("error is null").select("document_id", "text")).withColumn("error", F.lit(None).cast("string"))
     bad = raw.filter("error is not null").select("document_id", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("page_text"), "error")
     return good.unionByName(bad)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.operators import models
-from docgrid.plans.ingest import ingest
+from docgrid.plans.ingest import accept, ingest
+from docgrid.shared import written
 from docgrid.sources.files import TRACE_SCHEMA, described
 
+#: Steps of a document, in order; the last two end them.
+STATES = ("pending", "parsing", "embedding", "ready", "failed")
 DOCUMENT_FIELDS = ("document_id", "user_id", "filename", "size_bytes", "uploaded_at", "content_hash", "doc_type", "status", "error", "page_count", "kept_id")
 
 
@@ -23,20 +26,38 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
 def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", prep: bool = False, **options):
     """A query that ingests new files of a folder once each; call ``.start()`` on a trigger of your choice.
 
-    Each batch writes its rows under its own number, so a batch that is repeated replaces itself. Equal
-    content of an owner in an earlier batch is found in the documents table, which is the only state.
+    Each batch writes its rows under its own number, so a batch that is repeated replaces itself. Documents are there as
+    ``pending`` before any of them is read, and ``status`` holds an event for each step that they take (document_id, seq, status).
+    Equal content of an owner in an earlier batch is found in the documents table, which is the only state.
     With ``prep`` the prep packs of new documents are computed after they are stored; their failure leaves the ingest as it is.
     """
     schema = "document_id string, user_id string, filename string, size_bytes long, uploaded_at timestamp, content_hash string, doc_type string, status string, error string, page_count int, kept_id string"
 
+    kinds = [tuple(x.split()) for x in schema.split(", ")]
+
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
         rows = files.withColumn("user_id", F.lit(user_id).cast("string"))
         before = _stored(session, f"{target}/documents", schema + ", batch int")
         existing = before.filter((F.col("batch") != number) & (F.col("status") == "ready"))
-        documents, chunks = ingest(rows, existing, **options)
-        documents.select(*[F.col(c) for c in DOCUMENT_FIELDS]).write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+        accepted = written(accept(rows, existing, **{k: v for k, v in options.items() if k == "config"}))
+
+        def store(documents: DataFrame) -> None:
+            shown = [F.col(c) if c in documents.columns else F.lit(None).cast(dict(kinds)[c]).alias(c) for c in DOCUMENT_FIELDS]
+            documents.select(*shown).write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+
+        def tell(status: str, ids: DataFrame) -> None:
+            seq = STATES.index(status)
+            ids.select("document_id", F.lit(seq).alias("seq"), F.lit(status).alias("status")).write.mode("overwrite").parquet(f"{target}/status/batch={number}/step={seq}")
+
+        store(accepted)
+        tell("pending", accepted.filter("not reused"))
+        documents, chunks = ingest(rows, existing, accepted=accepted, on_status=tell, **options)
         chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+        documents = written(documents)
+        store(documents)
+        for status in ("ready", "failed"):
+            tell(status, documents.filter(F.col("status") == status))
         if prep:
             for kind in models.KINDS:
                 try:

@@ -38,6 +38,41 @@ def test_batch(spark, tmp_path):
     assert all(math.isclose(sum(x * x for x in r.embedding), 1, rel_tol=1e-4) for r in rows)
 
 
+def test_word_files_have_paragraphs_without_pages(spark, tmp_path):
+    put(tmp_path, "a.docx", "Điều 1\n\nfirst paragraph of it.\n second one \fwith a feed\nĐiều 2\nlast paragraph here.")
+    put(tmp_path, "b.docx", "a")
+    seen = []
+    files = S.read_files(spark, str(tmp_path)).withColumn("user_id", F.lit(None).cast("string"))
+    documents, chunks = I.ingest(files, config=SMALL, on_status=lambda s, ids: seen.append((s, ids.count())))
+    got = {r.filename: r for r in documents.collect()}
+    assert got["a.docx"].status == "ready" and got["a.docx"].page_count is None
+    assert got["b.docx"].status == "failed" and got["b.docx"].error == "no text"
+    assert seen == [("parsing", 2), ("embedding", 1)]
+    rows = chunks.orderBy("position").collect()
+    assert {r.page for r in rows} == {None} and [r.section for r in rows] == ["Điều 1", "Điều 1", "Điều 2"]
+
+
+def test_every_file_is_read_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    for k in range(4):
+        put(tmp_path / "in", f"{k}.pdf", f"text number {k} that is long enough")
+
+    def extractor(content, name):
+        import uuid
+
+        (log / f"{name}.{uuid.uuid4().hex}").touch()
+        if name == "2.pdf":
+            raise ValueError("broken")
+        return content.decode()
+
+    files = S.read_files(spark, str(tmp_path / "in")).withColumn("user_id", F.lit("u"))
+    documents, chunks = I.ingest(files, config=SMALL, extractor=extractor)
+    assert sorted((r.filename, r.status, r.error) for r in documents.collect())[2] == ("2.pdf", "failed", "broken")
+    assert chunks.select("document_id").distinct().count() == 3
+    assert len(list(log.iterdir())) == 4
+
+
 def test_write_chunks_needs_vectors(spark, tmp_path):
     df = spark.createDataFrame([("d", 0, [1.0]), ("d", 1, None)], "document_id string, position int, embedding array<double>")
     S.write_chunks(df.filter("position = 0"), str(tmp_path / "ok"))
@@ -67,6 +102,11 @@ def test_ingest_stream(spark, tmp_path):
     assert docs == {"a.pdf": "ready", "b.pdf": "reused", "c.pdf": "ready"}
     assert spark.read.parquet(f"{target}/chunks").select("document_id").distinct().count() == 2
     assert spark.read.parquet(f"{target}/prep/kind=summary").count() == 2
+    events = spark.read.parquet(f"{target}/status")
+    from docgrid.operators.catalog import illegal_transitions, latest_status
+
+    assert {r.status for r in latest_status(events).collect()} == {"ready"} and events.count() == 8
+    assert illegal_transitions(events).count() == 0
 
 
 def test_status_and_trace_streams(spark, tmp_path):
