@@ -20,18 +20,25 @@ KINDS = ("summary", "terms", "questions")
 
 
 def hashed_embedding(text: Column, dim: int = DEFAULT.embedding_dim) -> Column:
-    """Hashed words as a unit vector; stands in for an embedding model."""
+    """Hashed words as a unit vector; stands in for an embedding model.
+
+    The first 32 bits of a word's MD5 give its place (modulo ``dim``) and, by bit 16, its sign.
+    """
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        import zlib
+        from hashlib import md5
 
+        place: dict[str, tuple[int, int]] = {}  # of the words of this batch
         out = []
         for t in texts.to_pylist():
             v = np.zeros(dim)
             for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 - 2 * (h >> 16 & 1)
+                if w not in place:
+                    h = int(md5(w.encode()).hexdigest()[:8], 16)
+                    place[w] = h % dim, 1 - 2 * (h >> 16 & 1)
+                at, sign = place[w]
+                v[at] += sign
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32))
         return pa.array(out, pa.list_(pa.float32()))

@@ -760,25 +760,66 @@ def _(spark, sf):
     return K.owners(V.uploads(spark, sf))
 
 
-@query("ask_context")
-def _(spark, sf):
-    from docgrid.plans.ingest import ask
-
-    return ask(V.questions(spark, sf).drop("embedding"), models.embed_chunks(V.chunks(spark, sf)))
-
-
-@query("prep_generate")
+@query(
+    "prep_generate",
+    ORACLES["summary_extract"].rsplit("SELECT document_id, coalesce(s[1]", 1)[0]
+    + ", "
+    + terms_sql("(SELECT document_id, text FROM chunks)", "document_id").replace("t AS", "tt AS", 1).replace("FROM t ", "FROM tt ").replace("FROM t JOIN", "FROM tt JOIN").replace("s AS (SELECT document_id, term", "ss AS (SELECT document_id, term").replace("FROM s)", "FROM ss)")
+    + """
+SELECT document_id, CASE WHEN document_id < 'src3' THEN 's' ELSE coalesce(s[1], '') END AS summary, n_terms, questions
+FROM s JOIN (SELECT document_id, count(*) AS n_terms, string_agg('What does the document say about ' || term || '?', '|' ORDER BY rank) FILTER (rank <= 5) AS questions FROM k WHERE rank <= 10 GROUP BY document_id) USING (document_id)""",
+)
 def _(spark, sf):
     c = V.chunks(spark, sf)
     docs = c.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct()
     none = F.lit(None).cast("string")
     prep = docs.filter("document_id < 'src3'").select("document_id", F.lit("s").alias("summary"), none.alias("terms"), none.alias("questions"))
-    return models.generate_prep(docs, c, prep)
+    made = models.generate_prep(docs, c, prep)
+    value = lambda c, kind: F.from_json(c, f"value {kind}")["value"]
+    return made.select(
+        "document_id", F.coalesce(value("summary", "struct<context:string>")["context"], "summary").alias("summary"),
+        F.size(value("terms", "array<struct<term:string>>")).cast("long").alias("n_terms"), F.array_join(value("questions", "array<string>"), "|").alias("questions"),
+    )
+
+
+def hashed_sql(name: str, rows: str, key: str, text: str) -> str:
+    """A table ``name`` (key, v): hashed words as unit vectors."""
+    return f"""
+{name}_w AS (SELECT {key}, ('0x' || md5(w)[1:8])::BIGINT AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '\\S+')) AS w FROM {rows})),
+{name}_b AS (SELECT {key}, h % 64 AS b, sum(1 - 2 * ((h >> 16) & 1)) AS n FROM {name}_w GROUP BY ALL),
+{name}_m AS (SELECT {key}, map_from_entries(list((b, n::DOUBLE))) AS m, sqrt(sum(n * n)::DOUBLE) AS norm FROM {name}_b GROUP BY {key}),
+{name} AS (SELECT {key}, list_transform(range(64), lambda i: (CASE WHEN norm > 0 THEN coalesce(m[i], 0.0::DOUBLE) / norm ELSE 0 END)::FLOAT::DOUBLE) AS v FROM {name}_m)"""
+
 
+HASHED_CHUNKS_SQL = V.CHUNKS_SQL + "," + hashed_sql("cv", "chunks", "chunk_id", "'passage: ' || text")
 
-@query("chunk_embeddings")
+
+@query("chunk_embeddings", WITH + HASHED_CHUNKS_SQL + " SELECT chunk_id, i - 1 AS place, round(v[i], 6) AS value FROM (SELECT chunk_id, v, unnest(range(1, 65)) AS i FROM cv) WHERE v[i] <> 0")
+def _(spark, sf):
+    made = models.embed_chunks(V.chunks(spark, sf)).select("chunk_id", F.posexplode("embedding").alias("place", "value"))
+    return made.filter("value <> 0").select("chunk_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+ASK_SQL = (
+    WITH
+    + V.CHUNKS_SQL.replace("chunks AS", "chunks0 AS") + "," + V.QUESTIONS_SQL.replace("questions AS", "questions0 AS") + ","
+    + hashed_sql("cv", "chunks0", "chunk_id", "'passage: ' || text") + "," + hashed_sql("qv", "questions0", "question_id", "'query: ' || question")
+    + """,
+chunks AS (SELECT c.* EXCLUDE (embedding), v AS embedding FROM chunks0 c JOIN cv USING (chunk_id)),
+questions AS (SELECT q.* EXCLUDE (embedding), v AS embedding FROM questions0 q JOIN qv USING (question_id)),"""
+    + ",".join([TERMS_SQL, DENSE_SQL.format(pool=36), LEXICAL_SQL.format(pool=36), FUSED_SQL.format(k=6), NEIGHBOR_SQL])
+    + f""",
+merged AS (SELECT question_id, chunk_id, position, row_number() OVER (PARTITION BY question_id ORDER BY round(1.0::DOUBLE / (60 + ord + 1), 12) DESC, ord) AS r FROM found)
+SELECT question_id, string_agg('[' || r || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context
+FROM merged JOIN (SELECT chunk_id, page, section, text FROM chunks) c USING (chunk_id) WHERE r <= 12 GROUP BY question_id"""
+)
+
+
+@query("ask_context", ASK_SQL)
 def _(spark, sf):
-    return models.embed_chunks(V.chunks(spark, sf)).select("chunk_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)), " ").alias("embedding"))
+    from docgrid.plans.ingest import ask
+
+    return ask(V.questions(spark, sf).drop("embedding"), models.embed_chunks(V.chunks(spark, sf)))
 
 
 # models, sources and evaluation that have no view of their own
