@@ -10,8 +10,8 @@ all but 2k pairs, so nothing is lost. Windows that collide with an item are veri
 The distance of embeddings grows faster than the edit rate on long sequences. A long item is therefore
 cut into pieces that are searched each: if the whole item is within the edit rate, one piece is at least.
 
-Documents are mapped in one pass without a shuffle. Benchmark items go to the tasks in blocks of
-bounded size, one pass over the documents for each block.
+Documents are mapped without a shuffle. Benchmark items go to the tasks in blocks of bounded size; a pass over
+the documents takes a few blocks, and a benchmark of more of them takes more passes, so that what tasks hold does not grow.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.llm.text import coded, hash_words, mix64, small_batches, spans, words_of
+from docgrid.shared import fresh, written
 
-#: Bytes of benchmark text that one pass over the documents searches for.
-BLOCK_BYTES = 4_000_000
+#: Bytes of benchmark text of a block, and blocks that one pass over the documents searches for.
+BLOCK_BYTES, BLOCKS = 4_000_000, 8
 MOST_EDITS = 0.2
 #: Places sampled for a key, and repetitions: with half of the places differing, a key survives with 1/8, one of 40 with over 0.995.
 #: Half is what a fifth of edits makes of a sequence of up to about LONGEST words; longer ones differ in more.
@@ -36,6 +37,8 @@ LONGEST = 40
 CLASS_RATIO = 1.15
 #: Steps of the walk for a word of the longest item of a class: a walk takes two on average, and what lies behind its end tells nothing.
 STEPS = 1.8
+#: Windows whose keys are held at once.
+WINDOWS = 20_000
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,22 +71,34 @@ def cuts(n: int) -> list[int]:
     return [n * j // k for j in range(k + 1)]
 
 
-def best_fit(item: list[int], text: list[int]) -> tuple[int, int, int]:
-    """(edits, start, end) of the part of ``text`` nearest to ``item``; the leftmost end on ties."""
-    row = [(0, j) for j in range(len(text) + 1)]
+def best_fit(item: list[int], text: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, end) of the part of ``text`` nearest to ``item``; the leftmost end on ties.
+
+    A row of the alignment at a time; edits and start are one number, so the least of it has least edits, then the leftmost start.
+    """
+    n = len(text)
+    edit, at = np.int64(n + 1), np.arange(n + 1)
+    row = at.astype(np.int64)
     for i, a in enumerate(item, 1):
-        new = [(i, 0)]
-        for j, b in enumerate(text, 1):
-            new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
-        row = new
-    end = min(range(len(row)), key=lambda j: (row[j][0], j))
-    return row[end][0], row[end][1], end
+        new = row + edit
+        new[1:] = np.minimum(new[1:], row[:-1] + (text != a) * edit)
+        new[0] = i * edit
+        row = np.minimum.accumulate(new - at * edit) + at * edit
+    end = int((row // edit).argmin())
+    return int(row[end] // edit), int(row[end] % edit), end
 
 
 def pair_hashes(tokens: np.ndarray) -> np.ndarray:
     return mix64(tokens[:-1]) * np.uint64(3) + tokens[1:]
 
 
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the texts' words, the words as numbers, and the hashes of these."""
+    words, at = words_of(texts, lower=True)
+    codes, distinct = coded(words)
+    return at, codes, hash_words(distinct)
+
+
 class Index:
     """Benchmark items, or their pieces, by length class: their words, and their keys in sorted arrays."""
 
@@ -118,10 +133,10 @@ class Index:
         self.pairs = np.unique(np.concatenate([c[3] for c in self.classes] or [np.empty(0, np.uint64)]))
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
-        """For each text its matches: item_id, start and end word (end exclusive), edits; at most one for each item."""
-        words, at = words_of(texts, lower=True)
-        codes, distinct = coded(words)
-        hd = hash_words(distinct) if len(distinct) else np.empty(0, np.uint64)
+        return self.find(*tokenised(texts))
+
+    def find(self, at: np.ndarray, codes: np.ndarray, hd: np.ndarray) -> list[list[dict]]:
+        """For each text its matches: item_id, start and end word (end exclusive), edits; the nearest one of each item."""
         tokens = hd[codes] if len(hd) else np.empty(0, np.uint64)
         stop = np.repeat(at[1:], np.diff(at))
         found: list[dict[int, list[int]]] = [{} for _ in range(len(at) - 1)]
@@ -142,16 +157,18 @@ class Index:
             starts = begin[seen[np.maximum(wide - 1, begin)] - seen[begin] >= pairs_left]
             seen = np.concatenate([[0], np.cumsum(known[codes], dtype=np.int32)])
             starts = starts[seen[wide[starts]] - seen[starts] >= words_left]
-            for s in range(0, len(starts), 100_000):
-                w = starts[s : s + 100_000]
+            for s in range(0, len(starts), WINDOWS):
+                w = starts[s : s + WINDOWS]
                 mine = walk_keys(tokens, w, end[w], int(STEPS * size) + 1, self.seed)
                 lo, hi = np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")
                 rows, cols = np.nonzero(hi > lo)
-                for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-                    doc = int(np.searchsorted(at, w[r], side="right")) - 1
-                    for piece in np.unique(who[lo[r, c] : hi[r, c]]).tolist():
-                        item, skipped, _ = self.pieces[piece]
-                        found[doc].setdefault(item, []).append(int(w[r]) - skipped)
+                n = (hi - lo)[rows, cols]
+                hit = who[np.repeat(lo[rows, cols] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                met = np.unique(np.stack([np.repeat(rows, n), hit]), axis=1)
+                docs = np.searchsorted(at, w[met[0]], side="right") - 1
+                for doc, start, piece in zip(docs.tolist(), w[met[0]].tolist(), met[1].tolist(), strict=True):
+                    item, skipped, _ = self.pieces[piece]
+                    found[doc].setdefault(item, []).append(start - skipped)
         out = []
         for doc, per in enumerate(found):
             hits = []
@@ -175,11 +192,11 @@ class Index:
             while e + 1 < len(spots) and spots[e + 1] - spots[e] <= slack and spots[e + 1] - spots[s] < 4 * len(own):
                 e += 1
             b = min(stop, spots[e] + reach)
-            part = tokens[a:b].tolist()
+            listed = tokens[a:b].tolist()
             s = e + 1
-            if sum(w in words for w in part) < len(own) - most or sum(w in pairs for w in zip(part, part[1:], strict=False)) < len(own) - 1 - 2 * most:
+            if sum(w in words for w in listed) < len(own) - most or sum(w in pairs for w in zip(listed, listed[1:], strict=False)) < len(own) - 1 - 2 * most:
                 continue
-            edits, x, y = best_fit(own, part)
+            edits, x, y = best_fit(own, tokens[a:b])
             if edits <= most and (best is None or edits < best["edits"]):
                 best = {"item_id": self.ids[item], "start": a + x - first, "end": a + y - first, "edits": edits}
         return best
@@ -189,7 +206,7 @@ MATCHES = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
-def contamination(df: DataFrame, items: DataFrame, text_col: str = "text", out: str = "matches", rate: float = MOST_EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, text_col: str = "text", out: str = "matches", rate: float = MOST_EDITS, block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> DataFrame:
     """Add ``out``: matches of benchmark items (item_id, text) in the text of each row.
 
     An item of n words matches where a part of the text is within ``rate`` * n word edits (ASCII
@@ -201,32 +218,40 @@ def contamination(df: DataFrame, items: DataFrame, text_col: str = "text", out:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     sc = small_batches(df).sparkSession.sparkContext
-    lists = []
-    for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_bytes
-        block.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
-        shared = sc.broadcast(cloudpickle.dumps(Index([r.item_id for r in block], [r.text for r in block], rate)))
-        lists.append(_searcher(shared)(F.col(text_col).cast("string")))
-    return df.withColumn(out, lists[0] if len(lists) == 1 else F.concat(*lists))
-
-
-def _searcher(shared):
+    (before,) = fresh(df, "before")
+    found = df
+    for first in range(0, n_blocks, blocks):
+        shared = []
+        for k in range(first, min(first + blocks, n_blocks)):
+            block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # about block_bytes
+            block.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
+            shared.append(sc.broadcast(cloudpickle.dumps(Index([r.item_id for r in block], [r.text for r in block], rate))))
+        mine = _searcher(shared)(F.col(text_col).cast("string"))
+        if first == 0:
+            found = found.withColumn(out, mine)
+        else:  # what earlier passes have found is written, so that their blocks can be let go
+            found = written(found.withColumnRenamed(out, before)).withColumn(out, F.concat(before, mine)).drop(before)
+    return found
+
+
+def _searcher(shared: list):
     held: list[Index] = []
 
     @F.arrow_udf(MATCHES)
     def search(texts: pa.Array) -> pa.Array:
         if not held:
-            held.append(cloudpickle.loads(shared.value))
+            held.extend(cloudpickle.loads(x.value) for x in shared)
         out = []
         for s, n in spans(texts):
-            out += held[0].search(texts.slice(s, n))
+            words = tokenised(texts.slice(s, n))
+            out += [[hit for hits in per for hit in hits] for per in zip(*(index.find(*words) for index in held), strict=True)]
         return pa.array(out, _MATCH)
 
     return search
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Every match of a benchmark item in a document; documents without one have no row."""
+    """The nearest match of each benchmark item in a document that holds one; documents without any have no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items)

@@ -35,7 +35,7 @@ from docgrid.shared import cut, fresh, stored, written
 
 #: Bytes of text of a block, and of the text whose n-grams one range of the hash space holds. Messages shrink where
 #: there are as many ranges as a block has n-grams, so both should grow with executors' memory on a very large corpus.
-BLOCK_BYTES, RANGE_BYTES = 4_000_000, 16_000_000
+BLOCK_BYTES, RANGE_BYTES = 2_000_000, 8_000_000
 #: Long integers of an odd sketch.
 SKETCH = 16
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.shared import cut, running_start
+from docgrid.shared import cut, fresh, running_start
 
 #: Fixed values of the mix: weights by rank of the source, repeating, and the most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -187,17 +187,20 @@ def n_words(text: str = "text"):
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, columns as before. Sizes are words.
 
-    Rows that repeat id and text are interchangeable: one of them is laid out for all. ``mix`` goes to ``cube_mix``.
+    Rows that repeat id and text are interchangeable: one of them is laid out for all. A null or empty text has
+    size 0 and is taken as often as the mix takes it; an empty table stays empty; columns may have any names.
+    ``mix`` goes to ``cube_mix``.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string")))
-    rows = keyed.select(F.col(id_col).alias("_id"), "_key", F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    per = cube_mix(rows, ["_id", "_key"], **mix).groupBy("_id", "_key").agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_times"))
-    per = cut(per.filter("_n > 0").withColumnRenamed("_key", "_k"))
-    on = keyed[id_col].eqNullSafe(per["_id"]) & (keyed["_key"] == per["_k"])
-    joined = keyed.hint("shuffle_merge").join(per.hint("shuffle_merge"), on).drop("_k", "_id")
-    if not per.filter("_times > 1").isEmpty():
-        joined = joined.filter("_times = 1").unionByName(joined.filter("_times > 1").dropDuplicates([id_col, "_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    key, own_id, own_key, n, times, copy = fresh(docs, "key", "own_id", "own_key", "n", "times", "copy")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    rows = keyed.select(F.col(id_col).alias("_id"), F.col(key).alias("_key"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    per = cube_mix(rows, ["_id", "_key"], **mix).groupBy("_id", "_key").agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(times))
+    per = cut(per.filter(F.col(n) > 0).withColumnsRenamed({"_id": own_id, "_key": own_key}))
+    on = keyed[id_col].eqNullSafe(per[own_id]) & (keyed[key] == per[own_key])
+    joined = keyed.hint("shuffle_merge").join(per.hint("shuffle_merge"), on).drop(own_key, own_id)
+    if not per.filter(F.col(times) > 1).isEmpty():
+        joined = joined.filter(F.col(times) == 1).unionByName(joined.filter(F.col(times) > 1).dropDuplicates([id_col, key]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def op6_cube_mix(spark, sf_dir: str) -> DataFrame:

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows would make batches of many megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, so Spark's defaults of 10,000 rows and 64 MB would make batches of many megabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df):
-    """``df``, after its session has been told to hand Python ``BATCH_ROWS`` rows at once, unless a size is set there already."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(key, "10000") == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """``df``, after its session has been told to hand Python ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at once, unless sizes are set there already."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
+    if conf.get(_BYTES) in ("67108864b", "64MB"):
+        conf.set(_BYTES, f"{BATCH_BYTES}b")
     return df
 
 
@@ -46,7 +49,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray
 
 
 #: Bytes of text that are taken apart at once.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def spans(texts: pa.Array, most: int = PIECE_BYTES) -> list[tuple[int, int]]:
@@ -74,11 +77,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def hash_words(distinct: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    """64-bit hashes of words: a random number for each byte in its place, summed."""
+    words = rebased(distinct).cast(pa.large_binary())
+    n = np.asarray(pc.binary_length(words), dtype=np.int64)
+    if not len(n):
+        return np.empty(0, np.uint64)
+    ends = np.cumsum(n)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[: int(ends[-1])] if ends[-1] else np.empty(0, np.uint8)
+    place = np.arange(len(raw)) - np.repeat(ends - n, n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(raw.astype(np.uint64) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(256)), dtype=np.uint64)])
+    return mix64(total[ends] - total[ends - n] + n.astype(np.uint64))
 
 
 #: Bits of a filter that names a set of hashes to every task: 4 MB, however many hashes there are.

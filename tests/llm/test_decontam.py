@@ -33,13 +33,25 @@ def planted(seed=4, n_items=12):
     return items, docs, where
 
 
-def brute(items, docs, rate=D.MOST_EDITS):
+def distance(item, text):
+    """Least number of word edits between an item and any part of a text, column by column."""
+    column = list(range(len(item) + 1))
+    best = column[-1]
+    for w in text:
+        corner, column[0] = column[0], 0
+        for i, x in enumerate(item, 1):
+            corner, column[i] = column[i], min(corner + (x != w), column[i] + 1, column[i - 1] + 1)
+        best = min(best, column[-1])
+    return best
+
+
+def brute(items, docs, rate=0.2):
     low = lambda t: [w.lower() for w in t.split()]
     out = {}
     for d, text in enumerate(docs):
         for k, item in enumerate(items):
-            edits, _, _ = D.best_fit(low(item), low(text))
-            if edits <= D.most_edits(len(low(item)), rate):
+            edits = distance(low(item), low(text))
+            if edits <= int(rate * len(low(item))):
                 out[d, k] = edits
     return out
 
@@ -51,8 +63,8 @@ def test_search_against_all_alignments(spark):
         assert (k, item) in want
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for block_bytes in (10**7, 200):
-        rows = D.contamination(df, bench, block_bytes=block_bytes).select("doc_id", F.explode("matches").alias("m")).collect()
+    for block_bytes, blocks in ((10**7, 8), (200, 3)):
+        rows = D.contamination(df, bench, block_bytes=block_bytes, blocks=blocks).select("doc_id", F.explode("matches").alias("m")).collect()
         got = {(r.doc_id, r.m.item_id): r.m.edits for r in rows}
         assert set(got) <= set(want)
         assert len(got) >= 0.95 * len(want)
@@ -81,7 +93,7 @@ def test_query_finds_passages(spark, sf):
     assert exact and exact <= set(got)
     for (d, i), r in got.items():
         part = docs[d].lower().split()[r.start_word : r.end_word]
-        assert D.best_fit(items[i].lower().split(), part)[0] == r.edits
+        assert distance(items[i].lower().split(), part) == r.edits
 
 
 @pytest.mark.parametrize("n", [50, 200, 400])
@@ -116,5 +128,15 @@ def test_long_item_is_verified_whole():
     assert got[0][0] == {"item_id": 7, "start": 50, "end": 250, "edits": 0}
 
 
+def test_very_long_text(spark):
+    r = random.Random(6)
+    item = [f"i{k}" for k in range(30)]
+    text = [f"w{r.randrange(9000)}" for _ in range(400_000)]
+    text[250_000:250_030] = [*item[:12], "edited", *item[13:]]
+    df = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    (m,) = D.contamination(df, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).first().matches
+    assert (m.item_id, m.start, m.end, m.edits) == (5, 250_000, 250_030, 1)
+
+
 def test_index_of_nothing():
     assert D.Index([], []).search(pa.array(["a b", None])) == [[], []]
