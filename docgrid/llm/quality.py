@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.llm.text import coded, rebased, small_batches, spans, words_of
-from docgrid.shared import cut, written
+from docgrid.shared import cut, fresh, written
 
 #: Normalisation of a line: ASCII lower case, digits to 0; words are then joined by one space.
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
@@ -200,7 +200,7 @@ def quality_filter(
 ) -> DataFrame:
     """The rows of ``df`` that the rules keep, with the removed lines taken out of the text; columns as before.
 
-    Cases are as in ``quality_report``. The set of removed lines is counted first: up to
+    Cases are as in ``quality_report``; columns may have any names. Long texts are read whole. The set of removed lines is counted first: up to
     ``most_broadcast`` hashes go to every task and texts are never shuffled; beyond, the lines'
     hashes are joined by document and the texts are shuffled once.
     """
@@ -208,6 +208,7 @@ def quality_filter(
     frequent = written(frequent_lines(facts, min_docs, host_share))
     spark = df.sparkSession
     n = frequent.count()
+    result, own_host, own_key, of_host, of_text, gone_lines = fresh(df, "clean", "host", "key", "of_host", "of_text", "gone")
     limits = (least_left, least_words, most_repeated)
     if n <= most_broadcast:
         gone = np.sort(np.array([r.h for r in frequent.collect()], np.int64))
@@ -217,7 +218,7 @@ def quality_filter(
         def clean(texts: pa.Array, hosts: pa.Array) -> pa.Array:
             return _cleaned(texts, hosts, [shared.value] * len(texts), limits)
 
-        done = df.withColumn("_clean", clean(F.col(text_col).cast("string"), _host(F.col(host_col))))
+        done = df.withColumn(result, clean(F.col(text_col).cast("string"), _host(F.col(host_col))))
     else:
         lines = facts.select(F.explode(F.transform("_q.lines", lambda x: F.struct("_q.text_hi", "_q.text_lo", x["h"].alias("h")))).alias("x"), "_host")
         lines = lines.select("_host", "x.text_hi", "x.text_lo", "x.h").distinct()
@@ -237,12 +238,13 @@ def quality_filter(
         def clean_own(texts: pa.Array, hosts: pa.Array, gone: pa.Array) -> pa.Array:
             return _cleaned(texts, hosts, [np.array(g or [], np.int64) for g in gone.to_pylist()], limits)
 
-        rows = df.withColumn("_k", key(F.col(text_col).cast("string"))).withColumn("_host", _host(F.col(host_col)))
-        per = per.select(F.col("_host").alias("_h"), F.struct(F.col("text_hi").alias("hi"), F.col("text_lo").alias("lo")).alias("_t"), "_gone")
-        rows = rows.hint("shuffle_merge").join(per.hint("shuffle_merge"), (F.col("_host") == F.col("_h")) & (F.col("_k.hi") == F.col("_t.hi")) & (F.col("_k.lo") == F.col("_t.lo")), "left")
-        done = rows.withColumn("_clean", clean_own(F.col(text_col).cast("string"), F.col("_host"), F.col("_gone")))
-    done = done.filter("_clean.kept")
-    return done.select(*[F.col("_clean.text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+        rows = df.withColumn(own_key, key(F.col(text_col).cast("string"))).withColumn(own_host, _host(F.col(host_col)))
+        per = per.select(F.col("_host").alias(of_host), F.struct(F.col("text_hi").alias("hi"), F.col("text_lo").alias("lo")).alias(of_text), F.col("_gone").alias(gone_lines))
+        on = (F.col(own_host) == F.col(of_host)) & (F.col(own_key)["hi"] == F.col(of_text)["hi"]) & (F.col(own_key)["lo"] == F.col(of_text)["lo"])
+        rows = rows.hint("shuffle_merge").join(per.hint("shuffle_merge"), on, "left")
+        done = rows.withColumn(result, clean_own(F.col(text_col).cast("string"), F.col(own_host), F.col(gone_lines)))
+    done = done.filter(F.col(result)["kept"])
+    return done.select(*[F.col(result)["text"].alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 _CLEAN = pa.struct([("kept", pa.bool_()), ("text", pa.string())])
@@ -277,9 +279,9 @@ def _cleaned_of(texts: pa.Array, hosts: pa.Array, gone: list[np.ndarray], limits
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Verdict of the quality rules on every document, with the line limits of its SQL: 100 texts and 2 % of a host."""
+    """Verdict of the quality rules on every document, at their default limits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return quality_report(docs, ["doc_id"], min_docs=100, host_share=0.02)
+    return quality_report(docs, ["doc_id"])
 
 
 OP4_SQL = r"""
@@ -296,7 +298,7 @@ worded AS (SELECT doc_id, host, t, line, array_to_string(ws, ' ') AS nl, len(ws)
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT t) AS n_docs FROM d GROUP BY host),
 freq AS (SELECT host, nl, count(DISTINCT t) AS n FROM worded GROUP BY host, nl),
-gone AS (SELECT host, nl FROM freq JOIN hosts USING (host) WHERE n > 100 AND n > n_docs * 0.02),
+gone AS (SELECT host, nl FROM freq JOIN hosts USING (host) WHERE n > 10 AND n > n_docs * 0.02),
 lost AS (SELECT doc_id, sum(n) AS n_lost FROM worded JOIN gone USING (host, nl) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
