@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.shared import cut
+
 #: Turns are numbered and summed in spans of so many turn numbers, so that a very long conversation spreads over tasks.
 SPAN = 512
 
@@ -55,7 +57,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
     Of conversations with equal turns the smallest conv_id stays (null last) and ``n_copies`` counts them.
     """
-    t = prefix_hashes(turns)
+    t = cut(prefix_hashes(turns))  # three steps read them
     p = [f"p{k}" for k in range(4)]
     last = F.max_by(F.struct("len", *p), "len")
     whole = t.groupBy("conv_id").agg(last.alias("_w")).select("conv_id", "_w.*")

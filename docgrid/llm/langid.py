@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.llm.text import mix64, rebased, small_batches
-from docgrid.shared import hashed_fold
+from docgrid.shared import hashed_fold, written
 
-#: At most so many rows of each language are learned from (lowest hashes first); one in five of them only calibrates.
-PER_LANGUAGE = 500
-MOST_LANGUAGES = 1000
+#: At most so many texts of each language are learned from (lowest hashes first), one in five of them only calibrates; and at most
+#: so many languages, those with most texts, so that the model's size has a bound.
+PER_LANGUAGE, MOST_LANGUAGES = 500, 1000
 #: Characters that are handled together.
 PIECE = 1_000_000
 DISCOUNT = 0.75
@@ -182,25 +182,27 @@ class Model:
         ]
 
 
-def learned(docs: DataFrame, train: "F.Column", text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """The rows to learn from: the lowest hashes of each language, ``per_language`` of them; with ``_h``."""
+def learned(docs: DataFrame, train: "F.Column", text_col: str, lang_col: str, per_language: int, most_languages: int) -> DataFrame:
+    """(text, lang, _r) of the rows to learn from, written: distinct texts by rank of their hashes in their language, ``per_language`` of them."""
     rows = docs.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
+    largest = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_languages)
+    # hashes are even, so this share of them holds the lowest ones of a language several times over, however many texts it has
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language + 100) / F.col("_n"))
+    low = rows.join(F.broadcast(largest), "lang").filter(F.col("_h").cast("double") <= share * 2.0**64 - 2.0**63)  # most_languages rows
     w = Window.partitionBy("lang").orderBy("_h")
-    cuts = rows.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_language)
-    cuts = cuts.groupBy("lang").agg(F.max("_h").alias("_cut")).limit(MOST_LANGUAGES + 1).collect()
-    if len(cuts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    keep = F.lit(False)
-    for r in cuts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("_h") <= r["_cut"]))
-    return rows.filter(keep).dropDuplicates(["lang", "_h"])
+    sample = low.select("text", "lang", "_h").dropDuplicates(["lang", "_h"]).withColumn("_r", F.row_number().over(w))
+    return written(sample.filter(F.col("_r") <= per_language).select("text", "lang", "_r"))
 
 
-def fit(docs: DataFrame, train: "F.Column", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit and calibrate a model; what is gathered is bounded by ``per_language`` rows of each language."""
-    sample = learned(small_batches(docs), train, text_col, lang_col, per_language)
+def fit(docs: DataFrame, train: "F.Column", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fit and calibrate a model; what is gathered is bounded by ``per_language`` texts of each of ``most_languages``.
+
+    Every fifth text of a language calibrates, so a language of fewer is learned from whole. Repeated texts count once; null
+    texts and languages are left out; without labelled rows the model knows no language.
+    """
+    sample = learned(small_batches(docs), train, text_col, lang_col, per_language, most_languages)
 
     def letters(batches):
         for b in batches:
@@ -210,7 +212,7 @@ def fit(docs: DataFrame, train: "F.Column", text_col: str = "text", lang_col: st
             got = [c for c in seen if c.isalpha()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([seen[c] for c in got], pa.int64())], names=["c", "n"])
 
-    own = sample.filter(F.pmod("_h", F.lit(5)) != 0)
+    own = sample.filter("_r % 5 <> 0")
     alphabet = [r.c for r in own.mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy("c").collect()]
     table = letter_classes(alphabet)
 
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, train: "F.Column", text_col: str = "text", lang_col: st
         grams[r.lang][r.x, r.y, r.z] = r.n
     model = Model(grams, alphabet)
     if model.languages:
-        calibrate(model, sample.filter(F.pmod("_h", F.lit(5)) == 0))
+        calibrate(model, sample.filter("_r % 5 = 0"))
     return model
 
 

@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from docgrid.llm.text import small_batches
+
+from docgrid.llm.text import rebased, small_batches
+from docgrid.llm.text import spans as pieces
 
 
 @dataclass(frozen=True)
@@ -179,7 +181,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 def scan_batch(texts: pa.Array, rules: tuple[Rule, ...] = RULES, queries: list | None = None) -> list[list[tuple]]:
     """Spans (start, rank of the rule, end) of every text, leftmost and non-overlapping within a rule."""
     queries = queries or [trigram_query(r.pattern) for r in rules]
-    strings = pc.fill_null(texts.cast(pa.large_string()), "")
+    strings = pc.fill_null(rebased(texts).cast(pa.large_string()), "")
     low = [t.encode() for t in pc.ascii_lower(strings).to_pylist()]
     index = postings(low, sorted({g for q in queries for c in q for s in c for g in s}))
     plain = strings.to_pylist()
@@ -200,14 +202,14 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secret_spans
 
     A null or empty text has an empty list. Rows are independent: repeated rows give repeated
     results, an empty table an empty one. A column of the name ``out`` is replaced; all other
-    columns stay as they are. Work is a single pass without a shuffle.
+    columns stay as they are. Long texts are scanned whole. Work is a single pass without a shuffle.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     kinds = [r.kind for r in rules]
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        found = scan_batch(texts, rules, queries)
+        found = [x for s, n in pieces(texts) for x in scan_batch(texts.slice(s, n), rules, queries)]
         return pa.array([[{"kind": kinds[k], "start": s, "end": e} for s, k, e in x] for x in found], _SPAN_TYPE)
 
     return small_batches(df).withColumn(out, spans(F.col(text_col).cast("string")))

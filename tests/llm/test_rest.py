@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,36 @@ def test_shards(spark, sf):
     assert {(r.doc_id, r.shard, r.slot) for r in again.collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def plain_feistel(x, n, seed):
+    """The permutation on plain integers: rounds of mixed halves, walked along the cycle until below n."""
+    word = (1 << 64) - 1
+
+    def mix(v):
+        v ^= v >> 30
+        v = v * 0xBF58476D1CE4E5B9 & word
+        v ^= v >> 27
+        v = v * 0x94D049BB133111EB & word
+        return v ^ (v >> 31)
+
+    half = 1
+    while 1 << (2 * half) < n:
+        half += 1
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in range(1, 9):
+            left, right = right, left ^ (mix(right ^ mix(k * 0x9E3779B97F4A7C15 + seed & word)) & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shards_equal_plain_permutation(spark, sf):
+    """Rank by id, permute, divide: the whole query again on plain integers."""
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    want = {d: divmod(plain_feistel(k, len(ids), 1), 8) for k, d in enumerate(ids)}
+    assert {r.doc_id: (r.slot, r.shard) for r in sharding.op1_feistel_shards(spark, sf).collect()} == want
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(None, None, "c")] * 3 + [(1, "", "c"), (1, "x" * 50_000, None), (2, "é", "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(3)
@@ -107,6 +138,24 @@ def test_frequent_lines_of_an_ordinary_host(spark):
         assert all("Notice" not in t for t in got.values()) and sum(heading in t for t in got.values()) == 5
 
 
+def test_lines_fall_on_a_given_table(spark):
+    """The method acts at its default limits: lines that many texts of a host share are lost in the given tables."""
+    report = quality.op4_quality_rules(spark, "/root/testdata/sf0.01")
+    lost, rejected = report.agg(F.sum(F.col("n_lost_words")), F.sum((~F.col("kept") & ~F.col("base_failed")).cast("int"))).first()
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert con.sql(f"SELECT sum(n_lost_words), sum((NOT kept AND NOT base_failed)::INT) FROM ({quality.OP4_SQL})").fetchall() == [(lost, rejected)]
+    assert lost > 0
+
+
+def test_quality_of_a_very_long_text(spark):
+    line = lambda k: f"word{k} of{k} a{k} long{k} document{k}"
+    docs = spark.createDataFrame([(1, "h", "\n".join(line(k) for k in range(60_000)))], "doc_id long, source string, text string")
+    r = quality.quality_report(docs, ["doc_id"]).first()
+    assert (r.n_words, r.n_dup_lines, r.n_repeat_words, r.kept) == (300_000, 0, 0, True)
+    assert quality.quality_filter(docs).first().text == docs.first().text
+
+
 # chats
 
 
@@ -183,6 +232,24 @@ def test_mix_blocks(spark, block, most_broadcast):
     assert mixing.cube_mix(df.limit(0), ["id"]).count() == 0
 
 
+def test_flight_against_its_definition():
+    """What the flight keeps, and that every unit is taken as often as its probability says."""
+    r = random.Random(3)
+    sizes, probs = [float(r.randint(0, 50)) for _ in range(40)], [r.choice([0.0, 1.0, r.random()]) for _ in range(40)]
+    total = np.zeros(40)
+    for seed in range(4000):
+        p = mixing.fly(list(range(40)), sizes, probs, seed, False)
+        assert sum(p) == pytest.approx(sum(probs), abs=1e-6) and sum(map(float.__mul__, p, sizes)) == pytest.approx(sum(map(float.__mul__, probs, sizes)), abs=1e-4)
+        assert sum(0 < x < 1 for x in p) <= 2 and all(x == y for x, y in zip(p, probs, strict=True) if y in (0, 1))
+        total += p
+    assert np.abs(total / 4000 - probs).max() < 0.04
+    # the landing of a rest of two units is the best of all four roundings
+    for a, b in ((3.0, 5.0), (10.0, 1.0)):
+        p = mixing.fly([0, 1], [a, b], [0.4, 0.7], 1, True)
+        off = min(abs(x * a + y * b - (0.4 * a + 0.7 * b)) for x in (0, 1) for y in (0, 1))
+        assert abs(p[0] * a + p[1] * b - (0.4 * a + 0.7 * b)) == pytest.approx(off)
+
+
 def test_mixed_documents(spark):
     rows = [(k, f"w{k} " * (k % 5 + 1), "a" if k < 8 else "b") for k in range(20)] + [(3, "w3 " * 4, "a"), (None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -204,6 +271,58 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_kneser_ney(texts, letters):
+    """log p(c | a, b) of an interpolated Kneser-Ney model, from lists of classes; letters is their number."""
+    tri = Counter(g for x in texts for g in zip([0, 0, *x], [0, *x], x, strict=False))
+    pairs = {(b, c) for _, b, c in tri}
+    lefts = lambda b, c: len({a for a, y, z in tri if (y, z) == (b, c)})
+    left = {bc: lefts(*bc) for bc in pairs}
+
+    def p1(c):
+        return (sum(z == c for _, z in pairs) + 0.5) / (len(pairs) + 0.5 * letters)
+
+    def p2(b, c):
+        own = {z: n for (y, z), n in left.items() if y == b}
+        total = sum(own.values())
+        return p1(c) if not own else max(own.get(c, 0) - 0.75, 0) / total + 0.75 * len(own) / total * p1(c)
+
+    def p3(a, b, c):
+        own = {z: n for (x, y, z), n in tri.items() if (x, y) == (a, b)}
+        total = sum(own.values())
+        return p2(b, c) if not own else max(own.get(c, 0) - 0.75, 0) / total + 0.75 * len(own) / total * p2(b, c)
+
+    return lambda a, b, c: np.log(p3(a, b, c))
+
+
+def test_language_models_equal_plain_ones(spark):
+    rows = [("en", "the cat sat on the mat, and the dog"), ("en", "a hat is on the cat"), ("fr", "le chat est sur la table"), ("fr", "la t\u00eate du chat, le chien"), ("de", "nur ein Satz")]
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == ["de", "en", "fr"]  # one text is enough to be learned from
+    counts = Counter(c for _, t in rows for c in t.lower() if c.isalpha())
+    alphabet = {c: k + 1 for k, c in enumerate(sorted(c for c, n in counts.items() if n >= 2))}
+
+    def classes(text):
+        out = [alphabet.get(c, len(alphabet) + 1) if c.isalpha() else 0 for c in text.lower()] + [0]
+        return [c for k, c in enumerate(out) if c or (k and out[k - 1])]
+
+    plain = {x: plain_kneser_ney([classes(t) for y, t in rows if y == x], len(alphabet) + 2) for x in model.languages}
+    for text in ("the hat", "une t\u00eate \u00df", "Satz und cat", "zzz"):
+        x = classes(text)
+        want = {lang: -np.mean([p(*g) for g in zip([0, 0, *x], [0, *x], x, strict=False)]) for lang, p in plain.items()}
+        got, _ = model.entropies(pa.array([text]))
+        assert got[0].tolist() == pytest.approx([want[lang] for lang in model.languages], rel=1e-4)
+        assert model.predict(pa.array([text]))[0]["lang"] == min(want, key=lambda k: (want[k], k))
+
+
+def test_most_languages(spark):
+    rows = [(k, f"{'xyz'[k % 3]} text number {k}", "abc"[k % 3] if k % 3 < 2 or k < 9 else None) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, F.lit(True), most_languages=2).languages == ["a", "b"]
+    sample = langid.learned(docs.unionByName(docs), F.lit(True), "text", "lang", 7, 5)
+    assert {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {"a": 7, "b": 7, "c": 3}
+
+
 def test_language_odd_rows(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat on the mat " * 3, "en"), ("le chat est sur la table " * 3, "fr")] * 6)]
     odd = [(90, None, "en"), (91, "", "fr"), (92, "123 !? \n", "en"), (93, "chat", None), (94, "x" * 3_000_000, "en"), (94, "x" * 3_000_000, "en"), (None, "the mat", None)]
@@ -258,6 +377,32 @@ def test_trigram_queries():
 # the pipeline
 
 
+def test_stages_with_odd_rows_and_clashing_names(spark, sf):
+    """Nulls, empty and very long texts, ties, repeated rows, and columns of all names that stages use inside."""
+    import corpus_pipeline as P
+    from docgrid.shared import written
+
+    r = random.Random(5)
+    text = lambda k, n=80: " ".join(f"w{k}x{r.randrange(500)}" for _ in range(n))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(k, text(k), "a" if k < 6 else "b") for k in range(10)]
+    rows += [rows[2], (None, text(90), None), (None, None, None), (11, "", "a"), (12, rows[3][1], "b"), (13, text(13, 150_000), "a"), (14, text(14) + " " + item + " " + text(15), "b")]
+    names = ["matches", "kept", "key", "maybe", "kept_id", "kept_key", "n", "times", "copy", "own_id", "own_key", "clean", "host", "of_host", "of_text", "gone", "_clean", "_k", "_n", "id", "h"]
+    docs = spark.createDataFrame([(*x, *[f"v{x[0]}"] * len(names)) for x in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    seen, now = [], docs
+    for name, stage in P.STAGES:
+        now = written(stage(spark, now, sf))
+        seen.append((name, Counter(r.doc_id for r in now.collect())))
+        if name != "sharding":
+            assert now.columns == docs.columns and all(r.kept == r["_n"] == r.h == f"v{r.doc_id}" for r in now.collect())
+    got = dict(seen)
+    assert got["quality"] == Counter({**{k: 1 for k in range(10)}, 2: 2, None: 1, 12: 1, 13: 1, 14: 1})
+    assert got["near_copies"] == Counter({**{k: 1 for k in range(10)}, None: 1, 13: 1, 14: 1})
+    assert got["decontamination"] == Counter({**{k: 1 for k in range(10)}, None: 1, 13: 1})
+    assert set(got["mixing"]) <= set(got["decontamination"]) and max(got["mixing"].values()) <= 3
+    assert got["sharding"] == got["mixing"]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
     from docgrid.shared import written
