@@ -682,11 +682,12 @@ def _(spark, sf):
     return K.illegal_transitions(V.statuses(spark, sf))
 
 
-@query("highlight_spans")
+# a line lies within the text that it is taken from, so all lines of a cited page match whole
+@query("highlight_spans", WITH + V.LINES_SQL + " SELECT document_id, page, document_id AS chunk_id, page * 100 + ln AS span_id, 1.0::DOUBLE AS ratio FROM lines WHERE length(trim(line)) > 4")
 def _(spark, sf):
     c = V.chunks(spark, sf).select(F.col("chunk_id").alias("document_id"), "chunk_id", "text")
     lines = V.lines(spark, sf).select("document_id", "page", (F.col("page") * 100 + F.col("ln")).alias("span_id"), F.col("line").alias("span_text"))
-    cited = c.join(lines.select("document_id", "page").distinct(), "document_id")
+    cited = c.hint("merge").join(lines.select("document_id", "page").distinct(), "document_id")
     return evaluation.highlight_spans(cited, lines)
 
 
@@ -957,3 +958,81 @@ def _(spark, sf):
     made = models.prep_results(docs, c, prep, {"summary": sizes, "terms": broken, "questions": lambda chunks: sizes(chunks).filter("document_id < 'src15'")})
     values = made.filter("kind = 'summary'").select("document_id", "value")
     return models.prep_outcomes(made).hint("merge").join(values, "document_id")
+
+
+@query(
+    "match_ratios",
+    WITH
+    + """p AS (SELECT doc_id, lower(nfc_normalize(substr(text, 1, 30))) AS a, lower(nfc_normalize(substr(text, 16, 40))) AS b FROM documents),
+i AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p), k AS (SELECT *, unnest(range(1, length(a) - i + 2)) AS k FROM i),
+m AS (SELECT doc_id, max(k) AS m FROM k WHERE contains(b, substr(a, i, k)) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN a <> '' AND b <> '' THEN round(coalesce(m, 0) / least(length(a), length(b)), 6) ELSE 0.0 END AS ratio FROM p LEFT JOIN m USING (doc_id)""",
+)
+def _(spark, sf):
+    """Longest common substrings of overlapping parts of texts."""
+    ratio = evaluation.match_ratio(F.substring("text", 1, 30), F.substring("text", 16, 40))
+    return table(spark, sf, "documents").select("doc_id", F.round(ratio, 6).alias("ratio"))
+
+
+@query("word_counts", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(C.word_count(F.col("text")), F.lit(0)).cast("long").alias("n"))
+
+
+def _streamed(stream):
+    """All that a stream has now, run to its end; the state after it."""
+    from docgrid.shared import new_path
+
+    spark = stream.sparkSession
+    path = new_path(spark)
+    job = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    job.option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("stream_status", ORACLES["status_latest"])
+def _(spark, sf):
+    """The latest status of each document from a stream of events."""
+    from docgrid.shared import new_path
+    from docgrid.streaming import jobs
+
+    path = new_path(spark)
+    V.statuses(spark, sf).repartition(4).write.parquet(path)
+    return _streamed(jobs.status_stream(spark.readStream.schema("document_id long, seq long, status string").option("maxFilesPerTrigger", 2).parquet(path)))
+
+
+@query("stream_traces", WITH + TRACES_SQL + " SELECT name, count(*) AS n, max(latency_ms) AS max_ms, sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out FROM tr GROUP BY name")
+def _(spark, sf):
+    """Statistics of a growing folder of traces; percentiles, which are approximate, are left out."""
+    from docgrid.shared import new_path
+    from docgrid.sources import files
+    from docgrid.streaming import jobs
+
+    t, path = V.traces(spark, sf), new_path(spark)
+    usage = F.struct(F.col("tok_in").alias("input"), F.col("tok_out").alias("output"))
+    files.write_traces(t.select("name", F.col("latency_ms").alias("latencyMs"), usage.alias("usage")), path)
+    return _streamed(jobs.trace_stream(spark, path)).select("name", "n", "max_ms", "tok_in", "tok_out")
+
+
+@query(
+    "ingest_files",
+    WITH
+    + f"""t AS (SELECT sha256(text || chr(10)) AS content_hash, any_value(text) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
+a AS (SELECT *, length(array_to_string(list_filter(list_transform(string_split({ATOM}, chr(10)), lambda s: trim(s, ' \t\r\n')), lambda s: s <> ''), ' ')) >= 40 AS ok, trim(text, ' \t\r\n') <> '' AS there FROM t)
+SELECT content_hash, n, n - 1 AS n_reused, CASE WHEN ok THEN 'ready' ELSE 'failed' END AS status, CASE WHEN there THEN 1 END AS page_count, CASE WHEN ok THEN NULL ELSE 'no text' END AS error FROM a""",
+)
+def _(spark, sf):
+    """All texts as files of a folder, ingested in one batch; by content."""
+    from dataclasses import replace
+
+    from docgrid.plans.ingest import ingest
+    from docgrid.shared import new_path
+    from docgrid.sources import files
+
+    path = new_path(spark)
+    table(spark, sf, "documents").filter("text is not null").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    found = files.read_files(spark, path, "*.txt").withColumn("user_id", F.lit(None).cast("string"))
+    documents, _ = ingest(found, config=replace(DEFAULT, doc_types=("txt",)))
+    new = F.when(F.col("status") != "reused", F.struct("status", "page_count", "error"))
+    per = documents.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "reused").alias("n_reused"), F.max(new).alias("x"))
+    return per.select("content_hash", "n", "n_reused", "x.status", "x.page_count", "x.error")
