@@ -164,8 +164,9 @@ def summarize(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def key_terms(texts: DataFrame, n: int = 10) -> DataFrame:
     """(document_id, term, tf, df, score, rank): the ``n`` terms of each document with the highest tf * ln((1 + N) / (1 + df))."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t))
-    tf = texts.select("document_id", F.explode(F.filter(words, lambda t: F.length(t) >= 4)).alias("term")).groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = texts.select("document_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1)).alias("term"))
+    words = words.withColumn("term", F.lower("term")).filter(F.length("term") >= 4)
+    tf = words.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = written(tf)
     df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # so that a merge has two plain shuffles, whose hot terms adaptive execution splits
     total = texts.select("document_id").distinct().count()

@@ -42,8 +42,8 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def _words(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, term) of each word of two characters and more."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t))
-    return chunks.select("document_id", "chunk_id", F.explode(F.filter(words, lambda t: F.length(t) >= 2)).alias("term"))
+    words = chunks.select("document_id", "chunk_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1)).alias("term"))
+    return words.withColumn("term", F.lower("term")).filter(F.length("term") >= 2)
 
 
 def term_table(chunks: DataFrame) -> DataFrame:
