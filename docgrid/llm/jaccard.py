@@ -223,11 +223,13 @@ def similar_links(signed: DataFrame, percent: int) -> DataFrame | None:
     # aggregates are checkpointed, so that both sides of the joins are plain shuffles, whose hot keys adaptive execution splits
     groups = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.min(F.struct("pos", "n", "id")).alias("p")).filter("c > 1")
     groups = cut(groups.select("h", "least", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos")))
+    if groups.isEmpty():
+        return None
     rows, drop_rows = stored(postings.hint("shuffle_merge").join(groups.hint("shuffle_merge"), "h").filter(_room("n", "pos", "least", percent)))
     pairs = rows.filter((F.col("id") != F.col("pid")) & _room("n", "pos", "pn", percent) & _room("pn", "ppos", "n", percent))
     tried = cut(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct())
-    links = _verified(tried, signed, percent)
-    comps = None if links.isEmpty() else components(links)
+    links = None if tried.isEmpty() else _verified(tried, signed, percent)
+    comps = None if links is None or links.isEmpty() else components(links)
 
     left = rows.select("h", "id", "n", "pos")
     if comps is None:
