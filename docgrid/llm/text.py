@@ -93,18 +93,28 @@ def hash_words(distinct: pa.Array) -> np.ndarray:
 FILTER_BITS = 25
 
 
-def maybe_in(keys: DataFrame, name: str) -> Callable[[Column], Column]:
-    """A test for long hashes: true for all in column ``name`` of ``keys``, and for some others; the more, the more keys there are."""
+def filter_of(keys: DataFrame, name: str):
+    """A broadcast of bits for the long hashes in column ``name`` of ``keys``, for ``passes``."""
     cell = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = keys.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     held[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(held)
+    return keys.sparkSession.sparkContext.broadcast(held)
+
+
+def passes(held: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether hashes pass a filter: all that it was made of do, and some others; the more, the more there were."""
+    cell = x.astype(np.int64).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (held[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(np.bool_)
+
+
+def maybe_in(keys: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test for long hashes by a filter of column ``name`` of ``keys``."""
+    shared = filter_of(keys, name)
 
     @F.arrow_udf("boolean")
     def test(x: pa.Array) -> pa.Array:
-        x = x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        return pa.array((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(np.bool_))
+        return pa.array(passes(shared.value, x.to_numpy(zero_copy_only=False)))
 
     return test

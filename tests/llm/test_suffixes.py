@@ -43,8 +43,8 @@ def test_query_equals_brute_force(spark, sf):
     assert sum(x[1] for x in got.values()) > 10_000
 
 
-@pytest.mark.parametrize("most_broadcast,hot_kinds", [(10**6, 10**5), (0, 2)])
-def test_hard_cases(spark, most_broadcast, hot_kinds):
+@pytest.mark.parametrize("range_rows", [40_000, 3])
+def test_hard_cases(spark, range_rows):
     r = random.Random(5)
     word = lambda n: "".join(r.choice("abé\n ") for _ in range(n))
     passage, other = word(300), word(260)
@@ -53,14 +53,49 @@ def test_hard_cases(spark, most_broadcast, hot_kinds):
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "hi long, text string, spans string").repartition(3)
     keys = {S.key_of((t or "").encode()): i for i, t in enumerate(texts)}
-    found = S.repeated_spans(docs, most_broadcast=most_broadcast, range_rows=50, hot_kinds=hot_kinds).collect()
+    found = S.repeated_spans(docs, range_rows=range_rows).collect()
     got = {keys[x.hi, x.lo]: [(s.start, s.end) for s in x.spans] for x in found}
     want = {keys[S.key_of((t or "").encode())]: s for t, s in zip(texts, brute(texts, 200), strict=True) if s}
     assert got == want
-    rest = S.remaining(docs, S.repeated_spans(docs), most_broadcast=most_broadcast).collect()
+    rest = S.remaining(docs, S.repeated_spans(docs)).collect()
     assert {keys[x.hi, x.lo] for x in rest} == set(want)
 
 
+@pytest.mark.parametrize("range_rows", [40_000, 5])
+def test_one_block_in_many_surroundings(spark, range_rows):
+    """A passage that many texts hold in part, so that its block has many surroundings, cut over many ranges."""
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    core = letters(230)
+    texts = [letters(r.randint(0, 60)) + core[r.randint(0, 40) : r.randint(180, 230)] + letters(r.randint(0, 60)) for _ in range(120)]
+    texts += [letters(30) + core[10:] + "x" * 100, "y" * 100 + core[:215] + letters(9)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    keys = {S.key_of(t.encode()): i for i, t in enumerate(texts)}
+    got = {keys[x.hi, x.lo]: [(s.start, s.end) for s in x.spans] for x in S.repeated_spans(docs, range_rows=range_rows).collect()}
+    assert got == {i: s for i, s in enumerate(brute(texts, 200)) if s}
+
+
+def test_long_runs(spark):
+    """Ten megabytes of spaces, and of a short period, within other bytes; and short runs of the same elsewhere."""
+    r = random.Random(11)
+    noise = lambda n: bytes(r.choices(b"efghijklmnopqrstuvwxyz", k=n)).decode()
+    texts = [noise(500) + " " * 10_000_000 + noise(500), noise(300) + "abcabd" * 1_700_000 + noise(300), noise(50) + " " * 230, "abcabd" * 34 + noise(40), noise(1000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    keys = {S.key_of(t.encode()): i for i, t in enumerate(texts)}
+    got = {keys[x.hi, x.lo]: [(s.start, s.end) for s in x.spans] for x in S.repeated_spans(docs).collect()}
+    assert got == {0: [(500, 10_000_500)], 1: [(300, 10_200_300)], 2: [(50, 280)], 3: [(0, 204)]}
+
+
+@pytest.mark.parametrize("piece", [300, 1000, 10**6])
+def test_anchors_by_pieces(piece):
+    """Pieces cut between anchors, so their size does not matter."""
+    r = random.Random(1)
+    raw = bytes(r.choices(b"abc ", k=4000)) + b" " * 900 + bytes(r.choices(b"abc ", k=500))
+    whole = [tuple(x) for part in S.anchors(raw, 200, 10**9) for x in zip(*part)]
+    assert [tuple(x) for part in S.anchors(raw, 200, piece) for x in zip(*part)] == whole
+    assert whole[0][1] == 0 and whole[-1][2] == len(raw) - 200 and all(a[2] + 1 == b[1] for a, b in zip(whole, whole[1:]))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeated_spans(docs).count() == 0
