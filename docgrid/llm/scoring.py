@@ -1,12 +1,13 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a word bigram model over the whole training part. Seen bigrams are arcs of states
-(the word before), every state has a failure arc to the unigram state, and words that training
-has not seen share one arc there. A text is read once from left to right, carrying the state and
-adding log-probabilities.
+The model is a word trigram model over the whole training part. States are seen pairs of words,
+words, and the root, which stands for no context. Seen trigrams are arcs of pair states and seen
+pairs arcs of word states; every pair state has a failure arc to the state of its last word, and
+that one to the root, where words that training has not seen share one arc. A text is read once from
+left to right, carrying the state and adding log-probabilities.
 
 Counts are exact and global, but no task ever holds the whole model. Texts lie in blocks of
-bounded size. Each block asks for the counts of its own words and bigrams: sorted hashes,
+bounded size. Each block asks for the counts of its own words, pairs and triples: sorted hashes,
 written as differences, one message for each range of the hash space, together with the block's
 own training counts. The owner of a range adds up and answers in the order of the question. Hot
 words are one entry for each block, and hashes spread evenly, so no range is larger than others.
@@ -17,17 +18,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.text import coded, hash_words, mix64, small_batches, words_of
+from docgrid.llm.blocks import opened, pack, sections, text_blocks, unpack
+from docgrid.llm.text import coded, hash_words, mix64, words_of
 from docgrid.shared import hashed_fold, written
 
-#: Bytes of text of a block, and how many hashes a range should hold for each block.
-BLOCK_BYTES = 8_000_000
-#: A seen bigram of a context counts at least this much, however new the context's successors are.
+#: Bytes of text of a block, and of the text whose hashes one range should hold. There is no most number of ranges: where
+#: a block has fewer hashes than there are ranges, a message holds one hash, so both should grow with executors' memory.
+BLOCK_BYTES, RANGE_BYTES = 3_000_000, 8_000_000
+#: A seen pair of a context counts at least this much, however new the context's successors are.
 LEAST_TRUST = 0.1
+MOST_DISCOUNT = 0.9
+#: A pair that occurred so often as a context gives half of its weight to the words that followed it.
+HALF_TRUST = 4.0
+#: Bits that hashes of pairs and triples have beyond those that number the bytes of all texts, so that they do not meet by chance.
+SPARE_BITS = 26
 #: Tokens that a lane of the traversal reads.
 LANE = 256
 BINS = 64
@@ -39,26 +46,6 @@ def _token_hash(word: bytes) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(word))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers as bytes: the width that the largest needs, then all low bytes, all next ones, and so on; compressed."""
-    import zstandard
-
-    x = x.astype("<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    width = raw[0]
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((flat.shape[1], 8), np.uint8)
-    out[:, :width] = flat.T
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 class Block:
     """Coded texts: every text is its words and one end."""
 
@@ -81,73 +68,95 @@ class Block:
         self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
         h = self.hashes
         self.pair_hashes = mix64(mix64(h[self.pairs >> 32]) * np.uint64(3) + h[self.pairs & 0xFFFFFFFF])
+        # triples end at every token but the first one of a text
+        self.inner = np.ones(len(ids), np.bool_)
+        self.inner[self.at[:-1]] = False
+        last = np.flatnonzero(self.inner)
+        self.triples, first, self.triple_of = np.unique((self.pair_of[last - 1] << 32) | ids[last], return_index=True, return_inverse=True)
+        self.ends = self.pair_of[last[first]]  # the pair that a triple ends with
+        self.triple_hashes = mix64(self.pair_hashes[self.triples >> 32] * np.uint64(5) + h[self.triples & 0xFFFFFFFF])
+
+    def asked(self, kind: int, bits: int) -> np.ndarray:
+        if kind == 1:
+            return self.hashes[: self.start]
+        return (self.pair_hashes if kind == 2 else self.triple_hashes) >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
-    def asked(self, kind: int) -> np.ndarray:
-        return self.hashes[: self.start] if kind == 1 else self.pair_hashes
-
-    def questions(self, train: np.ndarray, ranges: int):
-        """(range, kind, hashes, training counts) with hashes sorted."""
+    def questions(self, train: np.ndarray, range_bits: int, bits: int):
+        """(range, kind, hashes, training counts) with hashes sorted; a range is the first bits of a hash."""
         learn = np.repeat(train, np.diff(self.at))
-        for kind, of in ((1, self.ids), (2, self.pair_of)):
-            h = self.asked(kind)
-            n = np.bincount(of[learn], minlength=len(h))
+        for kind, of in ((1, self.ids[learn]), (2, self.pair_of[learn]), (3, self.triple_of[learn[self.inner]])):
+            h, low = self.asked(kind, bits), np.uint64(0 if kind == 1 else 64 - bits)
+            n = np.bincount(of, minlength=len(h))
             order = np.argsort(h)
-            cuts = np.searchsorted(h[order], range_starts(ranges))
-            for r, (s, e) in enumerate(zip(cuts, np.append(cuts[1:], len(h)), strict=True)):
-                if e > s:
-                    x = h[order[s:e]]
-                    yield r, kind, pack(np.concatenate([x[:1], np.diff(x)])), pack(n[order[s:e]])
+            x = h[order]
+            first = (x >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(x), np.int64)
+            for r, s, e in sections(first):
+                yield r, kind, pack(np.diff(x[s:e] >> low, prepend=np.uint64(0))), pack(n[order[s:e]])
 
-    def answered(self, kind: int, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    def answered(self, kind: int, answers: list[tuple[int, bytes]], bits: int) -> np.ndarray:
         """Counts in the block's own order."""
-        h = self.asked(kind)
+        h = self.asked(kind, bits)
         out = np.zeros(len(h), np.int64)
         if len(h):
             out[np.argsort(h)] = np.concatenate([unpack(x) for _, x in sorted(answers)]).astype(np.int64)
         return out
 
 
-def range_starts(ranges: int) -> np.ndarray:
-    return np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
-
-
 class Automaton:
-    """States are the words of a block that training knows, the start, and the unigram state (the root)."""
+    """States are the words of a block, the start, the root, and the pairs of the block; only those that training knows are entered."""
 
-    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, totals: dict):
-        self.root = block.start + 1
+    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, totals: dict):
+        self.block, self.root = block, block.start + 1
         n, v, d = totals["n"], totals["v"], totals["discount"]
         count = np.append(words, [totals["texts"], 0])  # of the words and the end, the start, the root
         self.known = count[: block.start] > 0
         with np.errstate(divide="ignore", invalid="ignore"):
             p1 = np.where(self.known, (count[: block.start] - d) / max(n, 1), d * v / n if n else 1.0)
             trust = np.where(count > 0, totals["trust"][np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), BINS - 1)], 0.0)
-            self.fail = np.log10(1 - trust)
-            self.fall = np.log10(p1)
-            seen = pairs > 0
-            self.arcs = block.pairs[seen]
-            state, token = self.arcs >> 32, self.arcs & 0xFFFFFFFF
-            self.weights = np.log10(trust[state] * pairs[seen] / count[state] + (1 - trust[state]) * p1[token])
+            state, token = block.pairs >> 32, block.pairs & 0xFFFFFFFF
+            p2 = np.where(pairs > 0, trust[state] * pairs / count[state], 0.0) + (1 - trust[state]) * p1[token]
+            self.seen = pairs > 0
+            self.fall, self.fail, self.weights = np.log10(p1), np.log10(1 - trust), np.log10(p2)
+            half = pairs / (pairs + HALF_TRUST)
+            self.fail_pair = np.log10(1 - half)
+            arcs = triples > 0
+            self.arcs, context = block.triples[arcs], block.triples[arcs] >> 32
+            self.arc_weights = np.log10(half[context] * triples[arcs] / pairs[context] + (1 - half[context]) * p2[block.ends[arcs]])
+
+    @staticmethod
+    def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.bool_)
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        return at, keys[at] == codes
+
+    def after(self, pair: np.ndarray) -> np.ndarray:
+        """The state that a text is in behind a pair of neighbours."""
+        token = self.block.pairs[pair] & 0xFFFFFFFF
+        return np.where(self.seen[pair], self.root + 1 + pair, np.where(self.known[token], token, self.root))
 
     def read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities of the tokens, and the states after them."""
-        code = (state << 32) | token
+        deep = state > self.root
+        pair = np.where(deep, state - self.root - 1, 0)
+        word = np.where(deep, self.block.pairs[pair] & 0xFFFFFFFF, state)
+        at2, there = self._find(self.block.pairs, (word << 32) | token)
+        hit2 = there & self.seen[at2]
+        weight = np.where(hit2, self.weights[at2], self.fail[word] + self.fall[token])
+        at3, hit3 = self._find(self.arcs, np.where(deep, (pair << 32) | token, -1))
+        weight = np.where(deep, self.fail_pair[pair], 0.0) + weight
         if len(self.arcs):
-            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
-            hit = self.arcs[at] == code
-            weight = np.where(hit, self.weights[at], self.fail[state] + self.fall[token])
-        else:
-            weight = self.fail[state] + self.fall[token]
-        return weight, np.where(self.known[token], token, self.root)
-
-    def traverse(self, block: Block) -> np.ndarray:
-        """Log-probability of each text. Texts are read in lanes of LANE tokens side by side; a lane that begins inside a text starts in the state that the token before it leads to."""
+            weight = np.where(hit3, self.arc_weights[at3], weight)
+        return weight, np.where(hit2, self.root + 1 + at2, np.where(self.known[token], token, self.root))
+
+    def traverse(self) -> np.ndarray:
+        """Log-probability of each text. Texts are read in lanes of LANE tokens side by side; a lane that begins inside a text starts in the state that the pair before it leads to."""
+        block = self.block
         ids, at = block.ids, block.at
         starts = np.concatenate([np.arange(s, e, LANE) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] or [np.empty(0, np.int64)])
         text = np.searchsorted(at, starts, side="right") - 1
         stops = np.minimum(starts + LANE, at[1:][text])
-        before = block.before[starts]
-        state = np.where(before == block.start, before, np.where(np.append(self.known, [True])[np.minimum(before, block.start)], before, self.root))
+        state = np.where(block.inner[starts], self.after(block.pair_of[starts - 1]), block.start)
         total = np.zeros(len(starts))
         order = np.argsort(-(stops - starts), kind="stable")
         starts, stops, state, text = starts[order], stops[order], state[order], text[order]
@@ -159,71 +168,28 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(at) - 1)
 
 
-def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(id_col, train, n_tokens, n_known, train_tokens, base_score, score) of each row, learning from rows where ``train`` holds.
 
     Null and empty texts are one end token. A null ``train`` is false. Without training rows nothing is known,
     and scores are those of the empty model (base: one class of weight 1, score 0). Repeated rows count and score as often as they
-    occur; a null id is kept. An empty table gives none. Other columns are ignored. ``id_col`` is an integer.
+    occur; a null id is kept. An empty table gives none. Long texts are read whole. Other columns are ignored. ``id_col`` is an integer.
     """
-    spark = small_batches(df).sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(4096, -(-size // (2 * block_bytes))))
-
-    def gather(batches):
-        import uuid
-
-        import zstandard
-
-        held, bytes_ = ([], [], []), 0
-
-        def out():
-            joined = zstandard.ZstdCompressor(level=3).compress("".join(held[2]).encode())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([uuid.uuid4().hex]),
-                    pa.array([held[0]], pa.list_(pa.int64())),
-                    pa.array([held[1]], pa.list_(pa.bool_())),
-                    pa.array([[len(t) for t in held[2]]], pa.list_(pa.int32())),
-                    pa.array([joined], pa.binary()),
-                ],
-                names=["block", "ids", "train", "chars", "raw"],
-            )
-
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
-            for i, t, x, s in zip(b.column("id").to_pylist(), b.column("train").to_pylist(), b.column("text").to_pylist(), sizes, strict=True):
-                if bytes_ and bytes_ + s > block_bytes:
-                    yield from out()
-                    held, bytes_ = ([], [], []), 0
-                for c, v in zip(held, (i, t, x or ""), strict=True):
-                    c.append(v)
-                bytes_ += s + 16
-        if held[0]:
-            yield from out()
-
-    blocks = written(rows.mapInArrow(gather, "block string, ids array<long>, train array<boolean>, chars array<int>, raw binary"))
-
-    def opened(b: dict) -> list[str]:
-        import zstandard
-
-        raw, at, out = zstandard.ZstdDecompressor().decompress(b["raw"]).decode(), 0, []
-        for n in b["chars"]:
-            out.append(raw[at : at + n])
-            at += n
-        return out
+    range_bits, bits = (size // range_bytes).bit_length(), min(64, size.bit_length() + SPARE_BITS)
+    blocks, _ = text_blocks(rows, "text", block_bytes)
 
     def ask(batches):
         for b in batches:
             for row in b.to_pylist():
                 block = Block(opened(row))
-                got = list(block.questions(np.array(row["train"], np.bool_), ranges))
+                got = list(block.questions(np.array(row["train"], np.bool_), range_bits, bits))
                 cols = list(zip(*got, strict=True)) or [[], [], [], []]
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(got), pa.string()), *[pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]], names=["block", "range", "kind", "hashes", "counts"])
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(got), pa.int64()), *[pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]], names=["block", "range", "kind", "hashes", "counts"])
 
-    asked = blocks.mapInArrow(ask, "block string, range int, kind int, hashes binary, counts binary")
+    asked = blocks.mapInArrow(ask, "block long, range long, kind int, hashes binary, counts binary")
 
     def answer(group: pa.Table) -> pa.Table:
         """All questions about one range of one kind: answers, and one row that sums the range up."""
@@ -242,9 +208,9 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
             bins = np.log2(np.maximum(own, 1)).astype(np.int64)
             sums = [[len(own), int(own.sum()), int((own == 1).sum()), int((own == 2).sum())], np.bincount(bins, minlength=BINS).tolist(), np.bincount(bins, weights=own, minlength=BINS).astype(np.int64).tolist()]
             out.append({"block": None, "range": number, "kind": 0, "counts": None, "bins": sums})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.string()), ("range", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary()), ("bins", pa.list_(pa.list_(pa.int64())))]))
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("range", pa.int64()), ("kind", pa.int32()), ("counts", pa.binary()), ("bins", pa.list_(pa.list_(pa.int64())))]))
 
-    answers = written(asked.groupBy("range", "kind").applyInArrow(answer, "block string, range int, kind int, counts binary, bins array<array<long>>"))
+    answers = written(asked.groupBy("range", "kind").applyInArrow(answer, "block long, range long, kind int, counts binary, bins array<array<long>>"))
     flat = answers.filter("kind = 0").select(F.posexplode("bins").alias("part", "x")).select("part", F.posexplode("x").alias("k", "n"))
     sums = {(r.part, r.k): r.n for r in flat.groupBy("part", "k").agg(F.sum("n").alias("n")).collect()}  # a constant number
     totals = model_totals(sums, rows.filter("train").count())
@@ -252,21 +218,21 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block = Block(opened(row))
-        got: dict[int, list] = {1: [], 2: []}
+        got: dict[int, list] = {1: [], 2: [], 3: []}
         for r in right.to_pylist():
             got[r["kind"]].append((r["range"], r["counts"]))
-        words, pairs = block.answered(1, got[1]), block.answered(2, got[2])
+        words, pairs, triples = (block.answered(k, got[k], bits) for k in (1, 2, 3))
         own, at = words[block.ids], block.at
         base = np.log10((words + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1)))[block.ids]
         cut_ = at[:-1]
         return pa.table(
             {
-                "id": pa.array(row["ids"], pa.int64()),
+                "id": pa.array(row["id"], pa.int64()),
                 "train": pa.array(row["train"], pa.bool_()),
                 "n_tokens": pa.array(np.diff(at)),
                 "n_known": pa.array(np.add.reduceat((own > 0).astype(np.int64), cut_)),
                 "base_score": pa.array(np.add.reduceat(base, cut_)),
-                "score": pa.array(Automaton(block, words, pairs, totals).traverse(block)),
+                "score": pa.array(Automaton(block, words, pairs, triples, totals).traverse()),
             }
         )
 
@@ -278,11 +244,11 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
 def model_totals(sums: dict, texts: int) -> dict:
     """Tokens, distinct tokens, discount and trust by size of context, from sums over the training tokens.
 
-    The discount is n1 / (n1 + 2 n2). The trust in the seen successors of a context that occurred c times is
+    The discount is n1 / (n1 + 2 n2), below 1 also where no word occurs twice. The trust in the seen successors of a context that occurred c times is
     what c draws from the unigram distribution leave to words drawn before, by bins of powers of two.
     """
     v, n, n1, n2 = (sums.get((0, k), 0) for k in range(4))
-    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d = min(n1 / (n1 + 2 * n2), MOST_DISCOUNT) if n1 else 0.5
     kinds = np.array([sums.get((1, k), 0) for k in range(BINS)], float)
     mass = np.array([sums.get((2, k), 0) for k in range(BINS)], float)
     p = np.where(kinds > 0, mass / np.maximum(kinds, 1) / max(n, 1), 0.0)

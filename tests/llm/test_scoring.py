@@ -1,8 +1,9 @@
 """Scores against a plain model of the whole training part."""
 
 import math
+import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,33 +19,44 @@ def tokens(text):
 
 
 def brute(rows):
-    """rows: (train, text) -> (n_tokens, n_known, N, base, score) each."""
-    uni, bi = Counter(), Counter()
+    """rows: (train, text) -> (n_tokens, n_known, N, base, score) each, by the formulas of the model on plain counters."""
+    uni, bi, tri = Counter(), Counter(), Counter()
     n_texts = 0
     for train, text in rows:
         if train:
-            t = tokens(text)
-            uni.update(t)
-            bi.update(zip(["\t", *t], t, strict=False))
+            t = ["\t", *tokens(text)]
+            uni.update(t[1:])
+            bi.update(zip(t, t[1:], strict=False))
+            tri.update(zip(t, t[1:], t[2:], strict=False))
             n_texts += 1
     n, v = sum(uni.values()), len(uni)
-    sums = {(0, 0): v, (0, 1): n, (0, 2): sum(c == 1 for c in uni.values()), (0, 3): sum(c == 2 for c in uni.values())}
-    bins = defaultdict(int)
+    once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
+    discount = min(once / (once + 2 * twice), 0.9) if once else 0.5
+    kinds, mass = Counter(), Counter()
     for c in uni.values():
-        b = c.bit_length() - 1
-        bins[1, b] += 1
-        bins[2, b] += c
-    m = S.model_totals({**sums, **bins}, n_texts)
+        kinds[c.bit_length() - 1] += 1
+        mass[c.bit_length() - 1] += c
+
+    def trusted(c):
+        """How much of its probability a context that occurred c times keeps for words it has seen."""
+        draws = 2 ** (c.bit_length() - 1) - 1
+        new = sum(m / n * (1 - m / kinds[b] / n) ** draws for b, m in mass.items())
+        return min(max(1 - new, 0.1), 0.999)
+
     count = lambda w: n_texts if w == "\t" else uni[w]
-    trust = lambda w: m["trust"][count(w).bit_length() - 1] if count(w) else 0.0
-    p1 = lambda w: ((uni[w] - m["discount"]) / n if uni[w] else m["discount"] * v / n) if n else 1.0
+    trust = lambda w: trusted(count(w)) if count(w) else 0.0
+    p1 = lambda w: ((uni[w] - discount) / n if uni[w] else discount * v / n) if n else 1.0
     out = []
     for _, text in rows:
         t = tokens(text)
         base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         score = 0.0
-        for a, b in zip(["\t", *t], t, strict=False):
-            score += math.log10((trust(a) * bi[a, b] / count(a) if bi[a, b] else 0.0) + (1 - trust(a)) * p1(b))
+        for z, a, b in zip([None, "\t", *t], ["\t", *t], t, strict=False):
+            p = (trust(a) * bi[a, b] / count(a) if bi[a, b] else 0.0) + (1 - trust(a)) * p1(b)
+            if bi[z, a]:
+                half = bi[z, a] / (bi[z, a] + 4)
+                p = half * tri[z, a, b] / bi[z, a] + (1 - half) * p
+            score += math.log10(p)
         out.append((len(t), sum(uni[w] > 0 for w in t), n, base, score))
     return out, uni, p1, trust, bi, count
 
@@ -54,13 +66,13 @@ def close(got, want):
     assert got[3] == pytest.approx(want[3], rel=1e-9) and got[4] == pytest.approx(want[4], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("block_bytes", [8_000_000, 20_000])
-def test_scores_equal_brute_force(spark, sf, block_bytes):
+@pytest.mark.parametrize("block_bytes,range_bytes", [(8_000_000, 16_000_000), (20_000, 500)])
+def test_scores_equal_brute_force(spark, sf, block_bytes, range_bytes):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     held = F.col("doc_id") % 3 == 1
     rows = docs.orderBy("doc_id").collect()
     want, *_ = brute([(r.doc_id % 3 != 1, r.text) for r in rows])
-    got = {r.doc_id: r for r in S.score_texts(docs, "doc_id", ~held, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: r for r in S.score_texts(docs, "doc_id", ~held, block_bytes=block_bytes, range_bytes=range_bytes).collect()}
     for r, w in zip(rows, want, strict=True):
         g = got[r.doc_id]
         close((g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score), w)
@@ -97,6 +109,15 @@ def test_odd_rows(spark):
     assert {(g.n_known, g.train_tokens) for g in none} == {(0, 0)} and all(g.score == 0 for g in none)
 
 
+def test_very_long_text(spark):
+    r = random.Random(4)
+    rows = [(1, " ".join(f"w{r.randrange(3000)}" for _ in range(300_000)), True), (2, "w1 w2 never", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    want, *_ = brute([(t, x) for _, x, t in rows])
+    for g, w in zip(sorted(S.score_texts(docs, "doc_id", F.col("learn")).collect(), key=lambda g: g.doc_id), want, strict=True):
+        close((g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score), w)
+
+
 def test_pack():
     for x in ([], [0], [5, 300, 2**40, 2**63 + 7]):
         assert S.unpack(S.pack(np.array(x, np.uint64))).tolist() == x
