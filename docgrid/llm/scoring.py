@@ -34,7 +34,7 @@ MOST_DISCOUNT = 0.9
 #: A pair that occurred so often as a context gives half of its weight to the words that followed it.
 HALF_TRUST = 4.0
 #: Bits that hashes of pairs and triples have beyond those that number the bytes of all texts, so that they do not meet by chance.
-SPARE_BITS = 26
+SPARE_BITS = 20
 #: Tokens that a lane of the traversal reads.
 LANE = 256
 BINS = 64
