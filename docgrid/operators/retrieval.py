@@ -67,10 +67,13 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config
     q = questions.select("question_id", "document_id", query_terms(F.col("question"), config).alias("_t")).filter("_t is not null")
     q = q.select("question_id", "document_id", F.size("_t").alias("_m"), F.explode("_t").alias("q_term")).withColumn("head", F.substring("q_term", 1, 2))
     t = _words(readable(chunks, config)).withColumn("head", F.substring("term", 1, 2)) if terms is None else terms
-    hits = t.join(hinted(q, small), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
+    asked = q.select("document_id", "head", "q_term").distinct()  # questions of a document share many terms
+    hits = t.join(hinted(asked, small), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
     if terms is None:
-        hits = hits.groupBy("question_id", "chunk_id", "_m", "q_term", "term").agg(F.count(F.lit(1)).alias("n"))
-    scored = hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(term_weight(F.col("n"))) / F.first("_m"), 9).alias("score"))
+        hits = hits.groupBy("document_id", "chunk_id", "q_term", "term").agg(F.count(F.lit(1)).alias("n"))
+    per = hits.groupBy("document_id", "chunk_id", "q_term").agg(F.sum(term_weight(F.col("n"))).alias("_w"))
+    scored = per.join(hinted(q.drop("head"), small), ["document_id", "q_term"])
+    scored = scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum("_w") / F.first("_m"), 9).alias("score"))
     return _ranked(scored, k)
 
 

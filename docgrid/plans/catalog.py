@@ -302,7 +302,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC,
 
 @query("key_terms", WITH + terms_sql("documents", "doc_id") + " SELECT * FROM k WHERE rank <= 10")
 def _(spark, sf):
-    return models.key_terms(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return models.key_terms(V.documents(spark, sf).select(F.col("doc_id").alias("document_id"), "text"))
 
 
 SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace({0}, '(\\n\\n---\\n\\n|\\s)+', ' ', 'g'), '([.!?])\\s', '\\1' || chr(10), 'g'), chr(10)), lambda x: length(trim(x)) > 0)"

@@ -36,10 +36,16 @@ lines AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"""
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, dealt out where they lie in fewer files than the session has tasks: one file may be one task otherwise."""
+    rows, n = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def chunks(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
     """Every text as a chunk of one of 20 documents; with ``vectors`` also its embedding, null where it has none."""
     i = F.col("doc_id")
-    rows = table(spark, sf, "documents").select(
+    rows = documents(spark, sf).select(
         i.alias("chunk_id"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("document_id"), F.floor(i / 20).cast("int").alias("position"),
         (F.floor(i / 100) + 1).cast("int").alias("page"), F.col("lang").alias("section"), "text",
     )
@@ -68,7 +74,7 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    rows = documents(spark, sf).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return rows.select("document_id", (F.floor(F.col("i") / 20) + 1).cast("int").alias("page"), (F.col("i") % 20).cast("int").alias("ln"), "line")
 
 
