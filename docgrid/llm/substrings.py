@@ -158,7 +158,8 @@ def repeated_windows(blocks: DataFrame, window: int, m: int, most: int) -> DataF
 
     asks, drop_asks = stored(small_batches(blocks).mapInArrow(minimisers, "mini long, block long, lo long, hi long, n long"))
     shared = asks.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi")
-    shared = shared.select("mini", (F.col("n") > most).alias("hot"))
+    # written, as are the holders below: then both sides of the joins are plain shuffles, whose hot keys adaptive execution splits
+    shared, drop_shared = stored(shared.select("mini", (F.col("n") > most).alias("hot")))
     wanted = asks.select("mini", "block").hint("shuffle_merge").join(shared.hint("shuffle_merge"), "mini").groupBy("block").agg(F.collect_list(F.struct("mini", "hot")).alias("wanted"))
 
     def strings(batches):
@@ -229,13 +230,14 @@ def repeated_windows(blocks: DataFrame, window: int, m: int, most: int) -> DataF
     strings_once = sent.filter("hot").groupBy("mini", "sid", "words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     rows, drop_rows = stored(strings_once.mapInArrow(windows_of, "mini long, sid long, lo long, hi long, i long, h0 long, h1 long"))
     holders = rows.groupBy("h0", "h1").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("h0", "h1", F.col("lo").alias("first"))
+    holders, drop_holders = stored(holders)
     per = rows.select("mini", "sid", "i", "h0", "h1").hint("shuffle_merge").join(holders.hint("shuffle_merge"), ["h0", "h1"], "left")
     per = per.groupBy("mini", "sid").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("first", F.lit(_NONE)).alias("lo")))).alias("l"), F.count("first").alias("n"))
     hot = per.filter("n > 0").select("mini", "sid", F.transform("l", lambda x: x["lo"]).alias("los"))
     answers = cold.unionByName(hot)
     back = sent.select("mini", "sid", "block").hint("shuffle_merge").join(answers.hint("shuffle_merge"), ["mini", "sid"])
     out, _ = stored(back.groupBy("block").agg(F.collect_list(F.struct("sid", "los")).alias("held")))
-    for drop in (drop_asks, drop_sent, drop_rows):
+    for drop in (drop_asks, drop_shared, drop_sent, drop_rows, drop_holders):
         drop()
     return out
 
