@@ -1,8 +1,7 @@
-"""Trace statistics, evaluation and fuzzy highlighting."""
+"""Trace statistics and evaluation."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,48 +101,3 @@ def evaluate(rows: DataFrame, chunks: DataFrame, answer, judge, adversarial: boo
 
 def first_rows(rows: DataFrame, n: int, by: str = "query_id") -> DataFrame:
     return rows.orderBy(by).limit(n)
-
-
-def normalized(text: Column) -> Column:
-    """Composed Unicode form in lower case, so that both forms of an accent compare equal."""
-
-    @F.arrow_udf("string")
-    def nfc(t: pa.Array) -> pa.Array:
-        import unicodedata
-
-        return pa.array([None if x is None else unicodedata.normalize("NFC", x).lower() for x in t.to_pylist()], pa.string())
-
-    return nfc(text)
-
-
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring: the largest length at which the longer text holds a window of the shorter one."""
-    short, long = sorted((a, b), key=len)
-    if short in long:
-        return len(short)
-    low, high = 0, len(short) - 1
-    while low < high:
-        n = (low + high + 1) // 2
-        if any(short[i : i + n] in long for i in range(len(short) - n + 1)):
-            low = n
-        else:
-            high = n - 1
-    return low
-
-
-def match_ratio(chunk: Column, span: Column) -> Column:
-    """Longest common substring divided by the shorter length, of normalized texts."""
-
-    @F.arrow_udf("double")
-    def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
-        pairs = zip(x.to_pylist(), y.to_pylist(), strict=True)
-        return pa.array([longest_common(a, b) / min(len(a), len(b)) if a and b else 0.0 for a, b in pairs], pa.float64())
-
-    return ratio(normalized(chunk), normalized(span))
-
-
-def highlight_spans(citations: DataFrame, spans: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Spans (document_id, page, span_id, span_text) that belong to a cited chunk (document_id, page, chunk_id, text) of the same page."""
-    long = spans.filter(F.length(F.trim("span_text")) > 4)
-    pairs = citations.hint("merge").join(long, ["document_id", "page"]).withColumn("ratio", F.round(match_ratio(F.col("text"), F.col("span_text")), 6))
-    return pairs.filter(F.col("ratio") > threshold).select("document_id", "page", "chunk_id", "span_id", "ratio")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docgrid.config import DEFAULT
 from docgrid.functions import columns as C
 from docgrid.operators import catalog as K
-from docgrid.operators import chat, chunking, evaluation, models, retrieval, structure
+from docgrid.operators import chat, chunking, evaluation, models, retrieval, spans, structure
 from docgrid.plans import views as V
 from docgrid.shared import table
 
@@ -682,13 +682,35 @@ def _(spark, sf):
     return K.illegal_transitions(V.statuses(spark, sf))
 
 
-# a line lies within the text that it is taken from, so all lines of a cited page match whole
-@query("highlight_spans", WITH + V.LINES_SQL + " SELECT document_id, page, document_id AS chunk_id, page * 100 + ln AS span_id, 1.0::DOUBLE AS ratio FROM lines WHERE length(trim(line)) > 4")
+# every line of a page with so many characters behind it that no text has, none at all for every fourth one: the longest common substring is the line
+SPANS_SQL = (
+    WITH
+    + V.LINES_SQL
+    + """,
+sp AS (SELECT document_id, page, page * 100 + ln AS span_id, line || repeat(chr(7), CASE ln % 4 WHEN 0 THEN 0 WHEN 1 THEN length(line) WHEN 2 THEN length(line) // 2 ELSE 2 * length(line) END) AS span, line FROM lines),
+ra AS (SELECT sp.document_id, page, sp.document_id AS chunk_id, span_id, length(lower(nfc_normalize(line))) / least(length(lower(nfc_normalize(text))), length(lower(nfc_normalize(span))))::DOUBLE AS ratio
+       FROM sp JOIN documents d ON d.doc_id = sp.document_id WHERE length(trim(span)) > 4)"""
+)
+
+
+def _cited_lines(spark, sf):
+    """Each text as a cited chunk on all of its pages, and the lines of pages with characters behind them."""
+    c = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
+    n = F.length("line")
+    more = F.when(F.col("ln") % 4 == 0, 0).when(F.col("ln") % 4 == 1, n).when(F.col("ln") % 4 == 2, F.floor(n / 2)).otherwise(2 * n)
+    lines = V.lines(spark, sf).select("document_id", "page", (F.col("page") * 100 + F.col("ln")).alias("span_id"), F.concat("line", F.repeat(F.lit("\a"), more.cast("int"))).alias("span_text"))
+    pages = F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.size(F.split("text", "\n", -1)) / 20), F.lit(1)).cast("int"))).alias("page")
+    return c.select("document_id", pages, "chunk_id", "text"), lines
+
+
+@query("highlight_spans", SPANS_SQL + " SELECT document_id, page, chunk_id, span_id, round(ratio, 6) AS ratio FROM ra WHERE ratio > 0.5")
+def _(spark, sf):
+    return spans.highlight_spans(*_cited_lines(spark, sf))
+
+
+@query("span_ratios", SPANS_SQL + " SELECT document_id, page, chunk_id, span_id, round(ratio, 6) AS ratio FROM ra")
 def _(spark, sf):
-    c = V.chunks(spark, sf).select(F.col("chunk_id").alias("document_id"), "chunk_id", "text")
-    lines = V.lines(spark, sf).select("document_id", "page", (F.col("page") * 100 + F.col("ln")).alias("span_id"), F.col("line").alias("span_text"))
-    cited = c.hint("merge").join(lines.select("document_id", "page").distinct(), "document_id")
-    return evaluation.highlight_spans(cited, lines)
+    return spans.span_ratios(*_cited_lines(spark, sf)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("embedding_units", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS length2 FROM embeddings")
@@ -738,7 +760,7 @@ def _(spark, sf):
 
 @query("normalized_text", "SELECT doc_id, md5(lower(nfc_normalize(text))) AS digest FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(evaluation.normalized(F.col("text")).cast("binary")).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(spans.normalized(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("pack_counts", "SELECT conv_id AS document_id, CASE WHEN conv_id % 3 <> 0 THEN count(*) END::INTEGER AS n_terms, CASE WHEN conv_id % 4 <> 0 THEN 0 END::INTEGER AS n_questions FROM conversations GROUP BY conv_id")
@@ -962,16 +984,13 @@ def _(spark, sf):
 
 @query(
     "match_ratios",
-    WITH
-    + """p AS (SELECT doc_id, lower(nfc_normalize(substr(text, 1, 30))) AS a, lower(nfc_normalize(substr(text, 16, 40))) AS b FROM documents),
-i AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p), k AS (SELECT *, unnest(range(1, length(a) - i + 2)) AS k FROM i),
-m AS (SELECT doc_id, max(k) AS m FROM k WHERE contains(b, substr(a, i, k)) GROUP BY doc_id)
-SELECT doc_id, CASE WHEN a <> '' AND b <> '' THEN round(coalesce(m, 0) / least(length(a), length(b)), 6) ELSE 0.0 END AS ratio FROM p LEFT JOIN m USING (doc_id)""",
+    "SELECT doc_id, CASE WHEN a = '' THEN 0.0 ELSE round(length(a) / least(length(a) + n, length(t))::DOUBLE, 6) END AS ratio FROM (SELECT doc_id, lower(nfc_normalize(text)) AS t, lower(nfc_normalize(substr(text, length(text) // 3 + 1, length(text) // 3))) AS a, length(text) // (1 + doc_id % 5) AS n FROM documents)",
 )
 def _(spark, sf):
-    """Longest common substrings of overlapping parts of texts."""
-    ratio = evaluation.match_ratio(F.substring("text", 1, 30), F.substring("text", 16, 40))
-    return table(spark, sf, "documents").select("doc_id", F.round(ratio, 6).alias("ratio"))
+    """Whole texts against their middle thirds with other characters around these."""
+    third, n = F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / (1 + F.col("doc_id") % 5)).cast("int")
+    part = F.concat(F.repeat(F.lit("\a"), F.floor(n / 2).cast("int")), F.substring(F.col("text"), third + 1, third), F.repeat(F.lit("\a"), n - F.floor(n / 2).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", F.round(spans.match_ratio(F.col("text"), part), 6).alias("ratio"))
 
 
 @query("word_counts", "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents")

@@ -2,12 +2,15 @@
 
 import dataclasses
 import math
+import random
+import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from docgrid.functions import columns as C
-from docgrid.operators import catalog, chat, evaluation, models, retrieval
+from docgrid.operators import catalog, chat, evaluation, models, retrieval, spans
 
 
 def one(spark, value, kind, f):
@@ -224,12 +227,54 @@ def test_adversarial_context_leaves_the_answer_out(spark):
 
 
 def test_highlight(spark):
-    rows = [("một đoạn văn bản dài", "đoạn văn bản", True), ("một đoạn", "unrelated words", False), ("abcd", "abcd", False), ("Café au lait", "CAFÉ AU", True)]
+    rows = [("một đoạn văn bản dài", "đoạn văn bản", True), ("một đoạn", "unrelated words", False), ("abcd", "abcd", False), ("Café au lait", "CAFÉ AU", True), (None, "abcdef", False), ("", "abcdef", False)]
     for text, span, want in rows:
         c = spark.createDataFrame([("d", 1, 1, text)], "document_id string, page int, chunk_id int, text string")
         s = spark.createDataFrame([("d", 1, 1, span)], "document_id string, page int, span_id int, span_text string")
-        assert (evaluation.highlight_spans(c, s).count() == 1) is want
-    assert evaluation.longest_common("xabcdy", "zabcdw") == 4 and evaluation.longest_common("ab", "cd") == 0
+        assert (spans.highlight_spans(c, s).count() == 1) is want
+
+
+def longest_common(a, b):
+    """By a table of all pairs of places."""
+    most, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        most = max(most, *row)
+    return most
+
+
+def test_automaton():
+    r = random.Random(3)
+    for letters in ("ab", "abcdé", "a"):
+        for _ in range(200):
+            a, b = ("".join(r.choice(letters) for _ in range(r.randrange(0, 30))) for _ in range(2))
+            assert spans.Automaton(a).longest(b) == longest_common(a, b)
+    began = time.time()
+    long = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    automaton = spans.Automaton(long)
+    assert automaton.longest(long[1000:40_000]) == 39_000 and automaton.longest("#" * 10_000 + long[7:20] + "#") == 13
+    assert len(automaton.link) <= 2 * len(long) and time.time() - began < 10
+
+
+@pytest.mark.parametrize("most_spans", [10_000, 3])
+def test_span_ratios(spark, most_spans):
+    """All pairs of a page, pages dealt over tasks or not; null ids, texts, pages, pages without chunks, equal rows."""
+    r = random.Random(most_spans)
+    text = lambda n: "".join(r.choice("abÉe\u0301 ") for _ in range(r.randrange(n)))
+    chunks = [(r.choice("xyz"), r.randrange(3), k, text(60)) for k in range(25)] + [("x", None, 90, "abab"), (None, 1, 91, "abab"), ("x", 1, None, None)]
+    lines = [(r.choice("xyzw"), r.randrange(4), k, text(30)) for k in range(120)] + [("x", 1, None, "ababab"), ("x", 1, 7, None), ("x", None, 8, "ababab")]
+    lines += lines[:3]
+    fold = lambda t: unicodedata.normalize("NFC", t or "").lower()
+    want = []
+    for d, p, c, t in chunks:
+        for d2, p2, s, u in lines:
+            if d and (d, p) == (d2, p2) and p is not None and u and len(u.strip(" ")) > 4:
+                short = min(len(fold(t)), len(fold(u)))
+                want.append((d, p, c, s, round(longest_common(fold(t), fold(u)) / short, 9) if short else 0.0))
+    cited = spark.createDataFrame(chunks, "document_id string, page int, chunk_id long, text string").repartition(3)
+    shown = spark.createDataFrame(lines, "document_id string, page int, span_id int, span_text string").repartition(3)
+    got = [(x.document_id, x.page, x.chunk_id, x.span_id, round(x.ratio, 9)) for x in spans.span_ratios(cited, shown, most_spans).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({x[4] for x in want}) > 5
 
 
 def test_traces(spark):
