@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
-from docgrid.functions.columns import dot, norm, query_terms
+from docgrid.functions.columns import query_terms
+from docgrid.operators.dense import block_scores
+from docgrid.operators.index import Index, asked_terms, index_scores, term_weight, words
 from docgrid.operators.models import rewrite
 from docgrid.shared import cut, hinted, is_small
 
@@ -26,12 +28,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config =
 
     ``small`` says whether questions are few, where that is known already.
     """
-    small = is_small(questions) if small is None else small
-    q = questions.select("question_id", "document_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
-    c = readable(chunks, config).filter("embedding is not null").select("document_id", "chunk_id", "embedding", norm(F.col("embedding")).alias("_cn"))
-    n = F.col("_qn") * F.col("_cn")
-    scored = c.join(hinted(q, small), "document_id").select("question_id", "chunk_id", F.round(F.when(n > 0, dot(F.col("_q"), F.col("embedding")) / n), 9).alias("score"))
-    return _ranked(scored, k)
+    return _ranked(block_scores(questions, readable(chunks, config), k, small), k)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -40,21 +37,14 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("question_id", "chunk_id", (F.col("_n") - 1).cast("int").alias("rank"), "score")
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """(document_id, chunk_id, term) of each word of two characters and more."""
-    words = chunks.select("document_id", "chunk_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1)).alias("term"))
-    return words.withColumn("term", F.lower("term")).filter(F.length("term") >= 2)
-
-
 def term_table(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, term, head, n): how often each term occurs in each chunk. Worth writing once."""
-    return _words(chunks).groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
+    return words(chunks).groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
 
 
-def term_weight(n):
-    """Weight of a term that occurs n times: the sum of 1/j^2 up to n, scaled."""
-    series = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, j: s + F.lit(1.0) / (j.cast("double") * j))
-    return series * 0.1 / 1.64493406685
+def index_topk(questions: DataFrame, index: Index, k: int, config: Config = DEFAULT, small: bool | None = None) -> DataFrame:
+    """As ``lexical_topk``, from a written index; texts are not read."""
+    return _ranked(index_scores(questions, index, k, config, small)[0], k)
 
 
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
@@ -64,16 +54,15 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config
     before they are counted, so only those that are asked about travel; a written table of ``terms`` is used as it is.
     """
     small = is_small(questions) if small is None else small
-    q = questions.select("question_id", "document_id", query_terms(F.col("question"), config).alias("_t")).filter("_t is not null")
-    q = q.select("question_id", "document_id", F.size("_t").alias("_m"), F.explode("_t").alias("q_term")).withColumn("head", F.substring("q_term", 1, 2))
-    t = _words(readable(chunks, config)).withColumn("head", F.substring("term", 1, 2)) if terms is None else terms
+    q = asked_terms(questions, config).withColumn("head", F.substring("q_term", 1, 2))
+    t = words(readable(chunks, config)).withColumn("head", F.substring("term", 1, 2)) if terms is None else terms
     asked = q.select("document_id", "head", "q_term").distinct()  # questions of a document share many terms
     hits = t.join(hinted(asked, small), ["document_id", "head"]).filter(F.col("term").startswith(F.col("q_term")))
     if terms is None:
         hits = hits.groupBy("document_id", "chunk_id", "q_term", "term").agg(F.count(F.lit(1)).alias("n"))
     per = hits.groupBy("document_id", "chunk_id", "q_term").agg(F.sum(term_weight(F.col("n"))).alias("_w"))
     scored = per.join(hinted(q.drop("head"), small), ["document_id", "q_term"])
-    scored = scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum("_w") / F.first("_m"), 9).alias("score"))
+    scored = scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum("_w") / F.first("m"), 9).alias("score"))
     return _ranked(scored, k)
 
 
@@ -109,16 +98,18 @@ def with_neighbors(hits: DataFrame, chunks: DataFrame, config: Config = DEFAULT,
     return rows.select("question_id", "document_id", "position", "chunk_id", "score", (F.row_number().over(w) - 1).cast("int").alias("ord"))
 
 
-def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None, index: Index | None = None) -> DataFrame:
     """(question_id, document_id, position, chunk_id, score, ord): k fused hits of each question and their neighbours.
 
-    The hits, a few narrow rows for each question, are checkpointed, since neighbours are taken from them.
+    The hits, a few narrow rows for each question, are checkpointed, since neighbours are taken from them. With a written ``index``
+    the keyword arm reads no text.
     """
     k = k or config.top_k
     pool = max(k * config.over_fetch, k)
     small = is_small(questions) if small is None else small
     dense = dense_topk(questions, chunks, pool, config, small)
-    top = cut(fused_topk(dense, lexical_topk(questions, chunks, pool, config, terms, small), k, config))
+    lexical = lexical_topk(questions, chunks, pool, config, terms, small) if index is None else index_topk(questions, index, pool, config, small)
+    top = cut(fused_topk(dense, lexical, k, config))
     hits = chunks.select("chunk_id", "document_id", "position").join(hinted(top, small), "chunk_id")
     return with_neighbors(hits, chunks, config, small)
 

@@ -89,6 +89,31 @@ def _(spark, sf):
     return retrieval.lexical_topk(V.questions(spark, sf), V.chunks(spark, sf), 60)
 
 
+def _index(spark, sf, block=64):
+    """The index over all chunks, written and read."""
+    from docgrid.operators import index
+    from docgrid.shared import new_path
+
+    path = new_path(spark)
+    index.write_index(V.chunks(spark, sf), path, block=block)
+    return index.read_index(spark, path)
+
+
+@query("index_topk", base(TERMS_SQL, LEXICAL_SQL.format(pool=60)) + " SELECT * FROM lexical")
+def _(spark, sf):
+    return retrieval.index_topk(V.questions(spark, sf), _index(spark, sf), 60)
+
+
+@query(
+    "index_blocks",
+    base(TERMS_SQL.replace("chunk_id, unnest", "chunk_id, position, unnest").replace("SELECT document_id, chunk_id, term,", "SELECT document_id, chunk_id, position, term,"))
+    + " SELECT document_id, term, left(term, 2) AS head, block, round(max(w), 9) AS top, count(*) AS n_chunks FROM (SELECT *, position // 64 AS block, list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j)::DOUBLE)) * 0.1::DOUBLE / 1.64493406685::DOUBLE AS w FROM ct) GROUP BY document_id, term, block",
+)
+def _(spark, sf):
+    p = _index(spark, sf).postings
+    return p.select("document_id", "term", "head", "block", F.round("top", 9).alias("top"), F.size("entries").cast("long").alias("n_chunks"))
+
+
 @query("rrf_fusion", base(TERMS_SQL, DENSE_SQL.format(pool=60), LEXICAL_SQL.format(pool=60)) + " SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM lexical) GROUP BY question_id, chunk_id")
 def _(spark, sf):
     q, c = V.questions(spark, sf), V.chunks(spark, sf, vectors=True)
