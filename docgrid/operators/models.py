@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
+from docgrid.operators.stages import Stage
 from docgrid.shared import cut, few, written
 
 KINDS = ("summary", "terms", "questions")
@@ -60,8 +61,23 @@ def accept_rewrite(question: Column, rewritten: Column, config: Config = DEFAULT
     return F.when(F.length(r).between(1, config.rewrite_max_chars) & ~r.contains("\n"), r).otherwise(question)
 
 
-def rewrite(questions: DataFrame, model: Callable[[Column], Column] | None = None, config: Config = DEFAULT) -> DataFrame:
-    return questions if model is None else questions.withColumn("question", accept_rewrite(F.col("question"), model(F.col("question")), config))
+def rewrite(questions: DataFrame, model: Callable[..., Column] | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Questions rewritten by ``model(question)``, or by ``model(question, history)`` where they have a column history (turns of role and content, in order).
+
+    A rewriter that gives null, as a stage does where its model raises, leaves the question as it is.
+    """
+    if model is None:
+        return questions
+    given = [F.col(c) for c in ("question", "history") if c in questions.columns]
+    return questions.withColumn("question", accept_rewrite(F.col("question"), model(*given), config))
+
+
+def with_history(questions: DataFrame, turns: DataFrame, by: str = "session_id") -> DataFrame:
+    """``questions`` with ``history``: the turns (``by``, sort_order, role, content) of their session in order, empty where there are none."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    told = turns.groupBy(by).agg(listed.alias("history"))  # a few turns of one session
+    rows = questions.hint("merge").join(told.hint("merge"), by, "left")
+    return rows.withColumn("history", F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")))
 
 
 SUBQUERIES = "array<struct<query:string,focus:string>>"
@@ -137,6 +153,22 @@ def map_reduce(
     return partial.groupBy("document_id").agg(F.array_join(listed, separator).alias("_all")).select("document_id", reduce_(F.col("_all")).alias("value"))
 
 
+def guarded_map_reduce(chunks: DataFrame, condense: Stage, reduce_: Stage, separator: str = "\n\n---\n\n", max_chars: int = DEFAULT.map_group_chars) -> DataFrame:
+    """(document_id, value, error) by stages of models: as ``map_reduce``, but a document of which a group cannot be condensed, or whose
+    results cannot be reduced, has the first error of these in place of a value, and other documents are as they would be without it.
+    """
+    partial = group_texts(chunk_groups(chunks, max_chars)).select("document_id", "grp", condense(F.col("text")).alias("r")).select("document_id", "grp", "r.value", "r.error")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("grp", "value"))), lambda x: x["value"])  # all condensed texts of a document
+    joined = partial.groupBy("document_id").agg(F.array_join(listed, separator).alias("_all"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("grp"))).alias("_error"))
+    made = joined.select("document_id", "_error", reduce_(F.when(F.col("_error").isNull(), F.col("_all"))).alias("r"))
+    return made.select("document_id", "r.value", F.coalesce("_error", "r.error").alias("error"))
+
+
+def model_computer(condense: Stage, reduce_: Stage, separator: str = "\n\n---\n\n", config: Config = DEFAULT) -> Callable[[DataFrame], DataFrame]:
+    """A prep kind that is computed by two model stages, for ``prep_results``."""
+    return lambda chunks: guarded_map_reduce(chunks, condense, reduce_, separator, config.map_group_chars)
+
+
 def first_sentences(text: Column, n: int = 2) -> Column:
     """The first sentences of a text; stands in for a condensing model."""
     s = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?])\s"), lambda x: F.length(F.trim(x)) > 0)
@@ -225,7 +257,8 @@ def prep_outcomes(results: DataFrame) -> DataFrame:
 def prep_results(documents: DataFrame, chunks: DataFrame, prep: DataFrame, computers: dict = COMPUTERS) -> DataFrame:
     """(document_id, kind, value, error) of all pending kinds: a value as JSON, or why there is none.
 
-    Kinds are computed apart: one that fails leaves an error for its documents and the others as they are. A document
+    Kinds are computed apart: one that fails leaves an error for its documents and the others as they are. A computer whose
+    result has a column ``error``, as those of ``model_computer``, tells for each document whether it failed, and why. A document
     without text has an error, too.
     """
     out = None
@@ -234,11 +267,12 @@ def prep_results(documents: DataFrame, chunks: DataFrame, prep: DataFrame, compu
         error = "document has no text yet"
         try:
             made = computers[kind](chunks.hint("merge").join(open_, "document_id", "left_semi"))
-            made = written(made.select("document_id", F.to_json(F.struct("value")).alias("value")))
+            own = F.col("error") if "error" in made.columns else F.lit(None).cast("string")
+            made = written(made.select("document_id", F.when(own.isNull(), F.to_json(F.struct("value"))).alias("value"), own.alias("own")))
         except Exception as e:  # of a computer, while it plans or runs
-            made, error = open_.select("document_id", F.lit(None).cast("string").alias("value")), (str(e) or type(e).__name__)[:300]
+            made, error = open_.select("document_id", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("own")), (str(e) or type(e).__name__)[:300]
         rows = open_.hint("merge").join(made, "document_id", "left")
-        rows = rows.select("document_id", F.lit(kind).alias("kind"), "value", F.when(F.col("value").isNull(), error).alias("error"))
+        rows = rows.select("document_id", F.lit(kind).alias("kind"), "value", F.when(F.col("value").isNull(), F.coalesce("own", F.lit(error))).alias("error"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

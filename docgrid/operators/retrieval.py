@@ -14,7 +14,7 @@ from docgrid.config import DEFAULT, Config
 from docgrid.functions.columns import query_terms
 from docgrid.operators.dense import block_scores
 from docgrid.operators.index import Index, asked_terms, index_scores, term_weight, words
-from docgrid.operators.models import rewrite
+from docgrid.operators.models import embed_questions, rewrite
 from docgrid.shared import cut, hinted, is_small
 
 
@@ -125,14 +125,19 @@ def merge_subqueries(results: DataFrame, cap: int, k: int = DEFAULT.rrf_k) -> Da
     return top.select("question_id", "position", "chunk_id", "score", (F.col("_n") - 1).cast("int").alias("ord"))
 
 
-def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT, rewriter=None) -> DataFrame:
+def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT, rewriter=None, embed=None) -> DataFrame:
     """Two stages: more candidates than wanted, with neighbours, then the ``k`` best by ``scorer(question, text)``.
 
-    ``rewriter`` (a function of the question) rewrites questions first, for both stages; vectors of questions stay as they
-    are given. Without a scorer the first stage fetches ``k`` only. Scores are rounded to 4 places.
+    ``rewriter`` (see ``rewrite``) rewrites questions first; what it gives is embedded by ``embed``, searched and scored. Without a
+    scorer the first stage fetches ``k`` only. Scores are rounded to 4 places.
     """
     k = k or config.top_k
-    questions = rewrite(questions, rewriter, config)
+    if rewriter is not None:
+        if embed is None:
+            raise ValueError("rewritten questions have other vectors: give embed")
+        questions = cut(rewrite(questions, rewriter, config))  # read by both arms and by the scorer
+    if embed is not None:
+        questions = cut(embed_questions(questions, embed, config))
     small = is_small(questions)
     if scorer is None:
         return hybrid_retrieval(questions, chunks, k, config, small=small).withColumn("score", F.round("score", 4))
@@ -145,7 +150,7 @@ def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int |
 def rerank(rows: DataFrame, scorer, k: int) -> DataFrame:
     """The first ``k`` rows of each question by ``scorer`` (a function of the columns question and text), stable.
 
-    If the scorer gives null for any row of a question, that question keeps its order.
+    If the scorer gives null for any row of a question, as a stage does where its model raises, that question keeps its order.
     """
     w = Window.partitionBy("question_id")
     scored = rows.withColumn("rerank_score", scorer(F.col("question"), F.col("text")).cast("double"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from docgrid.config import DEFAULT
 from docgrid.functions import columns as C
 from docgrid.operators import catalog as K
-from docgrid.operators import chat, chunking, evaluation, models, retrieval, spans, structure
+from docgrid.operators import chat, chunking, evaluation, models, retrieval, spans, stages, structure
 from docgrid.plans import views as V
-from docgrid.shared import table
+from docgrid.shared import table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -867,7 +867,7 @@ FROM merged JOIN (SELECT chunk_id, page, section, text FROM chunks) c USING (chu
 def _(spark, sf):
     from docgrid.plans.ingest import ask
 
-    return ask(V.questions(spark, sf).drop("embedding"), models.embed_chunks(V.chunks(spark, sf)))
+    return ask(V.questions(spark, sf).drop("embedding"), written(models.embed_chunks(V.chunks(spark, sf))))
 
 
 # models, sources and evaluation that have no view of their own
@@ -881,16 +881,165 @@ def _(spark, sf):
     return row(passages, "p", "chunk_id").unionByName(row(models.embed_questions(V.questions(spark, sf), digest), "q", "question_id"))
 
 
-REWRITTEN = "CASE WHEN question_id % 2 = 0 THEN ' ' || reverse(question) || ' ' WHEN question_id % 3 = 0 THEN repeat(question, 9) END"
-REWRITTEN_SQL = V.QUESTIONS_SQL.replace("questions AS", "asked AS") + f""",
-questions AS (SELECT question_id, document_id, CASE WHEN length(trim(r)) BETWEEN 1 AND 160 AND NOT contains(trim(r), chr(10)) THEN trim(r) ELSE question END AS question, embedding FROM (SELECT *, {REWRITTEN} AS r FROM asked))"""
+REWRITTEN_SQL = (
+    WITH
+    + V.CHUNKS_SQL.replace("chunks AS", "chunks0 AS") + "," + V.QUESTIONS_SQL.replace("questions AS", "asked AS")
+    + """,
+lastq AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+told AS (SELECT c.conv_id, arg_max(text, turn) AS said FROM conversations c JOIN lastq USING (conv_id) WHERE turn <> t AND role IN ('user', 'assistant') AND text <> '' GROUP BY c.conv_id),
+wrote AS (SELECT a.*, CASE WHEN length(question) % 5 = 0 THEN NULL WHEN length(question) % 3 = 0 THEN repeat(question, 9)
+                      ELSE ' ' || coalesce(regexp_extract(said, '\\S+') || ' ', '') || reverse(question) || ' ' END AS r FROM asked a LEFT JOIN told ON conv_id = question_id),
+questions0 AS (SELECT question_id, document_id, CASE WHEN length(trim(r)) BETWEEN 1 AND 160 AND NOT contains(trim(r), chr(10)) THEN trim(r) ELSE question END AS question FROM wrote),"""
+    + hashed_sql("cv", "chunks0", "chunk_id", "'passage: ' || text") + "," + hashed_sql("qv", "questions0", "question_id", "'query: ' || question")
+    + """,
+chunks AS (SELECT c.* EXCLUDE (embedding), v AS embedding FROM chunks0 c JOIN cv USING (chunk_id)),
+questions AS (SELECT q.*, v AS embedding FROM questions0 q JOIN qv USING (question_id)),"""
+    + ",".join([TERMS_SQL, DENSE_SQL.format(pool=180), LEXICAL_SQL.format(pool=180), FUSED_SQL.format(k=30), NEIGHBOR_SQL, OVERLAP_SQL])
+)
+
+
+def _load_rewriter():
+    """A rewriter that goes by the last turn and the reversed question; it fails on some, and writes others too long."""
+    def write(rows):
+        out = []
+        for question, history in rows:
+            if len(question) % 5 == 0:
+                raise ValueError("no answer")
+            lead = history[-1]["content"].split()[0] + " " if history else ""
+            out.append(question * 9 if len(question) % 3 == 0 else f" {lead}{question[::-1]} ")
+        return out
+
+    return write
+
+
+@query("rewritten_topk", REWRITTEN_SQL + " SELECT question_id, document_id, position, chunk_id, round(score, 4) AS score, rerank_score, (r - 1)::INTEGER AS ord FROM best WHERE r <= 10")
+def _(spark, sf):
+    """Two stages over questions that a model has rewritten by their history: embedded, searched and scored as rewritten."""
+    turns = chat.history(V.messages(spark, sf)).withColumnRenamed("session_id", "question_id")
+    asked = models.with_history(V.questions(spark, sf).drop("embedding"), turns, "question_id")
+    rewriter = stages.values_of(stages.stage(_load_rewriter, "string"))
+    stored = written(models.embed_chunks(V.chunks(spark, sf)))  # as an ingest would
+    return retrieval.retrieve_reranked(asked, stored, retrieval.term_overlap, rewriter=rewriter, embed=models.hashed_embedding)
+
+
+def _load_scorer():
+    """The share of words of the text that are in the question; fails on every 97th length of text."""
+    def score(rows):
+        if any(len(text) % 97 == 0 for _, text in rows):
+            raise ValueError("out of memory")
+        return [sum(w in set(question.split(" ")) for w in text.split(" ")) / len(text.split(" ")) for question, text in rows]
+
+    return score
+
+
+@query(
+    "rerank_failing",
+    hybrid_sql(30)
+    + """, sc AS (SELECT f.question_id, f.document_id, f.position, f.chunk_id, f.ord, CASE WHEN length(c.text) % 97 = 0 THEN NULL ELSE round(len(list_filter(string_split(c.text, ' '), lambda w: list_contains(string_split(q.question, ' '), w))) / len(string_split(c.text, ' ')), 9) END AS s
+      FROM found f JOIN chunks c USING (chunk_id) JOIN questions q ON q.question_id = f.question_id),
+ok AS (SELECT *, CASE WHEN bool_or(s IS NULL) OVER (PARTITION BY question_id) THEN NULL ELSE s END AS rerank_score FROM sc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC NULLS LAST, ord) AS r FROM ok)
+SELECT question_id, chunk_id, rerank_score, (r - 1)::INTEGER AS ord FROM ranked WHERE r <= 10""",
+)
+def _(spark, sf):
+    """A scorer that raises on some texts: their questions keep the order of the first stage."""
+    scorer = stages.values_of(stages.stage(_load_scorer, "double"))
+    scored = lambda question, text: F.round(scorer(question, text), 9)
+    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf, vectors=True), scored).select("question_id", "chunk_id", "rerank_score", "ord")
+
+
+def _load_planner():
+    """Plans of no, two or seven sub-queries; fails on every fourth length of question."""
+    def plan(rows):
+        out = []
+        for question in rows:
+            kind = len(question) % 4
+            if kind == 0:
+                raise ValueError("no plan")
+            out.append([{"query": f"{question} {k}", "focus": f"f{k}"} for k in range((0, 0, 7, 2)[kind])])
+        return out
+
+    return plan
+
 
+@query(
+    "plan_models",
+    WITH + V.QUESTIONS_SQL + """,
+k AS (SELECT *, length(question) % 4 AS kind FROM questions),
+p AS (SELECT question_id, document_id, question, kind, unnest(range(CASE kind WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 1 END)) AS i FROM k)
+SELECT question_id, document_id, i::INTEGER AS sq_index, CASE WHEN kind < 2 THEN question ELSE question || ' ' || i END AS query, CASE WHEN kind < 2 THEN '' ELSE 'f' || i END AS focus FROM p""",
+)
+def _(spark, sf):
+    """Plans of a model: failed and empty ones fall back to the question, long ones are cut."""
+    return models.plan(V.questions(spark, sf), stages.values_of(stages.stage(_load_planner, models.SUBQUERIES)))
+
+
+def _load_embedder():
+    """The hashed embedding as a model of lists of texts."""
+    from hashlib import md5
+
+    import numpy as np
+
+    def embed(texts):
+        out = []
+        for t in texts:
+            v = np.zeros(DEFAULT.embedding_dim)
+            for w in t.lower().split():
+                h = int(md5(w.encode()).hexdigest()[:8], 16)
+                v[h % len(v)] += 1 - 2 * (h >> 16 & 1)
+            n = np.linalg.norm(v)
+            out.append((v / n if n else v).astype(np.float32).tolist())
+        return out
+
+    return embed
+
+
+@query("staged_embeddings", ORACLES["chunk_embeddings"])
+def _(spark, sf):
+    """Embeddings by a model that each worker loads once and feeds with texts of like length, 32 at a time."""
+    embed = stages.values_of(stages.stage(_load_embedder, "array<float>"))
+    made = models.embed_chunks(V.chunks(spark, sf), embed).select("chunk_id", F.posexplode("embedding").alias("place", "value"))
+    return made.filter("value <> 0").select("chunk_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
-@query("rewritten_topk", (hybrid_sql(30) + "," + OVERLAP_SQL).replace(V.QUESTIONS_SQL, REWRITTEN_SQL) + " SELECT question_id, document_id, position, chunk_id, round(score, 4) AS score, rerank_score, (r - 1)::INTEGER AS ord FROM best WHERE r <= 10")
+
+def _condenser(modulus):
+    """A model that gives the length of a text and fails on every ``modulus``-th length."""
+    def load():
+        def condense(texts):
+            if any(len(t) % modulus == 0 for t in texts):
+                raise ValueError(f"length divides by {modulus}")
+            return [str(len(t)) for t in texts]
+
+        return condense
+
+    return load
+
+
+def _load_reducer():
+    def reduce_(texts):
+        if any("11" in t for t in texts):
+            raise ValueError("eleven")
+        return [t.replace("\n", "|") for t in texts]
+
+    return reduce_
+
+
+@query(
+    "prep_guarded",
+    """WITH k AS (SELECT 'summary' AS kind, 7 AS m UNION ALL SELECT 'terms', 3 UNION ALL SELECT 'questions', 1000000007),
+r AS (SELECT doc_id, kind, m, length(text) AS n FROM documents, k)
+SELECT doc_id AS document_id, kind, CASE WHEN n % m <> 0 AND NOT contains(n::VARCHAR, '11') THEN '{"value":"' || n || '"}' END AS value,
+       CASE WHEN n % m = 0 THEN 'length divides by ' || m WHEN contains(n::VARCHAR, '11') THEN 'eleven' END AS error FROM r""",
+)
 def _(spark, sf):
-    """Two stages over rewritten questions: some reversed, some rewritten too long, some not at all."""
-    made = lambda q: F.expr("CASE WHEN question_id % 2 = 0 THEN concat(' ', reverse(question), ' ') WHEN question_id % 3 = 0 THEN repeat(question, 9) END")
-    return retrieval.retrieve_reranked(V.questions(spark, sf), V.chunks(spark, sf, vectors=True), retrieval.term_overlap, rewriter=made)
+    """Prep packs by models that fail on some documents: these have errors, of the first step or of the second, and all others values."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("position"), "text")
+    docs = d.select("document_id", F.lit("f.pdf").alias("filename"))
+    none = F.lit(None).cast("string")
+    prep = docs.limit(0).select("document_id", none.alias("summary"), none.alias("terms"), none.alias("questions"))
+    reducer = stages.stage(_load_reducer, "string")
+    computers = {kind: models.model_computer(stages.stage(_condenser(m), "string"), reducer) for kind, m in (("summary", 7), ("terms", 3), ("questions", 1_000_000_007))}
+    return models.prep_results(docs, d, prep, computers)
 
 
 @query("log_ids", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS found FROM (SELECT doc_id, md5(text) AS h FROM documents)")

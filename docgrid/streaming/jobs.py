@@ -23,13 +23,14 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", prep: bool = False, **options):
+def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", prep: bool = False, computers: dict = models.COMPUTERS, **options):
     """A query that ingests new files of a folder once each; call ``.start()`` on a trigger of your choice.
 
     Each batch writes its rows under its own number, so a batch that is repeated replaces itself. Documents are there as
     ``pending`` before any of them is read, and ``status`` holds an event for each step that they take (document_id, seq, status).
     Equal content of an owner in an earlier batch is found in the documents table, which is the only state.
-    With ``prep`` the prep packs of new documents are computed after they are stored; their failure leaves the ingest as it is.
+    With ``prep`` the prep packs of new documents are computed after they are stored, and ``prep`` holds a row (document_id, kind, value,
+    error) for each kind of each; their failure leaves the ingest, and other documents, as they are.
     """
     schema = "document_id string, user_id string, filename string, size_bytes long, uploaded_at timestamp, content_hash string, doc_type string, status string, error string, page_count int, kept_id string"
 
@@ -59,12 +60,14 @@ def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str |
         for status in ("ready", "failed"):
             tell(status, documents.filter(F.col("status") == status))
         if prep:
-            for kind in models.KINDS:
-                try:
-                    made = models.COMPUTERS[kind](session.read.parquet(f"{target}/chunks/batch={number}"))
-                    made.write.mode("overwrite").parquet(f"{target}/prep/kind={kind}/batch={number}")
-                except Exception as e:  # a failed kind is reported and may be computed later
-                    print(f"prep pack {kind} of batch {number} failed: {str(e)[:200]}")
+            # every kind and every document by itself: what fails is told beside what was made, and the ingest stays as it is
+            ready = documents.filter(F.col("status") == "ready").select("document_id", "filename")
+            none = ready.limit(0).select("document_id", *[F.lit(None).cast("string").alias(k) for k in models.KINDS])
+            try:
+                made = written(models.prep_results(ready, session.read.parquet(f"{target}/chunks/batch={number}"), none, computers))
+                made.write.mode("overwrite").parquet(f"{target}/prep/batch={number}")
+            except Exception as e:  # of what is not a computer's
+                print(f"prep packs of batch {number} failed: {str(e)[:200]}")
 
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(source)
     return described(stream).writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/_checkpoint")

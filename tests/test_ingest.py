@@ -101,7 +101,8 @@ def test_ingest_stream(spark, tmp_path):
     docs = {r.filename: r.status for r in spark.read.parquet(f"{target}/documents").collect()}
     assert docs == {"a.pdf": "ready", "b.pdf": "reused", "c.pdf": "ready"}
     assert spark.read.parquet(f"{target}/chunks").select("document_id").distinct().count() == 2
-    assert spark.read.parquet(f"{target}/prep/kind=summary").count() == 2
+    prep = spark.read.parquet(f"{target}/prep")
+    assert prep.filter("kind = 'summary' and error is null").count() == 2 and prep.count() == 6
     events = spark.read.parquet(f"{target}/status")
     from docgrid.operators.catalog import illegal_transitions, latest_status
 
@@ -109,6 +110,34 @@ def test_ingest_stream(spark, tmp_path):
     assert illegal_transitions(events).count() == 0
 
 
+def test_prep_of_a_stream_fails_by_document(spark, tmp_path):
+    """Of three documents of a batch one cannot be condensed; one kind has no computer that works."""
+    from docgrid.operators import models, stages
+
+    for name, text in (("a", "a good text, long enough."), ("b", "a bad text, long enough."), ("c", "another good text here.")):
+        put(tmp_path / "in", f"{name}.pdf", text)
+
+    def load():
+        def condense(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad text")
+            return [t.upper() for t in texts]
+
+        return condense
+
+    def broken(chunks):
+        raise RuntimeError("no model")
+
+    made = stages.stage(load, "string")
+    computers = {"summary": models.model_computer(made, stages.stage(lambda: lambda texts: texts, "string")), "terms": models.explained_terms, "questions": broken}
+    target = str(tmp_path / "out")
+    jobs.ingest_stream(spark, str(tmp_path / "in"), target, config=SMALL, prep=True, computers=computers).trigger(availableNow=True).start().awaitTermination()
+    names = {r.document_id: r.filename[0] for r in spark.read.parquet(f"{target}/documents").collect()}
+    got = {(names[r.document_id], r.kind): r.error for r in spark.read.parquet(f"{target}/prep").collect()}
+    assert got == {(d, k): "no model" if k == "questions" else "bad text" if (d, k) == ("b", "summary") else None for d in "abc" for k in models.KINDS}
+    assert spark.read.parquet(f"{target}/documents").filter("status = 'ready'").count() == 3
+
+
 def test_status_and_trace_streams(spark, tmp_path):
     events, traces = tmp_path / "events", tmp_path / "traces"
     put(events, "1.json", "\n".join(json.dumps({"document_id": d, "seq": s, "status": t}) for d, s, t in [("a", 1, "pending"), ("a", 3, "ready"), ("a", 2, "parsing"), ("b", 1, "failed")]))
