@@ -1,16 +1,17 @@
-"""Blocks to token-budgeted, overlapping chunks: atoms as column expressions, packed by one ordered pass over each document."""
+"""Blocks to token-budgeted, overlapping chunks: atoms as column expressions, packed in pieces."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
 from docgrid.functions.columns import word_count
+from docgrid.operators.packing import PIECE, packed
 from docgrid.operators.structure import section_runs
+from docgrid.shared import stored
 
 Counter = Callable[[Column], Column]
 
@@ -32,84 +33,23 @@ def atoms(text: Column, max_tokens: int, count: Counter = word_count) -> Column:
     return F.flatten(F.transform(sentences, cut))
 
 
-def pack(units, max_tokens: int, overlap_tokens: int):
-    """Chunks (page of the first unit, text) of units (text, page, n) of one section run, in order; only the open chunk is held.
-
-    Units fill a chunk up to the budget; a new chunk starts with the last units of the one before
-    that fit into the overlap and leave room for the unit that comes.
-    """
-    held, size = [], 0
-    for unit in units:
-        if held and size + unit[2] > max_tokens:
-            yield held[0][1], " ".join(u[0] for u in held)
-            room, size, first = min(overlap_tokens, max_tokens - unit[2]), 0, len(held)
-            while first and size + held[first - 1][2] <= room:
-                first -= 1
-                size += held[first][2]
-            held = held[first:]
-        held.append(unit)
-        size += unit[2]
-    if held:
-        yield held[0][1], " ".join(u[0] for u in held)
-
-
-def chunks(block_rows: DataFrame, max_tokens: int | None = None, overlap_tokens: int | None = None, min_chars: int | None = None, count: Counter = word_count, config: Config = DEFAULT) -> DataFrame:
+def chunks(
+    block_rows: DataFrame, max_tokens: int | None = None, overlap_tokens: int | None = None, min_chars: int | None = None, count: Counter = word_count, config: Config = DEFAULT, piece: int = PIECE
+) -> DataFrame:
     """(document_id, position, page, section, text) of blocks (document_id, block, page, section, text).
 
-    A chunk never mixes sections. Chunks shorter than ``min_chars`` are dropped before they are
-    numbered, after the overlap has been taken. ``count`` is the token counter. Units stream through a
-    task in the order of their document, so time is linear in them and memory does not follow a document.
+    A chunk never mixes sections. Units fill a chunk up to the budget; a new chunk starts with the last units of the one before
+    that fit into the overlap and leave room for the unit that comes. Chunks shorter than ``min_chars`` are dropped before they are
+    numbered, after the overlap has been taken. ``count`` is the token counter; a unit has one token at least. Units are packed in pieces
+    of ``piece``, so that one long document is the work of several tasks.
     """
     max_tokens, overlap = max_tokens or config.chunk_max_tokens, config.chunk_overlap_tokens if overlap_tokens is None else overlap_tokens
     least = config.chunk_min_chars if min_chars is None else min_chars
-    units = section_runs(block_rows).select("document_id", "run", "section", "block", F.col("page").cast("int").alias("page"), F.posexplode(atoms(F.col("text"), max_tokens, count)).alias("i", "t"))
-    units = units.withColumn("n", count(F.col("t")).cast("int"))
-    kinds = dict(units.dtypes)
-
-    def stream(batches):
-        """Rows (document_id, position, page, section, text)."""
-        state = {"doc": None, "next": 0}
-
-        def rows():
-            for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("document_id", "run", "section", "t", "page", "n")), strict=True)
-
-        def runs(source):
-            """(document_id, section, units) of each run; units are read on, so a run must be used up before the next one."""
-            row = next(source, None)
-            while row is not None:
-                doc, run, section = row[:3]
-
-                def own():
-                    nonlocal row
-                    while row is not None and row[:2] == (doc, run):  # noqa: B023
-                        yield row[3:]
-                        row = next(source, None)
-
-                yield doc, section, own()
-
-        def made():
-            for doc, section, own in runs(rows()):
-                if doc != state["doc"]:
-                    state["doc"], state["next"] = doc, 0
-                for page, text in pack(own, max_tokens, overlap):
-                    if len(text.strip()) >= least:
-                        yield doc, state["next"], page, section, text
-                        state["next"] += 1
-
-        held: list[tuple] = []
-        for row in made():
-            held.append(row)
-            if len(held) >= 1000:
-                yield _batch(held)
-                held = []
-        if held:
-            yield _batch(held)
-
-    types = [pa.string() if kinds["document_id"] == "string" else None, pa.int32(), pa.int32(), pa.string() if kinds["section"] == "string" else None, pa.string()]
-
-    def _batch(rows_: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows_], t) for k, t in enumerate(types)], names=["document_id", "position", "page", "section", "text"])
-
-    ordered = units.repartition("document_id").sortWithinPartitions("document_id", "run", "block", "i")
-    return ordered.mapInArrow(stream, f"document_id {kinds['document_id']}, position int, page int, section {kinds['section']}, text string")
+    rows = section_runs(block_rows).select("document_id", "run", "section", "block", F.col("page").cast("int").alias("page"), atoms(F.col("text"), max_tokens, count).alias("units"))
+    along = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.size("units").cast("long")
+    rows = rows.withColumn("_at", F.coalesce(F.sum(size).over(along), F.lit(0))).withColumn("total", F.sum(size).over(Window.partitionBy("document_id")))
+    rows, _ = stored(rows.withColumn("units", F.transform("units", lambda t: F.struct(t.alias("t"), count(t).alias("n")))))
+    units = rows.select("document_id", "run", "section", "page", "total", "_at", F.posexplode("units").alias("i", "u"))
+    units = units.select("document_id", "run", "section", "page", "total", (F.col("_at") + F.col("i")).alias("row"), "u.t", "u.n")
+    return packed(units, max_tokens, overlap, least, piece)
