@@ -1212,12 +1212,13 @@ def _(spark, sf):
     WITH
     + f"""t AS (SELECT sha256(text || chr(10)) AS content_hash, any_value(text) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
 a AS (SELECT *, length(array_to_string(list_filter(list_transform(string_split({ATOM}, chr(10)), lambda s: trim(s, ' \t\r\n')), lambda s: s <> ''), ' ')) >= 40 AS ok, trim(text, ' \t\r\n') <> '' AS there FROM t)
-SELECT content_hash, n, n - 1 AS n_reused, CASE WHEN ok THEN 'ready' ELSE 'failed' END AS status, CASE WHEN there THEN 1 END AS page_count, CASE WHEN ok THEN NULL ELSE 'no text' END AS error FROM a""",
+SELECT content_hash, n, n - 1 AS n_reused, CASE WHEN ok THEN 'ready' ELSE 'failed' END AS status, CASE WHEN there THEN 1 END AS page_count, CASE WHEN ok THEN NULL ELSE 'no text' END AS error, content_hash || '.txt' AS blob_key, strlen(text) + 1 AS blob_bytes FROM a""",
 )
 def _(spark, sf):
-    """All texts as files of a folder, ingested in one batch; by content."""
+    """All texts as files of a folder, ingested in one batch; by content, with the bytes that are kept."""
     from dataclasses import replace
 
+    from docgrid.operators import history
     from docgrid.plans.ingest import ingest
     from docgrid.shared import new_path
     from docgrid.sources import files
@@ -1225,7 +1226,46 @@ def _(spark, sf):
     path = new_path(spark)
     table(spark, sf, "documents").filter("text is not null").select("doc_id", "text").write.partitionBy("doc_id").text(path)
     found = files.read_files(spark, path, "*.txt").withColumn("user_id", F.lit(None).cast("string"))
-    documents, _ = ingest(found, config=replace(DEFAULT, doc_types=("txt",)))
+    blobs = new_path(spark)
+    documents, _ = ingest(found, config=replace(DEFAULT, doc_types=("txt",)), blobs=blobs)
     new = F.when(F.col("status") != "reused", F.struct("status", "page_count", "error"))
     per = documents.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "reused").alias("n_reused"), F.max(new).alias("x"))
-    return per.select("content_hash", "n", "n_reused", "x.status", "x.page_count", "x.error")
+    kept = history.read_blobs(spark, blobs).select("content_hash", "blob_key", F.length("content").cast("long").alias("blob_bytes"))
+    return per.join(kept.hint("merge"), "content_hash", "left").select("content_hash", "n", "n_reused", "x.status", "x.page_count", "x.error", "blob_key", "blob_bytes")
+
+
+@query(
+    "ingest_batches",
+    ORACLES["ingest_files"].rsplit("SELECT content_hash, n,", 1)[0]
+    + "SELECT content_hash, n, CASE WHEN ok THEN n - 1 END AS n_reused, ok::INTEGER::BIGINT AS n_ready, ok::INTEGER::BIGINT AS n_chunked, 1::BIGINT AS n_blobs, ok::INTEGER::BIGINT AS n_fulfilled, 2 * ok::INTEGER::BIGINT AS n_rejected FROM a",
+)
+def _(spark, sf):
+    """All texts as files that a stream ingests in three batches, with repeats across them; a prep kind works, one raises, one makes nothing."""
+    from dataclasses import replace
+
+    from docgrid.operators import history
+    from docgrid.shared import new_path
+    from docgrid.streaming import jobs
+
+    source, target = new_path(spark), new_path(spark)
+    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text")
+    docs.write.partitionBy("doc_id").text(source)
+    sizes = lambda chunks: chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("value"))
+
+    def broken(chunks):
+        raise RuntimeError("no model")
+
+    computers = {"summary": sizes, "terms": broken, "questions": lambda chunks: sizes(chunks).limit(0)}
+    job = jobs.ingest_stream(spark, source, target, pattern="*.txt", files_per_batch=-(-docs.count() // 3), prep=True, computers=computers, config=replace(DEFAULT, doc_types=("txt",)))
+    job.trigger(availableNow=True).start().awaitTermination()
+    documents = spark.read.parquet(f"{target}/documents")
+    chunked = spark.read.parquet(f"{target}/chunks").select("document_id", F.lit(1).alias("chunked")).distinct()
+    prep = spark.read.parquet(f"{target}/prep").groupBy("document_id").agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad"))
+    rows = documents.hint("merge").join(chunked, "document_id", "left").hint("merge").join(prep, "document_id", "left")
+    is_ = lambda status: F.count_if(F.col("status") == status)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    per = rows.groupBy("content_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.when(is_("ready") > 0, is_("reused")).alias("n_reused"), is_("ready").alias("n_ready"), total("chunked").alias("n_chunked"), total("good").alias("n_fulfilled"), total("bad").alias("n_rejected")
+    )
+    kept = history.read_blobs(spark, f"{target}/blobs").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_blobs"))
+    return per.join(kept.hint("merge"), "content_hash", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
 from docgrid.functions.columns import suffix_of, word_count
-from docgrid.operators import catalog, chunking, models, structure
+from docgrid.operators import catalog, chunking, history, models, structure
 from docgrid.shared import cut, few, written
 from docgrid.sources.files import extract_texts, plain_text
 
@@ -47,16 +47,21 @@ def ingest(
     config: Config = DEFAULT,
     on_status: Callable[[str, DataFrame], None] = lambda status, ids: None,
     accepted: DataFrame | None = None,
+    blobs: str | None = None,
+    batch: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of a batch of files (user_id, filename, size_bytes, uploaded_at, content, content_hash).
 
     Rejected and repeated files are neither read nor embedded, every other file is read once. A document whose text
     cannot be had, or gives no chunk, is ``failed``, with the reason. ``on_status`` is told the ids (document_id) of
     documents that go on to parsing and then to embedding, before that work is done; ``accepted`` are the documents of
-    the batch, where ``accept`` has given them already.
+    the batch, where ``accept`` has given them already. The bytes of new files are kept below ``blobs``, before they are
+    read, as those of ``batch``; bytes that are there already stay. ``blob_key`` of a document names its bytes.
     """
-    judged = accepted if accepted is not None else cut(accept(files, existing, config))
+    judged = history.keyed(accepted if accepted is not None else cut(accept(files, existing, config)))
     new = judged.filter(~F.col("reused")).select("document_id")
+    if blobs is not None:
+        history.store_blobs(_named(files, config).hint("merge").join(new, "document_id", "left_semi"), blobs, batch)
     on_status("parsing", new)
     texts = written(extract_texts(_named(files, config).hint("merge").join(new, "document_id", "left_semi"), extractor))
     blocks, pages = text_blocks(texts.filter("error is null"), config)

@@ -5,42 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrid.operators import models
+from docgrid.operators import history, models
 from docgrid.plans.ingest import accept, ingest
 from docgrid.shared import written
 from docgrid.sources.files import TRACE_SCHEMA, described
 
 #: Steps of a document, in order; the last two end them.
 STATES = ("pending", "parsing", "embedding", "ready", "failed")
-DOCUMENT_FIELDS = ("document_id", "user_id", "filename", "size_bytes", "uploaded_at", "content_hash", "doc_type", "status", "error", "page_count", "kept_id")
+DOCUMENT_FIELDS = ("document_id", "user_id", "filename", "size_bytes", "uploaded_at", "content_hash", "doc_type", "status", "error", "page_count", "kept_id", "blob_key")
+#: What is remembered of documents for later batches.
+KNOWN = "user_id string, content_hash string, uploaded_at timestamp, document_id string, status string"
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that earlier batches have written; empty before the first."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", prep: bool = False, computers: dict = models.COMPUTERS, **options):
+def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", files_per_batch: int | None = None, prep: bool = False, computers: dict = models.COMPUTERS, **options):
     """A query that ingests new files of a folder once each; call ``.start()`` on a trigger of your choice.
 
     Each batch writes its rows under its own number, so a batch that is repeated replaces itself. Documents are there as
     ``pending`` before any of them is read, and ``status`` holds an event for each step that they take (document_id, seq, status).
-    Equal content of an owner in an earlier batch is found in the documents table, which is the only state.
+    Equal content of an owner in an earlier batch is found in the history of ready documents, of which only buckets that may hold a
+    hash of the batch are read. The bytes of new files are kept once. ``files_per_batch`` bounds a batch.
     With ``prep`` the prep packs of new documents are computed after they are stored, and ``prep`` holds a row (document_id, kind, value,
     error) for each kind of each; their failure leaves the ingest, and other documents, as they are.
     """
-    schema = "document_id string, user_id string, filename string, size_bytes long, uploaded_at timestamp, content_hash string, doc_type string, status string, error string, page_count int, kept_id string"
+    schema = "document_id string, user_id string, filename string, size_bytes long, uploaded_at timestamp, content_hash string, doc_type string, status string, error string, page_count int, kept_id string, blob_key string"
 
     kinds = [tuple(x.split()) for x in schema.split(", ")]
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
         rows = files.withColumn("user_id", F.lit(user_id).cast("string"))
-        before = _stored(session, f"{target}/documents", schema + ", batch int")
-        existing = before.filter((F.col("batch") != number) & (F.col("status") == "ready"))
+        existing = history.recall(rows.select("content_hash"), f"{target}/history", KNOWN, number)
         accepted = written(accept(rows, existing, **{k: v for k, v in options.items() if k == "config"}))
 
         def store(documents: DataFrame) -> None:
@@ -53,10 +47,11 @@ def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str |
 
         store(accepted)
         tell("pending", accepted.filter("not reused"))
-        documents, chunks = ingest(rows, existing, accepted=accepted, on_status=tell, **options)
+        documents, chunks = ingest(rows, existing, accepted=accepted, on_status=tell, blobs=f"{target}/blobs", batch=number, **options)
         chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
         documents = written(documents)
         store(documents)
+        history.remember(documents.filter(F.col("status") == "ready").select(*[x.split()[0] for x in KNOWN.split(", ")]), f"{target}/history", number)
         for status in ("ready", "failed"):
             tell(status, documents.filter(F.col("status") == status))
         if prep:
@@ -69,7 +64,8 @@ def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str |
             except Exception as e:  # of what is not a computer's
                 print(f"prep packs of batch {number} failed: {str(e)[:200]}")
 
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(source)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(source)
     return described(stream).writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/_checkpoint")
 
 
