@@ -1269,3 +1269,37 @@ def _(spark, sf):
     )
     kept = history.read_blobs(spark, f"{target}/blobs").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_blobs"))
     return per.join(kept.hint("merge"), "content_hash", "left")
+
+
+@query("stream_transitions", ORACLES["illegal_transitions"])
+def _(spark, sf):
+    """Steps that no document takes, found by the state that a stream keeps of each document."""
+    from docgrid.shared import new_path
+    from docgrid.streaming import jobs
+
+    source, target = new_path(spark), new_path(spark)
+    times = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    V.statuses(spark, sf).join(times.hint("merge"), "seq").write.parquet(source)
+    events = spark.readStream.schema("document_id long, seq long, status string, at timestamp").parquet(source)
+    made = jobs.status_machine(events, "3650 days").writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{target}/batch={n}"))
+    made.option("checkpointLocation", new_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).filter("kind = 'illegal'").select("document_id", "seq", "before", "status")
+
+
+@query(
+    "stream_windows",
+    WITH + TRACES_SQL + """,
+q AS (SELECT name, count(*) AS n, quantile_disc(latency_ms, 0.5) AS a, quantile_disc(latency_ms, 0.95) AS b, max(latency_ms) AS max_ms, sum(tok_in)::BIGINT AS tok_in, sum(tok_out)::BIGINT AS tok_out FROM tr GROUP BY name)
+SELECT name, n, CASE WHEN a > 0 THEN round(2 / 2.02::DOUBLE * pow(1.02::DOUBLE, ceil(round(ln(a::DOUBLE) / ln(1.02::DOUBLE), 9))), 6) ELSE 0 END AS p50,
+       CASE WHEN b > 0 THEN round(2 / 2.02::DOUBLE * pow(1.02::DOUBLE, ceil(round(ln(b::DOUBLE) / ln(1.02::DOUBLE), 9))), 6) ELSE 0 END AS p95, max_ms, tok_in, tok_out FROM q""",
+)
+def _(spark, sf):
+    """Statistics by step from sketches of hourly windows that a stream keeps, merged; the SQL puts exact percentiles into their cells."""
+    from docgrid.shared import new_path
+    from docgrid.streaming import jobs
+
+    source, target = new_path(spark), new_path(spark)
+    V.traces(spark, sf).select("start_time", "name", "latency_ms", "tok_in", "tok_out").repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("start_time timestamp, name string, latency_ms long, tok_in long, tok_out long").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.window_sketches(stream, target, "1 hour", "3650 days").trigger(availableNow=True).start().awaitTermination()
+    return jobs.sketch_stats(jobs.read_sketches(spark, target), "name")
