@@ -211,8 +211,11 @@ def explained_terms(chunks: DataFrame, n: int = 10) -> DataFrame:
     """(document_id, value): terms, each with the start of the first chunk that holds it."""
     terms = key_terms(chunks.select("document_id", "text"), n)
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([0-9A-Za-zÀ-ỹ]+)"), 1), lambda t: F.lower(t)))
-    found = chunks.select("document_id", "position", "text", F.explode(words).alias("term")).join(terms.select("document_id", "term", "rank").hint("merge"), ["document_id", "term"])
-    first = found.groupBy("document_id", "term", "rank").agg(F.min_by(first_sentences(F.col("text"), 1), "position").alias("explanation"))
+    # words travel without their text; the texts of first places are fetched afterwards
+    found = chunks.select("document_id", "position", F.explode(words).alias("term")).join(terms.select("document_id", "term", "rank").hint("merge"), ["document_id", "term"])
+    at = found.groupBy("document_id", "term", "rank").agg(F.min("position").alias("position"))
+    texts = chunks.select("document_id", "position", first_sentences(F.col("text"), 1).alias("explanation"))
+    first = at.hint("merge").join(texts.hint("merge"), ["document_id", "position"]).groupBy("document_id", "term", "rank").agg(F.min("explanation").alias("explanation"))
     entry = F.array_sort(F.collect_list(F.struct("rank", "term", "explanation")))  # n at most
     return first.groupBy("document_id").agg(F.transform(entry, lambda x: F.struct(x["term"].alias("term"), x["explanation"].alias("explanation"))).alias("value"))
 
