@@ -92,17 +92,29 @@ def suffix_of(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"\.([^./\\]+)$", 1))
 
 
-def lenient_json(text: Column, schema: str) -> Column:
-    """The text parsed as JSON, else the part from its first to its last brace, else null."""
-    whole = F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema))
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(whole, F.when(F.get_json_object(inner, "$").isNotNull(), F.from_json(inner, schema)))
+def lenient_json(text: Column) -> Column:
+    """The text parsed as JSON, else the part from its first to its last brace, else null; a variant."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
 
 
-def clamped(x: Column) -> Column:
-    """A number held between 0 and 1; anything else is 0."""
-    v = F.coalesce(x.cast("string").try_cast("double"), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(v), 0.0).otherwise(v)))
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def truthy(v: Column) -> Column:
+    """Whether a variant counts as true: but for false, null, zero and the empty text all do, empty lists and objects, too."""
+    kind = _kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    held = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind == "VOID", False)
+    return F.coalesce(held.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), (number != 0) & ~F.isnan(number)).otherwise(v.isNotNull()), F.lit(False))
+
+
+def clamped(v: Column) -> Column:
+    """A variant as a number held between 0 and 1: numbers, texts of numbers, and booleans as 0 and 1; anything else is 0."""
+    kind = _kind(v)
+    number = F.when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+    number = F.coalesce(number.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, "$", "double")), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(number), 0.0).otherwise(number)))
 
 
 def document_id_of(line: Column) -> Column:

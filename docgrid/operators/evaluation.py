@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
-from docgrid.functions.columns import clamped, latency_ms, lenient_json
-
-VERDICT = "groundedness string, citation_ok string, answered string, reason string"
-
+from docgrid.functions.columns import clamped, latency_ms, lenient_json, truthy
 
 def with_defaults(records: DataFrame, *keep: str) -> DataFrame:
     """Trace records (name, model, latencyMs, usage) with defaults for what is missing; ``keep`` are further columns."""
@@ -22,8 +19,9 @@ def with_defaults(records: DataFrame, *keep: str) -> DataFrame:
 
 
 def usage_of(body: Column) -> Column:
-    """Input and output tokens of a model's JSON answer in either of two dialects."""
-    get = lambda k: F.get_json_object(body, f"$.usage.{k}").cast("long")
+    """Input and output tokens of a model's JSON answer in either of two dialects; the body is parsed once."""
+    v = F.try_parse_json(body)
+    get = lambda k: F.try_variant_get(v, f"$.usage.{k}", "long")
     return F.struct(
         F.coalesce(get("prompt_tokens"), get("input_tokens")).alias("input"), F.coalesce(get("completion_tokens"), get("output_tokens")).alias("output"), get("total_tokens").alias("total")
     )
@@ -56,16 +54,14 @@ def trace_rollup(traces: DataFrame) -> DataFrame:
     )
 
 
-def _truthy(c: Column) -> Column:
-    return F.coalesce(~F.lower(c).isin("false", "0", "", "null"), F.lit(False))
-
-
 def verdicts(raw: DataFrame, text_col: str = "raw") -> DataFrame:
-    """Judge answers as groundedness (0 to 1), citation_ok, answered and reason (300 characters); answers without JSON are left out."""
-    rows = raw.withColumn("_v", lenient_json(F.col(text_col), VERDICT)).filter("_v is not null")
+    """Judge answers as groundedness (0 to 1), citation_ok, answered and reason (300 characters); answers without JSON, or whose JSON is null, false, 0 or empty, are left out."""
+    rows = raw.withColumn("_v", lenient_json(F.col(text_col))).filter(truthy(F.col("_v")))
+    get = lambda k: F.try_variant_get(F.col("_v"), f"$.{k}", "variant")
+    reason = F.coalesce(F.try_variant_get(F.col("_v"), "$.reason", "string"), F.lit(""))
     return rows.select(
-        *[c for c in raw.columns if c != text_col], clamped(F.col("_v.groundedness")).alias("groundedness"),
-        _truthy(F.col("_v.citation_ok")).alias("citation_ok"), _truthy(F.col("_v.answered")).alias("answered"), F.substring(F.coalesce("_v.reason", F.lit("")), 1, 300).alias("reason"),
+        *[c for c in raw.columns if c != text_col], clamped(get("groundedness")).alias("groundedness"), truthy(get("citation_ok")).alias("citation_ok"),
+        truthy(get("answered")).alias("answered"), F.substring(reason, 1, 300).alias("reason"),
     )
 
 

@@ -668,6 +668,36 @@ def _(spark, sf):
     return evaluation.verdicts(V.raw_verdicts(spark, sf))
 
 
+#: Answers of a judge of all kinds, with what they mean (none: left out).
+JUDGED = [
+    ('{"groundedness": 0.5, "citation_ok": "false", "answered": 0}', (0.5, True, False, "")),
+    ('{"groundedness": "0.25", "citation_ok": "", "answered": 1}', (0.25, False, True, "")),
+    ('{"groundedness": true, "citation_ok": null, "answered": []}', (1.0, False, True, "")),
+    ('{"groundedness": {"a": 1}, "citation_ok": {}, "answered": 0.0}', (0.0, True, False, "")),
+    ('Sure: {"groundedness": -3, "citation_ok": true, "answered": {"x": "}"}} done', (0.0, True, True, "")),
+    ('{"groundedness": 7, "citation_ok": 0, "reason": 12}', (1.0, False, False, "12")),
+    ("null", None),
+    ("broken { no", None),
+    ("[1]", (0.0, False, False, "")),
+    ('""', None),
+    ('{"groundedness": "x", "citation_ok": "no", "answered": "yes", "reason": "é"}', (0.0, True, True, "é")),
+    ('{"outer": {"groundedness": 1}}', (0.0, False, False, "")),
+]
+
+
+@query(
+    "judge_kinds",
+    "SELECT doc_id AS query_id, groundedness, citation_ok, answered, reason FROM labels JOIN (VALUES "
+    + ", ".join(f"({k}, {v[0]}::DOUBLE, {v[1]}, {v[2]}, '{v[3]}')" for k, (_, v) in enumerate(JUDGED) if v)
+    + ") AS x(k, groundedness, citation_ok, answered, reason) ON k = doc_id % 12",
+)
+def _(spark, sf):
+    """Judge answers with values of every JSON type, nested, wrapped in prose, and broken."""
+    texts = F.array(*[F.lit(t) for t, _ in JUDGED])
+    raw = table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.element_at(texts, (F.col("doc_id") % len(JUDGED) + 1).cast("int")).alias("raw"))
+    return evaluation.verdicts(raw)
+
+
 @query("eval_summary", "SELECT count(*) AS n, round(avg(quality), 9) AS groundedness, round(avg((quality = 1)::INTEGER), 9) AS citation_accuracy, round(avg((toxic = 0)::INTEGER), 9) AS answered_rate, avg(quality) >= 0.75 AS passed FROM labels WHERE doc_id % 3 <> 2")
 def _(spark, sf):
     return evaluation.eval_summary(evaluation.verdicts(V.raw_verdicts(spark, sf)))
@@ -1131,7 +1161,7 @@ def _(spark, sf):
     name = lambda x: chunk_key(F.col("document_id"), x)
     rows = V.questions(spark, sf).select(F.col("question_id").alias("query_id"), F.col("question").alias("query"), name(p).alias("positive_id"), F.array(name(p + 1), name(p), name(F.lit(9999)), name(p + 2)).alias("candidate_ids"))
     share = F.least(F.length("context") / F.lit(2000.0), F.lit(1.0))
-    told = F.to_json(F.struct(share.cast("string").alias("groundedness"), F.col("context").contains("trang").cast("string").alias("citation_ok"), (F.col("context") != "").cast("string").alias("answered"), F.substring("answer", 1, 20).alias("reason")))
+    told = F.to_json(F.struct(share.alias("groundedness"), F.col("context").contains("trang").alias("citation_ok"), (F.col("context") != "").alias("answered"), F.substring("answer", 1, 20).alias("reason")))
     judge = lambda context, query, answer: F.when(F.col("query_id") % 4 != 0, told)
     return evaluation.evaluate(rows, c, lambda context, query: context, judge)
 
