@@ -399,6 +399,23 @@ def _(spark, sf):
     return K.dedup(V.uploads(spark, sf)).select("document_id", "kept_id", "reused")
 
 
+@query(
+    "dedup_existing",
+    WITH
+    + V.UPLOADS_SQL
+    + """, old AS (SELECT * FROM uploads WHERE document_id % 3 = 0 AND status = 'ready'), new AS (SELECT * FROM uploads WHERE document_id % 3 <> 0),
+a AS (SELECT user_id, content_hash, document_id, uploaded_at, 0 AS age FROM old UNION ALL SELECT user_id, content_hash, document_id, uploaded_at, 1 FROM new WHERE status <> 'failed'),
+f AS (SELECT user_id, content_hash, min_by(document_id, (age, uploaded_at)) AS x FROM a GROUP BY ALL)
+SELECT u.document_id, CASE WHEN status = 'failed' THEN u.document_id ELSE x END AS kept_id, (CASE WHEN status = 'failed' THEN u.document_id ELSE x END) <> u.document_id AS reused
+FROM new u LEFT JOIN f ON u.user_id IS NOT DISTINCT FROM f.user_id AND u.content_hash = f.content_hash""",
+)
+def _(spark, sf):
+    """Two thirds of the uploads as a batch, the ready ones of the others as documents that are there already, for owners that may be null."""
+    u = V.uploads(spark, sf)
+    there = u.filter("document_id % 3 = 0 and status = 'ready'")
+    return K.dedup(u.filter("document_id % 3 <> 0"), there).select("document_id", "kept_id", "reused")
+
+
 BLOBS_SQL = f", blobs AS (SELECT content_hash || '.' || {SUFFIX} AS blob_key, min_by(content_hash, document_id) AS content_hash, min_by(size_bytes, document_id) AS size_bytes, min(document_id) AS document_id FROM uploads GROUP BY 1)"
 
 
@@ -782,10 +799,10 @@ def _(spark, sf):
     return retrieval.term_table(retrieval.readable(V.chunks(spark, sf)))
 
 
-@query("system_prompts", hybrid_sql(10) + f", t AS (SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id) SELECT question_id, md5('Use the context.' || chr(10) || chr(10) || '<context>' || chr(10) || context || chr(10) || '</context>') AS digest FROM t")
+@query("system_prompts", hybrid_sql(10) + f", t AS (SELECT question_id, string_agg('[' || (ord + 1) || ']' || (CASE WHEN {CITE} <> '' THEN ' (' || {CITE} || ')' ELSE '' END) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS context FROM found f JOIN chunks c USING (chunk_id) GROUP BY question_id) SELECT question_id, md5('{chat.SYSTEM_PROMPT}' || chr(10) || chr(10) || '<context>' || chr(10) || context || chr(10) || '</context>') AS digest FROM t")
 def _(spark, sf):
     c = V.chunks(spark, sf, vectors=True)
-    made = chat.system_prompts(chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c), "Use the context.")
+    made = chat.system_prompts(chat.context_texts(retrieval.hybrid_retrieval(V.questions(spark, sf), c), c))
     return made.select("question_id", F.md5(F.col("system").cast("binary")).alias("digest"))
 
 
