@@ -52,9 +52,14 @@ def turn_rows(answers: DataFrame) -> DataFrame:
     return row("user", 0, F.lit(None).cast("string")).unionByName(row("assistant", 1, F.col("metadata").cast("string")))
 
 
+def document_messages(messages: DataFrame, sessions: DataFrame, on: list[str]) -> DataFrame:
+    """All messages with the document of their session, in no order."""
+    return messages.join(sessions.select(*on, "document_id"), on).select("document_id", "id", "role", "parts", "metadata", "sort_order")
+
+
 def chat_history(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """All messages with their document, in order."""
-    return messages.join(sessions.select("session_id", "document_id"), "session_id").select("document_id", "id", "role", "parts", "metadata", "sort_order").orderBy("document_id", "sort_order")
+    return document_messages(messages, sessions, ["session_id"]).orderBy("document_id", "sort_order")
 
 
 def latest_questions(messages: DataFrame) -> DataFrame:

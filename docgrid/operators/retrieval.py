@@ -19,8 +19,9 @@ from docgrid.shared import cut, hinted, is_small
 
 
 def readable(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Chunks that are long enough to be text."""
-    return chunks.filter(F.length(F.trim("text")) >= config.min_chunk_chars)
+    """Chunks that are long enough to be text; their trimmed length is read where it is a column (``text_chars``)."""
+    chars = F.col("text_chars") if "text_chars" in chunks.columns else F.length(F.trim("text"))
+    return chunks.filter(chars >= config.min_chunk_chars)
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, small: bool | None = None) -> DataFrame:

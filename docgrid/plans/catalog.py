@@ -1350,3 +1350,54 @@ def _(spark, sf):
     stream = spark.readStream.schema("start_time timestamp, name string, latency_ms long, tok_in long, tok_out long").option("maxFilesPerTrigger", 1).parquet(source)
     jobs.window_sketches(stream, target, "1 hour", "3650 days").trigger(availableNow=True).start().awaitTermination()
     return jobs.sketch_stats(jobs.read_sketches(spark, target), "name")
+
+
+# tables laid out for their joins
+
+
+def _library(spark):
+    """A name that no library has yet."""
+    import uuid
+
+    return "library_" + uuid.uuid4().hex
+
+
+@query("library_status", WITH + DOCS_SQL + " SELECT document_id, filename, doc_type, status, coalesce(n_chunks, 0)::BIGINT AS n_chunks FROM docs LEFT JOIN n USING (document_id)")
+def _(spark, sf):
+    """Status from bucketed tables of two batches, each with half of the lines of every document; nothing is shuffled once written."""
+    from docgrid.sources import library as L
+
+    name, shape, docs, chunks = _library(spark), L.Shape(8), _documents(spark, sf), _upload_chunks(spark, sf)
+    chunks = chunks.join(docs.select("document_id").hint("merge"), "document_id", "left_semi")
+    L.add_documents(name, docs, chunks.filter("position % 2 = 0"), shape)
+    L.add_documents(name, docs.limit(0), chunks.filter("position % 2 = 1"), shape)
+    return L.document_status(L.read_library(spark, name, shape))
+
+
+@query("library_history", "SELECT 'doc' || conv_id AS document_id, conv_id || '-' || turn AS id, role, text, turn::INTEGER AS sort_order FROM conversations")
+def _(spark, sf):
+    """Messages with their documents from bucketed tables of two batches, in blocks of four messages."""
+    from docgrid.sources import library as L
+
+    name, shape, m = _library(spark), L.Shape(8, 4), V.messages(spark, sf)
+    sessions = m.select("session_id").distinct().withColumn("document_id", F.concat(F.lit("doc"), F.col("session_id").cast("string")))
+    for k in (0, 1):
+        L.add_messages(name, sessions, m.filter(F.col("sort_order") % 2 == k), shape)
+    found = L.chat_history(L.read_library(spark, name, shape))
+    return found.select("document_id", "id", "role", C.message_text(F.col("parts")).alias("text"), "sort_order")
+
+
+@query("library_neighbors", base(DENSE_SQL.format(pool=10), "top AS (SELECT question_id, chunk_id, rank AS ord, score FROM dense)", NEIGHBOR_SQL) + " SELECT question_id, document_id, position, chunk_id, ord FROM found")
+def _(spark, sf):
+    """The nearest chunks and those beside them from a bucketed table, of which neighbours need no text."""
+    from docgrid.shared import cut
+    from docgrid.sources import library as L
+
+    name, shape, chunks = _library(spark), L.Shape(8), V.chunks(spark, sf, vectors=True)
+    documents = chunks.select("document_id").distinct()
+    L.add_documents(name, documents, chunks.withColumn("embedding", F.coalesce("embedding", F.array())), shape)
+    library = L.read_library(spark, name, shape)
+    vectors = library.chunks.withColumn("embedding", F.when(F.size("embedding") > 0, F.col("embedding")))
+    top = cut(retrieval.dense_topk(V.questions(spark, sf), vectors, 10).withColumnRenamed("rank", "ord"))
+    hits = library.chunks.select("chunk_id", "document_id", "position").join(top.hint("merge"), "chunk_id")
+    return L.with_neighbors(hits, library).drop("score")

@@ -84,7 +84,11 @@ def chunk_key(document_id: Column, position: Column) -> Column:
     return F.concat_ws("::", document_id, position.cast("string"))
 
 
+def with_vectors(chunks: DataFrame) -> DataFrame:
+    """``chunks``; one whose vector is null ends the query."""
+    return chunks.withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(F.raise_error(F.lit("a chunk has no vector"))))
+
+
 def write_chunks(chunks: DataFrame, path: str, by: str = "document_id") -> None:
     """Append chunks with vectors, sorted by document; a chunk without a vector is an error."""
-    guarded = chunks.withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(F.raise_error(F.lit("a chunk has no vector"))))
-    guarded.repartitionByRange(by, "position").sortWithinPartitions(by, "position").write.mode("append").parquet(path)
+    with_vectors(chunks).repartitionByRange(by, "position").sortWithinPartitions(by, "position").write.mode("append").parquet(path)
