@@ -296,7 +296,7 @@ def _(spark, sf):
 
 GROUPS_SQL = (
     "WITH RECURSIVE "
-    + V.CHUNKS_SQL
+    + V.PARTS_SQL
     + """,
 g AS (SELECT document_id, position, length(text)::BIGINT AS size, 0 AS grp FROM chunks WHERE position = 0
       UNION ALL
@@ -308,12 +308,12 @@ g AS (SELECT document_id, position, length(text)::BIGINT AS size, 0 AS grp FROM
 
 @query("chunk_groups", GROUPS_SQL + " SELECT document_id, position, grp FROM g")
 def _(spark, sf):
-    return models.chunk_groups(V.chunks(spark, sf)).select("document_id", "position", "grp")
+    return models.chunk_groups(V.parts(spark, sf)).select("document_id", "position", "grp")
 
 
 @query("group_texts", GROUPS_SQL + " SELECT document_id, grp, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM g JOIN chunks USING (document_id, position) GROUP BY document_id, grp")
 def _(spark, sf):
-    return models.group_texts(models.chunk_groups(V.chunks(spark, sf)))
+    return models.group_texts(models.chunk_groups(V.parts(spark, sf)))
 
 
 
@@ -343,14 +343,14 @@ s AS (SELECT document_id, {SENTENCES.format("whole")} AS s FROM a)
 SELECT document_id, coalesce(s[1], '') AS context, array_to_string(s[1:5], ' ') AS main_content, array_to_string(s[2:4], ' | ') AS decision_points, coalesce(s[len(s)], '') AS impact FROM s""",
 )
 def _(spark, sf):
-    v = models.summarize(V.chunks(spark, sf))
+    v = models.summarize(V.parts(spark, sf))
     return v.select("document_id", "value.context", "value.main_content", F.array_join("value.decision_points", " | ").alias("decision_points"), "value.impact")
 
 
 @query(
     "term_explanations",
     WITH
-    + V.CHUNKS_SQL
+    + V.PARTS_SQL
     + ", "
     + terms_sql("(SELECT document_id, text FROM chunks)", "document_id")
     + f""", w AS (SELECT DISTINCT document_id, position, unnest({TOKENS.format("text")}) AS term FROM chunks),
@@ -358,12 +358,12 @@ f AS (SELECT document_id, term, min(position) AS position FROM w JOIN (SELECT do
 SELECT document_id, term, coalesce({SENTENCES.format("text").replace("(\\n\\n---\\n\\n|\\s)+", "\\s+")}[1], '') AS explanation FROM f JOIN chunks USING (document_id, position)""",
 )
 def _(spark, sf):
-    return models.explained_terms(V.chunks(spark, sf)).select("document_id", F.explode("value").alias("x")).select("document_id", "x.term", "x.explanation")
+    return models.explained_terms(V.parts(spark, sf)).select("document_id", F.explode("value").alias("x")).select("document_id", "x.term", "x.explanation")
 
 
-@query("question_templates", WITH + V.CHUNKS_SQL + ", " + terms_sql("(SELECT document_id, text FROM chunks)", "document_id") + " SELECT document_id, string_agg('What does the document say about ' || term || '?', '|' ORDER BY rank) AS questions FROM k WHERE rank <= 5 GROUP BY document_id")
+@query("question_templates", WITH + V.PARTS_SQL + ", " + terms_sql("(SELECT document_id, text FROM chunks)", "document_id") + " SELECT document_id, string_agg('What does the document say about ' || term || '?', '|' ORDER BY rank) AS questions FROM k WHERE rank <= 5 GROUP BY document_id")
 def _(spark, sf):
-    return models.template_questions(V.chunks(spark, sf)).select("document_id", F.array_join("value", "|").alias("questions"))
+    return models.template_questions(V.parts(spark, sf)).select("document_id", F.array_join("value", "|").alias("questions"))
 
 
 # catalog
@@ -865,7 +865,7 @@ SELECT document_id, CASE WHEN document_id < 'src3' THEN 's' ELSE coalesce(s[1],
 FROM s JOIN (SELECT document_id, count(*) AS n_terms, string_agg('What does the document say about ' || term || '?', '|' ORDER BY rank) FILTER (rank <= 5) AS questions FROM k WHERE rank <= 10 GROUP BY document_id) USING (document_id)""",
 )
 def _(spark, sf):
-    c = V.chunks(spark, sf)
+    c = V.parts(spark, sf)
     docs = c.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct()
     none = F.lit(None).cast("string")
     prep = docs.filter("document_id < 'src3'").select("document_id", F.lit("s").alias("summary"), none.alias("terms"), none.alias("questions"))
@@ -1185,11 +1185,11 @@ def _(spark, sf):
 
 @query(
     "prep_isolated",
-    WITH + V.CHUNKS_SQL + ", d AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) SELECT document_id, 'fulfilled' AS summary, 'rejected' AS terms, CASE WHEN document_id < 'src15' THEN 'fulfilled' ELSE 'rejected' END AS questions, '{\"value\":' || n || '}' AS value FROM d",
+    WITH + V.PARTS_SQL + ", d AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) SELECT document_id, 'fulfilled' AS summary, 'rejected' AS terms, CASE WHEN document_id < 'src15' THEN 'fulfilled' ELSE 'rejected' END AS questions, '{\"value\":' || n || '}' AS value FROM d",
 )
 def _(spark, sf):
     """Prep packs where one kind fails for all documents and another one for some."""
-    c = V.chunks(spark, sf)
+    c = V.parts(spark, sf)
     docs = c.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename")).distinct()
     none = F.lit(None).cast("string")
     sizes = lambda chunks: chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("value"))

@@ -16,6 +16,10 @@ chunks AS (
          d.lang AS section, d.text, e.embedding::DOUBLE[] AS embedding
   FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
+#: The same texts as chunks of documents of constant length, for what goes over whole documents.
+PARTS_SQL = """
+chunks AS (SELECT doc_id AS chunk_id, 'src' || (doc_id // 50) AS document_id, (doc_id % 50)::INTEGER AS position, text FROM documents)"""
+
 QUESTIONS_SQL = """
 questions AS (
   SELECT b.item_id AS question_id, 'src' || (b.item_id % 20) AS document_id, b.text AS question, e.embedding::DOUBLE[] AS embedding
@@ -55,6 +59,12 @@ def chunks(spark: SparkSession, sf: str, vectors: bool = False) -> DataFrame:
     return rows.join(e, rows["chunk_id"] == e["vec_id"], "left").select(*rows.columns, "embedding")
 
 
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as a chunk of a document of 50 chunks, so that the number of documents grows with the input and not their length."""
+    i = F.col("doc_id")
+    return documents(spark, sf).select(i.alias("chunk_id"), F.concat(F.lit("src"), F.floor(i / 50).cast("string")).alias("document_id"), (i % 50).cast("int").alias("position"), "text")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
     return b.join(e, b["item_id"] == e["vec_id"]).select(
