@@ -89,7 +89,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, then text, nulls first (to compare conversations, ties in turn
     and role by the text's hash); repeated rows count once. Null
     roles and texts render as empty; null conv_ids form one conversation. A conversation without
-    rows does not exist; an empty table gives none. Other columns are ignored.
+    rows does not exist; an empty table gives none. Other columns are ignored. Texts of any length are hashed where
+    they lie and travel once, to be rendered whole.
     """
     return render(turns, maximal_conversations(turns))
 

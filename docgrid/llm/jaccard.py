@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrid.llm.blocks import opened, pack, sections, text_blocks, unpack
-from docgrid.llm.text import PIECE_BYTES, coded, hash_words, maybe_in, mix64, small_batches, spans, words_of
+from docgrid.llm.text import PIECE_BYTES, coded, hash_words, least_rows, maybe_in, mix64, small_batches, spans, words_of
 from docgrid.shared import cut, fresh, stored, written
 
 #: Bytes of text of a block, and of the text whose n-grams one range of the hash space holds. Messages shrink where
@@ -300,7 +300,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for: the one with the smallest id stays.
 
-    Of rows that repeat id and text one stays; a null id gives way to any other; rows without words
+    Of rows that repeat id and text the least by all columns stays; a null id gives way to any other; rows without words
     all stay. Columns are as before, whatever their names.
     """
     found, drop_found = stored(jaccard_components(docs, id_col, text_col, n, percent).select(F.col(id_col).alias("id"), "text_key", "class_key").filter("class_key is not null"))
@@ -317,7 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     on = named[id_col].cast("long").eqNullSafe(special[own_id]) & (named[key] == special[own_key])
     joined = named.filter(maybe).hint("shuffle_merge").join(special.hint("shuffle_merge"), on, "left")
     once = named.filter(~F.col(maybe)).select(*docs.columns).unionByName(joined.filter(F.col(kept).isNull()).select(*docs.columns))
-    repeated = joined.filter(F.col(kept)).dropDuplicates([id_col, key]).select(*docs.columns)
+    repeated = least_rows(joined.filter(F.col(kept)), [id_col, key], docs.columns, [id_col, text_col])
     return once.unionByName(repeated)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgrid.llm.text import least_rows
 from docgrid.shared import cut, fresh, running_start
 
 #: Fixed values of the mix: weights by rank of the source, repeating, and the most copies of a document.
@@ -118,7 +119,7 @@ def cube_mix(
 
     ``id_cols`` should tell rows apart; rows that agree in all columns are interchangeable. A null
     or negative size counts as 0; the null source is a source of its own; a source of size 0 has
-    target 0. No row gets more than ``most`` copies. Reruns agree. An empty table gives none.
+    target 0; texts do not travel, whatever their length. No row gets more than ``most`` copies. Reruns agree. An empty table gives none.
     """
     rows = rows.select(*id_cols, "source", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"))
     targets = cut(source_targets(rows, weights, most))
@@ -187,19 +188,20 @@ def n_words(text: str = "text"):
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, columns as before. Sizes are words.
 
-    Rows that repeat id and text are interchangeable: one of them is laid out for all. A null or empty text has
-    size 0 and is taken as often as the mix takes it; an empty table stays empty; columns may have any names.
-    ``mix`` goes to ``cube_mix``.
+    Of rows that repeat id, text and source the least by all columns is laid out for all. A null or empty text has
+    size 0 and is taken as often as the mix takes it; a text of any length travels once, to the number of its copies;
+    an empty table stays empty; columns may have any names. ``mix`` goes to ``cube_mix``.
     """
-    key, own_id, own_key, n, times, copy = fresh(docs, "key", "own_id", "own_key", "n", "times", "copy")
+    key, own_id, own_key, own_source, n, times, copy = fresh(docs, "key", "own_id", "own_key", "own_source", "n", "times", "copy")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
     rows = keyed.select(F.col(id_col).alias("_id"), F.col(key).alias("_key"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    per = cube_mix(rows, ["_id", "_key"], **mix).groupBy("_id", "_key").agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(times))
-    per = cut(per.filter(F.col(n) > 0).withColumnsRenamed({"_id": own_id, "_key": own_key}))
-    on = keyed[id_col].eqNullSafe(per[own_id]) & (keyed[key] == per[own_key])
-    joined = keyed.hint("shuffle_merge").join(per.hint("shuffle_merge"), on).drop(own_key, own_id)
+    per = cube_mix(rows, ["_id", "_key"], **mix).groupBy("_id", "_key", "source").agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(times))
+    per = cut(per.filter(F.col(n) > 0).withColumnsRenamed({"_id": own_id, "_key": own_key, "source": own_source}))
+    on = keyed[id_col].eqNullSafe(per[own_id]) & (keyed[key] == per[own_key]) & keyed[source_col].eqNullSafe(per[own_source])
+    joined = keyed.hint("shuffle_merge").join(per.hint("shuffle_merge"), on).drop(own_key, own_id, own_source)
     if not per.filter(F.col(times) > 1).isEmpty():
-        joined = joined.filter(F.col(times) == 1).unionByName(joined.filter(F.col(times) > 1).dropDuplicates([id_col, key]))
+        once = joined.filter(F.col(times) == 1).select(*docs.columns, n)
+        joined = once.unionByName(least_rows(joined.filter(F.col(times) > 1), [id_col, key, source_col], [*docs.columns, n], [id_col, text_col, source_col]))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 

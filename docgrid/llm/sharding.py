@@ -76,7 +76,7 @@ def shard_rows(df: DataFrame, n_shards: int, order_by: list[str], seed: int = 1)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Narrow rows of documents: id, size in bytes plus 1, checksum and a fingerprint of the text."""
+    """Narrow rows of documents: id, size in bytes plus 1, checksum and a fingerprint of the text, whatever its length."""
     raw = F.col("text").cast("binary")
     return docs.select(
         "doc_id",

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrid.shared import fresh
+
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +31,17 @@ def small_batches(df):
     return df
 
 
+def least_rows(rows: DataFrame, by: list[str], columns: list[str], same: list[str]) -> DataFrame:
+    """``columns`` of one row for each ``by``: the least one by all of them but ``same``, in which rows agree, nulls first.
+
+    Maps and variants, which have no order, are compared as JSON. Rows that agree in all columns are one.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ordered = [F.to_json(F.struct(c)) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(c) for c in columns if c not in same]
+    (least,) = fresh(rows, "least")
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*columns), F.struct(F.lit(0), *ordered)).alias(least)).select(f"{least}.*")
+
+
 def rebased(texts: pa.Array) -> pa.Array:
     """The array itself, or a copy if it is a slice: Arrow's case functions misread the offsets of slices."""
     if isinstance(texts, pa.ChunkedArray):

@@ -132,6 +132,17 @@ def test_empty_table(spark):
     assert J.keep_one(docs).count() == 0
 
 
+def test_least_of_repeated_rows_stays(spark):
+    """Of rows that repeat id and text the least by their other columns, a null before all."""
+    text = "one two three four five six seven"
+    rows = [(1, text, "z", {"a": 1}), (1, text, "b", {"a": 2}), (1, text, "b", {"a": 1}), (2, text, "a", None), (3, "other words stand here for once", "y", {}), (3, "other words stand here for once", None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, least string, m map<string,int>")
+    for k in (1, 4):
+        got = J.keep_one(docs.repartition(k))
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id, str(r.least), r.m) for r in got.collect()) == [(1, "b", {"a": 1}), (3, "None", {})]
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_pieces_of_few_words(n):
     """A batch that holds fewer words than a shingle."""

@@ -1,9 +1,11 @@
 """Sharding, quality rules, chats, mixing, language identification, secrets and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -173,6 +175,14 @@ def test_snapshots(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_very_long_turn(spark):
+    """A text of six million characters, and one that differs in its last character only."""
+    long = "ab " * 2_000_000
+    rows = [(1, 0, "user", long + "x"), (2, 0, "user", long + "x"), (2, 1, "assistant", "b"), (3, 0, "user", long + "y")]
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {2: (2, f"<|user|>\n{long}x<|end|>\n<|assistant|>\nb<|end|>\n"), 3: (1, f"<|user|>\n{long}y<|end|>\n")}
+
+
 # mixing
 
 
@@ -259,6 +269,55 @@ def test_mixed_documents(spark):
     assert all(n[k] <= 3 * Counter((r[0], r[1]) for r in rows)[k] for k in n)
 
 
+def exact_flight(sizes, probs, seed):
+    """The flight in fractions: the direction is the cross product of the two constraints."""
+    rng, p, open_ = random.Random(seed), [Fraction(x) for x in probs], []
+    for i in range(len(p)):
+        if p[i] in (0, 1):
+            continue
+        open_.append(i)
+        if len(open_) == 3:
+            s = [Fraction(sizes[k]) for k in open_]
+            d = [s[2] - s[1], s[0] - s[2], s[1] - s[0]] if len(set(s)) > 1 else [Fraction(1), Fraction(-1), Fraction(0)]
+            room = lambda sign: min(((1 - p[k]) if sign * m > 0 else p[k]) / abs(m) for k, m in zip(open_, d, strict=True) if m)  # noqa: E731, B023
+            up, down = room(1), room(-1)
+            t = up if rng.random() * (up + down) < down else -down
+            for k, m in zip(open_, d, strict=True):
+                p[k] += t * m
+            open_ = [k for k in open_ if 0 < p[k] < 1]
+    return p
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_flight_equals_fractions(seed):
+    r = random.Random(seed)
+    sizes = [float(r.choice([3, 3, 3, r.randint(0, 50)])) for _ in range(60)]
+    probs = [r.choice([0.0, 1.0, 0.5, r.random()]) for _ in range(60)]
+    got, want = mixing.fly(list(range(60)), sizes, probs, seed, False), exact_flight(sizes, probs, seed)
+    assert got == pytest.approx([float(x) for x in want], abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_landing_cannot_be_bettered_by_one_turn(seed):
+    """All decided, and no other decision about one unit of a fraction brings words nearer to their total."""
+    r = random.Random(100 + seed)
+    sizes, probs = [float(r.choice([r.randint(0, 50), r.randint(0, 3000)])) for _ in range(60)], [r.choice([0.0, 1.0, r.random()]) for _ in range(60)]
+    got = mixing.fly(list(range(60)), sizes, probs, seed, True)
+    assert set(got) <= {0.0, 1.0} and all(g == p for g, p in zip(got, probs, strict=True) if p in (0, 1))
+    off = sum(map(float.__mul__, probs, sizes)) - sum(map(float.__mul__, got, sizes))
+    others = [abs(off - s * (1 - 2 * g)) for s, g, p in zip(sizes, got, probs, strict=True) if 0 < p < 1]
+    assert abs(off) <= min(others, default=math.inf) + 1e-6
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows that repeat id and text: each source lays out its own, and of one source the least by all other columns."""
+    rows = [(1, "w " * 40, s, x, {"k": x}) for s in ("a", "b", None) for x in (3, 2, 1)] + [(2, "v " * 1_000_000, "c", 9, {}), (None, None, "a", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, least int, key map<string,int>")
+    runs = [Counter((r.doc_id, r.source, r.least) for r in mixing.mix_documents(docs.repartition(k)).collect()) for k in (1, 4)]
+    assert runs[0] == runs[1] and set(runs[0]) - {(None, "a", None)} <= {(1, "a", 1), (1, "b", 1), (1, None, 1), (2, "c", 9)}
+    assert all(n <= 9 for n in runs[0].values())  # three rows, three copies each
+
+
 # languages
 
 
