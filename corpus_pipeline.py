@@ -20,7 +20,7 @@ from docgrid.shared import fresh, table, written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without lines that are too frequent in their source.
 
-    Null and empty texts go; repeated rows are judged alike; a null source is a source; no row gives none. A column
+    Null and empty texts go; lines of texts of any length count; repeated rows are judged alike; a null source is a source; no row gives none. A column
     ``n_chars``, where there is one, counts the characters that are left; all others stay as they are.
     """
     kept = quality_filter(docs)
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of 5-word shingle similarity of 0.8 or more: the one with the smallest doc_id.
 
-    A null doc_id gives way to any other; of equal rows one stays; texts without words all stay; no row gives none.
+    A null doc_id gives way to any other; of rows that repeat id and text the least stays; texts of any length are compared whole; texts without words all stay; no row gives none.
     Columns may have any names.
     """
     return keep_one(docs, n=5, percent=80)
@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that is near a benchmark item.
 
-    Null and empty texts stay; repeated rows fare alike; no row gives none. Columns may have any names.
+    Null and empty texts stay; texts of any length are searched whole; repeated rows fare alike; no row gives none. Columns may have any names.
     """
     (matches,) = fresh(docs, "matches")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), out=matches)
@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, repeated or left out so that sources reach their target weights.
 
-    Null and empty texts weigh nothing; equal rows are interchangeable; a null source is the last one; no row gives
+    Null and empty texts weigh nothing; texts of any length travel once; rows that repeat id, text and source are laid out as the least of them; a null source is the last one; no row gives
     none. Columns may have any names.
     """
     return mix_documents(docs)
