@@ -43,18 +43,37 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docgrid/{uuid.uuid4().hex}"
 
 
+def deleter(spark: SparkSession, path: str) -> Callable[[], None]:
+    """A function that deletes the folder ``path`` of the shared store."""
+
+    def delete() -> None:
+        sc = spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+    return delete
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as Parquet in the shared folder, read back, and a function that deletes it once no plan reads it any more."""
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), deleter(spark, path)
+
+
+def stored_by(df: DataFrame, by: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``stored``, in as many buckets of ``by`` as a shuffle has partitions: what is grouped or joined by it, however often, is not shuffled again."""
+    spark = df.sparkSession
+    path, name, n = new_path(spark), f"docgrid_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(name)
+    files = deleter(spark, path)
 
     def delete() -> None:
-        sc = spark.sparkContext
-        place = sc._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        files()
 
-    return spark.read.schema(df.schema).parquet(path), delete
+    return spark.table(name), delete
 
 
 def written(df: DataFrame) -> DataFrame:
