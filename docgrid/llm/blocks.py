@@ -93,5 +93,7 @@ def opened(block: dict) -> list[str]:
 
 def sections(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of each run of equal values of a sorted array."""
-    first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1)) if len(values) else np.empty(0, np.int64)
+    if not len(values):
+        return []
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
     return list(zip(values[first].tolist(), first.tolist(), np.append(first[1:], len(values)).tolist(), strict=True))

@@ -6,10 +6,12 @@ pairs arcs of word states; every pair state has a failure arc to the state of it
 that one to the root, where words that training has not seen share one arc. A text is read once from
 left to right, carrying the state and adding log-probabilities.
 
-Counts are exact and global, but no task ever holds the whole model. Texts lie in blocks of
-bounded size. Each block asks for the counts of its own words, pairs and triples: sorted hashes,
+Counts are global, by 64-bit hashes at any size of the input, and no task ever holds the whole model. Texts lie
+in blocks of bounded size. Each block asks for the counts of its own words and pairs: sorted hashes,
 written as differences, one message for each range of the hash space, together with the block's
-own training counts. The owner of a range adds up and answers in the order of the question. Hot
+own training counts. The owner of a range adds up and answers in the order of the question; of a pair it also says
+whether several blocks have it. Then blocks ask for their triples in the same way, but not for those that
+have a pair which no other block has: no other block has these, so that the block's own counts are all. Hot
 words are one entry for each block, and hashes spread evenly, so no range is larger than others.
 A block then builds the part of the automaton that its texts can reach.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docgrid.llm.blocks import opened, pack, sections, text_blocks, unpack
 from docgrid.llm.text import coded, hash_words, mix64, words_of
-from docgrid.shared import hashed_fold, written
+from docgrid.shared import hashed_fold, stored, stored_by, written
 
 #: Bytes of text of a block, and of the text whose hashes one range should hold. There is no most number of ranges: where
 #: a block has fewer hashes than there are ranges, a message holds one hash, so both should grow with executors' memory.
@@ -33,8 +35,6 @@ LEAST_TRUST = 0.1
 MOST_DISCOUNT = 0.9
 #: A pair that occurred so often as a context gives half of its weight to the words that followed it.
 HALF_TRUST = 4.0
-#: Bits that hashes of pairs and triples have beyond those that number the bytes of all texts, so that they do not meet by chance.
-SPARE_BITS = 20
 #: Tokens that a lane of the traversal reads.
 LANE = 256
 BINS = 64
@@ -76,30 +76,42 @@ class Block:
         self.ends = self.pair_of[last[first]]  # the pair that a triple ends with
         self.triple_hashes = mix64(self.pair_hashes[self.triples >> 32] * np.uint64(5) + h[self.triples & 0xFFFFFFFF])
 
-    def asked(self, kind: int, bits: int) -> np.ndarray:
-        if kind == 1:
-            return self.hashes[: self.start]
-        return (self.pair_hashes if kind == 2 else self.triple_hashes) >> np.uint64(64 - bits) << np.uint64(64 - bits)
+    def asked(self, kind: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of the words (kind 1), pairs (2) or triples (3) that are asked for, in the order of hashes; of triples, those of which both pairs are ``shared``."""
+        if kind == 3:
+            places = np.flatnonzero(shared[self.triples >> 32] & shared[self.ends])
+            h = self.triple_hashes[places]
+        else:
+            h = self.hashes[: self.start] if kind == 1 else self.pair_hashes
+            places = np.arange(len(h))
+        order = np.argsort(h)
+        return h[order], places[order]
+
+    def counts(self, kind: int, train: np.ndarray) -> np.ndarray:
+        """How often each word, pair or triple occurs in the block's own training texts."""
+        learn = np.repeat(train, np.diff(self.at))
+        of = (self.ids[learn], self.pair_of[learn], self.triple_of[learn[self.inner]])[kind - 1]
+        return np.bincount(of, minlength=(self.start, len(self.pairs), len(self.triples))[kind - 1])
 
-    def questions(self, train: np.ndarray, range_bits: int, bits: int):
+    def questions(self, kind: int, train: np.ndarray, range_bits: int, shared: np.ndarray | None = None):
         """(range, kind, hashes, training counts) with hashes sorted; a range is the first bits of a hash."""
-        learn = np.repeat(train, np.diff(self.at))
-        for kind, of in ((1, self.ids[learn]), (2, self.pair_of[learn]), (3, self.triple_of[learn[self.inner]])):
-            h, low = self.asked(kind, bits), np.uint64(0 if kind == 1 else 64 - bits)
-            n = np.bincount(of, minlength=len(h))
-            order = np.argsort(h)
-            x = h[order]
-            first = (x >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(x), np.int64)
-            for r, s, e in sections(first):
-                yield r, kind, pack(np.diff(x[s:e] >> low, prepend=np.uint64(0))), pack(n[order[s:e]])
-
-    def answered(self, kind: int, answers: list[tuple[int, bytes]], bits: int) -> np.ndarray:
-        """Counts in the block's own order."""
-        h = self.asked(kind, bits)
-        out = np.zeros(len(h), np.int64)
-        if len(h):
-            out[np.argsort(h)] = np.concatenate([unpack(x) for _, x in sorted(answers)]).astype(np.int64)
-        return out
+        x, places = self.asked(kind, shared)
+        n = self.counts(kind, train)[places]
+        first = (x >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(x), np.int64)
+        for r, s, e in sections(first):
+            yield r, kind, pack(np.diff(x[s:e], prepend=np.uint64(0))), pack(n[s:e])
+
+    def answered(self, kind: int, answers: list[tuple[int, bytes]], shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counts) that were answered."""
+        places = self.asked(kind, shared)[1]
+        return places, np.concatenate([unpack(x) for _, x in sorted(answers)]).astype(np.int64) if len(places) else np.zeros(0, np.int64)
+
+    def known_pairs(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all pairs, and whether several blocks have them."""
+        places, got = self.answered(2, answers)
+        out = np.zeros(len(places), np.int64)
+        out[places] = got
+        return out >> 1, (out & 1).astype(np.bool_)
 
 
 class Automaton:
@@ -177,40 +189,53 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits, bits = (size // range_bytes).bit_length(), min(64, size.bit_length() + SPARE_BITS)
-    blocks, _ = text_blocks(rows, "text", block_bytes)
+    range_bits = (size // range_bytes).bit_length()
+    gathered, drop_gathered = text_blocks(rows, "text", block_bytes)
+    blocks, drop_blocks = stored_by(gathered, "block")  # read three times, twice beside answers
+    drop_gathered()
+
+    messages, replies = "block long, range long, kind int, hashes binary, counts binary", "block long, range long, kind int, counts binary, bins array<array<long>>"
+    fields = [("block", pa.int64()), ("range", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]
+
+    def posed(block: int, questions: list[tuple]) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(("block", "range", "kind", "hashes", "counts"), (block, *q), strict=True)) for q in questions], pa.schema(fields))
 
     def ask(batches):
         for b in batches:
             for row in b.to_pylist():
-                block = Block(opened(row))
-                got = list(block.questions(np.array(row["train"], np.bool_), range_bits, bits))
-                cols = list(zip(*got, strict=True)) or [[], [], [], []]
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(got), pa.int64()), *[pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)]], names=["block", "range", "kind", "hashes", "counts"])
+                block, train_ = Block(opened(row)), np.array(row["train"], np.bool_)
+                yield from posed(row["block"], [q for kind in (1, 2) for q in block.questions(kind, train_, range_bits)]).to_batches()
 
-    asked = blocks.mapInArrow(ask, "block long, range long, kind int, hashes binary, counts binary")
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block = Block(opened(row))
+        _, shared = block.known_pairs([(r["range"], r["counts"]) for r in right.to_pylist()])
+        return posed(row["block"], list(block.questions(3, np.array(row["train"], np.bool_), range_bits, shared)))
 
     def answer(group: pa.Table) -> pa.Table:
-        """All questions about one range of one kind: answers, and one row that sums the range up."""
+        """All questions about one range of one kind: answers, of pairs with a last bit that says whether several blocks asked; and of words one row that sums the range up."""
         rows_ = group.to_pylist()
         kind, number = rows_[0]["kind"], rows_[0]["range"]
         keys = [np.cumsum(unpack(r["hashes"]), dtype=np.uint64) for r in rows_]
         counts = np.concatenate([unpack(r["counts"]) for r in rows_]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
+        told = total << 1 | (np.bincount(inverse) > 1) if kind == 2 else total
         at, out = 0, []
         for r, k in zip(rows_, keys, strict=True):
-            out.append({"block": r["block"], "range": number, "kind": kind, "counts": pack(total[inverse[at : at + len(k)]]), "bins": None})
+            out.append({"block": r["block"], "range": number, "kind": kind, "counts": pack(told[inverse[at : at + len(k)]]), "bins": None})
             at += len(k)
         if kind == 1:
             own = total[total > 0]
             bins = np.log2(np.maximum(own, 1)).astype(np.int64)
             sums = [[len(own), int(own.sum()), int((own == 1).sum()), int((own == 2).sum())], np.bincount(bins, minlength=BINS).tolist(), np.bincount(bins, weights=own, minlength=BINS).astype(np.int64).tolist()]
             out.append({"block": None, "range": number, "kind": 0, "counts": None, "bins": sums})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("range", pa.int64()), ("kind", pa.int32()), ("counts", pa.binary()), ("bins", pa.list_(pa.list_(pa.int64())))]))
+        return pa.Table.from_pylist(out, pa.schema([*fields[:3], fields[4], ("bins", pa.list_(pa.list_(pa.int64())))]))
 
-    answers = written(asked.groupBy("range", "kind").applyInArrow(answer, "block long, range long, kind int, counts binary, bins array<array<long>>"))
+    answers, drop_answers = stored(blocks.mapInArrow(ask, messages).groupBy("range", "kind").applyInArrow(answer, replies))
+    of_pairs = answers.filter("kind = 2").select("block", "range", "counts")
+    triples_asked = blocks.groupBy("block").cogroup(of_pairs.groupBy("block")).applyInArrow(ask_triples, messages)
+    of_triples, drop_of_triples = stored(triples_asked.groupBy("range", "kind").applyInArrow(answer, replies))
     flat = answers.filter("kind = 0").select(F.posexplode("bins").alias("part", "x")).select("part", F.posexplode("x").alias("k", "n"))
     sums = {(r.part, r.k): r.n for r in flat.groupBy("part", "k").agg(F.sum("n").alias("n")).collect()}  # a constant number
     totals = model_totals(sums, rows.filter("train").count())
@@ -221,7 +246,11 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
         got: dict[int, list] = {1: [], 2: [], 3: []}
         for r in right.to_pylist():
             got[r["kind"]].append((r["range"], r["counts"]))
-        words, pairs, triples = (block.answered(k, got[k], bits) for k in (1, 2, 3))
+        pairs, shared = block.known_pairs(got[2])
+        words, triples = np.zeros(block.start, np.int64), block.counts(3, np.array(row["train"], np.bool_))  # all there are of those that are not shared
+        for kind, counts in ((1, words), (3, triples)):
+            places, told = block.answered(kind, got[kind], shared)
+            counts[places] = told
         own, at = words[block.ids], block.at
         base = np.log10((words + 0.5) / (totals["n"] + 0.5 * (totals["v"] + 1)))[block.ids]
         cut_ = at[:-1]
@@ -236,9 +265,12 @@ def score_texts(df: DataFrame, id_col: str, train: Column, text_col: str = "text
             }
         )
 
-    replies = answers.filter("kind > 0").select("block", "range", "kind", "counts")
-    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    told = answers.filter("kind > 0").unionByName(of_triples).select("block", "range", "kind", "counts")
+    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = written(out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score"))
+    for drop in (drop_blocks, drop_answers, drop_of_triples):
+        drop()
+    return scored
 
 
 def model_totals(sums: dict, texts: int) -> dict:

@@ -121,3 +121,20 @@ def test_very_long_text(spark):
 def test_pack():
     for x in ([], [0], [5, 300, 2**40, 2**63 + 7]):
         assert S.unpack(S.pack(np.array(x, np.uint64))).tolist() == x
+
+
+def test_triples_are_asked_only_of_shared_pairs(spark):
+    """Blocks of one text: what one block alone has is its own, what several have is summed, whether training or not."""
+    rows = [(1, "a b c d", True), (2, "a b c e", True), (3, "x y z", True), (4, "a b c d", False), (5, "p q r", False), (6, "c d x y", True)]
+    blocks = [S.Block([text]) for _, text, _ in rows]
+    pairs = [set(b.pair_hashes.tolist()) for b in blocks]
+    for i, b in enumerate(blocks):
+        others = set().union(*(p for j, p in enumerate(pairs) if j != i))
+        shared = np.array([h in others for h in b.pair_hashes.tolist()])
+        asked = set(b.asked(3, shared)[0].tolist())
+        kept = {h for j, o in enumerate(blocks) if j != i for h in o.triple_hashes.tolist()} & set(b.triple_hashes.tolist())
+        assert kept <= asked  # a triple that another block has is never left out
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    want, *_ = brute([(t, x) for _, x, t in rows])
+    for g, w in zip(sorted(S.score_texts(docs, "doc_id", F.col("learn"), block_bytes=1, range_bytes=7).collect(), key=lambda g: g.doc_id), want, strict=True):
+        close((g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score), w)
