@@ -18,6 +18,8 @@ A block then builds the part of the automaton that its texts can reach.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,7 +49,7 @@ def _token_hash(word: bytes) -> np.uint64:
 
 
 class Block:
-    """Coded texts: every text is its words and one end."""
+    """Coded texts: every text is its words and one end. Triples are found when they are first asked for."""
 
     def __init__(self, texts: list[str]):
         words, at = words_of(pa.array(texts, pa.large_string()), lower=True)
@@ -71,10 +73,30 @@ class Block:
         # triples end at every token but the first one of a text
         self.inner = np.ones(len(ids), np.bool_)
         self.inner[self.at[:-1]] = False
+
+    @cached_property
+    def _by_triple(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = np.flatnonzero(self.inner)
-        self.triples, first, self.triple_of = np.unique((self.pair_of[last - 1] << 32) | ids[last], return_index=True, return_inverse=True)
-        self.ends = self.pair_of[last[first]]  # the pair that a triple ends with
-        self.triple_hashes = mix64(self.pair_hashes[self.triples >> 32] * np.uint64(5) + h[self.triples & 0xFFFFFFFF])
+        triples, first, triple_of = np.unique((self.pair_of[last - 1] << 32) | self.ids[last], return_index=True, return_inverse=True)
+        return triples, triple_of, self.pair_of[last[first]]
+
+    @property
+    def triples(self) -> np.ndarray:
+        """Each different triple: its first pair and its last token."""
+        return self._by_triple[0]
+
+    @property
+    def triple_of(self) -> np.ndarray:
+        return self._by_triple[1]
+
+    @property
+    def ends(self) -> np.ndarray:
+        """The pair that each triple ends with."""
+        return self._by_triple[2]
+
+    @cached_property
+    def triple_hashes(self) -> np.ndarray:
+        return mix64(self.pair_hashes[self.triples >> 32] * np.uint64(5) + self.hashes[self.triples & 0xFFFFFFFF])
 
     def asked(self, kind: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, places) of the words (kind 1), pairs (2) or triples (3) that are asked for, in the order of hashes; of triples, those of which both pairs are ``shared``."""
@@ -90,8 +112,10 @@ class Block:
     def counts(self, kind: int, train: np.ndarray) -> np.ndarray:
         """How often each word, pair or triple occurs in the block's own training texts."""
         learn = np.repeat(train, np.diff(self.at))
-        of = (self.ids[learn], self.pair_of[learn], self.triple_of[learn[self.inner]])[kind - 1]
-        return np.bincount(of, minlength=(self.start, len(self.pairs), len(self.triples))[kind - 1])
+        if kind == 3:
+            return np.bincount(self.triple_of[learn[self.inner]], minlength=len(self.triples))
+        of, n = (self.ids, self.start) if kind == 1 else (self.pair_of, len(self.pairs))
+        return np.bincount(of[learn], minlength=n)
 
     def questions(self, kind: int, train: np.ndarray, range_bits: int, shared: np.ndarray | None = None):
         """(range, kind, hashes, training counts) with hashes sorted; a range is the first bits of a hash."""
