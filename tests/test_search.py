@@ -115,3 +115,20 @@ def test_hybrid_with_index(spark, tmp_path):
     made = index.read_index(spark, str(tmp_path / "index"))
     plain = sorted(map(tuple, retrieval.hybrid_retrieval(questions, chunks, 5).collect()))
     assert sorted(map(tuple, retrieval.hybrid_retrieval(questions, chunks, 5, index=made).collect())) == plain and plain
+
+
+def test_few_questions_do_not_gather_terms(spark, tmp_path):
+    """The terms that match prefixes are as many as the index has; few questions are answered without a table of them."""
+    from pyspark.sql import functions as F
+
+    questions, chunks = corpus(spark, 5)
+    index.write_index(chunks, str(tmp_path / "i"), block=4)
+    made = index.read_index(spark, str(tmp_path / "i"))
+    unread = made._replace(terms=made.terms.withColumn("term", F.raise_error(F.lit("the dictionary was gathered")).cast("string")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.index_topk(questions, unread, 5, small=True)) == rows(retrieval.index_topk(questions, made, 5, small=False)) != []
+
+
+def test_index_moves_texts_once_and_no_words(spark):
+    plan = index.build_index(corpus(spark, 6)[1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
