@@ -66,6 +66,47 @@ class Automaton:
         return self.longest(other) / short if short else 0.0
 
 
+def parted(text: str, letters: set[str]) -> str:
+    """The longest stretch of the text that has only such letters."""
+    other = set(text) - letters
+    if not other:
+        return text
+    mark = min(other)
+    return max(text.translate(dict.fromkeys(map(ord, other), mark)).split(mark), key=len)
+
+
+class Chunk:
+    """A text with which others are compared. A common substring has letters of both, so a longest stretch of such
+    letters, where it is found whole, is the longest one; only for others is an automaton made, once."""
+
+    def __init__(self, text: str):
+        self.text, self.letters = text, set(text)
+        self.automaton: Automaton | None = None
+
+    def longest(self, other: str) -> int:
+        stretch = parted(other, self.letters)
+        if stretch in self.text:
+            return len(stretch)
+        self.automaton = self.automaton or Automaton(self.text)
+        return self.automaton.longest(other)
+
+    def ratio(self, other: str) -> float:
+        short = min(len(self.text), len(other))
+        return self.longest(other) / short if short else 0.0
+
+
+def common_ratio(a: str, b: str) -> float:
+    """The longest common substring by the shorter length; the shorter text is the automaton, where one is needed."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    for x, y in ((short, long), (long, short)):
+        stretch = parted(x, set(y))
+        if stretch in y:
+            return len(stretch) / len(short)
+    return Automaton(short).ratio(long)
+
+
 def folded(text: str | None) -> str:
     """Composed Unicode form in lower case, so that both forms of an accent compare equal."""
     import unicodedata
@@ -82,15 +123,11 @@ def normalized(text: Column) -> Column:
 
 
 def match_ratio(chunk: Column, span: Column) -> Column:
-    """Longest common substring divided by the shorter length, of normalized texts; the shorter text is the automaton."""
+    """Longest common substring divided by the shorter length, of normalized texts."""
 
     @F.arrow_udf("double")
     def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True):
-            short, long = sorted((folded(a), folded(b)), key=len)
-            out.append(1.0 if short and short in long else Automaton(short).ratio(long))
-        return pa.array(out, pa.float64())
+        return pa.array([common_ratio(folded(a.as_py()), folded(b.as_py())) for a, b in zip(x, y, strict=True)], pa.float64())
 
     return ratio(chunk, span)
 
@@ -99,8 +136,8 @@ def span_ratios(citations: DataFrame, spans: DataFrame, most_spans: int = MOST_S
     """(document_id, page, chunk_id, span_id, ratio) of every span (document_id, page, span_id, span_text) with every cited chunk
     (document_id, page, chunk_id, text) of its page.
 
-    A page's chunks and spans come to a task in that order, so each text travels once: chunks become automata, and spans
-    stream through them, in time linear in their length. A page with more than ``most_spans`` spans is dealt over
+    A page's chunks and spans come to a task in that order, so each text travels once, and spans stream past the chunks. A span whose longest stretch of
+    the chunk's letters is in the chunk needs a search only; for the first one that is not, the chunk becomes an automaton, in time linear in its length. A page with more than ``most_spans`` spans is dealt over
     several tasks, each with the page's chunks. Spans of four characters or fewer without
     surrounding spaces are left out; so are pages without chunks, and rows with a null document or page. Null texts are empty
     and match nothing. Equal rows are compared each. Lengths are in code points.
@@ -118,17 +155,17 @@ def span_ratios(citations: DataFrame, spans: DataFrame, most_spans: int = MOST_S
     rows = chunk_rows.unionByName(span_rows).repartition(*page, "part").sortWithinPartitions(*page, "part", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, automata = None, []
+        at, cited = None, []
         for b in batches:
             out: list[tuple] = []
             for doc, number, part, kind, chunk, span, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != (doc, number, part):
-                    at, automata = (doc, number, part), []
+                    at, cited = (doc, number, part), []
                 if kind == 0:
-                    automata.append((chunk, Automaton(folded(text))))
+                    cited.append((chunk, Chunk(folded(text))))
                 else:
                     line = folded(text)
-                    out += [(doc, number, c, span, a.ratio(line)) for c, a in automata]
+                    out += [(doc, number, c, span, a.ratio(line)) for c, a in cited]
             types = [b.schema.field(k).type for k in (0, 1, 4, 5)] + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["document_id", "page", "chunk_id", "span_id", "ratio"])
 

@@ -256,6 +256,21 @@ def test_automaton():
     assert len(automaton.link) <= 2 * len(long) and time.time() - began < 10
 
 
+def test_stretches_of_common_letters(monkeypatch):
+    """As all pairs of places; what is found whole, with other letters around it, needs no automaton."""
+    r = random.Random(8)
+    for letters in ("ab", "abcdé#", "a"):
+        for _ in range(300):
+            a, b = ("".join(r.choice(letters) for _ in range(r.randrange(0, 25))) for _ in range(2))
+            assert spans.Chunk(a).longest(b) == longest_common(a, b)
+            want = longest_common(a, b) / min(len(a), len(b)) if a and b else 0.0
+            assert spans.common_ratio(a, b) == spans.common_ratio(b, a) == want
+    monkeypatch.setattr(spans, "Automaton", None)
+    text = "lorem ipsum dolor " * 50_000
+    assert spans.Chunk(text).longest("\a" * 9 + text[7:600_000] + "\a") == 599_993
+    assert spans.common_ratio(text, "\a" * 10**6 + text[40:50_000] + "\a") == 49_960 / len(text)
+
+
 @pytest.mark.parametrize("most_spans", [10_000, 3])
 def test_span_ratios(spark, most_spans):
     """All pairs of a page, pages dealt over tasks or not; null ids, texts, pages, pages without chunks, equal rows."""
