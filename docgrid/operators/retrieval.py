@@ -99,16 +99,17 @@ def with_neighbors(hits: DataFrame, chunks: DataFrame, config: Config = DEFAULT,
     return rows.select("question_id", "document_id", "position", "chunk_id", "score", (F.row_number().over(w) - 1).cast("int").alias("ord"))
 
 
-def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None, index: Index | None = None) -> DataFrame:
+def hybrid_retrieval(questions: DataFrame, chunks: DataFrame, k: int | None = None, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None, index: Index | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(question_id, document_id, position, chunk_id, score, ord): k fused hits of each question and their neighbours.
 
     The hits, a few narrow rows for each question, are checkpointed, since neighbours are taken from them. With a written ``index``
-    the keyword arm reads no text.
+    the keyword arm reads no text. Where vectors lie apart from the texts, ``vectors`` (document_id, chunk_id, text_chars or text, embedding) are
+    searched, and ``chunks`` need none, so that no text takes part in a join with them.
     """
     k = k or config.top_k
     pool = max(k * config.over_fetch, k)
     small = is_small(questions) if small is None else small
-    dense = dense_topk(questions, chunks, pool, config, small)
+    dense = dense_topk(questions, chunks if vectors is None else vectors, pool, config, small)
     lexical = lexical_topk(questions, chunks, pool, config, terms, small) if index is None else index_topk(questions, index, pool, config, small)
     top = cut(fused_topk(dense, lexical, k, config))
     hits = chunks.select("chunk_id", "document_id", "position").join(hinted(top, small), "chunk_id")
@@ -126,11 +127,11 @@ def merge_subqueries(results: DataFrame, cap: int, k: int = DEFAULT.rrf_k) -> Da
     return top.select("question_id", "position", "chunk_id", "score", (F.col("_n") - 1).cast("int").alias("ord"))
 
 
-def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT, rewriter=None, embed=None) -> DataFrame:
+def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int | None = None, config: Config = DEFAULT, rewriter=None, embed=None, vectors: DataFrame | None = None) -> DataFrame:
     """Two stages: more candidates than wanted, with neighbours, then the ``k`` best by ``scorer(question, text)``.
 
     ``rewriter`` (see ``rewrite``) rewrites questions first; what it gives is embedded by ``embed``, searched and scored. Without a
-    scorer the first stage fetches ``k`` only. Scores are rounded to 4 places.
+    scorer the first stage fetches ``k`` only. Scores are rounded to 4 places. ``vectors`` as in ``hybrid_retrieval``.
     """
     k = k or config.top_k
     if rewriter is not None:
@@ -141,8 +142,8 @@ def retrieve_reranked(questions: DataFrame, chunks: DataFrame, scorer, k: int |
         questions = cut(embed_questions(questions, embed, config))
     small = is_small(questions)
     if scorer is None:
-        return hybrid_retrieval(questions, chunks, k, config, small=small).withColumn("score", F.round("score", 4))
-    found = hybrid_retrieval(questions, chunks, config.rerank_candidates, config, small=small)
+        return hybrid_retrieval(questions, chunks, k, config, small=small, vectors=vectors).withColumn("score", F.round("score", 4))
+    found = hybrid_retrieval(questions, chunks, config.rerank_candidates, config, small=small, vectors=vectors)
     rows = chunks.select("chunk_id", "text").join(hinted(found, small), "chunk_id").join(hinted(questions.select("question_id", "question"), small), "question_id")
     top = rerank(rows, scorer, k)
     return top.select("question_id", "document_id", "position", "chunk_id", F.round("score", 4).alias("score"), "rerank_score", "ord")

@@ -132,3 +132,14 @@ def test_few_questions_do_not_gather_terms(spark, tmp_path):
 def test_index_moves_texts_once_and_no_words(spark):
     plan = index.build_index(corpus(spark, 6)[1])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_hybrid_with_vectors_apart(spark, sf):
+    """Chunks without vectors and vectors without texts give what their join gives; the join with vectors has no text."""
+    from docgrid.plans import views as V
+
+    q, apart = V.questions(spark, sf), V.vectors(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(retrieval.hybrid_retrieval(q, V.chunks(spark, sf), vectors=apart))
+    assert got == rows(retrieval.hybrid_retrieval(q, V.chunks(spark, sf, vectors=True))) != []
+    assert "text" not in apart.columns
