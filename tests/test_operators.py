@@ -297,3 +297,14 @@ def test_traces(spark):
     df = spark.createDataFrame(rows, "trace_id string, name string, latency_ms long, tok_in long, tok_out long, error string")
     got = {(r.name, r.is_total): (r.n, r.p50, r.p95, r.max_ms) for r in evaluation.trace_stats(df).collect()}
     assert got == {("a", False): (2, 10, 20, 20), ("b", False): (1, 30, 30, 30), (None, True): (3, 20, 30, 30)}
+
+
+def test_key_terms_join_only_open_terms(spark):
+    """Whatever number of frequent terms is sent to the tasks, the terms are those of all counts, with ties and a null document."""
+    r = random.Random(11)
+    rows = [(r.choice([f"d{k}" for k in range(12)] + [None]), i, " ".join(f"word{min(int(r.expovariate(0.05)), 150)}" for _ in range(r.randrange(60)))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "document_id string, position int, text string")
+    found = lambda **k: sorted(map(str, models.key_terms(texts, 4, **k).collect()))
+    assert found(most=1) == found(most=7) == found(most=40) == found() and len(found()) == 13 * 4
+    plan = models.explained_terms(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" not in plan and plan.count("Generate explode(filter") == 1
