@@ -22,6 +22,20 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx,PDF,D
     return described(raw)
 
 
+#: What the source ``binaryFile`` gives, and packs hold.
+RAW = "path string, modificationTime timestamp, length long, content binary"
+
+
+def write_packs(raw: DataFrame, path: str) -> None:
+    """Append files (path, modificationTime, length, content) to a folder of packs, a pack for each partition: a store need not list and open every small file."""
+    raw.select("path", "modificationTime", "length", "content").write.mode("append").parquet(path)
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_files``, of a folder of packs."""
+    return described(spark.read.schema(RAW).parquet(path))
+
+
 def described(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docgrid.operators import history, models
 from docgrid.plans.ingest import accept, ingest
 from docgrid.shared import written
-from docgrid.sources.files import TRACE_SCHEMA, described
+from docgrid.sources.files import RAW, TRACE_SCHEMA, described
 
 #: Steps of a document, in order; the last two end them.
 STATES = ("pending", "parsing", "embedding", "ready", "failed")
@@ -20,13 +20,14 @@ DOCUMENT_FIELDS = ("document_id", "user_id", "filename", "size_bytes", "uploaded
 KNOWN = "user_id string, content_hash string, uploaded_at timestamp, document_id string, status string"
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", files_per_batch: int | None = None, prep: bool = False, computers: dict = models.COMPUTERS, **options):
+def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str | None = None, pattern: str = "*.{pdf,docx}", files_per_batch: int | None = None, prep: bool = False, computers: dict = models.COMPUTERS, packed: bool = False, **options):
     """A query that ingests new files of a folder once each; call ``.start()`` on a trigger of your choice.
 
     Each batch writes its rows under its own number, so a batch that is repeated replaces itself. Documents are there as
     ``pending`` before any of them is read, and ``status`` holds an event for each step that they take (document_id, seq, status).
     Equal content of an owner in an earlier batch is found in the history of ready documents, of which only buckets that may hold a
     hash of the batch are read. The bytes of new files are kept once. ``files_per_batch`` bounds a batch.
+    With ``packed`` the folder holds packs of files (see ``write_packs``), which are what ``files_per_batch`` counts.
     With ``prep`` the prep packs of new documents are computed after they are stored, and ``prep`` holds a row (document_id, kind, value,
     error) for each kind of each; their failure leaves the ingest, and other documents, as they are.
     """
@@ -67,7 +68,8 @@ def ingest_stream(spark: SparkSession, source: str, target: str, user_id: str |
             except Exception as e:  # of what is not a computer's
                 print(f"prep packs of batch {number} failed: {str(e)[:200]}")
 
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(RAW)
+    reader = reader.format("parquet") if packed else reader.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(source)
     return described(stream).writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/_checkpoint")
 

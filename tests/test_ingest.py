@@ -156,3 +156,18 @@ def test_status_and_trace_streams(spark, tmp_path):
 def test_eval_chunks(spark, tmp_path):
     put(tmp_path, "chunks.jsonl", json.dumps({"doc_id": "d", "position": 4, "page": 1, "section": None, "text": "t"}))
     assert S.read_eval_chunks(spark, str(tmp_path)).first().key == "d::4"
+
+
+def test_packs_are_ingested_as_files_are(spark, tmp_path):
+    """Many small files in packs: what a folder of them gives, in a batch and by a stream of two batches."""
+    for k in range(6):
+        put(tmp_path / "in", f"{k}.pdf", f"some text of document {k % 4}, long enough.")
+    raw = spark.read.format("binaryFile").load(str(tmp_path / "in")).repartition(2, "path")
+    S.write_packs(raw, str(tmp_path / "packs"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(S.read_packs(spark, str(tmp_path / "packs"))) == rows(S.read_files(spark, str(tmp_path / "in")))
+    target = str(tmp_path / "out")
+    jobs.ingest_stream(spark, str(tmp_path / "packs"), target, "u", packed=True, files_per_batch=1, config=SMALL).trigger(availableNow=True).start().awaitTermination()
+    documents = spark.read.parquet(f"{target}/documents")
+    assert sorted(r.status for r in documents.collect()) == ["ready"] * 4 + ["reused"] * 2
+    assert documents.select("batch").distinct().count() == 2
