@@ -10,27 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.shared import fresh
+from docgrid.shared import BATCH_BYTES, BATCH_ROWS, fresh, small_batches  # noqa: F401
 
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows and bytes of an Arrow batch: texts are long, so Spark's defaults of 10,000 rows and 64 MB would make batches of many megabytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
-_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(df):
-    """``df``, after its session has been told to hand Python ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at once, unless sizes are set there already."""
-    conf = df.sparkSession.conf
-    if conf.get(_ROWS) == "10000":
-        conf.set(_ROWS, str(BATCH_ROWS))
-    if conf.get(_BYTES) in ("67108864b", "64MB"):
-        conf.set(_BYTES, f"{BATCH_BYTES}b")
-    return df
-
-
 def least_rows(rows: DataFrame, by: list[str], columns: list[str], same: list[str]) -> DataFrame:
     """``columns`` of one row for each ``by``: the least one by all of them but ``same``, in which rows agree, nulls first.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.operators.structure import page_texts
+from docgrid.shared import small_batches
 
 TRACE_SCHEMA = (
     "traceId string, name string, model string, latencyMs long, usage struct<input:long,output:long,total:long>, "
@@ -69,7 +70,7 @@ def extract_texts(files: DataFrame, extractor: Callable[[bytes, str], str] = pla
                 rows.append((d, name, text, error if error or (text or "").strip() else "no text"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["document_id", "filename", "text", "error"])
 
-    return files.select(F.col("document_id").cast("string"), "filename", "content").mapInArrow(read, "document_id string, filename string, text string, error string")
+    return small_batches(files).select(F.col("document_id").cast("string"), "filename", "content").mapInArrow(read, "document_id string, filename string, text string, error string")
 
 
 def extract_pages(files: DataFrame, extractor: Callable[[bytes, str], str] = plain_text) -> DataFrame:

@@ -171,3 +171,15 @@ def test_packs_are_ingested_as_files_are(spark, tmp_path):
     documents = spark.read.parquet(f"{target}/documents")
     assert sorted(r.status for r in documents.collect()) == ["ready"] * 4 + ["reused"] * 2
     assert documents.select("batch").distinct().count() == 2
+
+
+def test_bytes_reach_python_in_small_batches(spark):
+    from docgrid.operators import models
+    from docgrid.shared import BATCH_ROWS
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    S.extract_texts(spark.createDataFrame([], "document_id string, filename string, content binary"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    models.embed_chunks(spark.createDataFrame([], "text string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
