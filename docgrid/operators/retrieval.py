@@ -7,6 +7,8 @@ few; otherwise the join shuffles by document.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from docgrid.operators.index import Index, asked_terms, index_scores, term_weigh
 from docgrid.operators.models import embed_questions, rewrite
 from docgrid.shared import cut, hinted, is_small
 
+#: Bytes of the texts whose words are counted in one task.
+TASK_BYTES = 8_000_000
+
 
 def readable(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Chunks that are long enough to be text; their trimmed length is read where it is a column (``text_chars``)."""
@@ -38,9 +43,19 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("question_id", "chunk_id", (F.col("_n") - 1).cast("int").alias("rank"), "score")
 
 
+def dealt(chunks: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Texts (document_id, chunk_id, text) dealt by chunk to so many tasks that each has about ``task_bytes`` of them, however many there are.
+
+    What is grouped by chunk afterwards stays in its task, so that words are not shuffled.
+    """
+    n = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, ceil(n / task_bytes))
+    return chunks.select("document_id", "chunk_id", "text").repartition(tasks, "chunk_id")
+
+
 def term_table(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, term, head, n): how often each term occurs in each chunk. Worth writing once."""
-    return words(chunks).groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
+    return words(dealt(chunks)).groupBy("document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("head", F.substring("term", 1, 2))
 
 
 def index_topk(questions: DataFrame, index: Index, k: int, config: Config = DEFAULT, small: bool | None = None) -> DataFrame:
@@ -51,10 +66,13 @@ def index_topk(questions: DataFrame, index: Index, k: int, config: Config = DEFA
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int, config: Config = DEFAULT, terms: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """(question_id, chunk_id, rank from 0, score) by prefix matches of the question's terms.
 
-    Terms have two characters at least, so their first two are a join key that loses nothing. Words are matched
-    before they are counted, so only those that are asked about travel; a written table of ``terms`` is used as it is.
+    Terms have two characters at least, so their first two are a join key that loses nothing. For few questions the texts are
+    dealt by chunk, and words are counted, matched and summed where they are; for many, words are matched before they are counted, so only
+    those that are asked about travel. A written table of ``terms`` is used as it is.
     """
     small = is_small(questions) if small is None else small
+    if small and terms is None:
+        terms = term_table(readable(chunks, config))
     q = asked_terms(questions, config).withColumn("head", F.substring("q_term", 1, 2))
     t = words(readable(chunks, config)).withColumn("head", F.substring("term", 1, 2)) if terms is None else terms
     asked = q.select("document_id", "head", "q_term").distinct()  # questions of a document share many terms

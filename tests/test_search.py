@@ -143,3 +143,30 @@ def test_hybrid_with_vectors_apart(spark, sf):
     got = rows(retrieval.hybrid_retrieval(q, V.chunks(spark, sf), vectors=apart))
     assert got == rows(retrieval.hybrid_retrieval(q, V.chunks(spark, sf, vectors=True))) != []
     assert "text" not in apart.columns
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_few_questions_shuffle_no_words(spark):
+    """Texts are dealt by chunk, then only ranks travel; words and their matches stay in the task of their chunk."""
+    questions, chunks = corpus(spark, 7)
+    found = retrieval.lexical_topk(questions, chunks, 5, small=True)
+    moved = [line for line in exchanges(found) if "chunk_id" in line]  # the others deal terms of questions, and ranks
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0] and "term" not in moved[0]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found) == rows(retrieval.lexical_topk(questions, chunks, 5, small=False)) != []
+    assert len(exchanges(retrieval.term_table(chunks))) == 1
+
+
+def test_tasks_of_texts_grow_with_them(spark):
+    """What a task holds of the texts does not grow with them; repeated rows of a chunk are counted together."""
+    chunks = corpus(spark, 8)[1]
+    n = spark.sparkContext.defaultParallelism
+    tasks = lambda df, size: retrieval.dealt(df, size).rdd.getNumPartitions()
+    size = chunks.selectExpr("sum(octet_length(text))").first()[0] // 40
+    assert tasks(chunks, 1 << 40) == n and tasks(chunks.limit(0), 1) == n
+    assert 40 <= tasks(chunks, size) <= 42 and 80 <= tasks(chunks.union(chunks), size) <= 84
+    twice = retrieval.term_table(chunks.union(chunks)).collect()
+    assert sorted((x.chunk_id, x.term, x.n) for x in twice) == sorted((x.chunk_id, x.term, 2 * x.n) for x in retrieval.term_table(chunks).collect()) != []
