@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.config import DEFAULT, Config
 from docgrid.functions.columns import citation_label, citation_parts, message_text
+from docgrid.shared import cut, few
 
 #: Fixed value: the instruction that precedes the context of a question.
 SYSTEM_PROMPT = (
@@ -84,7 +85,7 @@ def recent_messages(messages: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def context_texts(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, context): the results of a question as numbered texts with their place, in order."""
-    rows = results.select("question_id", "chunk_id", "ord").hint("merge").join(chunks.select("chunk_id", "page", "section", "text"), "chunk_id")
+    rows = chunks.select("chunk_id", "page", "section", "text").join(few(cut(results.select("question_id", "chunk_id", "ord"))), "chunk_id")
     cite = citation_parts(F.col("page"), F.col("section"))
     rows = rows.withColumn("_c", F.when(cite != "", F.concat(F.lit(" ("), cite, F.lit(")"))).otherwise(""))
     listed = F.array_sort(F.collect_list(F.struct("ord", "_c", "text")))  # bounded by the results of one question
@@ -98,7 +99,7 @@ def system_prompts(contexts: DataFrame, prompt: str = SYSTEM_PROMPT) -> DataFram
 
 def distinct_sources(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, label, chunk_id, ord): for each question the first result of each citation label, in order."""
-    rows = results.select("question_id", "chunk_id", "ord").hint("merge").join(chunks.select("chunk_id", "page", "section"), "chunk_id")
+    rows = chunks.select("chunk_id", "page", "section").join(few(cut(results.select("question_id", "chunk_id", "ord"))), "chunk_id")
     rows = rows.withColumn("label", citation_label(F.col("page"), F.col("section")))
     first = rows.groupBy("question_id", "label").agg(F.min_by(F.struct("chunk_id", "ord"), "ord").alias("x"))
     return first.select("question_id", "label", "x.chunk_id", "x.ord")

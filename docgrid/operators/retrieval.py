@@ -17,7 +17,7 @@ from docgrid.functions.columns import query_terms
 from docgrid.operators.dense import block_scores
 from docgrid.operators.index import Index, asked_terms, index_scores, term_weight, words
 from docgrid.operators.models import embed_questions, rewrite
-from docgrid.shared import cut, hinted, is_small
+from docgrid.shared import cut, few, hinted, is_small
 
 #: Bytes of the texts whose words are counted in one task.
 TASK_BYTES = 8_000_000
@@ -189,6 +189,6 @@ def term_overlap(question, text):
 
 def citations_only(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """For each question the pages and sections of its results in order, without any text."""
-    rows = chunks.select("chunk_id", "page", "section").hint("merge").join(results.select("question_id", "chunk_id", "ord"), "chunk_id")
+    rows = chunks.select("chunk_id", "page", "section").join(few(cut(results.select("question_id", "chunk_id", "ord"))), "chunk_id")
     entries = F.transform(F.array_sort(F.collect_list(F.struct("ord", "page", "section"))), lambda x: F.struct(x["page"].alias("page"), x["section"].alias("section")))
     return rows.groupBy("question_id").agg(entries.alias("citations"))

@@ -308,3 +308,15 @@ def test_key_terms_join_only_open_terms(spark):
     assert found(most=1) == found(most=7) == found(most=40) == found() and len(found()) == 13 * 4
     plan = models.explained_terms(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array_distinct" not in plan and plan.count("Generate explode(filter") == 1
+
+
+def test_results_come_to_texts(spark):
+    """Texts, pages and sections of few results are fetched where they lie: no chunk is sorted or shuffled for them."""
+    chunks = spark.createDataFrame([(i, i, "s", f"text {i}") for i in range(50)], "chunk_id int, page int, section string, text string").repartition(3)
+    results = spark.createDataFrame([(q, q * 7 + o, o) for q in range(3) for o in range(4)], "question_id int, chunk_id int, ord int")
+    texts, sources, cited = chat.context_texts(results, chunks), chat.distinct_sources(results, chunks), retrieval.citations_only(results, chunks)
+    for df in (texts, sources, cited):
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {x.question_id: x.context for x in texts.collect()}[1].split("\n\n---\n\n") == [f"[{o + 1}] (trang {7 + o}, s)\ntext {7 + o}" for o in range(4)]
+    assert {(x.question_id, x.chunk_id, x.ord) for x in sources.collect()} == {(q, q * 7 + o, o) for q in range(3) for o in range(4)}
+    assert {x.question_id: [y.page for y in x.citations] for x in cited.collect()}[2] == [14, 15, 16, 17]
